@@ -1,0 +1,31 @@
+"""Tables written in the folder that the driver and all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_KEY = "spark.checkpoint.dir"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a local one only where the session names none, as in tests."""
+    folder = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="tidewatch-")
+        spark.conf.set(_KEY, folder)
+    return folder.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_folder(spark)}/tidewatch/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: lineage ends there, and lost executors cost nothing."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
