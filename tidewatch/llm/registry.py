@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import exact_dedup, line_dedup, mixing, url_filter
+from tidewatch.llm import decontaminate, exact_dedup, line_dedup, mixing, near_join, url_filter
 
 QUERIES = {
+    "op4_ngram_join": near_join.query,
     "op5_url_filter": url_filter.query,
+    "op6_decontamination": decontaminate.query,
     "op7_line_dedup": line_dedup.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_mixing": mixing.query,
 }
 
 ORACLE_SQL = {
+    "op4_ngram_join": near_join.SQL,
     "op5_url_filter": url_filter.SQL,
+    "op6_decontamination": decontaminate.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op9_mixing": mixing.SQL,
