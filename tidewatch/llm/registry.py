@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import decontaminate, exact_dedup, line_dedup, mixing, near_join, url_filter
+from tidewatch.llm import decontaminate, exact_dedup, line_dedup, mixing, near_join, quality, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
     "op4_ngram_join": near_join.query,
     "op5_url_filter": url_filter.query,
     "op6_decontamination": decontaminate.query,
     "op7_line_dedup": line_dedup.query,
     "op8_exact_dedup": exact_dedup.query,
     "op9_mixing": mixing.query,
+    "op10_quality": quality.query,
 }
 
 ORACLE_SQL = {
