@@ -23,6 +23,7 @@ ORDERS = (3, 4, 5, 6)
 BITS = 20
 MAX_TRAIN = 8000
 MAX_FEATURES = 4000
+TRAIN_TASKS = 3
 MIN_ROWS = 4  # training rows that a feature must occur in
 STEPS, RATE, RIDGE = 300, 0.03, 3e-4
 
@@ -111,6 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
     ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label")).where(~held_out(F.col("doc_id")))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # what is broadcast has this bound
     rows = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]), "toxic-train")
+    rows = rows.coalesce(TRAIN_TASKS)  # each task counts up to 2**BITS buckets
     counted = rows.select("text", "label").mapInArrow(_count, "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     counted = counted.where(F.col("neg") + F.col("pos") >= MIN_ROWS).toPandas()  # 2**BITS rows at most
     of = dict(rows.groupBy("label").count().collect())
