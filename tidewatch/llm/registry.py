@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import decontaminate, exact_dedup, line_dedup, mixing, near_join, quality, secrets, toxicity, url_filter
+from tidewatch.llm import decontaminate, exact_dedup, html_extract, line_dedup, mixing, near_join, quality, secrets, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
+    "op2_html_extraction": html_extract.query,
     "op3_secrets": secrets.query,
     "op4_ngram_join": near_join.query,
     "op5_url_filter": url_filter.query,
