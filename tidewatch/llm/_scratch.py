@@ -23,9 +23,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/tidewatch/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: lineage ends there, and lost executors cost nothing."""
+def written(df: DataFrame, label: str, files: int | None = None) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: lineage ends there, and lost executors cost nothing.
+
+    ``files``: how many files are enough, from a count of the rows.
+    """
     spark = df.sparkSession
+    df = df if files is None else df.coalesce(files)
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

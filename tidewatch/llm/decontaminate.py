@@ -146,6 +146,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
+def _keep(block, key: tuple, size: int, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = _scanner(block.value, key, size)
+        for b in batches:
+            yield b.filter(pa.array([not scanner.scan(words(t))[0] for t in b.column(text_col).to_pylist()], pa.bool_()))
+
+    return run
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows without any occurrence of a window, with all columns; one pass for each block of items. Nulls as in ``contamination``."""
+    sc = ship(docs.sparkSession).sparkContext
+    out = docs
+    for block in _blocks(benchmark, item_col, item_text_col, block_chars):
+        key = (window, hashlib.sha256(repr(block).encode()).hexdigest())
+        out = out.mapInArrow(_keep(sc.broadcast(block), key, window, text_col), docs.schema)
+    return out
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     out = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", "contaminated")

@@ -14,8 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewatch.llm._ngrams import mix64, span_hashes
 from tidewatch.llm._scratch import written
@@ -61,21 +62,31 @@ def _model(docs: DataFrame) -> np.ndarray:
     return np.log(n) - np.log(n.sum())
 
 
-def _weigh(ratio_of):
+def _weigh(ratio_of, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = ratio_of.value
         for b in batches:
-            s = [float(ratio[buckets(t)].sum()) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s, pa.float64())], ["doc_id", "log_weight"])
+            s = [float(ratio[buckets(t)].sum()) for t in b.column(text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "__log_weight"])
 
     return run
 
 
-def weights(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """(doc_id, log_weight) of every row: log of target over raw likelihood; 0 for null, empty and blank texts."""
-    spark = ship(docs.sparkSession)
-    ratio = spark.sparkContext.broadcast(_model(target) - _model(docs))
-    return docs.select("doc_id", "text").mapInArrow(_weigh(ratio), f"doc_id {dict(docs.dtypes)['doc_id']}, log_weight double")
+def ratios(docs: DataFrame, target: DataFrame) -> np.ndarray:
+    """Log of target over raw probability of each bucket."""
+    ship(docs.sparkSession)
+    return _model(target) - _model(docs)
+
+
+def weighed(docs: DataFrame, ratio: np.ndarray, text_col: str = "text") -> DataFrame:
+    """All rows and columns, and __log_weight: log of target over raw likelihood; 0 for null, empty and blank texts."""
+    sc = ship(docs.sparkSession).sparkContext
+    return docs.mapInArrow(_weigh(sc.broadcast(ratio), text_col), T.StructType([*docs.schema.fields, T.StructField("__log_weight", T.DoubleType())]))
+
+
+def gumbel(doc_id: Column, seed: int) -> Column:
+    u = (F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    return -F.log(-F.log(u))
 
 
 def kth_largest(values: DataFrame, k: int) -> int | None:
@@ -97,6 +108,24 @@ def kth_largest(values: DataFrame, k: int) -> int | None:
     return lo
 
 
+def _rank(key: Column) -> Column:
+    return F.floor(key / F.lit(STEP)).cast("long")
+
+
+def _cut(docs: DataFrame, labels: DataFrame, fraction: float | None, max_target: int, seed: int) -> tuple[DataFrame, np.ndarray, int | None]:
+    """Scores of all rows, the ratios behind them, and the least rank that is kept."""
+    label = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    good, n = label.agg(F.sum((F.col("quality") > 0).cast("long")), F.count(F.lit(1))).first()
+    ids = label.where("quality > 0").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target)  # what is broadcast has this bound
+    ratio = ratios(docs, docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi"))
+    if fraction is None:
+        share = (good or 0) / n if n else 1.0
+        fraction = min(1.0, share + MARGIN * math.sqrt(share * (1 - share) / n)) if good else 1.0
+    scored = weighed(docs.select("doc_id", "text"), ratio).select("doc_id", F.col("__log_weight").alias("log_weight"))
+    scored = written(scored.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)), "weights")
+    return scored, ratio, kth_largest(scored.select(_rank(F.col("key")).alias("key")), math.ceil(fraction * scored.count()))
+
+
 def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None, max_target: int = MAX_TARGET, seed: int = 17) -> DataFrame:
     """Per row: doc_id, log_weight, key (log weight plus Gumbel number), kept.
 
@@ -105,18 +134,15 @@ def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None,
     kept as well. Null and empty texts weigh as much as raw text does, and so go only after what is unlike the target. Rows that
     repeat have equal keys. Labels that are null are void; without good labels all rows stay. Other columns are not read.
     """
-    label = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    good, n = label.agg(F.sum((F.col("quality") > 0).cast("long")), F.count(F.lit(1))).first()
-    ids = label.where("quality > 0").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target)  # what is broadcast has this bound
-    target = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    if fraction is None:
-        share = (good or 0) / n if n else 1.0
-        fraction = min(1.0, share + MARGIN * math.sqrt(share * (1 - share) / n)) if good else 1.0
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    scored = written(weights(docs, target).withColumn("key", F.col("log_weight") - F.log(-F.log(u))), "weights")
-    rank = F.floor(F.col("key") / F.lit(STEP)).cast("long")
-    least = kth_largest(scored.select(rank.alias("key")), math.ceil(fraction * scored.count()))
-    return scored.withColumn("kept", rank >= F.lit(least) if least is not None else F.lit(True))
+    scored, _, least = _cut(docs, labels, fraction, max_target, seed)
+    return scored.withColumn("kept", _rank(F.col("key")) >= F.lit(least) if least is not None else F.lit(True))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, fraction: float | None = None, max_target: int = MAX_TARGET, seed: int = 17) -> DataFrame:
+    """The rows of ``docs`` that ``resample`` keeps, with all columns; weighed once more rather than joined, so no text is shuffled."""
+    _, ratio, least = _cut(docs, labels, fraction, max_target, seed)
+    rank = _rank(F.col("__log_weight") + gumbel(F.col("doc_id"), seed))
+    return weighed(docs, ratio).where(rank >= F.lit(least) if least is not None else F.lit(True)).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
