@@ -1,6 +1,6 @@
 """Queries of the surveillance operators, with the SQL that gives the same rows."""
 
-from __future__ import annotations
+from tidewatch.plans.oracle import ORACLE_SQL
+from tidewatch.plans.queries import QUERIES
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
