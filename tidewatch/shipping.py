@@ -1,4 +1,4 @@
-"""Gives Python workers this package, whatever their path: executors fetch it from the driver."""
+"""Prepares a session for Python workers: this package, whatever their path, and batches of bounded size."""
 
 from __future__ import annotations
 
@@ -10,10 +10,16 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+#: Spark's own default of 10,000 rows a batch may be gigabytes of long texts, several times over in a worker.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(16 << 20))}
+
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Add the package to the session's context, once an application."""
+    """Have executors fetch the package from the driver, once an application, and limit batches unless the session says how."""
     sc = spark.sparkContext
+    for key, (default, limit) in BATCHES.items():
+        if sc.getConf().get(key) is None and spark.conf.get(key, default) in (default, str(64 << 20), str(2**63 - 1)):
+            spark.conf.set(key, limit)
     if sc.applicationId not in _shipped:
         here = Path(__file__).resolve().parent
         path = Path(tempfile.mkdtemp(prefix="tidewatch-")) / f"{here.name}.zip"
