@@ -34,6 +34,7 @@ from tidewatch.shipping import ship
 WORDS, PERCENT = 5, 80
 FRAGMENTS = 4  # of the sets whose pairs are counted
 FRAGMENT_TOKENS = 1 << 21  # about as many n-grams meet in a task of the first step
+FILE_TOKENS = 1 << 19  # of the sets that may have partners, behind each file that is written for them
 FLUSH_TOKENS = 1 << 20
 
 
@@ -69,7 +70,7 @@ def _sets(n_words: int):
 
 def _deal(fragments: int):
     """(digest, doc_id, head) -> per fragment the distinct n-grams of a stretch of rows with their owner, -1 if they have several
-    there; fragment -1 has owners credited on the spot, with counts in place of n-grams."""
+    there; negative fragments have owners credited on the spot, with counts in place of n-grams."""
 
     def flush(heads: list[np.ndarray], docs: list[int]) -> pa.RecordBatch:
         token, owner = np.concatenate(heads), np.repeat(np.array(docs, np.int64), [len(h) for h in heads])
@@ -82,7 +83,8 @@ def _deal(fragments: int):
         part = (token % np.uint64(fragments)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(fragments + 1))
-        rows = [(-1, credits.astype(np.int64).tobytes(), credited.tobytes())]
+        at = credited % fragments
+        rows = [(-1 - k, credits[at == k].astype(np.int64).tobytes(), credited[at == k].tobytes()) for k in np.unique(at).tolist()]
         rows += [(k, token[x].tobytes(), owner[x].tobytes()) for k in range(fragments) if len(x := order[cuts[k] : cuts[k + 1]])]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["fragment", "tokens", "owners"])
 
@@ -106,25 +108,34 @@ def _deal(fragments: int):
     return run
 
 
-def _shared(t: pa.Table) -> pa.Table:
-    """One fragment: per owner, how many of its n-grams have another owner."""
-    if t.num_rows and t.column("fragment")[0].as_py() < 0:
-        raise AssertionError("credits are summed as they are")
-    token = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()])
-    owner = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("owners").to_pylist()])
-    order = np.argsort(token, kind="stable")
-    token, owner = token[order], owner[order]
-    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    count = np.diff(np.append(first, len(token)))
-    hit = (np.repeat(count, count) > 1) & (owner >= 0)
-    doc, n = np.unique(owner[hit], return_counts=True)
-    return pa.table({"doc_id": pa.array(doc), "shared": pa.array(n.astype(np.int64))})
+def _shared(fragments: int):
+    """One fragment: per owner, how many of its n-grams have another owner, or the sum of its credits; packed by part of the owners."""
+
+    def run(t: pa.Table) -> pa.Table:
+        token = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()])
+        owner = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("owners").to_pylist()])
+        if t.column("fragment")[0].as_py() < 0:
+            doc, at = np.unique(owner, return_inverse=True)
+            n = np.bincount(at, weights=token).astype(np.int64)
+        else:
+            order = np.argsort(token, kind="stable")
+            token, owner = token[order], owner[order]
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            count = np.diff(np.append(first, len(token)))
+            doc, n = np.unique(owner[(np.repeat(count, count) > 1) & (owner >= 0)], return_counts=True)
+        part = doc % fragments
+        parts = np.unique(part).tolist()
+        return pa.table({"part": pa.array(parts, pa.int32()), "docs": pa.array([doc[part == k].tobytes() for k in parts], pa.binary()), "counts": pa.array([n[part == k].astype(np.int64).tobytes() for k in parts], pa.binary())})
 
+    return run
 
-def _credits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for counts, owners in zip(b.column("tokens").to_pylist(), b.column("owners").to_pylist(), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(owners, np.int64)), pa.array(np.frombuffer(counts, np.int64))], ["doc_id", "shared"])
+
+def _summed(t: pa.Table) -> pa.Table:
+    """One part of the owners: the sum of what the fragments counted."""
+    doc = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("docs").to_pylist()])
+    n = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("counts").to_pylist()])
+    each, at = np.unique(doc, return_inverse=True)
+    return pa.table({"doc_id": pa.array(each), "shared": pa.array(np.bincount(at, weights=n).astype(np.int64))})
 
 
 def _spare_col(n, percent: int):
@@ -135,10 +146,9 @@ def _candidates(sketch: DataFrame, percent: int) -> DataFrame:
     """doc_id of one row of each class that may have a partner."""
     total = sketch.agg(F.sum("n_head")).first()[0] or 0
     fragments = max(4, -(-total // FRAGMENT_TOKENS))
-    dealt = written(sketch.where("n > 0").select("digest", "doc_id", "head").mapInArrow(_deal(fragments), "fragment int, tokens binary, owners binary").repartition(fragments, "fragment"), "heads")
-    counts = dealt.where("fragment >= 0").groupBy("fragment").applyInArrow(_shared, "doc_id long, shared long")
-    counts = counts.unionByName(dealt.where("fragment < 0").mapInArrow(_credits, "doc_id long, shared long"))
-    counts = counts.groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    dealt = sketch.where("n > 0").select("digest", "doc_id", "head").mapInArrow(_deal(fragments), "fragment int, tokens binary, owners binary")
+    counts = dealt.groupBy("fragment").applyInArrow(_shared(fragments), "part int, docs binary, counts binary")
+    counts = counts.groupBy("part").applyInArrow(_summed, "doc_id long, shared long")
     # Partners of a set of n have ceil(percent * n / 100) n-grams at least, and these have so many to spare.
     least = F.ceil(F.col("n") * percent / F.lit(100)).cast("long")
     able = sketch.where("n > 0").join(counts, "doc_id").where(F.col("shared") > _spare_col(least, percent)).select("digest").distinct()
@@ -181,20 +191,20 @@ def _count(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return parts.groupBy("a", "b").agg(F.sum("part").alias("overlap"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """(a, b) -> (doc_id, component): the smallest id that edges reach from each; ids without an edge are absent.
 
     Smallest labels spread along edges and then jump to the label's own label, so chains shorten by halves; each round is
     written. Nulls are not ids: such edges are void.
     """
     e = edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b")
-    e = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(e.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "doc_id"), "labels")
+    e = written(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", files)
+    labels = written(e.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "doc_id"), "labels", files)
     while True:
         near = e.join(labels.select(F.col("doc_id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
         low = labels.join(near.withColumnRenamed("a", "doc_id"), "doc_id").select("doc_id", F.col("label").alias("was"), F.least("label", "near").alias("low"))
         far = labels.select(F.col("doc_id").alias("low"), F.col("label").alias("far"))
-        labels = written(low.join(far, "low", "left").select("doc_id", "was", F.least("low", F.coalesce("far", "low")).alias("label")), "labels")
+        labels = written(low.join(far, "low", "left").select("doc_id", "was", F.least("low", F.coalesce("far", "low")).alias("label")), "labels", files)
         if labels.where("label <> was").isEmpty():
             return labels.select("doc_id", F.col("label").alias("component"))
         labels = labels.drop("was")
@@ -202,6 +212,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """(doc_id, component) of the sets that are linked with another."""
+    files = max(2, -(-(sets.agg(F.sum("n")).first()[0] or 0) // FILE_TOKENS))
     tokens = sets.select("doc_id", "n", F.explode("tokens").alias("token"))
     owners = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = tokens.join(owners, "token").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
@@ -209,35 +220,35 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     own = F.col("n") - F.col("m")  # n-grams that only this set has come first
     first = F.greatest(F.lit(0), _spare_col(F.col("n"), percent) + 1 - own).cast("int")
     common = F.aggregate("r", F.lit(0.0), lambda s, x: s + F.log2(x["df"].cast("double"))) / F.col("n")
-    ranked = written(ranked.select("doc_id", "n", "m", common.alias("common"), F.slice(F.col("r.token"), F.lit(1), first).alias("first")), "ranked")
+    ranked = written(ranked.select("doc_id", "n", "m", common.alias("common"), F.slice(F.col("r.token"), F.lit(1), first).alias("first")), "ranked", files)
 
     by_token = ranked.select("doc_id", "common", F.explode("first").alias("token"))
     led = by_token.groupBy("token").agg(F.max(F.struct("common", (-F.col("doc_id")).alias("id"))).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", (-F.col("top.id")).alias("a"))
     stars = by_token.join(led, "token").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     size = ranked.select("doc_id", "n", "m")
     near = ranked.select("doc_id").join(stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct(), "doc_id", "left_semi")
-    segments = written(sets.join(near, "doc_id", "left_semi").select("doc_id", "tokens").mapInArrow(_segments, "doc_id long, fragment int, segment binary"), "segments")
+    segments = written(sets.join(near, "doc_id", "left_semi").select("doc_id", "tokens").mapInArrow(_segments, "doc_id long, fragment int, segment binary"), "segments", files)
 
     def linked(pairs: DataFrame) -> DataFrame:
         of = lambda c: size.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("m").alias(f"m_{c}"))
         return _count(pairs, segments).join(of("b"), "b").join(of("a"), "a").withColumn("link", F.col("overlap") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
 
-    counted = written(linked(stars), "stars")
+    counted = written(linked(stars), "stars", files)
     links = counted.where("link").select("a", "b")
-    labels = components(links)
+    labels = components(links, files)
 
     led = counted.select("a", "b", "overlap", F.col("n_b").alias("n"), F.col("m_b").alias("m"))
     led = led.unionByName(counted.select("a", F.col("a").alias("b"), F.col("n_a").alias("overlap"), F.col("n_a").alias("n"), F.col("m_a").alias("m")).distinct())
     led = led.join(labels.withColumnRenamed("doc_id", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
     mixed = led.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("a")
-    led = written(led.join(mixed, "a", "left_semi"), "led")
+    led = led.join(mixed, "a", "left_semi")
     u, v = led.alias("u"), led.alias("v")
     most = F.least("u.overlap", "v.overlap") + F.least(F.col("u.m") - F.col("u.overlap"), F.col("v.m") - F.col("v.overlap"))
     could = most * (100 + percent) >= (F.col("u.n") + F.col("v.n")) * percent
     rest = u.join(v, (F.col("u.a") == F.col("v.a")) & (F.col("u.b") < F.col("v.b")) & (F.col("u.component") != F.col("v.component")) & (F.col("u.b") != F.col("u.a")) & (F.col("v.b") != F.col("v.a")) & could)
-    rest = written(rest.select(F.col("u.b").alias("a"), F.col("v.b").alias("b")).distinct(), "rest")
-    more = written(linked(rest).where("link").select("a", "b"), "more-links")
-    return labels if more.isEmpty() else components(links.unionByName(more))
+    rest = rest.select(F.col("u.b").alias("a"), F.col("v.b").alias("b")).distinct()
+    more = written(linked(rest).where("link").select("a", "b"), "more-links", files)
+    return labels if more.isEmpty() else components(links.unionByName(more), files)
 
 
 def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,15 +262,26 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = written(rows.mapInArrow(_sketch(n_words, percent), "doc_id long, n long, digest binary, n_head long, head binary"), "sketch")
     known = sketch.where("doc_id IS NOT NULL")
-    able = written(_candidates(known, percent), "able")
+    able = written(_candidates(known, percent), "able")  # its size tells Spark how to join the texts
     sets = rows.join(able, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(n_words), "doc_id long, n long, tokens array<long>")
     labels = _links(written(sets, "sets"), percent)
     classes = known.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = written(classes.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "classes")
+    classes = classes.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sketch.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(classes, "digest", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One document of each component, that with the smallest doc_id; of rows that repeat an id, one. Rows with null ids stay.
+
+    All columns; texts without words are linked with nothing and stay.
+    """
+    found = near_duplicates(docs, n_words, percent)
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 4, 85)
 
