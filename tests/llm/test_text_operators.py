@@ -1,0 +1,228 @@
+import hashlib
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tidewatch.llm import decontaminate, html_extract, quality, secrets, toxicity
+
+BENCH = "item_id long, text string"
+
+
+def brute_hits(text, items, size=10):
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    lower = lambda t: (t or "").translate({c: c + 32 for c in range(65, 91)})
+    w, hit, found = word.findall(lower(text)), set(), set()
+    for item, t in items:
+        own = word.findall(lower(t))
+        for k in range(max(1, len(own) - size + 1) if own else 0):
+            window = own[k : k + size]
+            for at in range(len(w) - len(window) + 1):
+                if w[at : at + len(window)] == window:
+                    hit |= set(range(at, at + len(window)))
+                    found.add(str(item))
+    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("block", [4_000_000, 40])
+def test_contamination(spark, block):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abÉz0") for _ in range(2))
+    items = [(k, " ".join(word() for _ in range(r.choice((1, 3, 10, 14))))) for k in range(12)] + [(90, "!!"), (91, None), (92, ""), (None, "a b"), (93, "short one"), (93, "short one")]
+    docs = [(k, " ".join(x for _ in range(r.randint(0, 6)) for x in (word(), (r.choice(items)[1] or "").upper().replace(" ", r.choice((" ", ", ", "\n")))))) for k in range(60)] + [(60, None), (61, ""), (62, "?")]
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"items": F.lit(1), "n_hit": F.lit("x")})
+    got = decontaminate.contamination(d, spark.createDataFrame(items, BENCH), block_chars=block).collect()
+    real = [x for x in items if x[0] is not None]
+    for x in got:
+        text = dict(docs)[x.doc_id]
+        assert (x.n_words, x.n_hit, len(x["items"]), x.items_sha256) == brute_hits(text, real), text
+        assert sum(len(decontaminate.words(text[s.start : s.end])) for s in x.spans) == x.n_hit
+    clean = decontaminate.keep_clean(d, spark.createDataFrame(items, BENCH), block_chars=block)
+    assert clean.columns == d.columns and {x.doc_id for x in clean.collect()} == {x.doc_id for x in got if not x.contaminated}
+
+
+def test_contamination_of_nothing(spark, odd, none):
+    bench = spark.createDataFrame([], BENCH)
+    assert not any(r.contaminated for r in decontaminate.contamination(odd, bench).collect())
+    assert decontaminate.contamination(none, bench).count() == 0 and decontaminate.keep_clean(odd, bench).count() == odd.count()
+
+
+BASE = {
+    "assign": r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+",
+}
+
+
+def brute_spans(text):
+    out = []
+    for k, (kind, p) in enumerate(BASE.items()):
+        for m in re.finditer(p, text or ""):
+            if len(m[2]) >= 6 if kind == "assign" else len(m[0]) >= (20, 24)[k - 1]:
+                out.append((m.start(), k, f"{kind}:{m.start()}:{m.end()}"))
+    return [x[2] for x in sorted(out)]
+
+
+def test_base_spans():
+    r = random.Random(1)
+    parts = ["token", "secret", "apikey", "API_KEY", "Password", "paſſword", "=", ":", ' = "', "'", " ", "é", "abc", "0123456789abcdef" * 2, "AKIA" + "Z9" * 8, "AKIA", "short", "\n", "x" * 30, "-._/+"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 9)))
+        got = secrets.scan(text, secrets.fit([]))[1]
+        assert [f"{secrets.KINDS[k]}:{a}:{e}" for a, k, e in got] == brute_spans(text), text
+
+
+def test_secrets(spark, odd, clashing, none):
+    for r in secrets.find_secrets(clashing).collect():
+        text = next(x.text for x in odd.collect() if x.doc_id == r.doc_id)
+        base = brute_spans(text)
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest() and set(base) <= set(filter(None, r.spans.split(",")))
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x.startswith(k) for x in base) for k in BASE)
+    assert secrets.find_secrets(none).count() == 0
+
+
+def test_viterbi_is_exact():
+    """Cutting the chain at tokens that are surely outside gives the best of all tag sequences."""
+    r = np.random.default_rng(2)
+    for _ in range(60):
+        field = secrets.Field(r.normal(0, 1.5, (sum(secrets.SIZES.values()), 3)), r.normal(0, 1, (3, 3)))
+        text = "".join(r.choice(list("aB3= -:\"")) for _ in range(14)).encode()
+        t = secrets.Tokens(text)
+        if not 0 < t.n < 8:
+            continue
+        s = field.scores(t)
+        best = max(itertools.product(range(3), repeat=t.n), key=lambda y: sum(s[k, c] for k, c in enumerate(y)) + sum(field.moves[a, b] for a, b in zip(y, y[1:], strict=False)))
+        want = []
+        for k, tag in enumerate(best):
+            if tag == 2 and k and best[k - 1] != 0:
+                want[-1] = (want[-1][0], int(t.ends[k]))
+            elif tag:
+                want.append((int(t.starts[k]), int(t.ends[k])))
+        assert field.spans(t) == want
+
+
+def test_field_learns_and_adds():
+    r = random.Random(4)
+    hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(r.choice("0123456789abcdefXYZQRSTuvw") for _ in range(n))
+    stretches = []
+    for k in range(300):
+        text = f'some plain words here {r.choice(("token", "api_key"))} = "{mixed(40)}" and more plain words' if k % 2 else "some plain words without any of it, 12 or 3.5 times"
+        raw = text.encode()
+        t = secrets.Tokens(raw)
+        tags = np.zeros(t.n, np.int8)
+        for _, _, end, value in secrets.base_spans(text):
+            tags[(t.starts >= value) & (t.ends <= end)] = 1
+        stretches.append((t.features(np.arange(t.n)), tags))
+    field = secrets.fit(stretches)
+    base, every = secrets.scan(f'plain words é api_secret -> token = "{hexa(20)}Z{hexa(19)}" fin', field)
+    assert set(base) <= set(every)
+    assert secrets.scan("nothing to see here, only plain words", field) == ([], [])
+    text = f'words é and token => "{mixed(40)}" then words'
+    assert secrets.scan(text, field) == ([], [(text.index('"') + 1, 3, text.rindex('"'))])
+
+
+PAGES = {
+    None: "", "": "", "plain &amp; text": "plain & text",
+    "<html><head><title>T</title><script>var a='<p>x</p>'</script></head><body><header class=site-header>Top</header><nav>Menu</nav><div class='cookie-notice'>Cookies</div><article><header><h1>H &lt;1&gt;</h1></header><p>One <b>two</b>\n three<br>four<p>five<div class=share>Share</div><section id=comments><p>nice</p></section></article><aside>Side</aside><form>F</form><footer>Foot</footer></body></html>": "H <1>\nOne two three four\nfive",
+    "<body><div class='main-content with-sidebar'><p>a<ul><li>b<li>c</ul></div><div id=sidebar>s</div>": "a\nb\nc",
+    "<article><p>cut off <b>here": "cut off here",
+    "<!-- <p>no</p> --><p class=notice>n<p>yes<!-- open": "yes",
+    "<article><p>1 < 2 &#233; &eacute; &nosuch; &#x41;</p><style>p{}</style><table><tr><td>c1</td><td>c2</td></tr></table></article>": "1 < 2 é é &nosuch; A\nc1\nc2",
+    "<p hidden>h</p><p aria-hidden=true>h</p><div role=navigation>n</div><p>ok</p>": "ok",
+}
+
+
+def test_html(spark):
+    rows = [(k, f"http://h{k}.example/", x) for k, x in enumerate(PAGES)] + [(99, None, "<p>no host</p>"), (0, None, None)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "verdict": F.lit("{"), "wrapper": F.lit(2)})).collect()
+    want = dict(enumerate(PAGES.values())) | {99: "no host"}
+    assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got) and len(got) == len(rows)
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_wrapper_of_a_host(spark):
+    page = lambda k, more="": f"<body><div class=top>Welcome to the site</div><ul>{'<li>x</li>' * (k % 3 + 1)}</ul><div class=t>Title {k}</div>{more}<p>Text {k}</p></body>"
+    rows = [(k, "http://one.example/", page(k, "<div class=box>extra</div>" if k % 2 else "")) for k in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    w = html_extract.wrappers(df).first()
+    assert w.pages == 8 and w.regex == "<page><body><div.top>#</><ul>(<li>#</>)+</><div.t>#</>(<div.box>#</>)?<p>#</></></>"
+    texts = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert "Welcome" not in texts[2] and texts[2].startswith("x") is False and "Title 2\nText 2" in texts[2]
+
+
+def test_deep_and_broken_html():
+    assert html_extract.main_text("<div>" * 3000 + "deep" + "</div>" * 10) == "deep"
+    assert html_extract.main_text("<" * 5000 + "a") is not None
+
+
+def test_toxicity_on_tables(spark, data):
+    d, l = (spark.read.parquet(f"{data}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.toxicity(d, l).toPandas().merge(l.toPandas(), on="doc_id")
+    held = got[got.held_out]
+    rank = held.score.rank()
+    pos = held.toxic == 1
+    auc = (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+    assert auc > 0.85 and got.score.between(0, 1).all() and ((got.score >= 0.5) == (got.predicted == 1)).all()
+    import zlib
+
+    assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in zip(got.doc_id, got.held_out, strict=True))
+
+
+def test_toxicity_ignores_the_held_out_labels(spark):
+    rows = [(k, f"some text {'vile' if k % 3 == 0 else 'kind'} words {k}") for k in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    l = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, toxic int")
+    flip = l.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    a, b = (dict(toxicity.toxicity(d, x).select("doc_id", "score").collect()) for x in (l, flip))
+    assert a == b and a[3] > 0.5 > a[4]
+
+
+def test_toxicity_odd(spark, clashing, none):
+    l = spark.createDataFrame([(1, 1), (3, 0), (3, 1), (None, 1), (7, None)], "doc_id long, toxic int")
+    assert toxicity.toxicity(clashing, l).count() == clashing.count()
+    assert {r.score for r in toxicity.toxicity(clashing, l.limit(0)).collect()} == {0.5} and toxicity.toxicity(none, l).count() == 0
+
+
+def test_quality_on_tables(spark, data):
+    d, l = (spark.read.parquet(f"{data}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = quality.resample(d, l).toPandas().merge(l.toPandas(), on="doc_id")
+    by = got.groupby("quality").kept.mean()
+    assert by[1] > 0.98 and by[0] < 0.5
+    kept = {r.doc_id for r in quality.keep_good(d, l).collect()}
+    assert kept == {r.doc_id for r in quality.resample(d, l).where("kept").collect()}
+    tenth = quality.resample(d, l, fraction=0.1)
+    best = tenth.toPandas().sort_values("key", ascending=False)
+    assert set(best.doc_id[best.kept]) == set(best.doc_id[:100])
+
+
+def test_log_weights_by_brute_force(spark, data):
+    d, l = (spark.read.parquet(f"{data}/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    docs = d.toPandas()
+    good = set(l.toPandas().query("quality == 1").doc_id)
+    raw, target = np.ones(1 << quality.BITS), np.ones(1 << quality.BITS)
+    for i, t in zip(docs.doc_id, docs.text, strict=True):
+        for b in quality.buckets(t):
+            raw[b] += 1
+            target[b] += i in good
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    got = quality.resample(d, l).toPandas().set_index("doc_id").log_weight
+    assert all(abs(got[i] - ratio[quality.buckets(t)].sum()) < 1e-6 for i, t in zip(docs.doc_id, docs.text, strict=True))
+
+
+def test_kth_largest(spark):
+    r = random.Random(6)
+    values = [r.randint(-(10**12), 10**12) for _ in range(300)] + [5] * 40
+    df = spark.createDataFrame([(v,) for v in values], "v long")
+    for k in (1, 7, 150, 300, 340):
+        assert quality.kth_largest(df, k) == sorted(values, reverse=True)[k - 1]
+    assert quality.kth_largest(df.limit(0), 3) is None
+
+
+def test_quality_odd(spark, clashing, none):
+    l = spark.createDataFrame([(1, 1), (5, 0), (None, 1), (7, None), (1, 1)], "doc_id long, quality int")
+    assert quality.resample(clashing, l).count() == clashing.count() and quality.keep_good(clashing, l).columns == clashing.columns
+    assert quality.resample(clashing, l.limit(0)).where("NOT kept").count() == 0
+    assert quality.resample(none, l).count() == 0 and quality.keep_good(none, l).count() == 0
