@@ -103,8 +103,8 @@ def decisions(vectors: DataFrame, warmup: int = WARMUP, refit: int = REFIT, buff
     # Version k is fitted on samples up to warmup + (k - 1) * refit, the last ``buffer`` of them.
     first = F.greatest(F.lit(1), F.ceil((F.col("n") - warmup) / refit).cast("bigint") + 1)
     last = F.floor((F.col("n") + buffer - 1 - warmup) / refit).cast("bigint") + 1
-    newest = v.agg(F.max("version")).first()[0] or 0
-    fit = v.withColumn("version", F.explode(F.when(last >= first, F.sequence(first, F.least(last, F.lit(newest + 1)))).otherwise(F.expr("cast(array() as array<bigint>)")))).where((F.col("version") <= newest) & (F.col("version") >= 1))
+    # The newest samples also go to versions that score nothing yet, which are not fitted.
+    fit = v.withColumn("version", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.expr("cast(array() as array<bigint>)"))))
     every = v.where("version > 0").withColumn("fit", F.lit(False)).unionByName(fit.withColumn("fit", F.lit(True)))
     return every.groupBy("version").applyInPandas(_versions, "symbol string, seq bigint, ts_ns bigint, n bigint, version bigint, decision double")
 
@@ -114,7 +114,7 @@ def alerts(vectors: DataFrame, **schedule_of: int) -> DataFrame:
     d = decisions(vectors, **schedule_of).where("decision < 0")
     d = d.withColumn("score", F.round(clamp01((0.15 - F.col("decision")) / 0.45), 4)).withColumn("raw", clamp01((0.15 - F.col("decision")) / 0.45))
     d = cooldown(d.select("symbol", "seq", "ts_ns", "score", "raw"), COOLDOWN, ["seq"])
-    d = numbered(d, ["seq"], idiv(F.col("seq"), 100_000))
+    d = numbered(d, ["seq"])
     urgent = F.col("raw") > URGENT
     return d.select(
         F.concat_ws("-", "symbol", F.lit("ml_anomaly"), F.col("n").cast("string")).alias("id"), "n", "seq", "ts_ns", F.lit("ml_anomaly").alias("detector"), "symbol", F.when(urgent, 3).otherwise(2).alias("severity"),

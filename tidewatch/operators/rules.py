@@ -177,21 +177,43 @@ def layering(tape: DataFrame, cfg: Config, pulled: DataFrame | None = None) -> D
     return cooldown(p.where(F.col("n_levels") >= cfg.layering_levels).drop("near"), cfg.layering_cooldown, ["seq", "pos"])
 
 
+def _both(cfg: Config):
+    def step(last: dict[str, int], row: tuple) -> list[tuple]:
+        out = []
+        for detector, ready, wait in (("spoofing", True, cfg.spoof_cooldown), ("layering", row[-1] >= cfg.layering_levels, cfg.layering_cooldown)):
+            if ready and row[1] - last.get(detector, 0) >= wait:
+                last[detector] = row[1]
+                out.append((detector, *row))
+        return out
+
+    return step
+
+
+def spoofing_and_layering(tape: DataFrame, cfg: Config) -> DataFrame:
+    """Both rules' alerts from one pass over the pulls, each with its own cooldown."""
+    p = sliding(pulls(tape, cfg), cfg.layering_window, ["seq", "pos"], {"near": lambda w: F.collect_set(F.struct("side", "price_raw")).over(w)})
+    p = p.withColumn("n_levels", F.size(F.filter("near", lambda x: x["side"] == F.col("side"))))
+    read = ["seq", "ts_ns", "pos", "side", "price_raw", "typical", "flag_ts", "flag_raw", "traded_raw", "n_levels"]
+    kinds = dict(p.dtypes)
+    return fold(p, ["seq", "pos"], read, dict, _both(cfg), ", ".join(["detector string", *(f"{c} {kinds[c]}" for c in read)]))
+
+
 def alerts(tape: DataFrame, cfg: Config, latency: bool = True) -> DataFrame:
     """All rules' alerts in the order of events, rules and changes, numbered over all symbols.
 
-    id, n, seq, ts_ns, detector, symbol, severity, severity_label, score, description, detect_latency_us, evidence (JSON).
+    id, n, seq, ts_ns, detector, symbol, severity, severity_label, score, description, detect_latency_us, evidence (JSON). Cooldowns
+    leave few alerts, so one task can number them; a table of any size is numbered by ``windows.numbered`` with stretches.
     """
     out = None
-    pulled = pulls(tape, cfg)
-    for detector, found in (("spoofing", spoofing(tape, cfg, pulled)), ("layering", layering(tape, cfg, pulled)), ("momentum_ignition", momentum_ignition(tape, cfg)), ("quote_stuffing", quote_stuffing(tape, cfg)), ("wash_trade", wash_trades(tape, cfg))):
+    both = spoofing_and_layering(tape, cfg)
+    for detector, found in (("spoofing", both.where("detector = 'spoofing'")), ("layering", both.where("detector = 'layering'")), ("momentum_ignition", momentum_ignition(tape, cfg)), ("quote_stuffing", quote_stuffing(tape, cfg)), ("wash_trade", wash_trades(tape, cfg))):
         score, evidence = _shown(detector, cfg)
         # A spoof and the layering that it completes belong to one change; other rules follow in their order.
         rule = 0 if detector == "layering" else RULES.index(detector)
         pos = F.col("pos") if "pos" in found.columns else F.lit(0)
         a = found.select("seq", "ts_ns", "symbol", F.lit(detector).alias("detector"), F.lit(rule).alias("rule"), pos.alias("pos"), F.lit(int(detector == "layering")).alias("last"), score.alias("score"), F.to_json(F.struct(*evidence)).alias("evidence"))
         out = a if out is None else out.unionByName(a)
-    out = numbered(out, ["seq", "rule", "pos", "last"], book.stretch_of())
+    out = numbered(out, ["seq", "rule", "pos", "last"])
     ingest = tape.select("seq", "symbol", "ingest_ns") if latency else None
     if ingest is not None:
         out = out.join(ingest, ["symbol", "seq"]).withColumn("detect_latency_us", F.greatest(F.lit(0), idiv(F.col("ts_ns") - F.col("ingest_ns"), 1000)))

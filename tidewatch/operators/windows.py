@@ -59,8 +59,13 @@ def cooldown(rows: DataFrame, wait: int, order: list[str]) -> DataFrame:
     return fold(rows, order, read, start, step, ", ".join(f"`{c}` {kinds[c]}" for c in read)).select(*rows.columns)
 
 
-def numbered(rows: DataFrame, order: list[str], by: Column, name: str = "n") -> DataFrame:
-    """1-based index of each row in the order of the whole table: ``by`` cuts it into ascending stretches that are numbered apart."""
+def numbered(rows: DataFrame, order: list[str], by: Column | None = None, name: str = "n") -> DataFrame:
+    """1-based index of each row in the order of the whole table: ``by`` cuts it into ascending stretches that are numbered apart.
+
+    Without ``by`` one task numbers all rows, for tables that are known to be small.
+    """
+    if by is None:
+        return rows.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("bigint"))
     r = rows.withColumn("__by", by)
     before = r.groupBy("__by").agg(F.count(F.lit(1)).alias("__k"))
     before = before.select("__by", (F.sum("__k").over(W.orderBy("__by").rowsBetween(W.unboundedPreceding, 0)) - F.col("__k")).alias("__before"))

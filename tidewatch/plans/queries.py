@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from tidewatch.functions import fixedpoint as fp
 from tidewatch.functions import subjects
 from tidewatch.operators import anomaly, audit, book, dashboard, features, rules, sync
 from tidewatch.operators.windows import sliding
+from tidewatch.scratch import scratch_path, written
 from tidewatch.sources import venues
 from tidewatch.sources.tape import read_tape, scripted_tape
 from tidewatch.types import SCALE, TABLE_CONFIG, Config
@@ -86,7 +85,7 @@ def _chain(tape: DataFrame) -> DataFrame:
 
 def chain_verify(tape: DataFrame) -> DataFrame:
     """Faults of a chain in which some payloads were changed afterwards."""
-    return audit.chain_faults(_chain(tape).withColumn("payload", F.when(F.col("seq") % 50 == 7, F.concat("payload", F.lit(" "))).otherwise(F.col("payload"))))
+    return audit.chain_faults(written(_chain(tape), "chain").withColumn("payload", F.when(F.col("seq") % 50 == 7, F.concat("payload", F.lit(" "))).otherwise(F.col("payload"))))
 
 
 def streamed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,8 +93,7 @@ def streamed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.sources.tape import stream_of
     from tidewatch.streaming import engine
 
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewatch-")
-    base = f"{top.rstrip('/')}/tidewatch-stream-{abs(hash((sf_dir, id(spark))))}-{spark.sparkContext.applicationId}"
+    base = scratch_path(spark, "stream")
     tape = read_tape(spark, sf_dir)
     tape.repartitionByRange(4, "seq").sortWithinPartitions("seq").select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(f"{base}/tape")
     run = engine.start(stream_of(spark, f"{base}/tape", files_per_batch=1000), f"{base}/checkpoint", f"{base}/alerts", f"{base}/features", CFG)

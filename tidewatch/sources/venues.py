@@ -29,11 +29,12 @@ def _out(df: DataFrame, venue: str, *, kind: Column, symbol: Column, snapshot: C
 def binance(frames: DataFrame) -> DataFrame:
     """(seq, ingest_ns, raw) -> tape rows; frames of other kinds are skipped, and those that can't be read carry an error.
 
-    Keys that differ only in case are told apart by JSON path.
+    The inner object is read once, as a map, in which keys that differ only in case stay apart.
     """
-    at = lambda key: F.get_json_object("raw", f"$.data.{key}")
-    f = frames.withColumn("data", F.get_json_object("raw", "$.data"))
-    broken = F.when(F.get_json_object("raw", "$").isNull() | ~F.trim("raw").startswith("{"), F.lit("not JSON"))
+    at = lambda key: F.col("d")[key]
+    f = frames.withColumn("m", F.from_json("raw", "map<string,string>"))
+    f = f.withColumn("d", F.from_json(F.col("m")["data"], "map<string,string>"))
+    broken = F.when(F.col("m").isNull() | ~F.trim("raw").startswith("{"), F.lit("not JSON"))
     f = f.withColumns({"e": at("e"), "broken": broken}).where("broken IS NOT NULL OR e IN ('depthUpdate', 'trade')")
     depth, trade = F.col("e") == "depthUpdate", F.col("e") == "trade"
     bids, asks = (_levels(F.from_json(F.coalesce(at(k), F.lit("[]")), _ROWS)) for k in "ba")
@@ -63,9 +64,9 @@ _OKX_TRADE = "array<struct<instId:string,tradeId:string,px:string,sz:string,side
 
 
 def _okx(frames: DataFrame, channel: str, schema: str) -> DataFrame:
-    at = lambda key: F.get_json_object("raw", f"$.{key}")
-    f = frames.where((F.col("raw") != "pong") & at("event").isNull() & (at("arg.channel") == channel))
-    return f.select("seq", "ingest_ns", at("arg.instId").alias("inst"), at("action").alias("action"), F.posexplode(F.from_json(at("data"), schema)).alias("item", "d"))
+    f = frames.where("raw <> 'pong'").withColumn("m", F.from_json("raw", "event string, action string, arg struct<channel:string,instId:string>, data string"))
+    f = f.where(F.col("m.event").isNull() & (F.col("m.arg.channel") == channel))
+    return f.select("seq", "ingest_ns", F.col("m.arg.instId").alias("inst"), F.col("m.action").alias("action"), F.posexplode(F.from_json("m.data", schema)).alias("item", "d"))
 
 
 def okx_books(frames: DataFrame) -> DataFrame:
