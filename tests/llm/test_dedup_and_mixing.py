@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import exact_dedup, line_dedup, mixing, near_join, url_filter
 from tidewatch.llm._ngrams import shingles, words
-from tidewatch.llm._scratch import scratch_path, shared_folder
+from tidewatch.scratch import scratch_path, shared_folder
 
 
 def index(spark):

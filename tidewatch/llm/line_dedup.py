@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm._scratch import written
+from tidewatch.scratch import written
 
 MAX_RATIO = 0.05
 MIN_PAGES = 5

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.llm._scratch import written
+from tidewatch.scratch import written
 
 WEIGHTS = (1, 2, 3)
 MOST_EPOCHS = 3

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm._ngrams import mix64, span_hashes
-from tidewatch.llm._scratch import written
+from tidewatch.scratch import written
 from tidewatch.shipping import ship
 
 BITS = 16

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm._ngrams import mix64
-from tidewatch.llm._scratch import written
+from tidewatch.scratch import written
 from tidewatch.shipping import ship
 
 ORDERS = (3, 4, 5, 6)
