@@ -32,9 +32,9 @@ from tidewatch.scratch import written
 from tidewatch.shipping import ship
 
 WORDS, PERCENT = 5, 80
-FRAGMENTS = 4  # of the sets whose pairs are counted
+FRAGMENTS = 2  # of the sets whose pairs are counted: a pair costs a row in each
 FRAGMENT_TOKENS = 1 << 21  # about as many n-grams meet in a task of the first step
-FILE_TOKENS = 1 << 19  # of the sets that may have partners, behind each file that is written for them
+FILE_TOKENS = 1 << 21  # of the sets that may have partners, behind each file that is written for them
 FLUSH_TOKENS = 1 << 20
 
 
@@ -233,9 +233,10 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
         of = lambda c: size.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("m").alias(f"m_{c}"))
         return _count(pairs, segments).join(of("b"), "b").join(of("a"), "a").withColumn("link", F.col("overlap") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
 
-    counted = written(linked(stars), "stars", files)
+    counted = written(linked(stars), "stars", max(2, files // 2))
     links = counted.where("link").select("a", "b")
-    labels = components(links, files)
+    few = max(1, files // 4)  # of pairs of ids
+    labels = components(links, few)
 
     led = counted.select("a", "b", "overlap", F.col("n_b").alias("n"), F.col("m_b").alias("m"))
     led = led.unionByName(counted.select("a", F.col("a").alias("b"), F.col("n_a").alias("overlap"), F.col("n_a").alias("n"), F.col("m_a").alias("m")).distinct())
@@ -247,8 +248,8 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     could = most * (100 + percent) >= (F.col("u.n") + F.col("v.n")) * percent
     rest = u.join(v, (F.col("u.a") == F.col("v.a")) & (F.col("u.b") < F.col("v.b")) & (F.col("u.component") != F.col("v.component")) & (F.col("u.b") != F.col("u.a")) & (F.col("v.b") != F.col("v.a")) & could)
     rest = rest.select(F.col("u.b").alias("a"), F.col("v.b").alias("b")).distinct()
-    more = written(linked(rest).where("link").select("a", "b"), "more-links", files)
-    return labels if more.isEmpty() else components(links.unionByName(more), files)
+    more = written(linked(rest).where("link").select("a", "b"), "more-links", few)
+    return labels if more.isEmpty() else components(links.unionByName(more), few)
 
 
 def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
