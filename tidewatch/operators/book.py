@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,29 +14,41 @@ from tidewatch.operators.windows import over_symbol
 from tidewatch.types import BUY, SELL
 
 
+def _epoch() -> Column:
+    return F.sum(F.col("is_snapshot").cast("bigint")).over(over_symbol(["seq"]))
+
+
+def _exploded(messages: DataFrame, *keep: str) -> DataFrame:
+    each = lambda c, side: F.transform(F.col(c), lambda x: F.struct(F.lit(side).alias("side"), x["p"].alias("price_raw"), x["q"].alias("qty_raw")))
+    x = messages.select("seq", "ts_ns", "symbol", "is_snapshot", *keep, F.posexplode(F.concat(each("bids", BUY), each("asks", SELL))).alias("pos", "l"))
+    return x.select("seq", "ts_ns", "symbol", "is_snapshot", *keep, "pos", "l.side", "l.price_raw", "l.qty_raw")
+
+
 def levels(tape: DataFrame) -> DataFrame:
     """One row for each level of a depth message, bids first: seq, ts_ns, symbol, is_snapshot, pos, side, price_raw, qty_raw."""
-    d = tape.where("kind = 'depth'")
-    each = lambda c, side: F.transform(F.col(c), lambda x: F.struct(F.lit(side).alias("side"), x["p"].alias("price_raw"), x["q"].alias("qty_raw")))
-    x = d.select("seq", "ts_ns", "symbol", "is_snapshot", F.posexplode(F.concat(each("bids", BUY), each("asks", SELL))).alias("pos", "l"))
-    return x.select("seq", "ts_ns", "symbol", "is_snapshot", "pos", "l.side", "l.price_raw", "l.qty_raw")
+    return _exploded(tape.where("kind = 'depth'"))
 
 
 def epochs(tape: DataFrame) -> DataFrame:
     """Depth messages with their epoch: how many snapshots of the symbol came up to and with them; 0 is before any."""
     d = tape.where("kind = 'depth'").select("seq", "ts_ns", "symbol", "is_snapshot")
-    return d.withColumn("epoch", F.sum(F.col("is_snapshot").cast("bigint")).over(over_symbol(["seq"])))
+    return d.withColumn("epoch", _epoch())
+
+
+def _levels_by_epoch(tape: DataFrame) -> DataFrame:
+    """Levels of synced symbols with their epoch; those of a snapshot need a positive size."""
+    d = tape.where("kind = 'depth'").select("seq", "ts_ns", "symbol", "is_snapshot", "bids", "asks").withColumn("epoch", _epoch())
+    return _exploded(d.where("epoch > 0"), "epoch").where("NOT is_snapshot OR qty_raw > 0")
 
 
 def deltas(tape: DataFrame) -> DataFrame:
     """Changes of level sizes: seq, ts_ns, symbol, epoch, pos, side, price_raw, old_raw, new_raw, added.
 
-    Messages before a first snapshot are void, snapshots reset the book without changes (their levels need a positive size),
-    and a price that repeats in a message changes twice.
+    Messages before a first snapshot are void, snapshots reset the book without changes, and a price that repeats in a message
+    changes twice.
     """
-    l = levels(tape).join(epochs(tape).select("symbol", "seq", "epoch"), ["symbol", "seq"]).where("epoch > 0 AND (NOT is_snapshot OR qty_raw > 0)")
     w = W.partitionBy("symbol", "epoch", "side", "price_raw").orderBy("seq", "pos")
-    l = l.withColumn("old_raw", F.coalesce(F.lag("qty_raw").over(w), F.lit(0).cast("bigint")))
+    l = _levels_by_epoch(tape).withColumn("old_raw", F.coalesce(F.lag("qty_raw").over(w), F.lit(0).cast("bigint")))
     l = l.where("NOT is_snapshot AND old_raw <> qty_raw")
     return l.select("seq", "ts_ns", "symbol", "epoch", "pos", "side", "price_raw", "old_raw", F.col("qty_raw").alias("new_raw"), (F.col("qty_raw") > F.col("old_raw")).alias("added"))
 
@@ -121,10 +133,9 @@ def with_prices(s: DataFrame) -> DataFrame:
 
 def last_levels(tape: DataFrame) -> DataFrame:
     """Live levels of every symbol at the end of the tape, with their rank on their side: symbol, side, rank, price_raw, qty_raw."""
-    e = epochs(tape)
-    now = e.groupBy("symbol").agg(F.max("epoch").alias("epoch"))
-    l = levels(tape).join(e.select("symbol", "seq", "epoch"), ["symbol", "seq"]).join(now, ["symbol", "epoch"]).where("epoch > 0")
-    l = l.groupBy("symbol", "side", "price_raw").agg(F.max_by("qty_raw", F.struct("seq", "pos")).alias("qty_raw")).where("qty_raw <> 0")
+    l = _levels_by_epoch(tape)
+    now = epochs(tape).groupBy("symbol").agg(F.max("epoch").alias("epoch"))
+    l = l.join(now, ["symbol", "epoch"]).groupBy("symbol", "side", "price_raw").agg(F.max_by("qty_raw", F.struct("seq", "pos")).alias("qty_raw")).where("qty_raw <> 0")
     rank = F.row_number().over(W.partitionBy("symbol", "side").orderBy(F.when(F.col("side") == BUY, -F.col("price_raw")).otherwise(F.col("price_raw"))))
     return l.withColumn("rank", rank).select("symbol", "side", "rank", "price_raw", "qty_raw")
 

@@ -204,15 +204,17 @@ def alerts(tape: DataFrame, cfg: Config, latency: bool = True) -> DataFrame:
     id, n, seq, ts_ns, detector, symbol, severity, severity_label, score, description, detect_latency_us, evidence (JSON). Cooldowns
     leave few alerts, so one task can number them; a table of any size is numbered by ``windows.numbered`` with stretches.
     """
-    out = None
-    both = spoofing_and_layering(tape, cfg)
-    for detector, found in (("spoofing", both.where("detector = 'spoofing'")), ("layering", both.where("detector = 'layering'")), ("momentum_ignition", momentum_ignition(tape, cfg)), ("quote_stuffing", quote_stuffing(tape, cfg)), ("wash_trade", wash_trades(tape, cfg))):
-        score, evidence = _shown(detector, cfg)
-        # A spoof and the layering that it completes belong to one change; other rules follow in their order.
-        rule = 0 if detector == "layering" else RULES.index(detector)
-        pos = F.col("pos") if "pos" in found.columns else F.lit(0)
-        a = found.select("seq", "ts_ns", "symbol", F.lit(detector).alias("detector"), F.lit(rule).alias("rule"), pos.alias("pos"), F.lit(int(detector == "layering")).alias("last"), score.alias("score"), F.to_json(F.struct(*evidence)).alias("evidence"))
-        out = a if out is None else out.unionByName(a)
+    shown = lambda d: _shown(d, cfg)[0]
+    told = lambda d: F.to_json(F.struct(*_shown(d, cfg)[1]))
+    # A spoof and the layering that it completes belong to one change; other rules follow in their order.
+    spoof = F.col("detector") == "spoofing"
+    out = spoofing_and_layering(tape, cfg).select(
+        "seq", "ts_ns", "symbol", "detector", F.lit(0).alias("rule"), "pos", (~spoof).cast("int").alias("last"),
+        F.when(spoof, shown("spoofing")).otherwise(shown("layering")).alias("score"), F.when(spoof, told("spoofing")).otherwise(told("layering")).alias("evidence"),
+    )
+    for detector, found in (("momentum_ignition", momentum_ignition(tape, cfg)), ("quote_stuffing", quote_stuffing(tape, cfg)), ("wash_trade", wash_trades(tape, cfg))):
+        nought = F.lit(0)
+        out = out.unionByName(found.select("seq", "ts_ns", "symbol", F.lit(detector).alias("detector"), F.lit(RULES.index(detector)).alias("rule"), nought.alias("pos"), nought.alias("last"), shown(detector).alias("score"), told(detector).alias("evidence")))
     out = numbered(out, ["seq", "rule", "pos", "last"])
     ingest = tape.select("seq", "symbol", "ingest_ns") if latency else None
     if ingest is not None:
