@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Collection, Mapping
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -198,8 +202,16 @@ def spoofing_and_layering(tape: DataFrame, cfg: Config) -> DataFrame:
     return fold(p, ["seq", "pos"], read, dict, _both(cfg), ", ".join(["detector string", *(f"{c} {kinds[c]}" for c in read)]))
 
 
-def alerts(tape: DataFrame, cfg: Config, latency: bool = True) -> DataFrame:
-    """All rules' alerts in the order of events, rules and changes, numbered over all symbols.
+class Rule(NamedTuple):
+    """A rule of one's own: ``find(tape, cfg)`` gives seq, ts_ns, symbol, score and evidence (JSON)."""
+
+    find: Callable[[DataFrame, Config], DataFrame]
+    severity: int
+    description: str
+
+
+def alerts(tape: DataFrame, cfg: Config, latency: bool = True, only: Collection[str] = RULES, extra: Mapping[str, Rule] | None = None) -> DataFrame:
+    """Alerts of the rules ``only`` and ``extra`` in the order of events, rules and changes, numbered over all symbols.
 
     id, n, seq, ts_ns, detector, symbol, severity, severity_label, score, description, detect_latency_us, evidence (JSON). Cooldowns
     leave few alerts, so one task can number them; a table of any size is numbered by ``windows.numbered`` with stretches.
@@ -208,20 +220,26 @@ def alerts(tape: DataFrame, cfg: Config, latency: bool = True) -> DataFrame:
     told = lambda d: F.to_json(F.struct(*_shown(d, cfg)[1]))
     # A spoof and the layering that it completes belong to one change; other rules follow in their order.
     spoof = F.col("detector") == "spoofing"
-    out = spoofing_and_layering(tape, cfg).select(
-        "seq", "ts_ns", "symbol", "detector", F.lit(0).alias("rule"), "pos", (~spoof).cast("int").alias("last"),
-        F.when(spoof, shown("spoofing")).otherwise(shown("layering")).alias("score"), F.when(spoof, told("spoofing")).otherwise(told("layering")).alias("evidence"),
-    )
-    for detector, found in (("momentum_ignition", momentum_ignition(tape, cfg)), ("quote_stuffing", quote_stuffing(tape, cfg)), ("wash_trade", wash_trades(tape, cfg))):
-        nought = F.lit(0)
-        out = out.unionByName(found.select("seq", "ts_ns", "symbol", F.lit(detector).alias("detector"), F.lit(RULES.index(detector)).alias("rule"), nought.alias("pos"), nought.alias("last"), shown(detector).alias("score"), told(detector).alias("evidence")))
+    nought = F.lit(0)
+    parts = []
+    if {"spoofing", "layering"} & set(only):
+        parts.append(spoofing_and_layering(tape, cfg).where(F.col("detector").isin(*only)).select(
+            "seq", "ts_ns", "symbol", "detector", nought.alias("rule"), "pos", (~spoof).cast("int").alias("last"),
+            F.when(spoof, shown("spoofing")).otherwise(shown("layering")).alias("score"), F.when(spoof, told("spoofing")).otherwise(told("layering")).alias("evidence"),
+        ))
+    for detector, find in (("momentum_ignition", momentum_ignition), ("quote_stuffing", quote_stuffing), ("wash_trade", wash_trades)):
+        if detector in only:
+            parts.append(find(tape, cfg).select("seq", "ts_ns", "symbol", F.lit(detector).alias("detector"), F.lit(RULES.index(detector)).alias("rule"), nought.alias("pos"), nought.alias("last"), shown(detector).alias("score"), told(detector).alias("evidence")))
+    extra = dict(extra or {})
+    for k, (detector, rule) in enumerate(extra.items()):
+        parts.append(rule.find(tape, cfg).select("seq", "ts_ns", "symbol", F.lit(detector).alias("detector"), F.lit(len(RULES) + k).alias("rule"), nought.alias("pos"), nought.alias("last"), "score", "evidence"))
+    out = reduce(DataFrame.unionByName, parts)
     out = numbered(out, ["seq", "rule", "pos", "last"])
-    ingest = tape.select("seq", "symbol", "ingest_ns") if latency else None
-    if ingest is not None:
-        out = out.join(ingest, ["symbol", "seq"]).withColumn("detect_latency_us", F.greatest(F.lit(0), idiv(F.col("ts_ns") - F.col("ingest_ns"), 1000)))
-    severity = F.create_map(*[F.lit(x) for k, v in SEVERITY.items() for x in (k, v)])[F.col("detector")]
+    if latency:
+        out = out.join(tape.select("seq", "symbol", "ingest_ns"), ["symbol", "seq"]).withColumn("detect_latency_us", F.greatest(F.lit(0), idiv(F.col("ts_ns") - F.col("ingest_ns"), 1000)))
+    severity = F.create_map(*[F.lit(x) for k, v in (SEVERITY | {k: r.severity for k, r in extra.items()}).items() for x in (k, v)])[F.col("detector")]
     label = F.create_map(*[F.lit(x) for k, v in SEVERITIES.items() for x in (k, v)])[severity]
-    text = F.create_map(*[F.lit(x) for k, v in DESCRIPTIONS.items() for x in (k, v)])[F.col("detector")]
+    text = F.create_map(*[F.lit(x) for k, v in (DESCRIPTIONS | {k: r.description for k, r in extra.items()}).items() for x in (k, v)])[F.col("detector")]
     wanted = ["detect_latency_us"] if latency else []
     return out.select(F.concat_ws("-", "symbol", "detector", F.col("n").cast("string")).alias("id"), "n", "seq", "ts_ns", "detector", "symbol", severity.alias("severity"), label.alias("severity_label"), "score", text.alias("description"), *wanted, "evidence")
 

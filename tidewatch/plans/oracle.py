@@ -230,6 +230,8 @@ FROM lad JOIN (SELECT symbol, max(seq) AS seq FROM ep GROUP BY symbol) USING (sy
     "okx_books": "SELECT seq * 1000 AS seq, symbol, side, price_raw, qty_raw, seq AS final_id FROM levels WHERE NOT is_snapshot",
     "hash_chain": "SELECT * FROM hashes WHERE seq > 0",
     "hash_chain_verify": "SELECT seq AS at, seq, 'hash mismatch' AS reason FROM hashes WHERE seq > 0 AND seq % 50 = 7",
+    "published_symbols": "SELECT symbol, kind, count(*) AS n, max(seq) AS last_seq FROM (SELECT symbol, 'trade' AS kind, seq FROM trades UNION ALL SELECT symbol, 'depth', seq FROM ep) WHERE symbol IN ('SYM1', 'SYM3') GROUP BY symbol, kind",
+    "custom_rules": f"SELECT 'wash_trade' AS detector, 'low' AS severity_label, count(*) AS n FROM wash_a UNION ALL SELECT 'wide_spread', 'low', count(*) FROM priced WHERE spread_raw > {3 * SCALE // 100}",
     "ml_refit_schedule": "SELECT symbol, seq, n, CASE WHEN n <= 150 THEN 0 ELSE (n - 151) // 100 + 1 END AS version FROM (SELECT symbol, seq, row_number() OVER (ORDER BY seq) AS n FROM vectors)",
 }
 

@@ -10,7 +10,7 @@ from tidewatch.functions import subjects
 from tidewatch.operators import anomaly, audit, book, dashboard, features, rules, sync
 from tidewatch.operators.windows import sliding
 from tidewatch.scratch import scratch_path, written
-from tidewatch.sources import venues
+from tidewatch.sources import sinks, venues
 from tidewatch.sources.tape import read_tape, scripted_tape
 from tidewatch.types import SCALE, TABLE_CONFIG, Config
 
@@ -101,6 +101,28 @@ def streamed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/alerts").select("symbol", "seq", "ts_ns", "detector", "severity", "severity_label", "score", "detect_latency_us")
 
 
+def published_symbols(tape: DataFrame) -> DataFrame:
+    """A tape written by symbol and read again for two symbols."""
+    path = scratch_path(tape.sparkSession, "published")
+    sinks.publish(tape, path)
+    return sinks.published(tape.sparkSession, path, "sym1", "SYM3").groupBy("symbol", "kind").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"))
+
+
+def wide_spreads(tape: DataFrame, cfg: Config) -> DataFrame:
+    """A rule of one's own: books whose spread is above two hundredths."""
+    s = book.with_prices(book.state(tape)).where(F.col("spread_raw") > 3 * SCALE // 100)
+    return s.select("seq", "ts_ns", "symbol", F.lit(0.5).alias("score"), F.to_json(F.struct("spread_raw")).alias("evidence"))
+
+
+def custom_rules(tape: DataFrame) -> DataFrame:
+    own = {"wide_spread": rules.Rule(wide_spreads, 1, "wide spread")}
+    return rules.alerts(tape, CFG, only=("wash_trade",), extra=own).groupBy("detector", "severity_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def rules_and_anomalies(tape: DataFrame) -> DataFrame:
+    return sinks.all_alerts(rules.alerts(tape, CFG), anomaly.alerts(_vectors(tape)))
+
+
 QUERIES = {
     "tape_trades": _tape(rules.trades),
     "tape_levels": _tape(book.levels),
@@ -153,4 +175,7 @@ QUERIES = {
     "ml_anomalies": _tape(lambda t: anomaly.alerts(_vectors(t))),
     "scripted_alerts": lambda spark, sf_dir: rules.alerts(scripted_tape(spark), Config()),
     "streamed_alerts": streamed_alerts,
+    "published_symbols": _tape(published_symbols),
+    "custom_rules": _tape(custom_rules),
+    "rules_and_anomalies": _tape(rules_and_anomalies),
 }
