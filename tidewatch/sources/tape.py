@@ -18,8 +18,8 @@ _BIDS = ", ".join(f"struct(bigint({BASE - k * TICK}) as p, bigint({10 * SCALE})
 _ASKS = ", ".join(f"struct(bigint({BASE + 2 * TICK + k * TICK}) as p, bigint({10 * SCALE}) as q)" for k in range(3))
 
 
-def tape_of_events(events: DataFrame) -> DataFrame:
-    """An ordered tape of trades and one-level depth messages, a fixed function of each event.
+def tape_of_events(events: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
+    """An ordered tape of trades and one-level depth messages, a fixed function of each event; users are dealt to ``symbols``.
 
     One snapshot a symbol comes first, and each event whose id ends a stretch of ``SNAPSHOT_EVERY`` is a snapshot too.
     """
@@ -36,7 +36,7 @@ def tape_of_events(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("seq"),
         (F.lit(START_NS) + F.col("event_id") * STEP_NS).alias("ts_ns"),
         (F.lit(START_NS) + F.col("event_id") * STEP_NS - (F.col("event_id") % 7) * 30_000).alias("ingest_ns"),
-        F.concat(F.lit("SYM"), F.col("user_id") % SYMBOLS).alias("symbol"),
+        F.concat(F.lit("SYM"), F.col("user_id") % symbols).alias("symbol"),
         F.lit("table").alias("exchange"),
         F.when(trade, "trade").otherwise("depth").alias("kind"),
         snap.alias("is_snapshot"),
@@ -48,10 +48,10 @@ def tape_of_events(events: DataFrame) -> DataFrame:
         F.when(snap, F.expr(f"array({_BIDS})")).when(~trade & bid, level(F.lit(BASE) - tick * TICK)).otherwise(none).alias("bids"),
         F.when(snap, F.expr(f"array({_ASKS})")).when(~trade & ~bid, level(F.lit(BASE + 2 * TICK) + tick * TICK)).otherwise(none).alias("asks"),
     )
-    first = events.sparkSession.range(SYMBOLS).select(
-        (F.col("id") - SYMBOLS).alias("seq"),
-        (F.lit(START_NS) + (F.col("id") - SYMBOLS) * STEP_NS).alias("ts_ns"),
-        (F.lit(START_NS) + (F.col("id") - SYMBOLS) * STEP_NS).alias("ingest_ns"),
+    first = events.sparkSession.range(symbols).select(
+        (F.col("id") - symbols).alias("seq"),
+        (F.lit(START_NS) + (F.col("id") - symbols) * STEP_NS).alias("ts_ns"),
+        (F.lit(START_NS) + (F.col("id") - symbols) * STEP_NS).alias("ingest_ns"),
         F.concat(F.lit("SYM"), F.col("id")).alias("symbol"),
         F.lit("table").alias("exchange"),
         F.lit("depth").alias("kind"),
@@ -59,8 +59,8 @@ def tape_of_events(events: DataFrame) -> DataFrame:
         F.lit(None).cast("int").alias("side"),
         F.lit(None).cast("bigint").alias("price_raw"),
         F.lit(None).cast("bigint").alias("qty_raw"),
-        (F.col("id") - SYMBOLS).alias("first_id"),
-        (F.col("id") - SYMBOLS).alias("final_id"),
+        (F.col("id") - symbols).alias("first_id"),
+        (F.col("id") - symbols).alias("final_id"),
         F.expr(f"array({_BIDS})").alias("bids"),
         F.expr(f"array({_ASKS})").alias("asks"),
     )
