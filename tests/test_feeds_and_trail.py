@@ -179,3 +179,20 @@ def test_stream_is_the_batch(spark, tmp_path, files):
     want = [(r.seq, r.detector, round(r.score, 9)) for r in rules.alerts(tape_of_rows(spark, rows), Config()).orderBy("seq", F.desc("detector")).collect()]
     assert got == want and sum(n for _, n in kept) == len(want)
     assert spark.read.parquet(str(tmp_path / "features")).count() == 2
+
+
+def test_forest_by_walking_its_trees():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (300, 3)), np.repeat([[5.0, 5.0, 5.0]], 20, axis=0)])
+    f = anomaly.Forest(x, trees=7, sample=64)
+
+    def depth(row, node):
+        while f.feature[node] >= 0:
+            node = f.left[node] if row[f.feature[node]] <= f.cut[node] else f.right[node]
+        return f.depth[node]
+
+    for row in x[::37]:
+        mean = np.mean([depth(row, t) for t in range(7)])
+        assert abs(f.score(row[None, :])[0] + 2.0 ** (-mean / float(anomaly._depth(64)))) < 1e-12
+    same = np.ones((50, 2))
+    assert np.allclose(anomaly.Forest(same, trees=3).score(same), -0.5, atol=0.2)

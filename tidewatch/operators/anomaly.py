@@ -31,49 +31,53 @@ def _depth(n: np.ndarray | float) -> np.ndarray:
 
 
 class Forest:
-    """Random trees as flat arrays: feature (-1 in leaves), threshold, children, and the depth that a leaf stands for."""
+    """Random trees as flat arrays over all nodes: feature (-1 in leaves), threshold, children, and the depth that a node stands for.
+
+    All trees grow together, a level at a time. Roots come first.
+    """
 
     def __init__(self, x: np.ndarray, seed: int = SEED, trees: int = TREES, sample: int = SAMPLE, contamination: float = CONTAMINATION) -> None:
         rng = np.random.default_rng(seed)
-        self.size = min(sample, len(x))
-        self.trees = [self._grow(x[rng.choice(len(x), self.size, replace=False)], rng) for _ in range(trees)]
+        self.size, self.roots = min(sample, len(x)), trees
+        self._grow(np.concatenate([x[rng.choice(len(x), self.size, replace=False)] for _ in range(trees)]), rng)
         self.offset = float(np.percentile(self.score(x), 100 * contamination))
 
-    @staticmethod
-    def _grow(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
-        limit = int(np.ceil(np.log2(max(len(x), 2))))
-        feature, cut, left, right, depth = [], [], [], [], []
-
-        def node(rows: np.ndarray, d: int) -> int:
-            me = len(feature)
-            for a, v in ((feature, -1), (cut, 0.0), (left, -1), (right, -1), (depth, d + float(_depth(len(rows))))):
-                a.append(v)
-            lo, hi = x[rows].min(axis=0), x[rows].max(axis=0)
-            able = np.flatnonzero(hi > lo)
-            if d < limit and len(rows) > 1 and len(able):
-                f = int(rng.choice(able))
-                c = float(rng.uniform(lo[f], hi[f]))
-                under = x[rows, f] <= c
-                if under.all() or not under.any():
-                    return me
-                feature[me], cut[me] = f, c
-                left[me], right[me] = node(rows[under], d + 1), node(rows[~under], d + 1)
-            return me
-
-        node(np.arange(len(x)), 0)
-        return tuple(map(np.array, (feature, cut, left, right, depth)))
+    def _grow(self, x: np.ndarray, rng: np.random.Generator) -> None:
+        node = np.repeat(np.arange(self.roots), self.size)
+        parts: list[tuple[np.ndarray, ...]] = []
+        first, limit = 0, int(np.ceil(np.log2(max(self.size, 2))))
+        for d in range(limit + 1):
+            order = np.argsort(node, kind="stable")
+            x, node = x[order], node[order]
+            starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+            count = np.diff(np.append(starts, len(node)))
+            lo, hi = np.minimum.reduceat(x, starts), np.maximum.reduceat(x, starts)
+            able = hi > lo
+            splits = able.any(axis=1) & (d < limit)
+            feature = np.argmax(rng.random(able.shape) * able, axis=1)
+            at = np.arange(len(starts))
+            cut = lo[at, feature] + rng.random(len(starts)) * (hi[at, feature] - lo[at, feature])
+            cut = np.minimum(cut, np.nextafter(hi[at, feature], lo[at, feature]))  # neither child is empty
+            after = first + len(starts)
+            left = np.where(splits, after + 2 * (np.cumsum(splits) - 1), -1)
+            parts.append((np.where(splits, feature, -1), cut, left, np.where(splits, left + 1, -1), d + _depth(count)))
+            own = np.repeat(at, count)
+            go = splits[own]
+            if not go.any():
+                break
+            x, own = x[go], own[go]
+            node = left[own] + (x[np.arange(len(x)), feature[own]] > cut[own])
+            first = after
+        self.feature, self.cut, self.left, self.right, self.depth = (np.concatenate(p) for p in zip(*parts, strict=True))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Near -1 for anomalies, above -0.5 for what is ordinary."""
-        total = np.zeros(len(x))
-        for feature, cut, left, right, depth in self.trees:
-            at = np.zeros(len(x), int)
-            while (inner := feature[at] >= 0).any():
-                f = np.where(inner, feature[at], 0)
-                to = np.where(x[np.arange(len(x)), f] <= cut[at], left[at], right[at])
-                at = np.where(inner, to, at)
-            total += depth[at]
-        return -np.power(2.0, -(total / len(self.trees)) / max(float(_depth(self.size)), 1e-12))
+        at = np.repeat(np.arange(self.roots)[:, None], len(x), axis=1)
+        rows = np.arange(len(x))[None, :]
+        while (inner := self.feature[at] >= 0).any():
+            to = np.where(x[rows, np.maximum(self.feature[at], 0)] <= self.cut[at], self.left[at], self.right[at])
+            at = np.where(inner, to, at)
+        return -np.power(2.0, -self.depth[at].mean(axis=0) / max(float(_depth(self.size)), 1e-12))
 
     def decision(self, x: np.ndarray) -> np.ndarray:
         """Below 0 for anomalies."""

@@ -94,7 +94,8 @@ class Ladder:
 
 
 def _pairs(bids: list, asks: list) -> list[tuple[int, int, int]]:
-    return [(side, x["p"], x["q"]) for side, all_ in ((BUY, bids or []), (SELL, asks or [])) for x in all_]
+    """(side, price, size) of the (price, size) pairs of a message, bids first."""
+    return [(side, p, q) for side, all_ in ((BUY, bids or []), (SELL, asks or [])) for p, q in all_]
 
 
 def _state(n: int):

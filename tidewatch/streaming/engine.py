@@ -152,7 +152,7 @@ class SymbolState:
         if row.kind == "trade":
             found = self.trade(now, int(row.side), int(row.price_raw), int(row.qty_raw))
         else:
-            as_list = lambda x: [] if x is None else list(x)
+            as_list = lambda x: [] if x is None else [(y["p"], y["q"]) for y in x]
             found = self.depth(now, bool(row.is_snapshot), _pairs(as_list(row.bids), as_list(row.asks)))
         late = max(0, (now - int(row.ingest_ns)) // 1000)
         out = [(row.seq, now, "alert", d, SEVERITY[d], SEVERITIES[SEVERITY[d]], max(0.0, s), late, json.dumps(e)) for d, s, e in found]
