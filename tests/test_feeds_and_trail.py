@@ -196,3 +196,11 @@ def test_forest_by_walking_its_trees():
         assert abs(f.score(row[None, :])[0] + 2.0 ** (-mean / float(anomaly._depth(64)))) < 1e-12
     same = np.ones((50, 2))
     assert np.allclose(anomaly.Forest(same, trees=3).score(same), -0.5, atol=0.2)
+
+
+def test_what_reaches_the_books(spark):
+    row = lambda seq, first, final, snapshot=False, kind="depth": {"seq": seq, "ts_ns": seq, "ingest_ns": seq, "symbol": "S", "exchange": "x", "kind": kind, "is_snapshot": snapshot, "side": None, "price_raw": None, "qty_raw": None, "first_id": first, "final_id": final, "bids": [], "asks": []}
+    rows = [row(0, 5, 10), row(1, 11, 15), row(2, None, None, kind="trade"), row(3, None, 10, True), row(4, 16, 20), row(5, 10, 12), row(6, 30, 31), row(7, 32, 33), row(8, None, 31, True)]
+    got = [(r.seq, r.release_seq) for r in sync.applied(tape_of_rows(spark, rows)).orderBy("release_seq", "release_pos").collect()]
+    assert got == [(2, 2), (3, 3), (1, 3), (4, 4), (8, 8), (7, 8)]
+    assert [(r.seq, r.expected_id) for r in sync.gaps(tape_of_rows(spark, rows)).orderBy("seq").collect()] == [(5, 21), (6, 13)]

@@ -18,6 +18,7 @@ from tidewatch.operators.windows import cooldown, numbered
 from tidewatch.shipping import ship
 from tidewatch.types import FEATURES, SEC
 
+#: When models are fitted and on how much, how alerts are spaced and graded.
 WARMUP, REFIT, BUFFER = 150, 100, 1000
 TREES, SAMPLE, CONTAMINATION, SEED = 100, 256, 0.04, 42
 COOLDOWN = 2 * SEC

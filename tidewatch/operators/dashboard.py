@@ -9,6 +9,7 @@ from tidewatch.functions.fixedpoint import real, round2
 from tidewatch.operators.rules import trades
 from tidewatch.types import LATENCY_BOUNDS
 
+#: Alerts that are remembered, and shown unless asked otherwise.
 RECENT, SHOWN = 500, 100
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators.fold import fold
 from tidewatch.types import BUY
 
+#: Fixed values.
 BUFFER = 4096
 CHECKSUM_LEVELS = 25
 
@@ -86,6 +87,16 @@ def synced(tape: DataFrame) -> DataFrame:
     return fold(d, ["seq"], ["seq", "is_snapshot", "first_id", "final_id"], Sync, _synced, "seq bigint, outcome string, passed array<bigint>, resyncs bigint, dropped bigint")
 
 
+def applied(tape: DataFrame) -> DataFrame:
+    """The rows that reach the books: trades as they are, depth messages when the sequence lets them pass.
+
+    ``release_seq`` and ``release_pos`` give the order: what waited for a snapshot follows it.
+    """
+    s = synced(tape).select("symbol", F.col("seq").alias("release_seq"), F.posexplode("passed").alias("release_pos", "seq"))
+    trades = tape.where("kind = 'trade'").withColumns({"release_seq": F.col("seq"), "release_pos": F.lit(0)})
+    return tape.where("kind = 'depth'").join(s, ["symbol", "seq"]).unionByName(trades)
+
+
 def gaps(tape: DataFrame) -> DataFrame:
     """Diffs that don't follow the diff before them: symbol, seq, first_id, expected_id. A plain window where the feed is clean."""
     d = tape.where("kind = 'depth' AND NOT is_snapshot").select("symbol", "seq", "first_id", "final_id")

@@ -162,6 +162,7 @@ QUERIES = {
     "sequence_gaps": _tape(sync.gaps),
     "stale_diff_filter": _tape(stale),
     "book_sync": _tape(sync.synced),
+    "synchronized_tape": _tape(lambda t: sync.applied(t).select("symbol", "seq", "kind", "release_seq", "release_pos")),
     "checksum_payload": _tape(checksum),
     "subject_match": _tape(subject_match),
     "symbol_shard": _tape(lambda t: subjects.only(t, "md.SYM2").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))),
