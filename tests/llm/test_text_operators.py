@@ -226,3 +226,18 @@ def test_quality_odd(spark, clashing, none):
     assert quality.resample(clashing, l).count() == clashing.count() and quality.keep_good(clashing, l).columns == clashing.columns
     assert quality.resample(clashing, l.limit(0)).where("NOT kept").count() == 0
     assert quality.resample(none, l).count() == 0 and quality.keep_good(none, l).count() == 0
+
+
+def test_long_texts_in_stretches(monkeypatch):
+    """Texts beyond a stretch give the same n-grams as in one."""
+    from tidewatch.llm import _ngrams
+
+    r = random.Random(8)
+    text = " ".join("".join(r.choice("abcé!") for _ in range(r.randint(1, 12))) for _ in range(400)) + " " + "x" * 500
+    every = np.arange(1 << toxicity.BITS, dtype=np.int32)
+    want = _ngrams.shingles(text, 3), quality.buckets(text), toxicity.present(text, every)
+    monkeypatch.setattr(_ngrams, "REACH", 64)
+    monkeypatch.setattr(toxicity, "REACH", 50)
+    got = _ngrams.shingles(text, 3), quality.buckets(text), toxicity.present(text, every)
+    assert all(np.array_equal(a, b) for a, b in zip(want, got, strict=True))
+    assert len(_ngrams.shingles("y" * 5_000_000, 4)) == 1

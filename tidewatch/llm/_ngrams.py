@@ -6,6 +6,7 @@ import numpy as np
 
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
+REACH = 1 << 21
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -33,11 +34,23 @@ def _upto(n: int) -> list[np.ndarray]:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each data[start:end]; equal bytes have equal hashes wherever they stand."""
-    power, inverse = _upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * power[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hash of each data[start:end]; equal bytes have equal hashes wherever they stand.
+
+    Starts and ends ascend. Spans are hashed in groups within ``REACH`` bytes (or one by one, if longer), so memory does not grow
+    with the text.
+    """
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, low + REACH, "right")))
+        part, s, e = data[low : int(ends[to - 1])], starts[at:to] - low, ends[at:to] - low
+        power, inverse = _upto(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_TABLE[part] * power[: len(part)], out=sums[1:])
+        out[at:to] = mix64((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
+        at = to
+    return out
 
 
 def words(text: str | None) -> list[bytes]:

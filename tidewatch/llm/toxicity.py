@@ -21,6 +21,7 @@ from tidewatch.shipping import ship
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
+REACH = 1 << 20
 MAX_TRAIN = 8000
 MAX_FEATURES = 4000
 TRAIN_TASKS = 3
@@ -29,8 +30,15 @@ STEPS, RATE, RIDGE = 300, 0.03, 3e-4
 
 
 def buckets(text: str | None) -> Iterator[np.ndarray]:
-    """Bucket of each character n-gram, an array for each order; letters compare in lower case, spaces stand around the text."""
-    c = np.frombuffer(f" {(text or '').lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    """Buckets of the character n-grams, an array for each order and stretch of ``REACH`` characters; letters compare in lower case,
+    spaces stand around the text, and stretches overlap so that none is missed."""
+    whole = f" {(text or '').lower()} "
+    for at in range(0, len(whole), REACH):
+        yield from _buckets(whole[at : at + REACH + max(ORDERS) - 1])
+
+
+def _buckets(text: str) -> Iterator[np.ndarray]:
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     each = mix64(c + np.uint64(1))
     h = each
     for n in range(2, max(ORDERS) + 1):
