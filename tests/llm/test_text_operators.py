@@ -153,6 +153,23 @@ def test_wrapper_of_a_host(spark):
     assert "Welcome" not in texts[2] and texts[2].startswith("x") is False and "Title 2\nText 2" in texts[2]
 
 
+@pytest.mark.parametrize("parts", [1, 8])
+def test_copies_are_not_a_template(spark, parts):
+    """Copies and near copies keep their text however they are split; what different pages share goes."""
+    same = "<body><div>Only page of this host</div><p>Its whole text in one paragraph</p></body>"
+    near = lambda k: f"<body><div>Day {k}</div><p>A long first paragraph that stays the same</p><p>and a second one</p></body>"
+    page = lambda k: f"<body><div>Welcome</div><p>Words of page {k}, {'more ' * k}of them</p></body>"
+    few = lambda k: f"<body><div>Hello</div><p>Words of page {k % 3}, and no other page</p></body>"
+    html = {f"http://{h}.example/": of for h, of in (("same", lambda k: same), ("near", near), ("page", page), ("few", few))}
+    rows = [(k, url, of(k % 12)) for url, of in html.items() for k in range(24)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    got = {(r.url, r.page_id): r.text for r in html_extract.extract(df).collect()}
+    for (url, k), text in got.items():
+        want = [x for x in html_extract.main_text(html[url](k % 12)).split("\n") if x != "Welcome"]
+        assert text.split("\n") == want, (url, k)
+    assert len(got) == len(rows)
+
+
 def test_deep_and_broken_html():
     assert html_extract.main_text("<div>" * 3000 + "deep" + "</div>" * 10) == "deep"
     assert html_extract.main_text("<" * 5000 + "a") is not None
