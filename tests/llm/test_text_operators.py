@@ -170,6 +170,12 @@ def test_copies_are_not_a_template(spark, parts):
     assert len(got) == len(rows)
 
 
+def test_anchors_in_articles_are_text():
+    text = html_extract.main_text("<article><h2 id=comments>Comments</h2><p>a</p><section id=related-work><p>b</p></section><div id=related-posts>c</div><section id=comments>d</section><div class=share>e</div></article>")
+    assert text == "Comments\na\nb"
+    assert html_extract.main_text("<div class='new!'>kept</div><p class='at@'>too</p>") == "kept\ntoo"
+
+
 def test_deep_and_broken_html():
     assert html_extract.main_text("<div>" * 3000 + "deep" + "</div>" * 10) == "deep"
     assert html_extract.main_text("<" * 5000 + "a") is not None
