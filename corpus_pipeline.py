@@ -15,8 +15,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that are frequent in their source."""
-    return line_dedup.drop_boilerplate(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """All documents, without the lines that are frequent in their source; copies count once, or they would all be emptied."""
+    return line_dedup.drop_boilerplate(docs, distinct=True).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,6 +64,17 @@ def test_stages(spark, data, rows_of):
     assert rows_of(whole) == rows_of(got[["doc_id", "taken"]])
 
 
+def test_copies_keep_their_lines(spark):
+    """A third of a source are copies: one stays, with its text; a line of many different pages goes."""
+    own = lambda k: "\n".join(" ".join(f"{w}{k}" for w in line.split()) for line in ("one two three four five six seven", "eight nine ten eleven twelve"))
+    rows = [(k, f"{own(k if k < 40 else 40)}\n{'Footer' if k % 2 else ''}\n", "en", "s", 1) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    out = corpus_pipeline.without_boilerplate(spark, docs, "").persist()
+    assert {r.doc_id: r.text.strip() for r in out.collect()} == {k: own(min(k, 40)) for k in range(60)}
+    last = corpus_pipeline.mixed(spark, corpus_pipeline.one_of_each(spark, out, ""), "").collect()
+    assert {r.doc_id for r in last} == set(range(41))
+
+
 def test_entry():
     import __spark_entry__ as e
 

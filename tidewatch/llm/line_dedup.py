@@ -5,6 +5,10 @@ are counted once a page, as 64-bit hashes, with map-side combine: a line that a
 At most lines-a-page / ratio lines of a site can pass, so its list has a bounded length, but the lists of all sites together
 have none: they are written, and Spark broadcasts them only if the files it finds are below its threshold, else it
 sort-merges and splits a hot site. Two of one site's lines are mistaken for one with odds of about 2**-64 a pair.
+
+Rows that repeat a page count as pages of their own, as in the SQL, so a group of copies over the ratio empties itself. With
+``distinct``, as in the pipeline, each distinct page of a site counts once, for its lines as for the total: pages are the same if
+their lines are, blank ones and spaces around them aside. Pages that differ in any line are different pages there too.
 """
 
 from __future__ import annotations
@@ -22,22 +26,27 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text") -> DataFrame:
+def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text", distinct: bool = False) -> DataFrame:
     """(site, lines): hashes of each site's boilerplate lines; sites without any are absent."""
     d = docs.select(F.struct(F.col(host_col).isNull().alias("none"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("name")).alias("site"), F.col(text_col).alias("body"))
-    pages = d.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
-    each = d.select("site", F.explode(F.array_distinct(F.transform(_lines(F.col("body")), lambda x: F.trim(x)))).alias("line")).where(F.col("line") != "")
-    seen = each.select("site", F.xxhash64("line").alias("line")).groupBy("site", "line").agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") >= min_pages)
+    d = d.select("site", F.filter(F.transform(_lines(F.col("body")), lambda x: F.trim(x)), lambda x: x != "").alias("own"))
+    of = [F.xxhash64("own").alias("page")] if distinct else []
+    pages, each = d.select("site", *of), d.select("site", *of, F.explode(F.array_distinct("own")).alias("line"))
+    each = each.select("site", *of and ["page"], F.xxhash64("line").alias("line"))
+    if distinct:
+        pages, each = pages.distinct(), each.distinct()
+    pages = pages.groupBy("site").agg(F.count(F.lit(1)).alias("pages"))
+    seen = each.groupBy("site", "line").agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") >= min_pages)
     return seen.join(pages, "site").where(F.col("seen") / F.col("pages") > max_ratio).groupBy("site").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text") -> DataFrame:
+def drop_boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text", distinct: bool = False) -> DataFrame:
     """All rows and columns of ``docs`` with the site's boilerplate lines gone from the text, and __n_lines, __n_dropped.
 
     Lines compare without the spaces around them; blank lines always stay. Null and empty texts become empty. A null site is a
-    site of its own. Rows that repeat count as pages of their own. A site of fewer than ``min_pages`` pages loses nothing.
+    site of its own. Rows that repeat count as pages of their own, or once if ``distinct``. A site of fewer than ``min_pages`` pages loses nothing.
     """
-    found = written(boilerplate(docs, max_ratio, min_pages, host_col, text_col), "boilerplate").select(F.col("site").alias("__site"), F.col("lines").alias("__found"))
+    found = written(boilerplate(docs, max_ratio, min_pages, host_col, text_col, distinct), "boilerplate").select(F.col("site").alias("__site"), F.col("lines").alias("__found"))
     site = F.struct(F.col(host_col).isNull().alias("none"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("name"))
     joined = docs.withColumn("__site", site).join(found, "__site", "left")
     lines = _lines(F.col(text_col))
