@@ -30,9 +30,15 @@ def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words of, with how many; more than a document's own words are repeats."""
-    taken = mixing.mix(docs).where("taken > 0").select("doc_id", F.col("size").alias("n_words"), "taken")
-    return docs.join(taken, "doc_id")
+    """Documents that the mix takes words of, with how many; more than a document's own words are repeats.
+
+    Words are joined back by doc_id; documents without one go through the mix as a whole.
+    """
+    whole = F.when(F.col("doc_id").isNull(), F.struct(*docs.columns))
+    taken = mixing.mix(docs, carry=whole).where("taken > 0").select("doc_id", F.col("size").alias("n_words"), "taken", "carried")
+    taken = written(taken, "mix-taken")
+    known = docs.join(taken.where("doc_id IS NOT NULL").drop("carried"), "doc_id")
+    return known.unionByName(taken.where("doc_id IS NULL").select("carried.*", "n_words", "taken"))
 
 
 STAGES = [

@@ -2,9 +2,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewatch.llm import decontaminate, line_dedup, near_join
+from tidewatch.llm import decontaminate, line_dedup, mixing, near_join
 from tidewatch.llm.registry import ORACLE_SQL, QUERIES
 
 
@@ -75,6 +76,21 @@ def test_copies_keep_their_lines(spark):
     assert {r.doc_id for r in last} == set(range(41))
 
 
+def test_documents_without_an_id_come_out(spark, data):
+    """All stages after the first; the words of each source that come out are its target."""
+    words = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(None if k % 3 == 0 else k, words(k, 20 + k % 2), f"l{k}", "ab"[k % 2], 1) for k in range(40)] + [(None, None, None, "a", 0), (None, words(99, 8), "x", None, 1), (None, words(99, 8), "y", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        given, docs = docs, stage(spark, docs, f"{data}/sf0.001")
+    goal = {r.source: r.words for r in mixing.mix(given, carry=F.struct("source")).selectExpr("carried.source", "taken").groupBy("source").agg(F.sum("taken").alias("words")).collect()}
+    out = docs.collect()
+    assert {s: sum(r.taken for r in out if r.source == s) for s in goal} == goal and docs.columns == [*given.columns, "n_words", "taken"]
+    texts = {r[2]: r for r in rows}
+    assert any(r.doc_id is None for r in out) and len({r.lang for r in out}) == len(out)
+    assert all((r.doc_id, r.text, r.source) == (texts[r.lang][0], texts[r.lang][1], texts[r.lang][3]) and r.n_words == len(r.text.split()) for r in out)
+
+
 def test_entry():
     import __spark_entry__ as e
 

@@ -45,24 +45,24 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return s.select("src", "source_size", F.when(F.col("k") < F.col("first.k"), cap).otherwise(F.least(cap, F.col("first.unit") * F.col("w"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix") -> DataFrame:
-    """Per document: doc_id, size, source_size, target, taken (words taken, repeats counted).
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, seed: str = "mix", carry: Column | None = None) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, taken (words taken, repeats counted), and ``carry`` as carried, if given.
 
     Null texts have no words and give none; a null source is a source of its own; rows that repeat are documents of their own;
-    ties in the key go by doc_id and size, so reruns agree. Other columns are not read.
+    ties in the key go by doc_id and size (and what is carried), so reruns agree. Other columns are not read.
     """
-    d = docs.select("doc_id", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("src"), n_words(F.col("text")).alias("size"))
+    d = docs.select("doc_id", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name")).alias("src"), n_words(F.col("text")).alias("size"), *([] if carry is None else [carry.alias("carried")]))
     d = written(d.withColumn("key", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(seed)).cast("binary"))), "mix-sizes")
     d = d.withColumn("range", F.substring("key", 1, HEX_DIGITS))
     ranges = written(d.groupBy("src", "range").agg(F.sum("size").alias("words")), "mix-ranges")
     goal = targets(ranges.groupBy("src").agg(F.sum("words").alias("source_size")), weights, most)
     offsets = ranges.select("src", "range", (F.sum("words").over(W.partitionBy("src").orderBy("range").rowsBetween(W.unboundedPreceding, 0)) - F.col("words")).alias("offset"))
     offsets = written(offsets.join(goal, "src"), "mix-offsets")
-    inside = W.partitionBy("src", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy("src", "range").orderBy("key", "doc_id", "size", *([] if carry is None else [F.xxhash64("carried")])).rowsBetween(W.unboundedPreceding, 0)
     d = d.withColumn("before", F.sum("size").over(inside) - F.col("size")).join(offsets, ["src", "range"])
     budget, whole = F.floor("target").cast("long"), F.greatest(F.col("source_size"), F.lit(1))
     rest = F.greatest(F.lit(0), F.least(F.col("size"), budget % whole - F.col("offset") - F.col("before")))
-    return d.select("doc_id", "size", "source_size", "target", (F.floor(budget / whole).cast("long") * F.col("size") + rest).cast("long").alias("taken"))
+    return d.select("doc_id", "size", "source_size", "target", (F.floor(budget / whole).cast("long") * F.col("size") + rest).cast("long").alias("taken"), *([] if carry is None else ["carried"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
