@@ -131,6 +131,23 @@ def test_near_brute_force(spark, seed):
     assert len({c for _, c in want.values()}) < len(rows) - 4
 
 
+def test_near_negative_ids(spark):
+    """Ids of any sign, the members of a group in different partitions."""
+    r = random.Random(9)
+    rows = []
+    for g in range(12):
+        base = [f"w{r.randrange(10**6)}" for _ in range(60)]
+        for k in range(1 + g % 4):
+            copy = list(base)
+            if k:
+                copy[r.randrange(60)] = "other"
+            rows.append((r.randrange(-(1 << 63), 1 << 63) if g else -(1 << 63), " ".join(copy)))
+    rows.append((-1, rows[1][1]))
+    got = near_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(len(rows)), 4, 80).collect()
+    want = brute_components(rows, 4, 80)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in got} == want and sum(d != c for d, (_, c) in want.items()) > 12
+
+
 def test_keep_one(spark, odd):
     kept = near_join.keep_one(odd)
     ids = sorted(r.doc_id for r in kept.collect())

@@ -69,8 +69,8 @@ def _sets(n_words: int):
 
 
 def _deal(fragments: int):
-    """(digest, doc_id, head) -> per fragment the distinct n-grams of a stretch of rows with their owner, -1 if they have several
-    there; negative fragments have owners credited on the spot, with counts in place of n-grams."""
+    """(digest, doc_id, head) -> per fragment the distinct n-grams of a stretch of rows with their owner, and without owners those
+    that have several there; negative fragments have owners credited on the spot, with counts in place of n-grams."""
 
     def flush(heads: list[np.ndarray], docs: list[int]) -> pa.RecordBatch:
         token, owner = np.concatenate(heads), np.repeat(np.array(docs, np.int64), [len(h) for h in heads])
@@ -79,13 +79,13 @@ def _deal(fragments: int):
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         count = np.diff(np.append(first, len(token)))
         credited, credits = np.unique(owner[np.repeat(count > 1, count)], return_counts=True)
-        token, owner = token[first], np.where(count > 1, -1, owner[first])
-        part = (token % np.uint64(fragments)).astype(np.int64)
+        token, owner, several = token[first], owner[first], count > 1
+        part = 2 * (token % np.uint64(fragments)).astype(np.int64) + several
         order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(fragments + 1))
+        cuts = np.searchsorted(part[order], np.arange(2 * fragments + 1))
         at = credited % fragments
         rows = [(-1 - k, credits[at == k].astype(np.int64).tobytes(), credited[at == k].tobytes()) for k in np.unique(at).tolist()]
-        rows += [(k, token[x].tobytes(), owner[x].tobytes()) for k in range(fragments) if len(x := order[cuts[k] : cuts[k + 1]])]
+        rows += [(k // 2, token[x].tobytes(), b"" if k % 2 else owner[x].tobytes()) for k in range(2 * fragments) if len(x := order[cuts[k] : cuts[k + 1]])]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["fragment", "tokens", "owners"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,16 +113,20 @@ def _shared(fragments: int):
 
     def run(t: pa.Table) -> pa.Table:
         token = np.concatenate([np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()])
-        owner = np.concatenate([np.frombuffer(x, np.int64) for x in t.column("owners").to_pylist()])
+        owners = t.column("owners").to_pylist()
+        owner = np.concatenate([np.frombuffer(x, np.int64) for x in owners])
         if t.column("fragment")[0].as_py() < 0:
             doc, at = np.unique(owner, return_inverse=True)
             n = np.bincount(at, weights=token).astype(np.int64)
         else:
+            owned = np.repeat([bool(x) for x in owners], [len(x) // 8 for x in t.column("tokens").to_pylist()])
+            of = np.zeros(len(token), np.int64)
+            of[owned] = owner
             order = np.argsort(token, kind="stable")
-            token, owner = token[order], owner[order]
+            token, of, owned = token[order], of[order], owned[order]
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             count = np.diff(np.append(first, len(token)))
-            doc, n = np.unique(owner[(np.repeat(count, count) > 1) & (owner >= 0)], return_counts=True)
+            doc, n = np.unique(of[(np.repeat(count, count) > 1) & owned], return_counts=True)
         part = doc % fragments
         parts = np.unique(part).tolist()
         return pa.table({"part": pa.array(parts, pa.int32()), "docs": pa.array([doc[part == k].tobytes() for k in parts], pa.binary()), "counts": pa.array([n[part == k].astype(np.int64).tobytes() for k in parts], pa.binary())})
@@ -223,7 +227,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     ranked = written(ranked.select("doc_id", "n", "m", common.alias("common"), F.slice(F.col("r.token"), F.lit(1), first).alias("first")), "ranked", files)
 
     by_token = ranked.select("doc_id", "common", F.explode("first").alias("token"))
-    led = by_token.groupBy("token").agg(F.max(F.struct("common", (-F.col("doc_id")).alias("id"))).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", (-F.col("top.id")).alias("a"))
+    led = by_token.groupBy("token").agg(F.max(F.struct("common", F.bitwise_not("doc_id").alias("id"))).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", F.bitwise_not("top.id").alias("a"))
     stars = by_token.join(led, "token").where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     size = ranked.select("doc_id", "n", "m")
     near = ranked.select("doc_id").join(stars.select(F.col("a").alias("doc_id")).unionByName(stars.select(F.col("b").alias("doc_id"))).distinct(), "doc_id", "left_semi")
