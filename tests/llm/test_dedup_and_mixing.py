@@ -175,5 +175,14 @@ def test_urls(spark, none):
     assert url_filter.evaluate(c.limit(0), url_filter.intervals(url_filter.changes(spark))).count() == 0
 
 
+def test_url_entries_with_paths(spark):
+    """Case of hosts and paths, deeper paths, whole URLs, and a removal that writes the host otherwise."""
+    rows = (("a", "One.example/FR", "add", "2024-01-01"), ("b", "two.example/a/b/", "add", "2024-01-01"), ("c", "https://u@Three.example:80/x/Y?q=1#top", "add", "2024-01-01"), ("d", "four.example", "add", "2024-01-01"), ("d", "Four.Example", "remove", "2024-03-01"), ("e", None, "add", "2024-01-01"))
+    urls = {"http://one.example/FR/2": "a", "http://one.example/fr/2": "", "http://www.two.example/a/b/c": "b", "http://two.example/a/b": "b", "http://two.example/a/b/?z": "b", "http://two.example/a/bc": "", "http://two.example/a": "", "http://three.example/x/Y?q=1": "c", "http://three.example/x/Y": "", "http://four.example/": ""}
+    c = spark.createDataFrame([(u, "2024-06-15") for u in urls], "url string, fetched_on string").withColumn("fetched_on", F.to_date("fetched_on"))
+    got = url_filter.evaluate(c, url_filter.intervals(url_filter.changes(spark, rows))).collect()
+    assert {r.url: r.lists for r in got} == urls
+
+
 def test_shared_folder_is_the_sessions(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")

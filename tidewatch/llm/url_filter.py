@@ -1,10 +1,10 @@
 """URL filters as a temporal list join.
 
 Dated additions and removals of list entries become validity intervals. Every capture is evaluated against the entries active at
-its fetch time: its host, each parent domain, and its host with the first path segment are the keys of an equality join with
-the interval as further condition, which picks the same entry as a search for the latest change at or before the fetch.
-Captures are first reduced to distinct (host, segment, fetch day), with map-side combine, so a site that holds a third of all
-rows costs at most one row a day, segment and task.
+its fetch time: its host and each parent domain, alone, with each prefix of the path in whole segments, and with path and query,
+are the keys of an equality join with the interval as further condition, which picks the same entry as a search for the latest
+change at or before the fetch. Hosts compare without case, paths with it. Captures are first reduced to distinct (host, path
+with query, fetch day), with map-side combine, so a site that holds a third of all rows costs at most one row a day, path and task.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ CHANGES = (
 )
 FIRST_DAY = dt.date(2024, 1, 1)
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^#]*)"
 SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)"
 
 
@@ -44,10 +45,15 @@ def changes(spark: SparkSession, rows: tuple[tuple[str, str, str, str], ...] = C
 def intervals(changed: DataFrame) -> DataFrame:
     """(list, key, valid_from, valid_to): each addition holds until the next change of that entry, or for ever.
 
-    Changes without a list, key, action or day are void. Of changes of one entry on one day, a removal wins.
+    Changes without a list, key, action or day are void. Of changes of one entry on one day, a removal wins. Keys are hosts, hosts
+    with a path, or whole URLs; the host's case, user, port, fragment and slashes at the end don't tell entries apart.
     """
+    host, path = host_of(F.col("key")), F.regexp_extract("key", PATH, 1)
+    plain = F.split(F.regexp_replace("key", "#.*$", ""), "/", 2)
+    host, path = F.when(host != "", host).otherwise(F.lower(plain[0])), F.when(host != "", path).otherwise(F.coalesce(F.get(plain, F.lit(1)), F.lit("")))
+    changed = changed.withColumn("key", F.regexp_replace(F.concat(host, F.lit("/"), path), "/+$", ""))
     c = changed.where("list IS NOT NULL AND key IS NOT NULL AND action IS NOT NULL AND day IS NOT NULL").groupBy("list", "key", "day").agg(F.max("action").alias("action"))
-    return c.withColumn("valid_to", F.lead("day").over(W.partitionBy("list", "key").orderBy("day"))).where("action = 'add'").select("list", F.lower("key").alias("key"), F.col("day").alias("valid_from"), "valid_to")
+    return c.withColumn("valid_to", F.lead("day").over(W.partitionBy("list", "key").orderBy("day"))).where("action = 'add'").select("list", "key", F.col("day").alias("valid_from"), "valid_to")
 
 
 def host_of(url: Column) -> Column:
@@ -55,11 +61,14 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
 
 
-def keys_of(host: Column, segment: Column) -> Column:
-    """The host, its parent domains, and each of them with the first path segment."""
+def keys_of(host: Column, path: Column) -> Column:
+    """The host and its parent domains, each alone and with each prefix of the path in whole segments, and with path and query."""
     parts = F.split(host, "[.]")
     domains = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.concat(domains, F.when(segment != "", F.transform(domains, lambda x: F.concat_ws("/", x, segment))).otherwise(F.array().cast("array<string>"))))
+    segments = F.split(F.substring_index(path, "?", 1), "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.array_join(F.slice(segments, 1, i), "/"))
+    prefixes = F.filter(F.array_union(prefixes, F.array(path)), lambda x: (x != "") & ~F.endswith(x, F.lit("/")))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.concat(domains, F.flatten(F.transform(domains, lambda d: F.transform(prefixes, lambda x: F.concat_ws("/", d, x))))))
 
 
 def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_col: str = "fetched_on") -> DataFrame:
@@ -67,12 +76,12 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_
 
     A null URL or day matches nothing. Rows that repeat each stay. Columns of these three names are replaced.
     """
-    c = captures.drop("host", "lists", "blocked").withColumns({"__host": host_of(F.col(url_col)), "__segment": F.coalesce(F.regexp_extract(url_col, SEGMENT, 1), F.lit("")), "__day": F.col(day_col)})
-    each = c.select("__host", "__segment", "__day").where("__host <> '' AND __day IS NOT NULL").distinct().withColumn("key", F.explode(keys_of(F.col("__host"), F.col("__segment"))))
+    c = captures.drop("host", "lists", "blocked").withColumns({"__host": host_of(F.col(url_col)), "__path": F.coalesce(F.regexp_extract(url_col, PATH, 1), F.lit("")), "__day": F.col(day_col)})
+    each = c.select("__host", "__path", "__day").where("__host <> '' AND __day IS NOT NULL").distinct().withColumn("key", F.explode(keys_of(F.col("__host"), F.col("__path"))))
     hit = (F.col("valid_from") <= F.col("__day")) & (F.col("valid_to").isNull() | (F.col("__day") < F.col("valid_to")))
-    found = each.join(entries, "key").where(hit).groupBy("__host", "__segment", "__day").agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
+    found = each.join(entries, "key").where(hit).groupBy("__host", "__path", "__day").agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
     found = written(found, "url-hits")
-    out = c.join(found, ["__host", "__segment", "__day"], "left")
+    out = c.join(found, ["__host", "__path", "__day"], "left")
     return out.select(*[x for x in captures.columns if x not in ("host", "lists", "blocked")], F.col("__host").alias("host"), F.coalesce("lists", F.lit("")).alias("lists"), F.col("lists").isNotNull().alias("blocked"))
 
 
