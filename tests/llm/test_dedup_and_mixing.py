@@ -50,6 +50,14 @@ def test_line_ratio(spark):
     assert line_dedup.drop_boilerplate(d, max_ratio=0.06).where("text LIKE 'same%'").count() == 6
 
 
+@pytest.mark.parametrize("pages,with_line,dropped", [(4, 4, 0), (10, 4, 0), (10, 5, 5), (40, 4, 0), (40, 5, 5), (60, 5, 5), (120, 6, 0), (120, 7, 7)])
+def test_line_floor(spark, duck, rows_of, pages, with_line, dropped):
+    rows = [(k, f"same\nown {k}" if k < with_line else f"own {k}", "h") for k in range(pages)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = line_dedup.drop_boilerplate(d).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text").toPandas()
+    assert got.n_dropped.sum() == dropped and rows_of(got) == rows_of(duck(line_dedup.SQL, documents=d))
+
+
 def test_mix(spark, odd, clashing, none, duck, rows_of):
     distinct = odd.dropDuplicates(["doc_id"])
     assert rows_of(mixing.mix(distinct).toPandas()) == rows_of(duck(mixing.SQL, documents=distinct))

@@ -9,6 +9,9 @@ sort-merges and splits a hot site. Two of one site's lines are mistaken for one
 Rows that repeat a page count as pages of their own, as in the SQL, so a group of copies over the ratio empties itself. With
 ``distinct``, as in the pipeline, each distinct page of a site counts once, for its lines as for the total: pages are the same if
 their lines are, blank ones and spaces around them aside. Pages that differ in any line are different pages there too.
+
+The floor of pages decides on sites of fewer than ``min_pages / max_ratio`` pages: with 5 and 0.05, a line needs 5 / pages of a
+site of 5 to 99 pages (50 % of 10, 12.5 % of 40) and more than 5 % from 100 pages on; a footer of a site of 4 pages stays.
 """
 
 from __future__ import annotations
