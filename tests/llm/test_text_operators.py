@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, html_extract, quality, secrets, toxicity
+from tidewatch.llm import decontaminate, html_extract, html_page, quality, secrets, toxicity
 
 BENCH = "item_id long, text string"
 
@@ -137,20 +137,72 @@ PAGES = {
 
 def test_html(spark):
     rows = [(k, f"http://h{k}.example/", x) for k, x in enumerate(PAGES)] + [(99, None, "<p>no host</p>"), (0, None, None)]
-    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "verdict": F.lit("{"), "wrapper": F.lit(2)})).collect()
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("host", "text", "body", "up", "ctx", "main", "nodes", "texts", "repeated", "places", "digests")})).collect()
     want = dict(enumerate(PAGES.values())) | {99: "no host"}
     assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got) and len(got) == len(rows)
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def pages_of(spark, rows, parts=3):
+    return spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+
+
+def below(pages):
+    """Expression of the children of each node, by signature."""
+    return {r.sig: r.below for r in html_extract.wrappers(html_extract.parsed(pages)).collect()}
+
+
 def test_wrapper_of_a_host(spark):
     page = lambda k, more="": f"<body><div class=top>Welcome to the site</div><ul>{'<li>x</li>' * (k % 3 + 1)}</ul><div class=t>Title {k}</div>{more}<p>Text {k}</p></body>"
-    rows = [(k, "http://one.example/", page(k, "<div class=box>extra</div>" if k % 2 else "")) for k in range(8)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
-    w = html_extract.wrappers(df).first()
-    assert w.pages == 8 and w.regex == "<page><body><div.top>#</><ul>(<li>#</>)+</><div.t>#</>(<div.box>#</>)?<p>#</></></>"
+    df = pages_of(spark, [(k, "http://one.example/", page(k, "<div class=box>extra</div>" if k % 2 else "")) for k in range(8)])
+    got = below(df)
+    assert got[""] == "body" and got["body"] == "div.top ul div.t div.box? p" and got["ul"] == "li+" and got["p"] == "#"
     texts = {r.page_id: r.text for r in html_extract.extract(df).collect()}
-    assert "Welcome" not in texts[2] and texts[2].startswith("x") is False and "Title 2\nText 2" in texts[2]
+    assert texts[2] == "Title 2\nText 2"
+
+
+def test_groups_fold(spark):
+    """Several tokens repeat as one group, whose parts may be optional or repeated."""
+    each = lambda *parts: "<body>" + "".join(f"<{x}>t</{x}>" for x in parts) + "</body>"
+    for k, (parts, want) in enumerate([
+        ([["h2", "p"] * 3, ["h2", "p"] * 2], "(h2 p)+"), ([["h2", "p", "p", "h2", "p"]], "(h2 p+)+"), ([["h1", *["h2", "p"] * 4, "ul"]], "h1 (h2 p)+ ul"),
+        ([["h2", "p", "h2", "p", "pre"], ["h2", "h3", "p"]], "(h2 h3? p)+ pre?"), ([["p", "h2", "p"]], "(p h2?)+"), ([["p"] * 5, ["p"]], "p+"), ([["h2"], ["h2", "p"]], "h2 p?"),
+    ]):
+        assert below(pages_of(spark, [(i, f"http://{k}.example/", each(*x)) for i, x in enumerate(parts)]))["body"] == want
+
+
+def test_expressions_match_what_they_are_made_of():
+    r = random.Random(8)
+    for _ in range(300):
+        bodies = [[r.choice("abcd") for _ in range(r.randint(1, 7))] for _ in range(r.randint(1, 3))]
+        merged = {}
+        for body in bodies:
+            page = html_page.Page("")
+            top = page._token(-1, "top")
+            for x in body:
+                page._token(top, x)
+            for ctx, parent, sig, lo, hi, n, parents, first, after, ends in page.places():
+                old = merged.get(ctx, (parent, sig, lo, hi, 0, 0, first, [], False))
+                merged[ctx] = (parent, sig, min(lo, old[2]), max(hi, old[3]), n + old[4], parents + old[5], min(first, old[6]), sorted({*after, *old[7]}), ends or old[8])
+        children = [{"ctx": c, "sig": x[1], "several": x[3] > 1, "optional": x[5] < len(bodies), "first": x[6], "after": x[7], "ends": x[8]} for c, x in merged.items() if x[1] != "top"]
+        want = html_extract.expression(children)
+        for body in bodies:
+            assert re.fullmatch(want.replace(" ", ""), "".join(body)), (bodies, want)
+
+
+def test_the_wrapper_decides(spark):
+    """A template without articles and telling names: header, text and imprint are told apart by their places on all pages, and link
+    lists by their links, so what remains differs from what a page alone gives, and is right."""
+    r = random.Random(2)
+    prose = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(25))
+    rows, want = [], {}
+    for k in range(30):
+        parts = [prose() for _ in range(1 + k % 4)]
+        links = "".join(f"<li><a href=/{k}{i}>{prose()[:20]}</a></li>" for i in range(3 + k % 2))
+        rows.append((k, "http://plain.example/", f"<body><div>The Plain Paper</div><div><ul>{links}</ul></div><div><h2>On {k}</h2>{''.join(f'<p>{x}' for x in parts)}</div><div>Printed in {2020 + k % 3} by us<br>All rights kept</div></body>"))
+        want[k] = "\n".join([f"On {k}", *parts])
+    got = {x.page_id: x.text for x in html_extract.extract(pages_of(spark, rows)).collect()}
+    assert got == want and all(html_extract.main_text(h) != want[k] for k, _, h in rows)
 
 
 @pytest.mark.parametrize("parts", [1, 8])
@@ -162,14 +214,21 @@ def test_copies_are_not_a_template(spark, parts):
     few = lambda k: f"<body><div>Hello</div><p>Words of page {k % 3}, and no other page</p></body>"
     html = {f"http://{h}.example/": of for h, of in (("same", lambda k: same), ("near", near), ("page", page), ("few", few))}
     rows = [(k, url, of(k % 12)) for url, of in html.items() for k in range(24)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
-    got = {(r.url, r.page_id): r.text for r in html_extract.extract(df).collect()}
+    got = {(r.url, r.page_id): r.text for r in html_extract.extract(pages_of(spark, rows, parts)).collect()}
     for (url, k), text in got.items():
-        want = [x for x in html_extract.main_text(html[url](k % 12)).split("\n") if x != "Welcome"]
+        want = [x for x in html_extract.main_text(html[url](k % 12)).split("\n") if x not in ("Welcome", "Hello")]
         assert text.split("\n") == want, (url, k)
     assert len(got) == len(rows)
 
 
+def test_deep_articles_and_many_siblings(spark):
+    for depth in (5, 47, 60, 400):
+        assert html_extract.main_text(f"{'<div>' * depth}<article><p>real</p></article><p>outside</p>{'</div>' * depth}") == "real"
+    rows = [(k, "http://long.example/", "<body>" + "".join(f"<{('p', 'h2', 'pre')[i * k % 3]}>{k}.{i}" for i in range(50_000 * k)) + "</body>") for k in (1, 2)]
+    got = {r.page_id: r.text for r in html_extract.extract(pages_of(spark, rows)).collect()}
+    assert [x.count("\n") + 1 for _, x in sorted(got.items())] == [50_000, 100_000]
+
+
 def test_anchors_in_articles_are_text():
     text = html_extract.main_text("<article><h2 id=comments>Comments</h2><p>a</p><section id=related-work><p>b</p></section><div id=related-posts>c</div><section id=comments>d</section><div class=share>e</div></article>")
     assert text == "Comments\na\nb"
