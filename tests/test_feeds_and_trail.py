@@ -1,4 +1,5 @@
 import json
+import random
 
 import numpy as np
 import pytest
@@ -61,27 +62,113 @@ def test_checksum(spark):
     assert ladder.payload() == r.payload
 
 
-def test_sync():
-    s = sync.Sync()
-    for a, b in ((5, 10), (11, 15), (16, 20)):
-        assert s.diff(a, b, b) == ("buffered", [])
-    assert s.snapshot(12, "snap") == ("synced", ["snap", 15, 20])
-    assert s.diff(21, 25, 25) == ("apply", [25]) and s.diff(10, 18)[0] == "stale" and s.last == 25
-    assert s.diff(27, 30)[0] == "gap" and s.resyncs == 1 and not s.live
-    s = sync.Sync()
-    s.diff(5, 10, 10), s.diff(11, 15, 15)
-    assert s.snapshot(20, "snap") == ("synced", ["snap"]) and s.diff(21, 25, 25) == ("apply", [25])
-    s = sync.Sync()
-    s.diff(50, 55), s.diff(56, 60)
-    assert s.snapshot(12) == ("again", [])
-    s = sync.Sync(limit=2)
-    s.diff(1, 2), s.diff(3, 4), s.diff(5, 6)
-    assert s.dropped == 1 and s.waiting[0][1] == 4
-
-
-def trail(spark, tmp_path, n=10, interval=4):
-    t = audit.Trail(str(tmp_path), audit.Signer.load(spark, str(tmp_path / "key")), interval, clock=lambda: 5)
-    t.append([json.dumps({"id": f"a{k}", "score": k, "x": 1.50}) for k in range(1, n + 1)])
+def let_through(s, diffs):
+    """Indices of the diffs that pass after snapshot ``s``, and of the one that leaves a hole, from the published rules: those that end at
+    or before what is known are old; the first other one may reach back before s + 1, later ones follow on exactly."""
+    known, passed = s, []
+    for k, (first, final) in enumerate(diffs):
+        if final <= known:
+            continue
+        if (first > s + 1) if not passed else (first != known + 1):
+            return passed, k
+        known = final
+        passed.append(k)
+    return passed, None
+
+
+def model(messages, limit):
+    """(message, items that it lets through) by cutting the messages at snapshots, and how many holes there were."""
+    cuts = [k for k, m in enumerate(messages) if m[0]]
+    part = lambda a, b: [k for k in range(a, b) if not messages[k][0]]
+    held, out, holes = part(0, cuts[0] if cuts else len(messages))[-limit:], [], 0
+    for at, to in zip(cuts, [*cuts[1:], len(messages)], strict=False):
+        later = part(at + 1, to)
+        diffs = held + later
+        passed, hole = let_through(messages[at][2], [messages[k][1:] for k in diffs])
+        holes += hole is not None
+        if hole is not None and hole < len(held):
+            held = later[-limit:]
+            continue
+        out.append((at, [at, *(diffs[k] for k in passed if k < len(held))]))
+        out += [(diffs[k], [diffs[k]]) for k in passed if k >= len(held)]
+        held = diffs[hole:][-limit:] if hole is not None else []
+    return out, holes
+
+
+def feed(r, n):
+    """Diffs that mostly follow on, with overlaps, repeats and holes, and snapshots near the present, as (is_snapshot, first, final)."""
+    now, out = 0, []
+    for _ in range(n):
+        kind = r.random()
+        if kind < 0.12:
+            out.append((True, None, max(0, now - r.randint(0, 6))))
+            continue
+        first = now + 1 + (r.randint(1, 4) if kind > 0.96 else 0) - (r.randint(1, 3) if 0.9 < kind <= 0.96 else 0)
+        final = first + r.randint(0, 3)
+        out.append((False, first, final))
+        now = max(now, final)
+    return out
+
+
+def test_sync_against_the_rules():
+    r = random.Random(21)
+    for trial in range(400):
+        messages, limit = feed(r, r.randint(1, 60)), r.choice((1, 2, 5, 100))
+        state, got = sync.Feed(), []
+        for k, (snapshot, first, final) in enumerate(messages):
+            state, what, out = sync.advance(state, snapshot, first, final, k, limit)
+            assert bool(out) == (what in ("synced", "apply"))
+            got += [(k, out)] if out else []
+        assert (got, state.resyncs) == model(messages, limit), (trial, messages)
+
+
+def test_what_reaches_the_books(spark):
+    """Frames of two books in the order in which they pass, from the plan, are those of the model; released rows sort by it."""
+    r = random.Random(22)
+    rows, want = [], {}
+    for symbol in ("A", "B"):
+        messages = feed(r, 80)
+        own = [{"seq": len(rows) + k, "ts_ns": k * 1000, "ingest_ns": k, "symbol": symbol, "exchange": "x", "kind": "depth", "is_snapshot": s, "side": None, "price_raw": None, "qty_raw": None, "first_id": a, "final_id": b, "bids": [{"p": 1, "q": k + 1}], "asks": []} for k, (s, a, b) in enumerate(messages)]
+        want[symbol] = [(len(rows) + at, [len(rows) + k for k in items]) for at, items in model(messages, sync.BUFFER)[0]]
+        rows += own
+    tape = tape_of_rows(spark, rows)
+    out = sync.released(tape).orderBy("symbol", "seq").collect()
+    for symbol, passed in want.items():
+        mine = [x for x in out if x.symbol == symbol]
+        assert [x.origin_seq for x in mine] == [k for _, items in passed for k in items]
+        assert [x.ts_ns for x in mine] == [max(next(y["ts_ns"] for y in rows if y["seq"] == k), next(y["ts_ns"] for y in rows if y["seq"] == at)) for at, items in passed for k in items]
+    known, expected = {}, []
+    for x in rows:
+        if not x["is_snapshot"]:
+            if x["symbol"] in known and x["first_id"] != known[x["symbol"]] + 1:
+                expected.append((x["seq"], known[x["symbol"]] + 1))
+            known[x["symbol"]] = x["final_id"]
+    assert [(x.seq, x.expected_id) for x in sync.gaps(tape).orderBy("seq").collect()] == expected
+
+
+def test_frames_to_alerts(spark):
+    """Venue frames, the sequence check and the rules as one path: a diff that waited for its snapshot counts like any other."""
+    put = lambda u, bids, asks=(): json.dumps({"stream": "s@depth", "data": {"e": "depthUpdate", "E": 1, "s": "S", "U": u, "u": u, "b": [[f"{p:.2f}", str(q)] for p, q in bids], "a": [[f"{p:.2f}", str(q)] for p, q in asks]}})
+    raw = [put(7, [(99.5, 2)], [(101, 1)]), *(put(8 + k, [(99 - k / 10, 1 + k % 2)]) for k in range(18)), put(26, [(99.9, 40)]), put(27, [(99.9, 1)])]
+    diffs = venues.binance(spark.createDataFrame([(k if k < 3 else k + 1, k * 10**8, x) for k, x in enumerate(raw)], "seq bigint, ingest_ns bigint, raw string"))
+    snap = venues.binance_snapshots(spark.createDataFrame([(3, 25 * 10**7, "S", '{"lastUpdateId":7,"bids":[["99.00","1"]],"asks":[["100.50","1"]]}')], "seq bigint, ingest_ns bigint, symbol string, raw string"))
+    tape = venues.union(diffs, snap).withColumn("ts_ns", F.col("ingest_ns") + F.lit(10**12))
+    ready = sync.released(tape)
+    assert ready.count() == 21  # all but the diff that the snapshot already holds
+    from tidewatch.operators import book
+
+    assert book.deltas(ready).where("seq = 3 * 8192 + 2").count() == 1
+    assert [(x.detector, x.seq) for x in rules.alerts(ready, Config(spoof_max_bps=200.0)).collect()] == [("spoofing", 21 * 8192)]
+
+
+def bodies(n, seed=1):
+    r = random.Random(seed)
+    return [f'{{ "id" : "a{k} x", "price": {r.randrange(100)}.50,\n "big": 12345678901234567890.{k}, "twice": 1, "twice": [ ] }}' for k in range(n)]
+
+
+def trail(spark, path, n=23, interval=5):
+    t = audit.Trail(str(path), audit.Signer.load(spark, str(path / "key")), interval, clock=lambda: 5)
+    t.append(bodies(n))
     t.close()
     return t
 
@@ -89,33 +176,95 @@ def trail(spark, tmp_path, n=10, interval=4):
 def test_trail(spark, tmp_path):
     t = trail(spark, tmp_path)
     r = audit.verify(spark, str(tmp_path), t.signer.public.hex())
-    assert (r["ok"], r["entries"], r["checkpoints"], r["checkpoints_verified"]) == (True, 10, 3, 3)
-    again = audit.Trail(str(tmp_path), t.signer, 4, clock=lambda: 6)
-    again.append(['{"id": "later"}', '{"id": "last"}'])
-    again.close()
-    assert audit.verify(spark, str(tmp_path))["entries"] == 12
+    assert (r["ok"], r["entries"], r["checkpoints"], r["checkpoints_verified"]) == (True, 23, 5, 5)
+    again = audit.Trail(str(tmp_path), t.signer, 5, clock=lambda: 6)
+    assert (again.seq, again.prev, again.leaves) == (t.seq, t.prev, [])
+    again.append(bodies(3, 2))
+    more = audit.Trail(str(tmp_path), t.signer, 5, clock=lambda: 6)
+    assert (more.seq, more.marked, more.leaves) == (26, 23, again.leaves)
+    more.close()
+    assert audit.verify(spark, str(tmp_path))["entries"] == 26
     assert not audit.verify(spark, str(tmp_path), "00" * 32)["ok"]
     assert audit.verify(spark, str(tmp_path / "none"))["ok"]
 
 
-@pytest.mark.parametrize("how, reason, seq", [("mutate", "hash mismatch", 6), ("reorder", "sequence break", 4), ("truncate", "missing entry", 8), ("signature", "invalid checkpoint signature", 4)])
-def test_tampering(spark, tmp_path, how, reason, seq):
-    trail(spark, tmp_path, 8 if how == "truncate" else 10)
+def test_payloads_keep_their_bytes():
+    for k, p in enumerate(bodies(4)):
+        got = audit.compact(p)
+        assert f'"id":"a{k} x"' in got and '.50,"big":12345678901234567890.' in got and got.count('"twice"') == 2 and "\n" not in got and json.loads(got) == json.loads(p)
+    for bad in ("", "{", "NaN", '{"a":Infinity}', "{'a':1}"):
+        with pytest.raises(ValueError):
+            audit.compact(bad)
+
+
+def test_batches_come_once(spark, tmp_path):
+    signer = audit.Signer(spark, bytes(32))
+    open_ = lambda: audit.Trail(str(tmp_path), signer, 4, clock=lambda: 7)
+    t = open_()
+    t.append_batch(bodies(6), 0)
+    t.append_batch(bodies(6), 0)
+    t.append_batch([], 1)
+    assert t.seq == 6
+    t.append(bodies(3, 5))  # a batch that is cut short after three of its entries
+    t = open_()
+    assert len(t.loose) == 3
+    t.append_batch(bodies(8, 5), 2)
+    t = open_()
+    t.append_batch(bodies(8, 5), 2)
+    t.append_batch(bodies(2, 9), 3)
+    t.close()
+    assert t.seq == 16 and audit.verify(spark, str(tmp_path))["ok"]
+    assert {json.loads(x)["ts_ns"] for x in (tmp_path / "audit.log").read_text().splitlines()} == {7}
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_tampering(spark, tmp_path, seed):
+    """A change at a random entry is found at that entry."""
+    r = random.Random(seed)
+    trail(spark, tmp_path)
     log, marks = tmp_path / "audit.log", tmp_path / "checkpoints.log"
     lines = log.read_text().splitlines()
-    if how == "mutate":
-        lines[5] = lines[5].replace('"score":6', '"score":7')
-    elif how == "reorder":
-        lines[2], lines[3] = lines[3], lines[2]
-    elif how == "truncate":
-        lines = lines[:-2]
+    at = r.randrange(1, len(lines) - 1)
+    if seed == 0:
+        lines[at] = lines[at].replace(".50,", ".51,")
+        want = ("hash mismatch", at + 1)
+    elif seed == 1:
+        lines[at - 1], lines[at] = lines[at], lines[at - 1]
+        want = ("sequence break", at + 1)
+    elif seed == 2:
+        del lines[at]
+        want = ("sequence break", at + 2)
+    elif seed == 3:
+        lines = lines[:-1]
+        want = ("missing entry", 23)
     else:
-        c = json.loads(marks.read_text().splitlines()[0])
-        c["signature"] = "00" + c["signature"][2:]
-        marks.write_text(json.dumps(c) + "\n")
+        c = [json.loads(x) for x in marks.read_text().splitlines()]
+        k = r.randrange(len(c))
+        c[k]["signature"] = c[k]["signature"][:-2] + ("00" if c[k]["signature"][-2:] != "00" else "01")
+        marks.write_text("".join(json.dumps(x) + "\n" for x in c))
+        want = ("invalid checkpoint signature", c[k]["to_seq"])
     log.write_text("\n".join(lines) + "\n")
-    r = audit.verify(spark, str(tmp_path))
-    assert not r["ok"] and reason in r["reason"] and r["failed_seq"] == seq
+    got = audit.verify(spark, str(tmp_path))
+    assert not got["ok"] and want[0] in got["reason"] and got["failed_seq"] == want[1]
+    assert audit.main([str(tmp_path), "--json"]) == 1
+
+
+def test_check_from_the_command_line(spark, tmp_path, capsys):
+    t = trail(spark, tmp_path / "a") if (tmp_path / "a").mkdir() is None else None
+    (tmp_path / "a" / "pubkey.hex").write_text(t.signer.public.hex())
+    assert audit.main([str(tmp_path / "a"), "--json"]) == 0 and json.loads(capsys.readouterr().out)["entries"] == 23
+    assert audit.main([str(tmp_path / "a"), "--key", "11" * 32]) == 1 and audit.main([str(tmp_path / "none")]) == 2
+
+
+def test_checkpoints_are_joined_by_equality(spark, tmp_path):
+    trail(spark, tmp_path)
+    log = audit.read_log(spark, str(tmp_path / "audit.log"))
+    marks = spark.read.schema(audit.MARK).json(str(tmp_path / "checkpoints.log"))
+    odd = spark.createDataFrame([(1, 10**15), (0, 3), (9, 2)], "from_seq bigint, to_seq bigint")
+    inside = audit.covered(log, marks.select("from_seq", "to_seq").union(odd), 23, stretch=4)
+    plan = inside._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert sorted((x.from_seq, x.seq) for x in inside.collect()) == [((k - 1) // 5 * 5 + 1, k) for k in range(1, 24)]
 
 
 def test_keys_and_roots(spark):
@@ -172,12 +321,21 @@ def test_stream_is_the_batch(spark, tmp_path, files):
         import os
 
         os.utime(p, (1_700_000_000 + k, 1_700_000_000 + k))
-    kept = []
-    q = engine.start(stream_of(spark, str(tmp_path / "in")), str(tmp_path / "cp"), str(tmp_path / "alerts"), str(tmp_path / "features"), append=lambda p, b: kept.append((b, len(p))))
+    kept, trail_ = [], audit.Trail(str(tmp_path / "trail"), audit.Signer(spark, bytes(32)), 2)
+
+    def append(payloads, batch):
+        kept.append((batch, len(payloads)))
+        for _ in range(2):  # a batch may come again
+            trail_.append_batch(payloads, batch)
+
+    q = engine.start(stream_of(spark, str(tmp_path / "in")), str(tmp_path / "cp"), str(tmp_path / "alerts"), str(tmp_path / "features"), append=append)
     q.awaitTermination()
-    got = [(r.seq, r.detector, round(r.score, 9)) for r in spark.read.parquet(str(tmp_path / "alerts")).orderBy("seq", F.desc("detector")).collect()]
-    want = [(r.seq, r.detector, round(r.score, 9)) for r in rules.alerts(tape_of_rows(spark, rows), Config()).orderBy("seq", F.desc("detector")).collect()]
+    got = [(r.seq, r.detector, round(r.score, 9), json.loads(r.body)) for r in spark.read.parquet(str(tmp_path / "alerts")).orderBy("seq", F.desc("detector")).collect()]
+    want = [(r.seq, r.detector, round(r.score, 9), json.loads(r.evidence)) for r in rules.alerts(tape_of_rows(spark, rows), Config()).orderBy("seq", F.desc("detector")).collect()]
     assert got == want and sum(n for _, n in kept) == len(want)
+    trail_.close()
+    kept_in_trail = audit.verify(spark, str(tmp_path / "trail"))
+    assert kept_in_trail["ok"] and kept_in_trail["entries"] == len(want)
     assert spark.read.parquet(str(tmp_path / "features")).count() == 2
 
 
@@ -196,11 +354,3 @@ def test_forest_by_walking_its_trees():
         assert abs(f.score(row[None, :])[0] + 2.0 ** (-mean / float(anomaly._depth(64)))) < 1e-12
     same = np.ones((50, 2))
     assert np.allclose(anomaly.Forest(same, trees=3).score(same), -0.5, atol=0.2)
-
-
-def test_what_reaches_the_books(spark):
-    row = lambda seq, first, final, snapshot=False, kind="depth": {"seq": seq, "ts_ns": seq, "ingest_ns": seq, "symbol": "S", "exchange": "x", "kind": kind, "is_snapshot": snapshot, "side": None, "price_raw": None, "qty_raw": None, "first_id": first, "final_id": final, "bids": [], "asks": []}
-    rows = [row(0, 5, 10), row(1, 11, 15), row(2, None, None, kind="trade"), row(3, None, 10, True), row(4, 16, 20), row(5, 10, 12), row(6, 30, 31), row(7, 32, 33), row(8, None, 31, True)]
-    got = [(r.seq, r.release_seq) for r in sync.applied(tape_of_rows(spark, rows)).orderBy("release_seq", "release_pos").collect()]
-    assert got == [(2, 2), (3, 3), (1, 3), (4, 4), (8, 8), (7, 8)]
-    assert [(r.seq, r.expected_id) for r in sync.gaps(tape_of_rows(spark, rows)).orderBy("seq").collect()] == [(5, 21), (6, 13)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from pathlib import Path
 from typing import Any
@@ -190,40 +191,106 @@ def _seeded(_jvm: Any, seed: bytes) -> bytes:
     return (out[1] | (out[0] & 1) << 255).to_bytes(32, "little")
 
 
+_STRINGS_AND_SPACE = re.compile(r'("(?:[^"\\]|\\.)*")|[ \t\r\n]+')
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+def compact(payload: str) -> str:
+    """A JSON text without the white space between its tokens; all else stays byte for byte. Raises ValueError if it is no JSON."""
+    json.loads(payload, parse_constant=_no_constant)
+    return _STRINGS_AND_SPACE.sub(lambda m: m[1] or "", payload)
+
+
+def _backwards(path: Path, block: int = 1 << 16) -> Iterator[str]:
+    """Lines of a file from the last one on, in bounded memory."""
+    with path.open("rb") as f:
+        at, rest = f.seek(0, os.SEEK_END), b""
+        while at:
+            at, n = max(0, at - block), min(at, block)
+            f.seek(at)
+            rest, *lines = (f.read(n) + rest).split(b"\n")
+            yield from (x.decode() for x in reversed(lines) if x.strip())
+        if rest.strip():
+            yield rest.decode()
+
+
+_PAYLOAD = re.compile(r'^\{"seq":[0-9]+,"ts_ns":[0-9]+,"payload":(.*),"prev_hash":"[^"]*","hash":"[^"]*"\}\s*$', re.S)
+
+
 class Trail:
-    """An append-only trail in a folder: ``audit.log`` and ``checkpoints.log``, one JSON object a line. One writer at a time."""
+    """An append-only trail in a folder: ``audit.log``, ``checkpoints.log`` and ``batches.log``, one JSON object a line. One writer at
+    a time. To go on with a trail only the entries after the last checkpoint and the last whole batch are read, from the end."""
 
     def __init__(self, folder: str, signer: Signer, interval: int = 32, clock=None) -> None:
         import time
 
-        self.log, self.marks = Path(folder) / "audit.log", Path(folder) / "checkpoints.log"
+        self.log, self.marks, self.batches = (Path(folder) / f"{x}.log" for x in ("audit", "checkpoints", "batches"))
         self.log.parent.mkdir(parents=True, exist_ok=True)
         self.signer, self.interval, self.clock = signer, interval, clock or time.time_ns
-        self.seq, self.prev, self.marked, self.leaves = 0, GENESIS, 0, []
-        marks = [json.loads(x) for x in self.marks.read_text().splitlines() if x] if self.marks.exists() else []
-        self.marked = marks[-1]["to_seq"] if marks else 0
-        for line in self.log.read_text().splitlines() if self.log.exists() else []:
-            if line:
-                e = json.loads(line)
+        last = lambda p: json.loads(next(_backwards(p), "{}")) if p.exists() else {}
+        done = last(self.batches)
+        self.seq, self.prev, self.leaves = 0, GENESIS, []
+        self.marked, self.batch, through = last(self.marks).get("to_seq", 0), done.get("batch"), done.get("to_seq", 0)
+        self.loose: list[str] = []  # entries of a batch that was cut short
+        for line in _backwards(self.log) if self.log.exists() else ():
+            e = json.loads(line)
+            if not self.seq:
                 self.seq, self.prev = e["seq"], e["hash"]
-                if e["seq"] > self.marked:
-                    self.leaves.append(e["hash"])
+            if e["seq"] > self.marked:
+                self.leaves.append(e["hash"])
+            if done and e["seq"] > through:
+                self.loose.append(_PAYLOAD.match(line)[1])
+            if e["seq"] <= self.marked and (not done or e["seq"] <= through):
+                break
+        self.leaves.reverse()
+        self.loose.reverse()
 
     def append(self, payloads: list[str], ts_ns: int | None = None) -> None:
         """Add entries, flush once, and sign a checkpoint each ``interval`` entries (none by itself if that is 0)."""
         with self.log.open("a") as f:
             for p in payloads:
-                body = json.dumps(json.loads(p), separators=(",", ":"), ensure_ascii=False)
+                body = compact(p)
                 self.seq += 1
                 ts = self.clock() if ts_ns is None else ts_ns
                 h = hash_entry(self.seq, ts, body.encode(), self.prev)
                 f.write(f'{{"seq":{self.seq},"ts_ns":{ts},"payload":{body},"prev_hash":"{self.prev}","hash":"{h}"}}\n')
                 self.prev = h
                 self.leaves.append(h)
+                if self.batch is not None:
+                    self.loose.append(body)
                 if self.interval > 0 and self.seq - self.marked >= self.interval:
                     f.flush()
                     os.fsync(f.fileno())
                     self.checkpoint()
+            f.flush()
+            os.fsync(f.fileno())
+
+    def append_batch(self, payloads: list[str], batch_id: int) -> None:
+        """Add the entries of a micro-batch once, however often it comes: what the streaming engine calls before it publishes alerts.
+
+        Batches come in ascending order. Of one that was cut short, only the entries that are missing are added. A trail that is fed
+        by batches takes no others in between.
+        """
+        if self.batch is None:
+            self._whole_batch(-1)
+        if batch_id <= self.batch:
+            return
+        new = [compact(p) for p in payloads]
+        known = 0
+        while known < min(len(new), len(self.loose)) and new[known] == self.loose[known]:
+            known += 1
+        self.append(new[known:])
+        self._whole_batch(batch_id)
+
+    def _whole_batch(self, batch_id: int) -> None:
+        with self.batches.open("a") as f:
+            f.write(json.dumps({"batch": batch_id, "to_seq": self.seq}) + "\n")
+            f.flush()
+            os.fsync(f.fileno())
+        self.batch, self.loose = batch_id, []
 
     def checkpoint(self) -> dict | None:
         """Sign what is pending; None if nothing is."""
@@ -277,7 +344,7 @@ def verify(spark: SparkSession, folder: str, pinned: str | None = None) -> dict:
     found = m.select("from_seq", "to_seq", "merkle_root", "signature", "public_key")
     if trail is not None:
         ship(spark)
-        inside = trail.select("seq", "hash").join(found.select("from_seq", "to_seq"), (F.col("seq") >= F.col("from_seq")) & (F.col("seq") <= F.col("to_seq")))
+        inside = covered(trail, found, out["entries"])
         roots = inside.groupBy("from_seq", "to_seq").applyInPandas(_range_root, "from_seq bigint, to_seq bigint, n bigint, root string")
         found = found.join(roots, ["from_seq", "to_seq"], "left")
     else:
@@ -302,6 +369,16 @@ def verify(spark: SparkSession, folder: str, pinned: str | None = None) -> dict:
     return out | {"ok": True}
 
 
+def covered(trail: DataFrame, marks: DataFrame, entries: int, stretch: int = 1 << 12) -> DataFrame:
+    """(from_seq, to_seq, seq, hash) of the entries under each checkpoint: an equality join on stretches of the sequence, with the
+    range as further condition. Checkpoints that reach outside the trail are left out."""
+    part = lambda c: F.floor(F.col(c) / stretch)
+    m = marks.where((F.col("from_seq") >= 1) & (F.col("from_seq") <= F.col("to_seq")) & (F.col("to_seq") <= entries)).select("from_seq", "to_seq").distinct()
+    m = m.withColumn("part", F.explode(F.sequence(part("from_seq"), part("to_seq"))))
+    t = trail.select("seq", "hash", part("seq").alias("part"))
+    return t.join(m, "part").where((F.col("seq") >= F.col("from_seq")) & (F.col("seq") <= F.col("to_seq"))).drop("part")
+
+
 def _range_root(rows: pd.DataFrame) -> pd.DataFrame:
     r = rows.sort_values("seq")
     return pd.DataFrame({"from_seq": [int(r["from_seq"].iloc[0])], "to_seq": [int(r["to_seq"].iloc[0])], "n": [len(r)], "root": [merkle_root(list(r["hash"]))]})

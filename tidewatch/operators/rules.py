@@ -17,6 +17,9 @@ from tidewatch.operators.windows import cooldown, numbered, over_symbol, sliding
 from tidewatch.types import BUY, DESCRIPTIONS, EMA_ALPHA, MS, RULES, SCALE, SELL, SEVERITIES, SEVERITY, Config
 
 
+WASH_NOTE = "footprint only: ownership is unknown"
+
+
 def trades(tape: DataFrame) -> DataFrame:
     return tape.where("kind = 'trade'").select("seq", "ts_ns", "symbol", "side", "price_raw", "qty_raw")
 
@@ -262,4 +265,4 @@ def _shown(detector: str, cfg: Config) -> tuple[Column, list[Column]]:
         ]
     if detector == "quote_stuffing":
         return clamp01(c("churn") / float(2 * cfg.stuff_churn)), [c("churn").alias("updates_in_window"), c("n_trades").alias("trades_in_window"), F.lit(cfg.stuff_window / MS).alias("window_ms")]
-    return clamp01(c("balance")), [c("n").alias("trades"), round4(c("band_bps")).alias("band_bps"), round4(c("volume")).alias("volume"), round4(c("balance")).alias("side_balance"), F.lit("footprint only: ownership is unknown").alias("note")]
+    return clamp01(c("balance")), [c("n").alias("trades"), round4(c("band_bps")).alias("band_bps"), round4(c("volume")).alias("volume"), round4(c("balance")).alias("side_balance"), F.lit(WASH_NOTE).alias("note")]

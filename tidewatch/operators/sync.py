@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections import deque
-from dataclasses import dataclass, field
-from typing import Any
+from collections.abc import Iterable
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,73 +17,63 @@ BUFFER = 4096
 CHECKSUM_LEVELS = 25
 
 
-@dataclass
-class Sync:
-    """Where the sequence of one book stands; diffs wait in ``waiting`` until a snapshot fits them."""
+class Feed(NamedTuple):
+    """What is known of one book's sequence. ``at``: id up to which messages were released, none while a snapshot is awaited;
+    ``joined``: a diff was released since the snapshot; ``held``: (first id, final id, item) that await it."""
 
-    limit: int = BUFFER
-    live: bool = False
-    fresh: bool = False  # no diff came since the snapshot
-    last: int = 0
+    at: int | None = None
+    joined: bool = False
+    held: tuple[tuple[int, int, Any], ...] = ()
     resyncs: int = 0
     dropped: int = 0
-    waiting: deque = field(default_factory=deque)
-
-    def _check(self, first: int, final: int) -> str:
-        if final <= self.last:
-            return "stale"
-        if first > self.last + 1 or (first != self.last + 1 and not self.fresh):
-            return "gap"
-        self.fresh, self.last = False, final
-        return "apply"
-
-    def _wait(self, item: tuple) -> None:
-        if len(self.waiting) >= max(1, self.limit):
-            self.waiting.popleft()
-            self.dropped += 1
-        self.waiting.append(item)
-
-    def diff(self, first: int, final: int, item: Any = None) -> tuple[str, list]:
-        """Outcome (buffered, stale, gap or apply) and what to pass on."""
-        if not self.live:
-            self._wait((first, final, item))
-            return "buffered", []
-        what = self._check(first, final)
-        if what == "gap":
-            self.live = self.fresh = False
-            self.resyncs += 1
-            self.waiting.clear()
-            self._wait((first, final, item))
-        return what, [item] if what == "apply" else []
-
-    def snapshot(self, final: int, item: Any = None) -> tuple[str, list]:
-        """Outcome (synced or again: another snapshot is needed) and what to pass on."""
-        self.last, self.fresh = final, True
-        out = [item]
-        while self.waiting:
-            first, last, waiting = self.waiting.popleft()
-            what = self._check(first, last)
-            if what == "gap":
-                self.waiting.clear()
-                self.fresh = False
-                self.resyncs += 1
-                return "again", []
-            if what == "apply":
-                out.append(waiting)
-        self.live = True
-        return "synced", out
-
-
-def _synced(s: Sync, row: tuple) -> list[tuple]:
+
+
+def _release(feed: Feed, diffs: Iterable[tuple[int, int, Any]]) -> tuple[Feed, list, tuple | None]:
+    """Let diffs through in order: (feed, items, the diff that leaves a hole and ends it, if any). Those that end before ``at`` are old
+    news; the one that joins a snapshot may overlap it, all others must follow on."""
+    out = []
+    for first, final, item in diffs:
+        if final <= feed.at:
+            continue
+        if first > feed.at + 1 or (feed.joined and first <= feed.at):
+            return feed._replace(at=None, joined=False, held=(), resyncs=feed.resyncs + 1), out, (first, final, item)
+        feed, out = feed._replace(at=final, joined=True), [*out, item]
+    return feed, out, None
+
+
+def _hold(feed: Feed, diff: tuple[int, int, Any], limit: int) -> Feed:
+    held = (*feed.held, diff)
+    over = max(0, len(held) - max(1, limit))
+    return feed._replace(held=held[over:], dropped=feed.dropped + over)
+
+
+def advance(feed: Feed, snapshot: bool, first: int | None, final: int, item: Any = None, limit: int = BUFFER) -> tuple[Feed, str, list]:
+    """The feed after a message, what came of it, and the items to pass on.
+
+    Snapshots are synced, or asked for again if the diffs that were held leave a hole behind them. Diffs are buffered while a snapshot
+    is awaited, else applied, stale, or a gap, after which they are the first to be held.
+    """
+    if snapshot:
+        after, out, hole = _release(feed._replace(at=final, joined=False, held=()), feed.held)
+        return after, "again" if hole else "synced", [] if hole else [item, *out]
+    if feed.at is None:
+        return _hold(feed, (first, final, item), limit), "buffered", []
+    after, out, hole = _release(feed, [(first, final, item)])
+    if hole:
+        return _hold(after, hole, limit), "gap", []
+    return after, "apply" if out else "stale", out
+
+
+def _synced(box: list[Feed], row: tuple) -> list[tuple]:
     seq, snapshot, first, final = row
-    what, out = s.snapshot(final, seq) if snapshot else s.diff(first, final, seq)
-    return [(seq, what, [x for x in out if x is not None], s.resyncs, s.dropped)]
+    box[0], what, out = advance(box[0], snapshot, first, final, seq)
+    return [(seq, what, [x for x in out if x is not None], box[0].resyncs, box[0].dropped)]
 
 
 def synced(tape: DataFrame) -> DataFrame:
     """Every depth message with its outcome, the messages (by seq) that it lets pass in order, and the counters so far."""
     d = tape.where("kind = 'depth'")
-    return fold(d, ["seq"], ["seq", "is_snapshot", "first_id", "final_id"], Sync, _synced, "seq bigint, outcome string, passed array<bigint>, resyncs bigint, dropped bigint")
+    return fold(d, ["seq"], ["seq", "is_snapshot", "first_id", "final_id"], lambda: [Feed()], _synced, "seq bigint, outcome string, passed array<bigint>, resyncs bigint, dropped bigint")
 
 
 def applied(tape: DataFrame) -> DataFrame:
@@ -97,6 +86,15 @@ def applied(tape: DataFrame) -> DataFrame:
     return tape.where("kind = 'depth'").join(s, ["symbol", "seq"]).unionByName(trades)
 
 
+def released(tape: DataFrame) -> DataFrame:
+    """The tape in the order in which messages pass, for books and rules: numbered anew by release, and what waited has the time of
+    the message that let it pass. ``origin_seq`` is the number before."""
+    a = applied(tape)
+    passed = tape.select("symbol", F.col("seq").alias("release_seq"), F.col("ts_ns").alias("release_ts"))
+    a = a.join(passed, ["symbol", "release_seq"]).withColumns({"origin_seq": F.col("seq"), "seq": F.col("release_seq") * (2 * BUFFER) + F.col("release_pos"), "ts_ns": F.greatest("ts_ns", "release_ts")})
+    return a.select(*tape.columns, "origin_seq")
+
+
 def gaps(tape: DataFrame) -> DataFrame:
     """Diffs that don't follow the diff before them: symbol, seq, first_id, expected_id. A plain window where the feed is clean."""
     d = tape.where("kind = 'depth' AND NOT is_snapshot").select("symbol", "seq", "first_id", "final_id")

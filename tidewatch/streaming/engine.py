@@ -7,6 +7,7 @@ cooldowns. The step is plain Python, so tests can also run it over a list and ho
 from __future__ import annotations
 
 import json
+import math
 import pickle
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -18,13 +19,23 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewatch.operators.book import Ladder, _pairs
-from tidewatch.operators.rules import Leg, Typical
+from tidewatch.operators.rules import WASH_NOTE, Leg, Typical
 from tidewatch.shipping import ship
-from tidewatch.types import BUY, SCALE, SEC, SELL, SEVERITIES, SEVERITY, SIDES, Config
+from tidewatch.types import BUY, MS, SCALE, SEC, SELL, SEVERITIES, SEVERITY, SIDES, Config
 
 OUT = "symbol string, seq bigint, ts_ns bigint, kind string, detector string, severity int, severity_label string, score double, detect_latency_us bigint, body string"
 
 
+def _text(raw: int) -> str:
+    """Shortest decimal string of a count of 1e-8."""
+    whole, part = divmod(abs(raw), SCALE)
+    return f"{'-' * (raw < 0)}{whole}{f'.{part:08d}'.rstrip('0').rstrip('.')}"
+
+
+def _round4(x: float) -> float:
+    return math.copysign(math.floor(abs(x) * 1e4 + 0.5) / 1e4, x) if math.isfinite(x) else 0.0
+
+
 class Recent:
     """Rows of the last ``length`` nanoseconds."""
 
@@ -76,7 +87,9 @@ class SymbolState:
         found = self.leg.trade(cfg, now, price / SCALE, prices[0], max(prices), min(prices), net)
         if found:
             leg_bps = (found[2] - found[1]) / found[1] * 1e4
-            out.append(("momentum_ignition", min(1.0, abs(leg_bps) / (2 * cfg.ignite_bps)), {"direction": SIDES[found[0]], "leg_start": found[1], "leg_peak": found[2]}))
+            retrace = (price / SCALE - found[2]) / found[2] * 1e4 if found[2] else 0.0
+            told = {"direction": SIDES[found[0]], "leg_bps": _round4(leg_bps), "retrace_bps": _round4(retrace), "leg_start": _round4(found[1]), "leg_peak": _round4(found[2]), "reverse_price": _round4(price / SCALE)}
+            out.append(("momentum_ignition", min(1.0, abs(leg_bps) / (2 * cfg.ignite_bps)), told))
         self.quiet.add(now)
         self.wash.add(now, (side, price, qty))
         if len(self.wash) >= cfg.wash_min_trades and now - self.fired.get("wash_trade", 0) >= cfg.wash_cooldown:
@@ -85,9 +98,10 @@ class SymbolState:
             buys, sells = (sum(q for s, _, q in w if s == x) for x in (BUY, SELL))
             volume = (buys + sells) / SCALE
             balance = min(buys, sells) / SCALE / volume if volume > 0 else 0.0
-            if hi + lo and (hi - lo) / ((hi + lo) / 2) * 1e4 <= cfg.wash_band_bps and balance >= cfg.wash_balance and volume >= cfg.wash_min_volume:
+            band = (hi - lo) / ((hi + lo) / 2) * 1e4 if hi + lo else None
+            if band is not None and band <= cfg.wash_band_bps and balance >= cfg.wash_balance and volume >= cfg.wash_min_volume:
                 self.fired["wash_trade"] = now
-                out.append(("wash_trade", min(1.0, balance), {"trades": len(w), "volume": volume}))
+                out.append(("wash_trade", min(1.0, balance), {"trades": len(w), "band_bps": _round4(band), "volume": _round4(volume), "side_balance": _round4(balance), "note": WASH_NOTE}))
         self.flow.add(now, qty if side == BUY else -qty)
         return out
 
@@ -107,7 +121,7 @@ class SymbolState:
                 self.churn.add(now)
             self.quiet.drop(now)
             if len(self.churn) >= cfg.stuff_churn and len(self.quiet) <= cfg.stuff_max_trades and self._free("quote_stuffing", now, cfg.stuff_cooldown):
-                out.append(("quote_stuffing", min(1.0, len(self.churn) / (2 * cfg.stuff_churn)), {"updates_in_window": len(self.churn), "trades_in_window": len(self.quiet)}))
+                out.append(("quote_stuffing", min(1.0, len(self.churn) / (2 * cfg.stuff_churn)), {"updates_in_window": len(self.churn), "trades_in_window": len(self.quiet), "window_ms": cfg.stuff_window / MS}))
         for _, _, _, old, new in deltas:
             self.changes.add(now, new < old)
         return out
@@ -122,10 +136,12 @@ class SymbolState:
         out = []
         self.pulls.add(now, (side, price))
         if self._free("spoofing", now, cfg.spoof_cooldown):
-            out.append(("spoofing", min(1.0, p[0] / SCALE / (cfg.spoof_multiple * self.typical.mean) / 3), {"side": SIDES[side], "price_raw": price, "lifetime_ms": (now - p[1]) / 1e6}))
+            size, typical = p[0] / SCALE, self.typical.mean
+            told = {"side": SIDES[side], "price": _text(price), "flagged_qty": _text(p[0]), "typical_qty": _round4(typical), "size_multiple": _round4(size / typical), "lifetime_ms": _round4((now - p[1]) / 1e6), "traded_qty": _text(p[2])}
+            out.append(("spoofing", min(1.0, size / (cfg.spoof_multiple * typical) / 3), told))
         n = len({x for s, x in self.pulls if s == side})
         if n >= cfg.layering_levels and self._free("layering", now, cfg.layering_cooldown):
-            out.append(("layering", min(1.0, n / cfg.layering_levels / 2), {"side": SIDES[side], "levels_pulled": n}))
+            out.append(("layering", min(1.0, n / cfg.layering_levels / 2), {"side": SIDES[side], "levels_pulled": n, "window_ms": cfg.layering_window / MS}))
         return out
 
     def vector(self, now: int) -> dict[str, float] | None:
@@ -191,7 +207,7 @@ def volume_by_window(tape: DataFrame, delay: str = "10 seconds", width: str = "1
 def sink(append: Callable[[list[str], int], None] | None, alerts_path: str, features_path: str) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` writer: alerts first go to the audit trail, then to their table; a batch that comes again replaces itself.
 
-    ``append(payloads, batch_id)`` must ignore a batch that it has seen.
+    ``append(payloads, batch_id)`` must ignore a batch that it has seen, as ``audit.Trail.append_batch`` does.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
