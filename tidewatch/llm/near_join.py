@@ -11,8 +11,8 @@ counted in each fragment on its own and summed per pair or document. Documents w
 3. Overlaps of leaders with those they lead are counted by fragment and summed per pair; links make components.
 4. Pairs under one leader in different components remain. The overlaps with the leader bound theirs; those that could reach the
    threshold are counted like the others. With that, every link between two components has been looked at, and pairs inside
-   a component need not be. A group of copies costs a row per member rather than per pair, unless many of its members
-   straggle near the threshold.
+   a component need not be. A group of copies costs a row per member rather than per pair; each straggler near the threshold
+   costs a pair with each member of other components under its leader that the bounds leave.
 
 No cap or sample is used anywhere. Two n-grams of one pair share a hash with odds of about 2**-64 a pair of n-grams.
 """
@@ -36,6 +36,7 @@ FRAGMENTS = 2  # of the sets whose pairs are counted: a pair costs a row in each
 FRAGMENT_TOKENS = 1 << 21  # about as many n-grams meet in a task of the first step
 FILE_TOKENS = 1 << 21  # of the sets that may have partners, behind each file that is written for them
 FLUSH_TOKENS = 1 << 20
+SALTS = 16  # parts of the members of a leader that stragglers are paired with
 
 
 def _spare(n: int, percent: int) -> int:
@@ -247,15 +248,39 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     led = led.join(labels.withColumnRenamed("doc_id", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
     mixed = led.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("a")
     led = led.join(mixed, "a", "left_semi")
-    u, v = led.alias("u"), led.alias("v")
-    most = F.least("u.overlap", "v.overlap") + F.least(F.col("u.m") - F.col("u.overlap"), F.col("v.m") - F.col("v.overlap"))
-    could = most * (100 + percent) >= (F.col("u.n") + F.col("v.n")) * percent
-    rest = u.join(v, (F.col("u.a") == F.col("v.a")) & (F.col("u.b") < F.col("v.b")) & (F.col("u.component") != F.col("v.component")) & (F.col("u.b") != F.col("u.a")) & (F.col("v.b") != F.col("v.a")) & could)
-    rest = rest.select(F.col("u.b").alias("a"), F.col("v.b").alias("b")).distinct()
+    rest = _stragglers(led, percent)
     more = written(linked(rest).where("link").select("a", "b"), "more-links", few)
     return labels if more.isEmpty() else components(links.unionByName(more), few)
 
 
+def _stragglers(led: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs under one leader in different components that may be linked, from (a, b, overlap, n, m, component).
+
+    At most one side of a pair may be of the component that most of the leader's members belong to, so a large component is never
+    paired with itself. Members of one size, overlap with the leader and number of shared n-grams have the same bound: pairs of such
+    classes are tested first, and only members of classes that pass are paired, in ``SALTS`` parts of the larger side.
+    """
+    kind = ["overlap", "n", "m"]
+    led = written(led, "led")
+    most = led.groupBy("a", "component").count().groupBy("a").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    led = led.join(most, "a").where("a <> b").withColumn("away", F.col("component") != F.col("main")).drop("main")
+    span = [F.min("component").alias("lo"), F.max("component").alias("hi")]
+    of = lambda d, c: d.groupBy("a", *kind).agg(*span).select("a", *[F.col(x).alias(f"{x}_{c}") for x in (*kind, "lo", "hi")])
+    bound = F.least("overlap_u", "overlap_v") + F.least(F.col("m_u") - F.col("overlap_u"), F.col("m_v") - F.col("overlap_v"))
+    apart = ~((F.col("lo_u") == F.col("hi_u")) & (F.col("lo_v") == F.col("hi_v")) & (F.col("lo_u") == F.col("lo_v")))
+    could = of(led.where("away"), "u").join(of(led, "v"), "a").where((bound * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent) & apart)
+    u = led.where("away").select("a", *[F.col(x).alias(f"{x}_u") for x in kind], F.col("b").alias("b_u"), F.col("component").alias("component_u"))
+    u = u.join(could.select("a", *[f"{x}_{c}" for x in kind for c in "uv"]), ["a", *[f"{x}_u" for x in kind]]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    v = led.select("a", *[F.col(x).alias(f"{x}_v") for x in kind], F.col("b").alias("b_v"), F.col("component").alias("component_v"), F.col("away").alias("away_v"), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
+    pairs = u.join(v, ["a", *[f"{x}_v" for x in kind], "salt"]).where("component_u <> component_v AND (NOT away_v OR b_u < b_v)")
+    return pairs.select(F.col("b_u").alias("a"), F.col("b_v").alias("b")).distinct()
+
+
+def _one_text(rows: DataFrame) -> DataFrame:
+    """Of rows that repeat an id, the least text by hash."""
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles (size of its set), component_id (smallest doc_id that links reach, itself included).
 
@@ -268,7 +293,7 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
     sketch = written(rows.mapInArrow(_sketch(n_words, percent), "doc_id long, n long, digest binary, n_head long, head binary"), "sketch")
     known = sketch.where("doc_id IS NOT NULL")
     able = written(_candidates(known, percent), "able")  # its size tells Spark how to join the texts
-    sets = rows.join(able, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(n_words), "doc_id long, n long, tokens array<long>")
+    sets = _one_text(rows.join(able, "doc_id", "left_semi")).mapInArrow(_sets(n_words), "doc_id long, n long, tokens array<long>")
     labels = _links(written(sets, "sets"), percent)
     classes = known.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes = classes.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
@@ -277,13 +302,14 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, percent: int = PERCEN
 
 
 def keep_one(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, that with the smallest doc_id; of rows that repeat an id, one. Rows with null ids stay.
+    """One document of each component, that with the smallest doc_id; of rows that repeat an id, that with the least text by hash. Rows with
+    null ids stay.
 
     All columns; texts without words are linked with nothing and stay.
     """
     found = near_duplicates(docs, n_words, percent)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row")).select("row.*")
     return kept.unionByName(docs.where("doc_id IS NULL"))
 
 
