@@ -116,15 +116,15 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[str, str | None]]]:
-    """Items streamed to the driver, at most a block of them (and one item more) at a time."""
-    block, held = [], 0
+    """Items streamed to the driver, at most a block of them (and one item more) at a time; one empty block if there are none."""
+    block, held, first = [], 0, True
     for item, text in benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("string"), text_col).toLocalIterator():
         block.append((item, text))
         held += len(text)
         if held >= block_chars:
             yield block
-            block, held = [], 0
-    if block:
+            block, held, first = [], 0, False
+    if block or first:
         yield block
 
 
@@ -138,7 +138,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     sc = ship(docs.sparkSession).sparkContext
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"), F.lit(0).cast("long").alias("__n"), F.lit(b"").alias("__hit"), F.array().cast("array<string>").alias("__items"))
     schema = out.schema
-    for block in [*_blocks(benchmark, item_col, item_text_col, block_chars)] or [[]]:
+    for block in _blocks(benchmark, item_col, item_text_col, block_chars):  # the driver keeps none of them
         key = (window, hashlib.sha256(repr(block).encode()).hexdigest())
         out = out.mapInArrow(_scan(sc.broadcast(block), key, window), schema)
     kind = dict(docs.dtypes)[id_col]

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.llm._names import free
 from tidewatch.scratch import written
 
 MAX_RATIO = 0.05
@@ -44,24 +45,26 @@ def boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int =
 
 
 def drop_boilerplate(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text", distinct: bool = False) -> DataFrame:
-    """All rows and columns of ``docs`` with the site's boilerplate lines gone from the text, and __n_lines, __n_dropped.
+    """All rows and columns of ``docs`` with the site's boilerplate lines gone from the text, and n_lines, n_dropped (with an underscore
+    behind them where ``docs`` has such columns).
 
     Lines compare without the spaces around them; blank lines always stay. Null and empty texts become empty. A null site is a
     site of its own. Rows that repeat count as pages of their own, or once if ``distinct``. A site of fewer than ``min_pages`` pages loses nothing.
     """
-    found = written(boilerplate(docs, max_ratio, min_pages, host_col, text_col, distinct), "boilerplate").select(F.col("site").alias("__site"), F.col("lines").alias("__found"))
+    of_site, found, rest, n_lines, n_dropped = free(docs, "site", "found", "rest", "n_lines", "n_dropped")
+    known = written(boilerplate(docs, max_ratio, min_pages, host_col, text_col, distinct), "boilerplate").select(F.col("site").alias(of_site), F.col("lines").alias(found))
     site = F.struct(F.col(host_col).isNull().alias("none"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("name"))
-    joined = docs.withColumn("__site", site).join(found, "__site", "left")
+    joined = docs.withColumn(of_site, site).join(known, of_site, "left")
     lines = _lines(F.col(text_col))
-    kept = F.when(F.col("__found").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__found"), F.xxhash64(F.trim(x)))))
-    out = joined.withColumn("__lines", kept).withColumn("__n_lines", F.size(lines).cast("long"))
-    out = out.withColumn("__n_dropped", F.col("__n_lines") - F.size("__lines")).withColumn(text_col, F.array_join("__lines", "\n"))
-    return out.select(*docs.columns, "__n_lines", "__n_dropped")
+    kept = F.when(F.col(found).isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col(found), F.xxhash64(F.trim(x)))))
+    out = joined.withColumn(rest, kept).withColumn(n_lines, F.size(lines).cast("long"))
+    out = out.withColumn(n_dropped, F.col(n_lines) - F.size(rest)).withColumn(text_col, F.array_join(rest, "\n"))
+    return out.select(*docs.columns, n_lines, n_dropped)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_boilerplate(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text")
+    return out.select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def sql(documents: str = "documents", columns: str = "doc_id, n_lines, n_lines - len(rest) AS n_dropped, array_to_string(rest, chr(10)) AS text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> str:

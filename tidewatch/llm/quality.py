@@ -18,11 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.llm._names import free
 from tidewatch.llm._ngrams import mix64, span_hashes
 from tidewatch.scratch import written
 from tidewatch.shipping import ship
 
 BITS = 16
+REACH = 1 << 21
 MAX_TARGET = 8000
 MARGIN = 3.0  # standard errors of the share of good labels that are added to it
 STEP = 1e-6  # keys closer than this count as ties
@@ -31,26 +33,41 @@ BINS = 4096
 _CLASS = np.array([0 if c <= 32 or c == 127 else 1 if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 2 for c in range(256)], np.uint8)
 
 
+def parts(text: str | None) -> Iterator[np.ndarray]:
+    """Buckets of the runs of letters and digits, of the runs of other visible characters, and of neighbouring pairs of runs, for
+    stretches of about ``REACH`` bytes that are cut between runs."""
+    whole = np.frombuffer((text or "").lower().encode(), np.uint8)
+    at, before = 0, np.empty(0, np.uint64)
+    while at < len(whole):
+        to = min(len(whole), at + REACH)
+        while to < len(whole) and _CLASS[whole[to - 1]] and _CLASS[whole[to]] == _CLASS[whole[to - 1]]:
+            to += 1
+        data = whole[at:to]
+        kind = np.concatenate([[0], _CLASS[data], [0]]).astype(np.int8)
+        edge = kind[1:] != kind[:-1]
+        starts, ends = np.flatnonzero(edge & (kind[1:] > 0)), np.flatnonzero(edge & (kind[:-1] > 0))
+        at = to
+        if len(starts):
+            one = span_hashes(data, starts, ends)
+            near = np.concatenate([before, one])
+            two = mix64(near[:-1] * np.uint64(0x9E3779B97F4A7C15) + near[1:])
+            before = one[-1:]
+            yield (np.concatenate([one, two]) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 def buckets(text: str | None) -> np.ndarray:
-    """Buckets of the runs of letters and digits, of the runs of other visible characters, and of neighbouring pairs of runs."""
-    data = np.frombuffer((text or "").lower().encode(), np.uint8)
-    kind = np.concatenate([[0], _CLASS[data], [0]]).astype(np.int8)
-    edge = kind[1:] != kind[:-1]
-    starts, ends = np.flatnonzero(edge & (kind[1:] > 0)), np.flatnonzero(edge & (kind[:-1] > 0))
-    if not len(starts):
-        return np.empty(0, np.int64)
-    one = span_hashes(data, starts, ends)
-    two = mix64(one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:])
-    return (np.concatenate([one, two]) >> np.uint64(64 - BITS)).astype(np.int64)
+    return np.concatenate([*parts(text), np.empty(0, np.int64)])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << BITS, np.int64)
     for b in batches:
         for text in b.column("text").to_pylist():
-            counts += np.bincount(x, minlength=1 << BITS) if len(x := buckets(text)) > 5000 else 0
-            if len(x) <= 5000:
-                np.add.at(counts, x, 1)
+            for x in parts(text):
+                if len(x) > 5000:
+                    counts += np.bincount(x, minlength=1 << BITS)
+                else:
+                    np.add.at(counts, x, 1)
     some = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["bucket", "n"])
 
@@ -62,12 +79,12 @@ def _model(docs: DataFrame) -> np.ndarray:
     return np.log(n) - np.log(n.sum())
 
 
-def _weigh(ratio_of, text_col: str):
+def _weigh(ratio_of, text_col: str, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio = ratio_of.value
         for b in batches:
-            s = [float(ratio[buckets(t)].sum()) for t in b.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "__log_weight"])
+            s = [float(sum(ratio[x].sum() for x in parts(t))) for t in b.column(text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, name])
 
     return run
 
@@ -78,10 +95,10 @@ def ratios(docs: DataFrame, target: DataFrame) -> np.ndarray:
     return _model(target) - _model(docs)
 
 
-def weighed(docs: DataFrame, ratio: np.ndarray, text_col: str = "text") -> DataFrame:
-    """All rows and columns, and __log_weight: log of target over raw likelihood; 0 for null, empty and blank texts."""
+def weighed(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", name: str = "log_weight") -> DataFrame:
+    """All rows and columns, and ``name``: log of target over raw likelihood; 0 for null, empty and blank texts."""
     sc = ship(docs.sparkSession).sparkContext
-    return docs.mapInArrow(_weigh(sc.broadcast(ratio), text_col), T.StructType([*docs.schema.fields, T.StructField("__log_weight", T.DoubleType())]))
+    return docs.mapInArrow(_weigh(sc.broadcast(ratio), text_col, name), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def gumbel(doc_id: Column, seed: int) -> Column:
@@ -121,7 +138,7 @@ def _cut(docs: DataFrame, labels: DataFrame, fraction: float | None, max_target:
     if fraction is None:
         share = (good or 0) / n if n else 1.0
         fraction = min(1.0, share + MARGIN * math.sqrt(share * (1 - share) / n)) if good else 1.0
-    scored = weighed(docs.select("doc_id", "text"), ratio).select("doc_id", F.col("__log_weight").alias("log_weight"))
+    scored = weighed(docs.select("doc_id", "text"), ratio).select("doc_id", "log_weight")
     scored = written(scored.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)), "weights")
     return scored, ratio, kth_largest(scored.select(_rank(F.col("key")).alias("key")), math.ceil(fraction * scored.count()))
 
@@ -141,8 +158,9 @@ def resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None,
 def keep_good(docs: DataFrame, labels: DataFrame, fraction: float | None = None, max_target: int = MAX_TARGET, seed: int = 17) -> DataFrame:
     """The rows of ``docs`` that ``resample`` keeps, with all columns; weighed once more rather than joined, so no text is shuffled."""
     _, ratio, least = _cut(docs, labels, fraction, max_target, seed)
-    rank = _rank(F.col("__log_weight") + gumbel(F.col("doc_id"), seed))
-    return weighed(docs, ratio).where(rank >= F.lit(least) if least is not None else F.lit(True)).select(*docs.columns)
+    (name,) = free(docs, "log_weight")
+    rank = _rank(F.col(name) + gumbel(F.col("doc_id"), seed))
+    return weighed(docs, ratio, name=name).where(rank >= F.lit(least) if least is not None else F.lit(True)).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -114,12 +114,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
     """(feature of each bucket or -1, weight of each feature, bias) from labelled rows outside the held-out fold.
 
     Labels without doc_id or toxic are void; of labels that repeat for a doc_id one counts, 1 before 0. Without any usable
-    label every score is 0.5; with labels of one kind the bias alone decides.
+    label every score is 0.5; with labels of one kind the bias alone decides. Of rows that repeat a doc_id one text counts, the least by hash.
     """
     sc = ship(docs.sparkSession).sparkContext
     ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label")).where(~held_out(F.col("doc_id")))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # what is broadcast has this bound
-    rows = written(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]), "toxic-train")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy(F.col("doc_id").cast("string").alias("doc_id"), "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = written(rows, "toxic-train")
     rows = rows.coalesce(TRAIN_TASKS)  # each task counts up to 2**BITS buckets
     counted = rows.select("text", "label").mapInArrow(_count, "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     counted = counted.where(F.col("neg") + F.col("pos") >= MIN_ROWS).toPandas()  # 2**BITS rows at most
@@ -132,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tup
     table = np.full(1 << BITS, -1, np.int32)
     table[counted["bucket"].to_numpy()[best]] = np.arange(len(best))
     ratio = np.log((pos[best] + 1) / (n_pos + 2)) - np.log((neg[best] + 1) / (n_neg + 2))
-    kept = rows.mapInArrow(_rows(sc.broadcast(table)), "doc_id long, label int, features binary").toPandas().sort_values("doc_id")
+    kept = rows.mapInArrow(_rows(sc.broadcast(table)), "doc_id string, label int, features binary").toPandas().sort_values("doc_id")
     weights, bias = _fit([np.frombuffer(x, np.int32) for x in kept["features"]], kept["label"].to_numpy(float), ratio)
     return table, weights, bias
 

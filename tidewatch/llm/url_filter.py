@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewatch.llm._names import free
 from tidewatch.scratch import written
 
 #: Changes of the lists: list, key, action, day from which it holds.
@@ -48,7 +49,7 @@ def intervals(changed: DataFrame) -> DataFrame:
     Changes without a list, key, action or day are void. Of changes of one entry on one day, a removal wins. Keys are hosts, hosts
     with a path, or whole URLs; the host's case, user, port, fragment and slashes at the end don't tell entries apart.
     """
-    host, path = host_of(F.col("key")), F.regexp_extract("key", PATH, 1)
+    host, path = host_of(F.col("key")), path_of(F.col("key"))
     plain = F.split(F.regexp_replace("key", "#.*$", ""), "/", 2)
     host, path = F.when(host != "", host).otherwise(F.lower(plain[0])), F.when(host != "", path).otherwise(F.coalesce(F.get(plain, F.lit(1)), F.lit("")))
     changed = changed.withColumn("key", F.regexp_replace(F.concat(host, F.lit("/"), path), "/+$", ""))
@@ -56,9 +57,21 @@ def intervals(changed: DataFrame) -> DataFrame:
     return c.withColumn("valid_to", F.lead("day").over(W.partitionBy("list", "key").orderBy("day"))).where("action = 'add'").select("list", "key", F.col("day").alias("valid_from"), "valid_to")
 
 
+def _plain(url: Column) -> Column:
+    """A URL as browsers read it: no space around it, back slashes as slashes, and a scheme where only ``//`` stands."""
+    u = F.translate(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), "\\", "/")
+    return F.when(u.startswith("//"), F.concat(F.lit("http:"), u)).otherwise(u)
+
+
 def host_of(url: Column) -> Column:
-    """Lower-case host; empty for a null or relative URL."""
-    return F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
+    """Lower-case host, percent-decoded and without dots at its end; empty for a null or relative URL."""
+    host = F.coalesce(F.regexp_extract(_plain(url), HOST, 1), F.lit(""))
+    host = F.when(F.contains(host, F.lit("%")), F.coalesce(F.try_url_decode(host), host)).otherwise(host)
+    return F.lower(F.rtrim(host, F.lit(".")))
+
+
+def path_of(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(_plain(url), PATH, 1), F.lit(""))
 
 
 def keys_of(host: Column, path: Column) -> Column:
@@ -76,13 +89,17 @@ def evaluate(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_
 
     A null URL or day matches nothing. Rows that repeat each stay. Columns of these three names are replaced.
     """
-    c = captures.drop("host", "lists", "blocked").withColumns({"__host": host_of(F.col(url_col)), "__path": F.coalesce(F.regexp_extract(url_col, PATH, 1), F.lit("")), "__day": F.col(day_col)})
-    each = c.select("__host", "__path", "__day").where("__host <> '' AND __day IS NOT NULL").distinct().withColumn("key", F.explode(keys_of(F.col("__host"), F.col("__path"))))
-    hit = (F.col("valid_from") <= F.col("__day")) & (F.col("valid_to").isNull() | (F.col("__day") < F.col("valid_to")))
-    found = each.join(entries, "key").where(hit).groupBy("__host", "__path", "__day").agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
-    found = written(found, "url-hits")
-    out = c.join(found, ["__host", "__path", "__day"], "left")
-    return out.select(*[x for x in captures.columns if x not in ("host", "lists", "blocked")], F.col("__host").alias("host"), F.coalesce("lists", F.lit("")).alias("lists"), F.col("lists").isNotNull().alias("blocked"))
+    kept = [x for x in captures.columns if x.lower() not in ("host", "lists", "blocked")]
+    names = free(captures, "host", "path", "day", "lists")
+    host, path, day, lists = names
+    url, fetched = F.col(url_col), F.col(day_col)
+    c = captures.select(*kept, host_of(url).alias(host), path_of(url).alias(path), fetched.alias(day))
+    each = c.select(F.col(host).alias("host"), F.col(path).alias("path"), F.col(day).alias("day")).where("host <> '' AND day IS NOT NULL").distinct().withColumn("key", F.explode(keys_of(F.col("host"), F.col("path"))))
+    hit = (F.col("valid_from") <= F.col("day")) & (F.col("valid_to").isNull() | (F.col("day") < F.col("valid_to")))
+    found = each.join(entries, "key").where(hit).groupBy("host", "path", "day").agg(F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
+    found = written(found, "url-hits").select(F.col("host").alias(host), F.col("path").alias(path), F.col("day").alias(day), F.col("lists").alias(lists))
+    out = c.join(found, [host, path, day], "left")
+    return out.select(*kept, F.col(host).alias("host"), F.coalesce(lists, F.lit("")).alias("lists"), F.col(lists).isNotNull().alias("blocked"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
