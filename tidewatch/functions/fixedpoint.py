@@ -17,11 +17,9 @@ def idiv(a: Column, b: int) -> Column:
 
 def parse(text: Column) -> Column:
     """Count of 1e-8 in a decimal string, digits after the eighth cut off; null for anything else and out of range."""
-    digits = F.regexp_extract(text, r"^[+-]?0*([0-9]*)", 1)
-    part = F.rpad(F.substring(F.regexp_extract(text, r"\.([0-9]*)$", 1), 1, 8), 8, "0").cast("bigint")
-    whole = F.when(digits == "", F.lit(0)).when(F.length(digits) < 12, F.when(F.length(digits).between(1, 11), digits).cast("bigint"))
-    top = (2**63 - 1) // SCALE
-    size = F.when((whole < top) | ((whole == top) & (part <= (2**63 - 1) % SCALE)), whole * SCALE + part)
+    body = F.ltrim(text, F.lit("+-"))
+    part = F.rpad(F.substring(F.split_part(body, F.lit("."), F.lit(2)), 1, 8), 8, "0")
+    size = F.concat(F.substring_index(body, ".", 1), part).try_cast("bigint")
     return F.when(text.rlike(DECIMAL), F.when(text.startswith("-"), -size).otherwise(size))
 
 

@@ -18,7 +18,7 @@ def _epoch() -> Column:
     return F.sum(F.col("is_snapshot").cast("bigint")).over(over_symbol(["seq"]))
 
 
-def _exploded(messages: DataFrame, *keep: str) -> DataFrame:
+def exploded(messages: DataFrame, *keep: str) -> DataFrame:
     each = lambda c, side: F.transform(F.col(c), lambda x: F.struct(F.lit(side).alias("side"), x["p"].alias("price_raw"), x["q"].alias("qty_raw")))
     x = messages.select("seq", "ts_ns", "symbol", "is_snapshot", *keep, F.posexplode(F.concat(each("bids", BUY), each("asks", SELL))).alias("pos", "l"))
     return x.select("seq", "ts_ns", "symbol", "is_snapshot", *keep, "pos", "l.side", "l.price_raw", "l.qty_raw")
@@ -26,7 +26,7 @@ def _exploded(messages: DataFrame, *keep: str) -> DataFrame:
 
 def levels(tape: DataFrame) -> DataFrame:
     """One row for each level of a depth message, bids first: seq, ts_ns, symbol, is_snapshot, pos, side, price_raw, qty_raw."""
-    return _exploded(tape.where("kind = 'depth'"))
+    return exploded(tape.where("kind = 'depth'"))
 
 
 def epochs(tape: DataFrame) -> DataFrame:
@@ -38,7 +38,7 @@ def epochs(tape: DataFrame) -> DataFrame:
 def _levels_by_epoch(tape: DataFrame) -> DataFrame:
     """Levels of synced symbols with their epoch; those of a snapshot need a positive size."""
     d = tape.where("kind = 'depth'").select("seq", "ts_ns", "symbol", "is_snapshot", "bids", "asks").withColumn("epoch", _epoch())
-    return _exploded(d.where("epoch > 0"), "epoch").where("NOT is_snapshot OR qty_raw > 0")
+    return exploded(d.where("epoch > 0"), "epoch").where("NOT is_snapshot OR qty_raw > 0")
 
 
 def deltas(tape: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from tidewatch.operators.rules import trades
 from tidewatch.types import LATENCY_BOUNDS
 
 #: Alerts that are remembered, and shown unless asked otherwise.
-RECENT, SHOWN = 500, 100
+RECENT, SHOWN, FEED = 500, 100, 300
 
 
 def by_detector(alerts: DataFrame) -> DataFrame:
@@ -37,11 +37,16 @@ def recent(alerts: DataFrame, limit: str | int | None = None, keep: int = RECENT
     return alerts.orderBy(F.desc("n")).limit(min(page_size(limit), keep))
 
 
+def feed(alerts: DataFrame, cap: int = FEED) -> DataFrame:
+    """What a live list holds: the newest ``cap`` alerts, newest first."""
+    return alerts.orderBy(F.desc("n")).limit(cap)
+
+
 def tiles(tape: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Per symbol the last trade and the last features; either may be missing."""
+    """Per symbol, in the order of symbols, the last trade and the last features; either may be missing."""
     t = trades(tape).groupBy("symbol").agg(F.max_by(F.struct("price_raw", "ts_ns"), "seq").alias("t"))
     v = vectors.groupBy("symbol").agg(F.max_by(F.struct("spread_bps", "ofi", "trade_intensity", "cancel_ratio", "ts_ns"), "seq").alias("v"))
-    return t.join(v, "symbol", "full_outer").select("symbol", real(F.col("t.price_raw")).alias("last_price"), F.col("t.ts_ns").alias("last_trade_ts_ns"), "v.spread_bps", "v.ofi", "v.trade_intensity", "v.cancel_ratio", F.col("v.ts_ns").alias("feature_ts_ns"))
+    return t.join(v, "symbol", "full_outer").select("symbol", real(F.col("t.price_raw")).alias("last_price"), F.col("t.ts_ns").alias("last_trade_ts_ns"), "v.spread_bps", "v.ofi", "v.trade_intensity", "v.cancel_ratio", F.col("v.ts_ns").alias("feature_ts_ns")).orderBy("symbol")
 
 
 def stats(alerts: DataFrame, uptime_s: float) -> DataFrame:

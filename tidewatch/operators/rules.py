@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Collection, Mapping
 from functools import reduce
 from typing import NamedTuple
@@ -14,6 +15,7 @@ from tidewatch.functions.fixedpoint import bps, clamp01, idiv, real, render, rou
 from tidewatch.operators import book
 from tidewatch.operators.fold import fold
 from tidewatch.operators.windows import cooldown, numbered, over_symbol, sliding
+from tidewatch.scratch import written
 from tidewatch.types import BUY, DESCRIPTIONS, EMA_ALPHA, MS, RULES, SCALE, SELL, SEVERITIES, SEVERITY, Config
 
 
@@ -58,15 +60,22 @@ def stuffing_windows(tape: DataFrame, cfg: Config) -> DataFrame:
     d = book.deltas(tape).select("seq", "ts_ns", "symbol", "pos")
     churn = sliding(d, cfg.stuff_window, ["seq", "pos"], {"churn": lambda w: F.count(F.lit(1)).over(w)})
     churn = churn.groupBy("symbol", "seq").agg(F.max_by("churn", "pos").alias("churn"))
-    t = trades(tape).select("seq", "ts_ns", "symbol", F.lit(1).alias("trade"))
-    m = tape.where("kind = 'depth' AND NOT is_snapshot").select("seq", "ts_ns", "symbol", F.lit(0).alias("trade"))
-    m = sliding(t.unionByName(m), cfg.stuff_window, ["seq"], {"n_trades": lambda w: F.coalesce(F.sum("trade").over(w), F.lit(0))}).where("trade = 0").drop("trade")
+    m = _with_trades(tape, tape.where("kind = 'depth' AND NOT is_snapshot").select("seq", "ts_ns", "symbol"), cfg)
     m = m.join(churn, ["symbol", "seq"], "left")
     return m.withColumn("churn", F.coalesce(F.last("churn", True).over(over_symbol(["seq"])), F.lit(0)))
 
 
-def quote_stuffing(tape: DataFrame, cfg: Config) -> DataFrame:
-    c = stuffing_windows(tape, cfg).where((F.col("churn") >= cfg.stuff_churn) & (F.col("n_trades") <= cfg.stuff_max_trades))
+def _with_trades(tape: DataFrame, messages: DataFrame, cfg: Config) -> DataFrame:
+    """Messages with the number of trades in the window that ends at each."""
+    t = trades(tape).select("seq", "ts_ns", "symbol", F.lit(1).alias("trade"))
+    both = t.unionByName(messages.withColumn("trade", F.lit(0)), allowMissingColumns=True)
+    return sliding(both, cfg.stuff_window, ["seq"], {"n_trades": lambda w: F.coalesce(F.sum("trade").over(w), F.lit(0))}).where("trade = 0").drop("trade")
+
+
+def quote_stuffing(tape: DataFrame, cfg: Config, busy: DataFrame | None = None) -> DataFrame:
+    """``busy``, from ``quotes``: the messages with enough level changes, so that only these need a window of trades."""
+    m = stuffing_windows(tape, cfg) if busy is None else _with_trades(tape, busy.select("seq", "ts_ns", "symbol", "churn"), cfg)
+    c = m.where((F.col("churn") >= cfg.stuff_churn) & (F.col("n_trades") <= cfg.stuff_max_trades))
     return cooldown(c.select("seq", "ts_ns", "symbol", "churn", "n_trades"), cfg.stuff_cooldown, ["seq"])
 
 
@@ -140,21 +149,49 @@ class Typical:
         return False
 
 
-def _flags(cfg: Config):
-    def step(typical: Typical, row: tuple) -> list[tuple]:
-        seq, ts, pos, side, price, new, added, mid = row
-        flagged = bool(added) and typical.add(cfg, new / SCALE, price / SCALE, mid)
-        return [(seq, ts, pos, side, price, new, added, flagged, typical.mean, typical.samples)]
+class Quotes:
+    """A book, the average of what is added to it, and the times of its latest changes."""
+
+    def __init__(self) -> None:
+        self.ladder, self.typical, self.times, self.churn = book.Ladder(), Typical(), deque(), 0
+
+    def changed(self, now: int, n: int, length: int) -> None:
+        self.times.extend([now] * n)
+        while self.times[0] < now - length:
+            self.times.popleft()
+        self.churn = len(self.times)
+
+
+def _quotes(cfg: Config):
+    def step(q: Quotes, row: tuple) -> list[tuple]:
+        seq, ts, snapshot, bids, asks = row
+        changed = q.ladder.apply(snapshot, book._pairs(bids, asks))
+        out = []
+        if changed:
+            mid = q.ladder.mid()
+            q.changed(ts, len(changed), cfg.stuff_window)
+            for pos, side, price, old, new in changed:
+                flagged = new > old and q.typical.add(cfg, new / SCALE, price / SCALE, mid)
+                out.append((seq, ts, pos, side, price, new, new > old, flagged, q.typical.mean, q.typical.samples, None))
+        if not snapshot and q.churn >= cfg.stuff_churn:
+            out.append((seq, ts, None, None, None, None, None, None, None, None, q.churn))
+        return out
 
     return step
 
 
-def size_flags(tape: DataFrame, cfg: Config) -> DataFrame:
+def quotes(tape: DataFrame, cfg: Config) -> DataFrame:
+    """What the rules on quotes need, from one pass over a symbol's depth messages that keeps its ladder, the average of ordinary
+    sizes and the times of changes: the rows of ``size_flags``, and rows without a position, but with churn, for messages at which
+    the window of the latest change holds enough changes for quote stuffing."""
+    d = tape.where("kind = 'depth'")
+    return fold(d, ["seq"], ["seq", "ts_ns", "is_snapshot", "bids", "asks"], Quotes, _quotes(cfg),
+                "seq bigint, ts_ns bigint, pos int, side int, price_raw bigint, new_raw bigint, added boolean, flagged boolean, typical double, samples bigint, churn bigint")
+
+
+def size_flags(tape: DataFrame, cfg: Config, seen: DataFrame | None = None) -> DataFrame:
     """Level changes with the average of ordinary sizes after each, and whether an add is suspiciously large near the mid."""
-    mids = book.with_prices(book.state(tape)).select("symbol", "seq", "mid")
-    d = book.deltas(tape).join(mids, ["symbol", "seq"], "left")
-    return fold(d, ["seq", "pos"], ["seq", "ts_ns", "pos", "side", "price_raw", "new_raw", "added", "mid"], Typical, _flags(cfg),
-                "seq bigint, ts_ns bigint, pos int, side int, price_raw bigint, new_raw bigint, added boolean, flagged boolean, typical double, samples bigint")
+    return (quotes(tape, cfg) if seen is None else seen).where("pos IS NOT NULL").drop("churn")
 
 
 def pulls(tape: DataFrame, cfg: Config, flags: DataFrame | None = None) -> DataFrame:
@@ -196,9 +233,9 @@ def _both(cfg: Config):
     return step
 
 
-def spoofing_and_layering(tape: DataFrame, cfg: Config) -> DataFrame:
+def spoofing_and_layering(tape: DataFrame, cfg: Config, flags: DataFrame | None = None) -> DataFrame:
     """Both rules' alerts from one pass over the pulls, each with its own cooldown."""
-    p = sliding(pulls(tape, cfg), cfg.layering_window, ["seq", "pos"], {"near": lambda w: F.collect_set(F.struct("side", "price_raw")).over(w)})
+    p = sliding(pulls(tape, cfg, flags), cfg.layering_window, ["seq", "pos"], {"near": lambda w: F.collect_set(F.struct("side", "price_raw")).over(w)})
     p = p.withColumn("n_levels", F.size(F.filter("near", lambda x: x["side"] == F.col("side"))))
     read = ["seq", "ts_ns", "pos", "side", "price_raw", "typical", "flag_ts", "flag_raw", "traded_raw", "n_levels"]
     kinds = dict(p.dtypes)
@@ -218,6 +255,8 @@ def alerts(tape: DataFrame, cfg: Config, latency: bool = True, only: Collection[
 
     id, n, seq, ts_ns, detector, symbol, severity, severity_label, score, description, detect_latency_us, evidence (JSON). Cooldowns
     leave few alerts, so one task can number them; a table of any size is numbered by ``windows.numbered`` with stretches.
+    The tape's level changes are made and written once for the rules that read them, and so are the alerts: from the size of what was
+    written Spark tells whether the tape must be shuffled for their latency.
     """
     shown = lambda d: _shown(d, cfg)[0]
     told = lambda d: F.to_json(F.struct(*_shown(d, cfg)[1]))
@@ -225,12 +264,13 @@ def alerts(tape: DataFrame, cfg: Config, latency: bool = True, only: Collection[
     spoof = F.col("detector") == "spoofing"
     nought = F.lit(0)
     parts = []
+    seen = written(quotes(tape, cfg), "quotes") if {"spoofing", "layering", "quote_stuffing"} & set(only) else None
     if {"spoofing", "layering"} & set(only):
-        parts.append(spoofing_and_layering(tape, cfg).where(F.col("detector").isin(*only)).select(
+        parts.append(spoofing_and_layering(tape, cfg, size_flags(tape, cfg, seen)).where(F.col("detector").isin(*only)).select(
             "seq", "ts_ns", "symbol", "detector", nought.alias("rule"), "pos", (~spoof).cast("int").alias("last"),
             F.when(spoof, shown("spoofing")).otherwise(shown("layering")).alias("score"), F.when(spoof, told("spoofing")).otherwise(told("layering")).alias("evidence"),
         ))
-    for detector, find in (("momentum_ignition", momentum_ignition), ("quote_stuffing", quote_stuffing), ("wash_trade", wash_trades)):
+    for detector, find in (("momentum_ignition", momentum_ignition), ("quote_stuffing", lambda t, c: quote_stuffing(t, c, seen.where("churn IS NOT NULL"))), ("wash_trade", wash_trades)):
         if detector in only:
             parts.append(find(tape, cfg).select("seq", "ts_ns", "symbol", F.lit(detector).alias("detector"), F.lit(RULES.index(detector)).alias("rule"), nought.alias("pos"), nought.alias("last"), shown(detector).alias("score"), told(detector).alias("evidence")))
     extra = dict(extra or {})
@@ -239,7 +279,7 @@ def alerts(tape: DataFrame, cfg: Config, latency: bool = True, only: Collection[
     out = reduce(DataFrame.unionByName, parts)
     out = numbered(out, ["seq", "rule", "pos", "last"])
     if latency:
-        out = out.join(tape.select("seq", "symbol", "ingest_ns"), ["symbol", "seq"]).withColumn("detect_latency_us", F.greatest(F.lit(0), idiv(F.col("ts_ns") - F.col("ingest_ns"), 1000)))
+        out = written(out, "alerts").join(tape.select("seq", "symbol", "ingest_ns"), ["symbol", "seq"]).withColumn("detect_latency_us", F.greatest(F.lit(0), idiv(F.col("ts_ns") - F.col("ingest_ns"), 1000)))
     severity = F.create_map(*[F.lit(x) for k, v in (SEVERITY | {k: r.severity for k, r in extra.items()}).items() for x in (k, v)])[F.col("detector")]
     label = F.create_map(*[F.lit(x) for k, v in SEVERITIES.items() for x in (k, v)])[severity]
     text = F.create_map(*[F.lit(x) for k, v in (DESCRIPTIONS | {k: r.description for k, r in extra.items()}).items() for x in (k, v)])[F.col("detector")]

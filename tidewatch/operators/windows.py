@@ -34,6 +34,11 @@ def sliding(rows: DataFrame, length: int, order: list[str], aggregates: dict[str
     return r.withColumns({name: f(frame) for name, f in aggregates.items()}).where("__own = __in").drop("__own", "__in", "__at")
 
 
+def span(frame: WindowSpec) -> Column:
+    """For ``sliding``: nanoseconds between the oldest row of a window and its last."""
+    return F.max("ts_ns").over(frame) - F.min("ts_ns").over(frame)
+
+
 def over_symbol(order: list[str]) -> WindowSpec:
     return W.partitionBy("symbol").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
 

@@ -196,6 +196,7 @@ SELECTS = {
     "book_depth_counts": "SELECT symbol, seq, bid_depth, ask_depth FROM state",
     "final_ladder": "SELECT symbol, side, rank::INTEGER AS rank, price_raw, qty_raw FROM lad JOIN (SELECT symbol, max(seq) AS seq FROM ep GROUP BY symbol) USING (symbol, seq)",
     "sliding_trade_window": "SELECT seq, symbol, n, hi_raw, lo_raw, buy_raw, sell_raw, band_bps, volume, balance FROM wash_m",
+    "window_span": f"SELECT symbol, seq, ts_ns - min(ts_ns) OVER {_window(C.wash_window)} AS span_ns FROM trades",
     "flow_windows": "SELECT * FROM flow",
     "distinct_in_window": "SELECT symbol, seq, side, n_levels FROM layer_w",
     "spoof_ema_flags": "SELECT * FROM flags",
@@ -214,6 +215,8 @@ SELECTS = {
     "alerts_by_severity": "SELECT severity_label, count(*) AS n FROM alerts GROUP BY severity_label",
     "alerts_grouping_sets": "SELECT detector, severity_label, count(*) AS n FROM alerts GROUP BY GROUPING SETS ((detector), (severity_label), ())",
     "alert_stats": "SELECT count(*) AS total, count(*) FILTER (severity >= 3) AS urgent, floor(count(*) / 600.0::DOUBLE * 60 * 100 + 0.5::DOUBLE) / 100 AS alerts_per_min FROM alerts",
+    "streamed_alerts": "SELECT symbol, seq, ts_ns, detector, severity, severity_label, score, detect_latency_us FROM alerts",
+    "alert_feed": "SELECT n, id FROM alerts ORDER BY n DESC LIMIT 300",
     "recent_alerts": "SELECT * FROM alerts ORDER BY n DESC LIMIT 100",
     "latest_tile": f"""SELECT symbol, {real("price_raw")} AS last_price, t.ts_ns AS last_trade_ts_ns, spread_bps, ofi, trade_intensity, cancel_ratio, v.ts_ns AS feature_ts_ns
 FROM (SELECT * FROM trades QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY seq DESC) = 1) t FULL JOIN (SELECT * FROM vectors QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY seq DESC) = 1) v USING (symbol)""",
@@ -227,6 +230,8 @@ FROM lad JOIN (SELECT symbol, max(seq) AS seq FROM ep GROUP BY symbol) USING (sy
     "subject_match": "SELECT DISTINCT 'md.' || symbol AS subject, symbol = 'SYM1' AS exact, true AS any_symbol, false AS any_deeper, true AS rest FROM ev",
     "symbol_shard": "SELECT symbol, count(*) AS n FROM (SELECT symbol FROM trades UNION ALL SELECT symbol FROM ep) WHERE symbol = 'SYM2' GROUP BY symbol",
     "binance_trades": "SELECT seq, symbol, side, price_raw, qty_raw, ts_ns // 1000000 AS exchange_ts_ms FROM trades",
+    "binance_depth": "SELECT seq, symbol, side, price_raw, qty_raw, seq + 1 AS final_id FROM levels WHERE NOT is_snapshot",
+    "okx_trades": "SELECT seq * 1000 AS seq, symbol, side, price_raw, qty_raw, ts_ns // 1000000 AS exchange_ts_ms, seq AS trade_id FROM trades",
     "okx_books": "SELECT seq * 1000 AS seq, symbol, side, price_raw, qty_raw, seq AS final_id FROM levels WHERE NOT is_snapshot",
     "hash_chain": "SELECT * FROM hashes WHERE seq > 0",
     "hash_chain_verify": "SELECT seq AS at, seq, 'hash mismatch' AS reason FROM hashes WHERE seq > 0 AND seq % 50 = 7",
@@ -235,4 +240,18 @@ FROM lad JOIN (SELECT symbol, max(seq) AS seq FROM ep GROUP BY symbol) USING (sy
     "ml_refit_schedule": "SELECT symbol, seq, n, CASE WHEN n <= 150 THEN 0 ELSE (n - 151) // 100 + 1 END AS version FROM (SELECT symbol, seq, row_number() OVER (ORDER BY seq) AS n FROM vectors)",
 }
 
+_PAIRS = "unhex(h) || unhex(lead(h) OVER (PARTITION BY k ORDER BY i))"
+
+
+def _level(n: int) -> str:
+    """Nodes of the next level of each group: a hash of two, or an odd one as it is."""
+    return f"""l{n + 1} AS (SELECT k, (i + 1) // 2 AS i, CASE WHEN pair IS NULL THEN h ELSE sha256('\\x01'::BLOB || pair) END AS h
+  FROM (SELECT k, i, h, {_PAIRS} AS pair FROM l{n}) WHERE i % 2 = 1)"""
+
+
+MERKLE = f"""SELECT from_seq, to_seq, n, h AS merkle_root FROM (
+  WITH l0 AS (SELECT (seq - 1) // 16 AS k, (seq - 1) % 16 + 1 AS i, sha256('\\x00'::BLOB || unhex(hash)) AS h FROM hashes WHERE seq > 0), {", ".join(map(_level, range(4)))}
+  SELECT * FROM l4) JOIN (SELECT (seq - 1) // 16 AS k, min(seq) AS from_seq, max(seq) AS to_seq, count(*) AS n FROM hashes WHERE seq > 0 GROUP BY 1) USING (k)"""
+SELECTS["merkle_roots"] = MERKLE
+
 ORACLE_SQL = {name: sql(select) for name, select in SELECTS.items()}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import fixedpoint as fp
 from tidewatch.functions import subjects
 from tidewatch.operators import anomaly, audit, book, dashboard, features, rules, sync
-from tidewatch.operators.windows import sliding
+from tidewatch.operators.windows import sliding, span
 from tidewatch.scratch import scratch_path, written
 from tidewatch.sources import sinks, venues
 from tidewatch.sources.tape import read_tape, scripted_tape
@@ -75,7 +75,29 @@ def okx_books(tape: DataFrame) -> DataFrame:
     bids, asks = F.when(F.col("side") == 0, row).otherwise("[]"), F.when(F.col("side") == 1, row).otherwise("[]")
     raw = F.format_string('{"arg":{"channel":"books","instId":"%s"},"action":"update","data":[{"asks":%s,"bids":%s,"ts":"1","checksum":0,"seqId":%d,"prevSeqId":%d}]}', "symbol", asks, bids, "seq", F.col("seq") - 1)
     out = venues.okx(d.select("seq", F.lit(0).cast("bigint").alias("ingest_ns"), raw.alias("raw")))
-    return book.levels(out.withColumn("ts_ns", F.col("exchange_ts_ms"))).join(out.select("seq", "final_id"), "seq").select("seq", "symbol", "side", "price_raw", "qty_raw", "final_id")
+    return _level_rows(out)
+
+
+def _level_rows(messages: DataFrame) -> DataFrame:
+    each = book.exploded(messages.where("kind = 'depth'").withColumn("ts_ns", F.col("exchange_ts_ms")), "final_id")
+    return each.select("seq", "symbol", "side", "price_raw", "qty_raw", "final_id")
+
+
+def binance_depth(tape: DataFrame) -> DataFrame:
+    """One-level diffs written as the venue's frames, read back and taken apart."""
+    d = book.levels(tape).where("NOT is_snapshot")
+    row = F.format_string('[["%s","%s"]]', fp.render(F.col("price_raw")), fp.render(F.col("qty_raw")))
+    bids, asks = F.when(F.col("side") == 0, row).otherwise("[]"), F.when(F.col("side") == 1, row).otherwise("[]")
+    raw = F.format_string('{"stream":"%s@depth@100ms","data":{"e":"depthUpdate","E":1,"s":"%s","U":%d,"u":%d,"b":%s,"a":%s}}', F.lower("symbol"), "symbol", "seq", F.col("seq") + 1, bids, asks)
+    return _level_rows(venues.binance(d.select("seq", F.lit(0).cast("bigint").alias("ingest_ns"), raw.alias("raw"))))
+
+
+def okx_trades(tape: DataFrame) -> DataFrame:
+    """Trades written as the venue's frames and read back."""
+    t = tape.where("kind = 'trade'")
+    item = F.format_string('{"instId":"%s","tradeId":"%d","px":"%s","sz":"%s","side":"%s","ts":"%d"}', "symbol", "seq", fp.render(F.col("price_raw")), fp.render(F.col("qty_raw")), F.when(F.col("side") == 1, "sell").otherwise("buy"), fp.idiv(F.col("ts_ns"), 1_000_000))
+    raw = F.concat(F.lit('{"arg":{"channel":"trades","instId":"'), "symbol", F.lit('"},"data":['), item, F.lit("]}"))
+    return venues.okx(t.select("seq", "ingest_ns", raw.alias("raw"))).where("kind = 'trade'").select("seq", "symbol", "side", "price_raw", "qty_raw", "exchange_ts_ms", "trade_id")
 
 
 def _chain(tape: DataFrame) -> DataFrame:
@@ -141,6 +163,7 @@ QUERIES = {
     "book_depth_counts": _tape(lambda t: book.state(t).select("symbol", "seq", "bid_depth", "ask_depth")),
     "final_ladder": _tape(book.last_levels),
     "sliding_trade_window": _tape(lambda t: rules.wash_windows(t, CFG).select("seq", "symbol", "n", "hi_raw", "lo_raw", "buy_raw", "sell_raw", "band_bps", "volume", "balance")),
+    "window_span": _tape(lambda t: sliding(rules.trades(t), CFG.wash_window, ["seq"], {"span_ns": span}).select("symbol", "seq", "span_ns")),
     "flow_windows": _tape(lambda t: features.flow_windows(t, CFG.feature_window)),
     "distinct_in_window": _tape(distinct_levels),
     "spoof_ema_flags": _tape(lambda t: rules.size_flags(t, CFG)),
@@ -159,6 +182,7 @@ QUERIES = {
     "alerts_by_severity": _tape(lambda t: dashboard.by_severity(_alerts(t))),
     "alerts_grouping_sets": _tape(lambda t: dashboard.totals(_alerts(t))),
     "alert_stats": _tape(lambda t: dashboard.stats(_alerts(t), 600.0)),
+    "alert_feed": _tape(lambda t: dashboard.feed(_alerts(t)).select("n", "id")),
     "recent_alerts": _tape(lambda t: dashboard.recent(_alerts(t))),
     "latest_tile": _tape(lambda t: dashboard.tiles(t, _vectors(t))),
     "latency_histogram": _tape(lambda t: dashboard.latency_histogram(_alerts(t))),
@@ -171,7 +195,9 @@ QUERIES = {
     "subject_match": _tape(subject_match),
     "symbol_shard": _tape(lambda t: subjects.only(t, "md.SYM2").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))),
     "binance_trades": _tape(binance_trades),
+    "binance_depth": _tape(binance_depth),
     "okx_books": _tape(okx_books),
+    "okx_trades": _tape(okx_trades),
     "hash_chain": _tape(_chain),
     "hash_chain_verify": _tape(chain_verify),
     "merkle_roots": _tape(lambda t: audit.merkle_roots(_chain(t), 16)),

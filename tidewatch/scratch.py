@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -11,26 +12,40 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where the session names none, as in tests."""
+    """The folder named by ``spark.checkpoint.dir``. Where the session names none, a local one is made if the master is local, as in
+    tests; on a cluster executors could not share it, so that is an error."""
     folder = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
     if not folder:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError(f"{_KEY} must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="tidewatch-")
         spark.conf.set(_KEY, folder)
     return folder.rstrip("/")
 
 
+_cleared_at_exit: set[str] = set()
+
+
 def _own(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/tidewatch/{spark.sparkContext.applicationId}"
+    path = f"{shared_folder(spark)}/tidewatch/{spark.sparkContext.applicationId}"
+    if path not in _cleared_at_exit:
+        _cleared_at_exit.add(path)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        atexit.register(_clear, jvm, conf, path)
+    return path
 
 
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
+def _clear(jvm, conf, path: str) -> None:
+    """Delete what this application has written there, when the driver ends."""
+    try:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    except Exception:  # the JVM may be gone before the interpreter  # noqa: BLE001
+        return
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete what this application has written there; frames that still read it can't be used any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str, files: int | None = None) -> DataFrame:

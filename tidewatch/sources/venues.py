@@ -29,16 +29,18 @@ def _out(df: DataFrame, venue: str, *, kind: Column, symbol: Column, snapshot: C
 def binance(frames: DataFrame) -> DataFrame:
     """(seq, ingest_ns, raw) -> tape rows; frames of other kinds are skipped, and those that can't be read carry an error.
 
-    The inner object is read once, as a map, in which keys that differ only in case stay apart.
+    Each object is read once, key by key, so keys that differ only in case stay apart.
     """
-    at = lambda key: F.col("d")[key]
-    f = frames.withColumn("m", F.from_json("raw", "map<string,string>"))
-    f = f.withColumn("d", F.from_json(F.col("m")["data"], "map<string,string>"))
-    broken = F.when(F.col("m").isNull() | ~F.trim("raw").startswith("{"), F.lit("not JSON"))
+    keys = ("e", "E", "s", "U", "u", "b", "a", "t", "p", "q", "T", "m")
+    at = lambda key: F.col(f"k{keys.index(key)}")
+    f = frames.select("seq", "ingest_ns", "raw", F.json_tuple("raw", "data").alias("data"))
+    f = f.select("seq", "ingest_ns", "raw", "data", F.json_tuple("data", *keys).alias(*(f"k{i}" for i in range(len(keys)))))
+    json = F.trim("raw").startswith("{") & (F.col("data").isNotNull() | F.from_json("raw", "map<string,string>").isNotNull())
+    broken = F.when(~F.coalesce(json, F.lit(False)), F.lit("not JSON"))
     f = f.withColumns({"e": at("e"), "broken": broken}).where("broken IS NOT NULL OR e IN ('depthUpdate', 'trade')")
     depth, trade = F.col("e") == "depthUpdate", F.col("e") == "trade"
-    bids, asks = (_levels(F.from_json(F.coalesce(at(k), F.lit("[]")), _ROWS)) for k in "ba")
-    price, qty = parse(at("p")), parse(at("q"))
+    f = f.withColumns({f"l{k}": F.when(depth, _levels(F.from_json(F.coalesce(at(k), F.lit("[]")), _ROWS))) for k in "ba"} | {k: F.when(trade, parse(at(k))) for k in "pq"})
+    bids, asks, price, qty = F.col("lb"), F.col("la"), F.col("p"), F.col("q")
     error = F.coalesce("broken", F.when(depth & (bids.isNull() | asks.isNull()), "bad level").when(trade & (price.isNull() | qty.isNull()), "bad trade"))
     num = lambda k: at(k).try_cast("bigint")
     return _out(
@@ -64,9 +66,9 @@ _OKX_TRADE = "array<struct<instId:string,tradeId:string,px:string,sz:string,side
 
 
 def _okx(frames: DataFrame, channel: str, schema: str) -> DataFrame:
-    f = frames.where("raw <> 'pong'").withColumn("m", F.from_json("raw", "event string, action string, arg struct<channel:string,instId:string>, data string"))
-    f = f.where(F.col("m.event").isNull() & (F.col("m.arg.channel") == channel))
-    return f.select("seq", "ingest_ns", F.col("m.arg.instId").alias("inst"), F.col("m.action").alias("action"), F.posexplode(F.from_json("m.data", schema)).alias("item", "d"))
+    f = frames.where("raw <> 'pong'").select("seq", "ingest_ns", F.json_tuple("raw", "event", "action", "arg", "data").alias("event", "action", "arg", "data"))
+    f = f.where("event IS NULL").select("seq", "ingest_ns", "action", "data", F.json_tuple("arg", "channel", "instId").alias("channel", "inst")).where(F.col("channel") == channel)
+    return f.select("seq", "ingest_ns", "inst", "action", F.posexplode(F.from_json("data", schema)).alias("item", "d"))
 
 
 def okx_books(frames: DataFrame) -> DataFrame:
@@ -78,7 +80,8 @@ def okx_books(frames: DataFrame) -> DataFrame:
 def okx(frames: DataFrame) -> DataFrame:
     """(seq, ingest_ns, raw) -> tape rows of the items of book and trade pushes; trades that can't be read are left out."""
     b, nil = okx_books(frames), F.lit(None)
-    bids, asks = _levels(F.col("bids")), _levels(F.col("asks"))
+    b = b.withColumns({"bids": _levels(F.col("bids")), "asks": _levels(F.col("asks"))})
+    bids, asks = F.col("bids"), F.col("asks")
     book = _out(
         b, "okx", kind=F.lit("depth"), symbol=F.col("symbol"), snapshot=F.coalesce(F.col("action") == "snapshot", F.lit(False)), side=nil.cast("int"), price=nil.cast("bigint"), qty=nil.cast("bigint"), trade_id=nil.cast("bigint"),
         first=F.col("prev_id"), final=F.col("last_id"), bids=bids, asks=asks, ts=F.coalesce(F.col("ts").try_cast("bigint"), F.lit(0)), error=F.when(bids.isNull() | asks.isNull(), "bad level"),
