@@ -34,7 +34,7 @@ def test_exact_across_batches(spark):
 
 def test_lines(spark, odd, clashing, none, duck, rows_of):
     distinct = odd.dropDuplicates(["doc_id"])
-    got = line_dedup.drop_boilerplate(distinct).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text")
+    got = line_dedup.drop_boilerplate(distinct).select("doc_id", "n_lines", "n_dropped", "text")
     assert rows_of(got.toPandas()) == rows_of(duck(line_dedup.SQL, documents=distinct))
     texts = {r.doc_id: r.text for r in got.collect()}
     assert texts[16] == "" and texts[14].startswith("\n") and texts[4] == "" and "head line" not in texts[15]
@@ -54,7 +54,7 @@ def test_line_ratio(spark):
 def test_line_floor(spark, duck, rows_of, pages, with_line, dropped):
     rows = [(k, f"same\nown {k}" if k < with_line else f"own {k}", "h") for k in range(pages)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = line_dedup.drop_boilerplate(d).select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), "text").toPandas()
+    got = line_dedup.drop_boilerplate(d).select("doc_id", "n_lines", "n_dropped", "text").toPandas()
     assert got.n_dropped.sum() == dropped and rows_of(got) == rows_of(duck(line_dedup.SQL, documents=d))
 
 
