@@ -255,3 +255,14 @@ MERKLE = f"""SELECT from_seq, to_seq, n, h AS merkle_root FROM (
 SELECTS["merkle_roots"] = MERKLE
 
 ORACLE_SQL = {name: sql(select) for name, select in SELECTS.items()}
+
+#: The alerts of the scripted tape, which needs no table.
+ORACLE_SQL["scripted_alerts"] = """SELECT id, n::BIGINT AS n, seq::BIGINT AS seq, ts_ns::BIGINT AS ts_ns, detector, symbol, severity::INTEGER AS severity, severity_label,
+  score::DOUBLE AS score, description, detect_latency_us::BIGINT AS detect_latency_us, evidence FROM (VALUES
+  ('BTCUSDT-spoofing-1', 1, 22, 1001900000000, 'spoofing', 'BTCUSDT', 3, 'high', 1.0, 'large resting order near the touch pulled before it traded', 0, '{"side":"buy","price":"30000","flagged_qty":"30","typical_qty":1.0,"size_multiple":30.0,"lifetime_ms":1000.0,"traded_qty":"0"}'),
+  ('BTCUSDT-spoofing-2', 2, 26, 1003200000000, 'spoofing', 'BTCUSDT', 3, 'high', 1.0, 'large resting order near the touch pulled before it traded', 0, '{"side":"buy","price":"30000","flagged_qty":"30","typical_qty":1.0,"size_multiple":30.0,"lifetime_ms":700.0,"traded_qty":"0"}'),
+  ('BTCUSDT-layering-3', 3, 28, 1003230000000, 'layering', 'BTCUSDT', 4, 'critical', 0.5, 'several large orders stacked on one side pulled together', 0, '{"side":"buy","levels_pulled":3,"window_ms":4000.0}'),
+  ('BTCUSDT-momentum_ignition-4', 4, 33, 1004590000000, 'momentum_ignition', 'BTCUSDT', 3, 'high', 0.5111111111111112, 'one-sided aggressive burst followed by a fast reversal', 0, '{"direction":"buy","leg_bps":15.3333,"retrace_bps":-7.9878,"leg_start":30000.0,"leg_peak":30046.0,"reverse_price":30022.0}'),
+  ('BTCUSDT-quote_stuffing-5', 5, 38, 1009290000000, 'quote_stuffing', 'BTCUSDT', 2, 'medium', 0.5, 'many book updates with next to no trades', 0, '{"updates_in_window":250,"trades_in_window":0,"window_ms":1000.0}'),
+  ('BTCUSDT-wash_trade-6', 6, 44, 1017790000000, 'wash_trade', 'BTCUSDT', 1, 'low', 0.5, 'offsetting trades in a very thin band; a footprint only, ownership is unknown', 0, '{"trades":6,"band_bps":0.0033,"volume":3.0,"side_balance":0.5,"note":"footprint only: ownership is unknown"}')
+) t(id, n, seq, ts_ns, detector, symbol, severity, severity_label, score, description, detect_latency_us, evidence)"""
