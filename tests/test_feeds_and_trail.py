@@ -51,6 +51,14 @@ def test_okx(spark):
     assert got == [(3, "ok", True), (4, "ok", True), (5, "gap", False), (6, "waiting", False), (7, "ok", True), (8, "ok", False), (9, "checksum", False)]
 
 
+def test_frames_with_too_many_items_are_an_error(spark):
+    item = {"instId": "B", "tradeId": "1", "px": "1", "sz": "1", "side": "buy", "ts": "1"}
+    push = lambda n: json.dumps({"arg": {"channel": "trades", "instId": "B"}, "data": [item] * n})
+    assert venues.okx(frames(spark, push(1000), push(1))).agg(F.countDistinct("seq")).first()[0] == 1001
+    with pytest.raises(Exception, match="more than 1000 items"):
+        venues.okx(frames(spark, push(1001))).collect()
+
+
 def test_checksum(spark):
     rows = [("S", 0, 1, "3366.1", "7"), ("S", 1, 1, "3366.8", "9"), ("S", 1, 2, "3368", "8"), ("S", 1, 3, "3372", "8")]
     r = sync.checksum_payload(spark.createDataFrame(rows, "symbol string, side int, rank int, price string, size string")).first()

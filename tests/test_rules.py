@@ -3,8 +3,9 @@ import random
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidewatch.operators import book, features, rules
+from tidewatch.operators import book, features, rules, windows
 from tidewatch.sources.tape import scripted_rows, scripted_tape, tape_of_rows
 from tidewatch.streaming.engine import SymbolState
 from tidewatch.types import BUY, MS, SCALE, SEC, SELL, Config
@@ -129,6 +130,16 @@ def test_book(spark):
     assert [(r.side, r.rank, r.price_raw / SCALE) for r in book.last_levels(tape).orderBy("side", "rank").collect()] == [(0, 1, 99.5), (0, 2, 99.0), (0, 3, 97.0), (1, 1, 101.0), (1, 2, 101.5)]
 
 
+def test_rows_of_one_time(spark, monkeypatch):
+    rows = spark.createDataFrame([("S", 10**12 + 7 * (k >= 4), k) for k in range(8)], "symbol string, ts_ns bigint, seq bigint")
+    counted = lambda: windows.sliding(rows, 5, ["seq"], {"n": lambda w: F.count(F.lit(1)).over(w)})
+    monkeypatch.setattr(windows, "_PEERS", 8)
+    assert [r.n for r in counted().orderBy("seq").collect()] == [1, 2, 3, 4, 1, 2, 3, 4]
+    monkeypatch.setattr(windows, "_PEERS", 4)
+    with pytest.raises(Exception, match="rows of a symbol have one time"):
+        counted().collect()
+
+
 def test_empty_tape(spark):
     tape = tape_of_rows(spark, [])
     assert rules.alerts(tape, Config()).count() == 0 and features.vectors(tape, Config()).count() == 0

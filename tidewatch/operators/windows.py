@@ -16,18 +16,21 @@ from tidewatch.operators.fold import fold
 from tidewatch.types import SEC
 
 STRETCH = 600 * SEC
-_PEERS = 1 << 20  # rows of a symbol with one time are told apart up to half of this
+_PEERS = 1 << 22  # rows of a symbol with one time are told apart up to half of this; beyond it, an error
 
 
 def sliding(rows: DataFrame, length: int, order: list[str], aggregates: dict[str, callable], stretch: int = STRETCH) -> DataFrame:
     """``rows`` with a column for each aggregate, called with the window of ``length`` nanoseconds that ends at the row."""
     if length >= stretch:
         raise ValueError("a window must be shorter than a stretch")
+    if 2 * stretch * _PEERS >= 1 << 63:
+        raise ValueError("a stretch is too long for time and place to fit one number")
     own = idiv(F.col("ts_ns"), stretch)
     reach = idiv(F.col("ts_ns") + length, stretch)
     r = rows.withColumn("__own", own).withColumn("__in", F.explode(F.when(reach > own, F.array(own, reach)).otherwise(F.array(own))))
     place = W.partitionBy("symbol", "__in")
     tie = F.row_number().over(W.partitionBy("symbol", "__in", "ts_ns").orderBy(*order)) - 1
+    tie = F.when(tie < _PEERS // 2, tie).otherwise(F.raise_error(F.lit(f"more than {_PEERS // 2} rows of a symbol have one time")))
     at = (F.col("ts_ns") - (F.col("__in") - 1) * stretch) * _PEERS + tie
     frame = place.orderBy("__at").rangeBetween(-(length * _PEERS + _PEERS // 2), 0)
     r = r.withColumn("__at", at)

@@ -61,6 +61,7 @@ def binance_snapshots(answers: DataFrame) -> DataFrame:
     )
 
 
+_ITEMS = 1000
 _OKX_BOOK = "array<struct<asks:array<array<string>>,bids:array<array<string>>,ts:string,checksum:int,seqId:bigint,prevSeqId:bigint>>"
 _OKX_TRADE = "array<struct<instId:string,tradeId:string,px:string,sz:string,side:string,ts:string>>"
 
@@ -71,10 +72,16 @@ def _okx(frames: DataFrame, channel: str, schema: str) -> DataFrame:
     return f.select("seq", "ingest_ns", "inst", "action", F.posexplode(F.from_json("data", schema)).alias("item", "d"))
 
 
+def _place() -> Column:
+    """Place of an item in the order of all items: a frame may hold ``_ITEMS``; more is an error, as places would meet."""
+    item = F.when(F.col("item") < _ITEMS, F.col("item")).otherwise(F.raise_error(F.lit(f"a frame holds more than {_ITEMS} items")))
+    return F.col("seq") * _ITEMS + item
+
+
 def okx_books(frames: DataFrame) -> DataFrame:
     """Items of book pushes with the venue's strings: what ``sync.continuity`` reads."""
     b = _okx(frames, "books", _OKX_BOOK)
-    return b.select((F.col("seq") * 1000 + F.col("item")).alias("seq"), "ingest_ns", F.col("inst").alias("symbol"), "action", F.col("d.prevSeqId").alias("prev_id"), F.col("d.seqId").alias("last_id"), F.coalesce("d.checksum", F.lit(0)).alias("checksum"), "d.bids", "d.asks", "d.ts")
+    return b.select(_place().alias("seq"), "ingest_ns", F.col("inst").alias("symbol"), "action", F.col("d.prevSeqId").alias("prev_id"), F.col("d.seqId").alias("last_id"), F.coalesce("d.checksum", F.lit(0)).alias("checksum"), "d.bids", "d.asks", "d.ts")
 
 
 def okx(frames: DataFrame) -> DataFrame:
@@ -86,7 +93,7 @@ def okx(frames: DataFrame) -> DataFrame:
         b, "okx", kind=F.lit("depth"), symbol=F.col("symbol"), snapshot=F.coalesce(F.col("action") == "snapshot", F.lit(False)), side=nil.cast("int"), price=nil.cast("bigint"), qty=nil.cast("bigint"), trade_id=nil.cast("bigint"),
         first=F.col("prev_id"), final=F.col("last_id"), bids=bids, asks=asks, ts=F.coalesce(F.col("ts").try_cast("bigint"), F.lit(0)), error=F.when(bids.isNull() | asks.isNull(), "bad level"),
     )
-    t = _okx(frames, "trades", _OKX_TRADE).withColumn("seq", F.col("seq") * 1000 + F.col("item"))
+    t = _okx(frames, "trades", _OKX_TRADE).withColumn("seq", _place())
     price, qty = parse(F.col("d.px")), parse(F.col("d.sz"))
     trade = _out(
         t.where(price.isNotNull() & qty.isNotNull()), "okx", kind=F.lit("trade"), symbol=F.col("d.instId"), snapshot=F.lit(False), side=F.when(F.col("d.side") == "sell", SELL).otherwise(BUY), price=price, qty=qty,
