@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.llm import decontaminate, exact_dedup, html_extract, line_dedup, mixing, near_join, quality, secrets, toxicity, url_filter
+from tidewatch.llm import decontaminate, exact_dedup, filter_audit, html_extract, line_dedup, mixing, near_join, packing, quality, secrets, toxicity, url_filter
 from tidewatch.scratch import scratch_path
 
 #: Columns that some operator makes for itself.
@@ -79,3 +79,12 @@ def test_stragglers_are_paired_once(spark):
     could = lambda x, y: (min(x[2], y[2]) + min(x[4] - x[2], y[4] - y[2])) * 180 >= (x[3] + y[3]) * 80
     want = sorted((x[1], y[1]) for x, y in itertools.combinations(rows[1:], 2) if x[5] != y[5] and could(x, y))
     assert got == want and len(want) > 100
+
+
+def test_audit_and_packing_of_any_id(docs, labels):
+    """Orders see every document; pieces of all ids come out."""
+    n = docs.count()
+    audit = filter_audit.audit(docs, labels).where("step = 1").groupBy("filter_order").agg(F.sum(F.col("kept") + F.col("removed")).alias("n")).collect()
+    assert {r.n for r in audit} == {n} and len(audit) == 120
+    packed = packing.pack(docs)
+    assert packed.where("start = 0").count() == n and packed.schema["doc_id"].dataType == docs.schema["doc_id"].dataType

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import decontaminate, exact_dedup, html_extract, line_dedup, mixing, near_join, quality, secrets, toxicity, url_filter
+from tidewatch.llm import decontaminate, exact_dedup, filter_audit, html_extract, line_dedup, mixing, near_join, packing, quality, secrets, toxicity, url_filter, vector_codes
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.query,
     "op9_mixing": mixing.query,
     "op10_quality": quality.query,
+    "op11_filter_audit": filter_audit.query,
+    "op12_vector_codes": vector_codes.query,
+    "op13_packing": packing.query,
 }
 
 ORACLE_SQL = {
@@ -24,4 +27,6 @@ ORACLE_SQL = {
     "op7_line_dedup": line_dedup.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
     "op9_mixing": mixing.SQL,
+    "op11_filter_audit": filter_audit.SQL,
+    "op12_vector_codes": vector_codes.SQL,
 }
