@@ -88,6 +88,9 @@ class Ladder:
         p = self.prices[side]
         return [(x, self.sizes[side][x]) for x in (p[: -n - 1 : -1] if side == BUY else p[:n])]
 
+    def depth(self, side: int) -> int:
+        return len(self.prices[side])
+
     def mid(self) -> float | None:
         bid, ask = self.top(BUY), self.top(SELL)
         return (bid[0][0] / 1e8 + ask[0][0] / 1e8) / 2 if bid and ask else None

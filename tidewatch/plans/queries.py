@@ -112,16 +112,12 @@ def chain_verify(tape: DataFrame) -> DataFrame:
 
 def streamed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts of the streaming engine over the same tape in files: they must be those of the batch plan."""
-    from tidewatch.sources.tape import stream_of
+    from tidewatch.sources.tape import stream_of, write_in_order
     from tidewatch.streaming import engine
 
     base = scratch_path(spark, "stream")
     tape = read_tape(spark, sf_dir)
-    first, last, n = tape.agg(F.min("seq"), F.max("seq"), F.count(F.lit(1))).first()
-    parts = max(4, n // 500_000)  # a file a micro-batch: they are read in the order in which they were written
-    lines = tape.withColumn("part", F.floor((F.col("seq") - F.lit(first)) * parts / F.lit(last - first + 1)))
-    for k in range(parts):
-        lines.where(F.col("part") == k).drop("part").coalesce(1).sortWithinPartitions("seq").select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(f"{base}/tape")
+    write_in_order(tape, f"{base}/tape", min(500_000, max(1, tape.count() // 4)))
     run = engine.start(stream_of(spark, f"{base}/tape", files_per_batch=1), f"{base}/checkpoint", f"{base}/alerts", f"{base}/features", CFG)
     run.awaitTermination()
     return spark.read.parquet(f"{base}/alerts").select("symbol", "seq", "ts_ns", "detector", "severity", "severity_label", "score", "detect_latency_us")

@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
+
+@contextmanager
+def by_value():
+    """Functions of this package are pickled whole meanwhile: the process that prepares a stateful stream beside the driver sees none
+    of the files that executors fetch."""
+    package = sys.modules[__name__.split(".")[0]]
+    cloudpickle.register_pickle_by_value(package)
+    try:
+        yield
+    finally:
+        cloudpickle.unregister_pickle_by_value(package)
+
 #: Spark's own default of 10,000 rows a batch may be gigabytes of long texts, several times over in a worker.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": (None, str(16 << 20))}
 

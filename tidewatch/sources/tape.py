@@ -144,6 +144,33 @@ def restamped(tape: DataFrame, speed: float, start_ns: int) -> DataFrame:
     return tape.withColumn("ts_ns", F.lit(start_ns) + ((F.col("ts_ns") - F.lit(first)) / speed).cast("bigint")).withColumn("ingest_ns", F.col("ts_ns"))
 
 
+def write_in_order(tape: DataFrame, path: str, rows_per_file: int = 500_000) -> int:
+    """Write a tape as JSON lines in files that ``stream_of`` reads in the order of seq; returns how many files there are.
+
+    One shuffle by ranges of seq, one file a range. Spark reads files of a stream by their time, and tasks end in any order, so files
+    get times a millisecond apart in the order of what they hold. Where the file system keeps no such times, each is copied in turn.
+    """
+    spark = tape.sparkSession
+    n = max(1, -(-tape.count() // rows_per_file))
+    lines = tape.repartitionByRange(n, "seq").sortWithinPartitions("seq").select(F.to_json(F.struct("*")).alias("value"))
+    lines.write.text(path)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(conf)
+    # Tasks name their files by partition, and partitions are ranges in order.
+    files = sorted((f.getPath().getName(), f.getModificationTime()) for f in fs.listStatus(at) if f.getPath().getName().startswith("part-"))
+    last = max(t for _, t in files)
+    times = [last - len(files) + k for k in range(len(files))]
+    for (name, _), t in zip(files, times, strict=True):
+        fs.setTimes(jvm.org.apache.hadoop.fs.Path(at, name), t, -1)
+    if [fs.getFileStatus(jvm.org.apache.hadoop.fs.Path(at, name)).getModificationTime() for name, _ in files] != times:
+        util = jvm.org.apache.hadoop.fs.FileUtil
+        for name, _ in files:
+            src = jvm.org.apache.hadoop.fs.Path(at, name)
+            util.copy(fs, src, fs, jvm.org.apache.hadoop.fs.Path(at, f"in-order-{name}"), True, conf)
+    return len(files)
+
+
 def stream_of(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """JSON lines of a tape as a stream; malformed lines are dropped."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)

@@ -1,26 +1,26 @@
-"""The same rules on a stream: one state a symbol, fed with micro-batches of a tape in order.
+"""The same rules on a stream: keyed state a symbol, fed with micro-batches of a tape in order.
 
 State is what the rules must remember and no more: the ladder, the windows' rows, the average size, flags, the watched leg and the
-cooldowns. The step is plain Python, so tests can also run it over a list and hold the batch plans against it.
+cooldowns. The step is plain Python, so tests can also run it over a list and hold the batch plans against it. Between batches the
+state lies in keyed variables (``Keeper``), of which a batch writes only those that it touches.
 """
 
 from __future__ import annotations
 
 import json
 import math
-import pickle
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidewatch.operators.book import Ladder, _pairs
 from tidewatch.operators.rules import WASH_NOTE, Leg, Typical
-from tidewatch.shipping import ship
+from tidewatch.shipping import by_value, ship
+from tidewatch.streaming.ladder import BucketLadder, Store
 from tidewatch.types import BUY, MS, SCALE, SEC, SELL, SEVERITIES, SEVERITY, SIDES, Config
 
 OUT = "symbol string, seq bigint, ts_ns bigint, kind string, detector string, severity int, severity_label string, score double, detect_latency_us bigint, body string"
@@ -57,11 +57,36 @@ class Recent:
         return len(self.rows)
 
 
+class StreamRule:
+    """A rule of one's own on a stream. ``start`` gives its state for a symbol, something that JSON can hold; the others may change it
+    in place and return (score, evidence) of alerts. ``view`` is the symbol's state after the event: its book and windows.
+
+    Own rules see an event after the built-in ones, in their order.
+    """
+
+    name = "rule"
+    severity = 1
+
+    def start(self) -> dict:
+        return {}
+
+    def on_trade(self, state: dict, view: SymbolState, ts: int, side: int, price: int, qty: int) -> list[tuple[float, dict]]:
+        return []
+
+    def on_depth(self, state: dict, view: SymbolState, ts: int, snapshot: bool, changes: list[tuple[int, int, int, int, int]]) -> list[tuple[float, dict]]:
+        return []
+
+
 class SymbolState:
-    """Everything known of one symbol. ``trade`` and ``depth`` return (detector, score, evidence) of alerts, in order."""
+    """Everything known of one symbol. ``trade`` and ``depth`` return (detector, score, evidence) of alerts, in order.
 
-    def __init__(self, cfg: Config) -> None:
-        self.cfg, self.book, self.typical, self.leg = cfg, Ladder(), Typical(), Leg()
+    ``log`` gathers what the windows took in, for whoever keeps the state.
+    """
+
+    def __init__(self, cfg: Config, rules: Sequence[StreamRule] = (), book: Ladder | BucketLadder | None = None) -> None:
+        self.cfg, self.book, self.typical, self.leg = cfg, Ladder() if book is None else book, Typical(), Leg()
+        self.rules, self.own = rules, {r.name: r.start() for r in rules}
+        self.log: dict[str, list[tuple[int, int, int, int]]] = {"trades": [], "changes": [], "pulls": []}
         self.pending: dict[tuple[int, int], list[int]] = {}  # (side, price) -> [size, time, traded]
         self.pulls, self.ignite, self.wash = Recent(cfg.layering_window), Recent(cfg.ignite_window), Recent(cfg.wash_window)
         self.churn, self.quiet = Recent(cfg.stuff_window), Recent(cfg.stuff_window)
@@ -75,12 +100,33 @@ class SymbolState:
         self.fired[rule] = now
         return True
 
+    def saw_trade(self, now: int, side: int, price: int, qty: int) -> None:
+        """Into the windows."""
+        self.ignite.add(now, (side, price, qty))
+        self.wash.add(now, (side, price, qty))
+        self.quiet.add(now)
+        self.flow.add(now, qty if side == BUY else -qty)
+
+    def saw_changes(self, now: int, removed: int, n: int) -> None:
+        for _ in range(n):
+            self.churn.add(now)
+            self.changes.add(now, bool(removed))
+
+    def core(self) -> dict:
+        """The part of fixed size."""
+        return {"typical": [self.typical.mean, self.typical.samples], "leg": [self.leg.side, self.leg.start, self.leg.peak, self.leg.since], "fired": self.fired, "events": self.events}
+
+    def restore(self, core: dict) -> None:
+        (self.typical.mean, self.typical.samples), self.fired, self.events = core["typical"], core["fired"], core["events"]
+        self.leg.side, self.leg.start, self.leg.peak, self.leg.since = core["leg"]
+
     def trade(self, now: int, side: int, price: int, qty: int) -> list[tuple[str, float, dict]]:
         cfg, out = self.cfg, []
         for s in (BUY, SELL):
             if (s, price) in self.pending:
                 self.pending[s, price][2] += qty
-        self.ignite.add(now, (side, price, qty))
+        self.saw_trade(now, side, price, qty)
+        self.log["trades"].append((now, side, price, qty))
         rows = list(self.ignite)
         net = sum(q if s == BUY else -q for s, _, q in rows) / SCALE
         prices = [p / SCALE for _, p, _ in rows]
@@ -90,8 +136,6 @@ class SymbolState:
             retrace = (price / SCALE - found[2]) / found[2] * 1e4 if found[2] else 0.0
             told = {"direction": SIDES[found[0]], "leg_bps": _round4(leg_bps), "retrace_bps": _round4(retrace), "leg_start": _round4(found[1]), "leg_peak": _round4(found[2]), "reverse_price": _round4(price / SCALE)}
             out.append(("momentum_ignition", min(1.0, abs(leg_bps) / (2 * cfg.ignite_bps)), told))
-        self.quiet.add(now)
-        self.wash.add(now, (side, price, qty))
         if len(self.wash) >= cfg.wash_min_trades and now - self.fired.get("wash_trade", 0) >= cfg.wash_cooldown:
             w = list(self.wash)
             hi, lo = max(p for _, p, _ in w) / SCALE, min(p for _, p, _ in w) / SCALE
@@ -102,7 +146,8 @@ class SymbolState:
             if band is not None and band <= cfg.wash_band_bps and balance >= cfg.wash_balance and volume >= cfg.wash_min_volume:
                 self.fired["wash_trade"] = now
                 out.append(("wash_trade", min(1.0, balance), {"trades": len(w), "band_bps": _round4(band), "volume": _round4(volume), "side_balance": _round4(balance), "note": WASH_NOTE}))
-        self.flow.add(now, qty if side == BUY else -qty)
+        for rule in self.rules:
+            out += [(rule.name, *x) for x in rule.on_trade(self.own[rule.name], self, now, side, price, qty)]
         return out
 
     def depth(self, now: int, snapshot: bool, changes: list[tuple[int, int, int]]) -> list[tuple[str, float, dict]]:
@@ -117,13 +162,16 @@ class SymbolState:
                         self.pending[side, price] = [new, now, 0]
                 else:
                     out += self._pulled(now, side, price, new)
-            for _ in deltas:
-                self.churn.add(now)
+            for removed in (0, 1):
+                n = sum((new < old) == removed for _, _, _, old, new in deltas)
+                self.saw_changes(now, removed, n)
+                if n:
+                    self.log["changes"].append((now, removed, n, 0))
             self.quiet.drop(now)
             if len(self.churn) >= cfg.stuff_churn and len(self.quiet) <= cfg.stuff_max_trades and self._free("quote_stuffing", now, cfg.stuff_cooldown):
                 out.append(("quote_stuffing", min(1.0, len(self.churn) / (2 * cfg.stuff_churn)), {"updates_in_window": len(self.churn), "trades_in_window": len(self.quiet), "window_ms": cfg.stuff_window / MS}))
-        for _, _, _, old, new in deltas:
-            self.changes.add(now, new < old)
+        for rule in self.rules:
+            out += [(rule.name, *x) for x in rule.on_depth(self.own[rule.name], self, now, snapshot, deltas)]
         return out
 
     def _pulled(self, now: int, side: int, price: int, new: int) -> list[tuple[str, float, dict]]:
@@ -135,6 +183,7 @@ class SymbolState:
             return []
         out = []
         self.pulls.add(now, (side, price))
+        self.log["pulls"].append((now, side, price, 0))
         if self._free("spoofing", now, cfg.spoof_cooldown):
             size, typical = p[0] / SCALE, self.typical.mean
             told = {"side": SIDES[side], "price": _text(price), "flagged_qty": _text(p[0]), "typical_qty": _round4(typical), "size_multiple": _round4(size / typical), "lifetime_ms": _round4((now - p[1]) / 1e6), "traded_qty": _text(p[2])}
@@ -159,7 +208,7 @@ class SymbolState:
         return {
             "spread_bps": (asks[0][0] - bids[0][0]) / SCALE / mid * 1e4, "ofi": (b - a) / (b + a) if b + a > 0 else 0.0, "microprice_dev_bps": (micro - mid) / mid * 1e4,
             "trade_intensity": len(self.flow) / (self.cfg.feature_window / SEC), "signed_vol": sum(self.flow) / SCALE, "cancel_ratio": sum(self.changes) / len(self.changes) if self.changes else 0.0,
-            "bid_depth": float(len(self.book.prices[BUY])), "ask_depth": float(len(self.book.prices[SELL])),
+            "bid_depth": float(self.book.depth(BUY)), "ask_depth": float(self.book.depth(SELL)),
         }
 
     def event(self, row) -> list[tuple]:
@@ -171,26 +220,159 @@ class SymbolState:
             as_list = lambda x: [] if x is None else [(y["p"], y["q"]) for y in x]
             found = self.depth(now, bool(row.is_snapshot), _pairs(as_list(row.bids), as_list(row.asks)))
         late = max(0, (now - int(row.ingest_ns)) // 1000)
-        out = [(row.seq, now, "alert", d, SEVERITY[d], SEVERITIES[SEVERITY[d]], max(0.0, s), late, json.dumps(e)) for d, s, e in found]
+        severity = SEVERITY | {r.name: r.severity for r in self.rules} if found else {}
+        out = [(row.seq, now, "alert", d, severity[d], SEVERITIES[severity[d]], max(0.0, s), late, json.dumps(e)) for d, s, e in found]
         v = self.vector(now)
         return out if v is None else [*out, (row.seq, now, "features", None, None, None, None, None, json.dumps(v))]
 
 
-def _updates(cfg: Config):
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = pickle.loads(state.get[0]) if state.exists else SymbolState(cfg)
-        rows = pd.concat(list(frames)).sort_values("seq")  # of one symbol and one micro-batch, whose size the source limits
-        out = [(key[0], *x) for r in rows.itertuples(index=False) for x in known.event(r)]
-        state.update((pickle.dumps(known),))
+SLOT = 1 * SEC  # rows of a window are kept together by time
+
+
+class Keeper:
+    """One symbol's state in stores (maps of keyed variables), of which ``save`` writes only what a batch has changed.
+
+    levels (side, bucket) -> levels; index (side) -> buckets; recent (kind, slot) -> rows of windows; pending (side, price) -> (size,
+    time, traded); own (rule) -> JSON; core () -> JSON of the rest, which has a fixed size.
+    """
+
+    def __init__(self, stores: dict[str, Store], cfg: Config, rules: Sequence[StreamRule] = ()) -> None:
+        self.stores, self.cfg, self.rules = stores, cfg, rules
+        self.reach = {"trades": max(cfg.ignite_window, cfg.wash_window, cfg.stuff_window, cfg.feature_window), "changes": max(cfg.stuff_window, cfg.feature_window), "pulls": cfg.layering_window}
+
+    def load(self) -> SymbolState:
+        at = self.stores
+        core = at["core"].get(())
+        core = json.loads(core[0]) if core else None
+        state = SymbolState(self.cfg, self.rules, BucketLadder(at["levels"], at["index"], core and core["book"]))
+        self.slots: dict[tuple[str, int], list[tuple]] = {}
+        self.was_pending: dict[tuple, tuple] = {}
+        self.was_own: dict[str, str] = {}
+        if core is None:
+            return state
+        state.restore(core)
+        self.slots = {tuple(k): list(map(tuple, v[0])) for k, v in at["recent"].items()}
+        for (kind, _), rows in sorted(self.slots.items()):
+            for row in rows:
+                if kind == "trades":
+                    state.saw_trade(*row)
+                elif kind == "changes":
+                    state.saw_changes(*row[:3])
+                else:
+                    state.pulls.add(row[0], row[1:3])
+        self.was_pending = {tuple(k): tuple(v) for k, v in at["pending"].items()}
+        state.pending = {k: list(v) for k, v in self.was_pending.items()}
+        for rule in self.rules:
+            if (kept := at["own"].get((rule.name,))) is not None:
+                self.was_own[rule.name] = kept[0]
+                state.own[rule.name] = json.loads(kept[0])
+        return state
+
+    def save(self, state: SymbolState) -> None:
+        at = self.stores
+        state.book.flush()
+        at["core"].put((), (json.dumps(state.core() | {"book": state.book.head()}),))
+        for kind, rows in state.log.items():
+            touched = set()
+            for row in rows:
+                self.slots.setdefault((kind, row[0] // SLOT), []).append(row)
+                touched.add((kind, row[0] // SLOT))
+            if rows:
+                first = (rows[-1][0] - self.reach[kind]) // SLOT
+                for key in [k for k in self.slots if k[0] == kind and k[1] < first]:
+                    del self.slots[key]
+                    if key not in touched:
+                        at["recent"].remove(key)
+            for key in touched & self.slots.keys():
+                at["recent"].put(key, (self.slots[key],))
+            rows.clear()
+        for key, p in state.pending.items():
+            if self.was_pending.get(key) != tuple(p):
+                at["pending"].put(key, tuple(p))
+        for key in self.was_pending.keys() - state.pending.keys():
+            at["pending"].remove(key)
+        self.was_pending = {k: tuple(v) for k, v in state.pending.items()}
+        for name, own in state.own.items():
+            if self.was_own.get(name) != (text := json.dumps(own)):
+                at["own"].put((name,), (text,))
+                self.was_own[name] = text
+
+
+class _Map:
+    """A store over a map of keyed variables."""
+
+    def __init__(self, state) -> None:
+        self.state = state
+
+    def get(self, key: tuple) -> tuple | None:
+        return self.state.getValue(key) if self.state.containsKey(key) else None
+
+    def put(self, key: tuple, value: tuple) -> None:
+        self.state.updateValue(key, value)
+
+    def remove(self, key: tuple) -> None:
+        self.state.removeKey(key)
+
+    def items(self) -> list[tuple[tuple, tuple]]:
+        return list(self.state.iterator())
+
+    def clear(self) -> None:
+        self.state.clear()
+
+
+class _Value:
+    """A store of one value."""
+
+    def __init__(self, state) -> None:
+        self.state = state
+
+    def get(self, key: tuple) -> tuple | None:
+        return self.state.get() if self.state.exists() else None
+
+    def put(self, key: tuple, value: tuple) -> None:
+        self.state.update(value)
+
+
+class _Detector(StatefulProcessor):
+    def __init__(self, cfg: Config, rules: Sequence[StreamRule]) -> None:
+        self.cfg, self.rules = cfg, rules
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        rows = "rows array<struct<{}>>".format
+        self.keeper = Keeper({
+            "core": _Value(handle.getValueState("core", "body string")),
+            "levels": _Map(handle.getMapState("levels", "side int, bucket bigint", rows("p:bigint,q:bigint"))),
+            "index": _Map(handle.getMapState("index", "side int", "buckets array<bigint>")),
+            "recent": _Map(handle.getMapState("recent", "kind string, slot bigint", rows("ts:bigint,a:bigint,b:bigint,c:bigint"))),
+            "pending": _Map(handle.getMapState("pending", "side int, price bigint", "size bigint, ts bigint, traded bigint")),
+            "own": _Map(handle.getMapState("own", "rule string", "body string")),
+        }, self.cfg, self.rules)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        known = self.keeper.load()
+        given = pd.concat(list(rows)).sort_values("seq")  # of one symbol and one micro-batch, whose size the source limits
+        out = [(key[0], *x) for r in given.itertuples(index=False) for x in known.event(r)]
+        self.keeper.save(known)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
-    return run
+    def close(self) -> None:
+        pass
 
 
-def detect(tape: DataFrame, cfg: Config | None = None) -> DataFrame:
-    """Alerts and feature vectors of a streaming tape. Order within a symbol is by seq inside each micro-batch; files must come in order."""
-    ship(tape.sparkSession)
-    return tape.groupBy("symbol").applyInPandasWithState(_updates(cfg or Config()), OUT, "state binary", "append", GroupStateTimeout.NoTimeout)
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def detect(tape: DataFrame, cfg: Config | None = None, rules: Sequence[StreamRule] = ()) -> DataFrame:
+    """Alerts and feature vectors of a streaming tape. Order within a symbol is by seq inside each micro-batch; files must come in order.
+
+    Keyed variables need RocksDB, which the session is told to use unless it names a store already.
+    """
+    spark = ship(tape.sparkSession)
+    if "HDFSBacked" in (spark.conf.get(_PROVIDER, None) or "HDFSBacked"):
+        spark.conf.set(_PROVIDER, _ROCKS)
+    with by_value():
+        return tape.groupBy("symbol").transformWithStateInPandas(_Detector(cfg or Config(), rules), OUT, "append", "none")
 
 
 def watermarked(tape: DataFrame, delay: str = "10 seconds") -> DataFrame:
@@ -222,5 +404,5 @@ def sink(append: Callable[[list[str], int], None] | None, alerts_path: str, feat
     return write
 
 
-def start(tape: DataFrame, checkpoint: str, alerts_path: str, features_path: str, cfg: Config | None = None, append=None) -> StreamingQuery:
-    return detect(tape, cfg).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink(append, alerts_path, features_path)).trigger(availableNow=True).start()
+def start(tape: DataFrame, checkpoint: str, alerts_path: str, features_path: str, cfg: Config | None = None, append=None, rules: Sequence[StreamRule] = ()) -> StreamingQuery:
+    return detect(tape, cfg, rules).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink(append, alerts_path, features_path)).trigger(availableNow=True).start()
