@@ -113,6 +113,39 @@ def test_plan_is_the_engine(spark, seed):
     assert vectors == want_vectors
 
 
+@pytest.mark.parametrize(("seed", "stretch"), [(3, 2), (4, 5), (5, 9)])
+def test_stretches_know_nothing_of_one_another(spark, seed, stretch):
+    """Books and features of short stretches, each from a carried book, are those of one pass in memory."""
+    cfg = Config(feature_every=3, feature_window=SEC)
+    rows = random_rows(seed, 400)
+    tape = tape_of_rows(spark, rows).repartition(3).persist()
+    got = {(r.symbol, r.seq): tuple(r)[3:] for r in book.state(tape, 2, stretch * SEC).collect()}
+    ladders, want = {}, {}
+    for x in rows:
+        if x["kind"] == "depth":
+            b = ladders.setdefault(x["symbol"], book.Ladder())
+            b.apply(x["is_snapshot"], [(s, y["p"], y["q"]) for s, c in ((BUY, "bids"), (SELL, "asks")) for y in x[c]])
+            if b.synced:
+                bid, ask = b.top(BUY, 2), b.top(SELL, 2)
+                best = lambda t: t[0] if t else (None, None)
+                want[x["symbol"], x["seq"]] = (*best(bid), *best(ask), sum(q for _, q in bid), sum(q for _, q in ask), b.depth(BUY), b.depth(SELL))
+    assert got == want and len(got) > 100
+    vectors = [(r.symbol, r.seq, tuple(round(x, 6) for x in r[3:])) for r in features.vectors(tape, cfg, stretch * SEC).orderBy("seq").collect()]
+    assert vectors == by_engine(rows, cfg)[1] and len(vectors) > 50
+    tape.unpersist()
+
+
+def test_alerts_wait_until_they_are_asked_for(spark, tmp_path):
+    """Building the plan runs no job."""
+    tape = tape_of_rows(spark, CASES["spoof"][0] and done(CASES["spoof"][0]))
+    group = "plan-only"
+    spark.sparkContext.setJobGroup(group, "")
+    out = rules.alerts(tape, Config())
+    assert out.columns[0] == "id" and not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert out.count() == 1
+
+
 def test_clock_below_the_cooldown(spark):
     rows = done([r | {"ts_ns": r["ts_ns"] - T0} for r in CASES["wash"][0]])
     assert by_plan(spark, rows, Config())[0] == []

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.functions.fixedpoint import real
+from tidewatch.functions.fixedpoint import idiv, real
 from tidewatch.operators.fold import fold
-from tidewatch.operators.windows import over_symbol
+from tidewatch.operators.scan import STRETCH, running
 from tidewatch.types import BUY, SELL
 
 
-def _epoch() -> Column:
-    return F.sum(F.col("is_snapshot").cast("bigint")).over(over_symbol(["seq"]))
+def _with_epoch(messages: DataFrame) -> DataFrame:
+    return running(messages, ["symbol"], ["seq"], {"epoch": ("sum", F.col("is_snapshot").cast("bigint"))})
 
 
 def exploded(messages: DataFrame, *keep: str) -> DataFrame:
@@ -31,13 +31,12 @@ def levels(tape: DataFrame) -> DataFrame:
 
 def epochs(tape: DataFrame) -> DataFrame:
     """Depth messages with their epoch: how many snapshots of the symbol came up to and with them; 0 is before any."""
-    d = tape.where("kind = 'depth'").select("seq", "ts_ns", "symbol", "is_snapshot")
-    return d.withColumn("epoch", _epoch())
+    return _with_epoch(tape.where("kind = 'depth'").select("seq", "ts_ns", "symbol", "is_snapshot"))
 
 
 def _levels_by_epoch(tape: DataFrame) -> DataFrame:
     """Levels of synced symbols with their epoch; those of a snapshot need a positive size."""
-    d = tape.where("kind = 'depth'").select("seq", "ts_ns", "symbol", "is_snapshot", "bids", "asks").withColumn("epoch", _epoch())
+    d = _with_epoch(tape.where("kind = 'depth'").select("seq", "ts_ns", "symbol", "is_snapshot", "bids", "asks"))
     return exploded(d.where("epoch > 0"), "epoch").where("NOT is_snapshot OR qty_raw > 0")
 
 
@@ -101,11 +100,84 @@ def _pairs(bids: list, asks: list) -> list[tuple[int, int, int]]:
     return [(side, p, q) for side, all_ in ((BUY, bids or []), (SELL, asks or [])) for p, q in all_]
 
 
+class Carried:
+    """Levels at the end of all stretches so far."""
+
+    def __init__(self) -> None:
+        self.synced = False
+        self.sizes: dict[tuple[int, int], int] = {}
+
+
+def _carry(book: Carried, row: tuple) -> list[tuple]:
+    """The book before a stretch, if there is one; then take in what the stretch leaves behind: (side, price, size, seq)."""
+    k, levels = row
+    out = []
+    if book.synced:
+        sides = [[(p, q) for (side, p), q in book.sizes.items() if side == s] for s in (BUY, SELL)]
+        out.append((k, *([x[i] for x in side] for side in sides for i in (0, 1))))
+    reset = next((seq for side, _, _, seq in levels if side == _MARK), None)
+    if reset is not None:
+        book.synced, book.sizes = True, {}
+    if book.synced:
+        for side, price, qty, seq in levels:
+            if side != _MARK and (reset is None or seq >= reset):
+                if qty:
+                    book.sizes[side, price] = qty
+                else:
+                    book.sizes.pop((side, price), None)
+    return out
+
+
+_MARK = -1  # the side of a row that tells that a stretch is there, and its last snapshot
+
+
+def _seeds(tape: DataFrame, ahead: int, stretch: int) -> DataFrame:
+    """Books as they are ``ahead`` before each stretch in which a synced symbol has rows: symbol, k, bids, asks.
+
+    The last size of a level in a stretch is all that later ones need of it, unless a snapshot voids it. These are combined on the map
+    side, and so a symbol's fold sees one row a stretch, as wide as what the stretch changed, rather than its messages.
+    """
+    own, at = idiv(F.col("ts_ns"), stretch), idiv(F.col("ts_ns") + ahead, stretch)
+    d = tape.where("kind = 'depth'").withColumn("k", at).withColumns({c: _last_of_each(c) for c in ("bids", "asks")})
+    columns = ["symbol", "k", "side", "price_raw", "qty_raw", "seq"]
+    levels = exploded(d, "k").where("NOT is_snapshot OR qty_raw > 0").select(*columns)
+    zero = F.lit(0).cast("bigint")
+    marks = tape.withColumn("k", F.explode(_both(own, at)) if ahead else own).select("symbol", "k", F.lit(_MARK).alias("side"), zero.alias("price_raw"), zero.alias("qty_raw"), F.when(F.col("is_snapshot") & (at == F.col("k")), F.col("seq")).alias("seq"))
+    last = levels.unionByName(marks).groupBy("symbol", "k", "side", "price_raw").agg(F.max_by("qty_raw", "seq").alias("qty_raw"), F.max("seq").alias("seq"))
+    last = last.groupBy("symbol", "k").agg(F.collect_list(F.struct("side", "price_raw", "qty_raw", "seq")).alias("levels"))
+    found = fold(last, ["k"], ["k", "levels"], Carried, _carry, "k bigint, bp array<bigint>, bq array<bigint>, ap array<bigint>, aq array<bigint>")
+    side = lambda p, q: F.transform(F.arrays_zip(F.col(p), F.col(q)), lambda x: F.struct(x[p].alias("p"), x[q].alias("q")))
+    return found.select("symbol", "k", side("bp", "bq").alias("bids"), side("ap", "aq").alias("asks"))
+
+
+def _last_of_each(levels: str) -> Column:
+    """Levels of a message without those whose price comes again."""
+    c = F.col(levels)
+    again = lambda x, i: F.exists(F.slice(c, i + 2, F.size(c)), lambda y: y["p"] == x["p"])
+    return F.when(F.size(F.array_distinct(F.transform(c, lambda x: x["p"]))) < F.size(c), F.filter(c, lambda x, i: ~again(x, i))).otherwise(c)
+
+
+def _both(own: Column, reach: Column) -> Column:
+    return F.when(reach > own, F.array(own, reach)).otherwise(F.array(own))
+
+
+def by_stretch(tape: DataFrame, ahead: int = 0, stretch: int = STRETCH) -> DataFrame:
+    """Rows of a tape for folds of the book over (symbol, k), stretches of time that know nothing of one another.
+
+    Each begins with a snapshot without seq: the book as it was ``ahead`` before the stretch. Then come that time's rows, which are
+    not ``own``, and those of the stretch. Time must not go back in the order of a symbol's rows.
+    """
+    own, reach = idiv(F.col("ts_ns"), stretch), idiv(F.col("ts_ns") + ahead, stretch)
+    rows = tape.withColumn("k", F.explode(_both(own, reach)) if ahead else own).withColumn("own", F.col("k") == own)
+    seeds = _seeds(tape, ahead, stretch).withColumns({"kind": F.lit("depth"), "is_snapshot": F.lit(True), "own": F.lit(False)})
+    return rows.unionByName(seeds, allowMissingColumns=True)
+
+
 def _state(n: int):
     def step(book: Ladder, row: tuple) -> list[tuple]:
         seq, ts, snapshot, bids, asks = row
         book.apply(snapshot, _pairs(bids, asks))
-        if not book.synced:
+        if not book.synced or seq is None:
             return []
         bid, ask = book.top(BUY, n), book.top(SELL, n)
         best = lambda x: x[0] if x else (None, None)
@@ -114,12 +186,12 @@ def _state(n: int):
     return step
 
 
-def state(tape: DataFrame, n: int = 5) -> DataFrame:
+def state(tape: DataFrame, n: int = 5, stretch: int = STRETCH) -> DataFrame:
     """The book after each depth message of a synced symbol: best prices and sizes (null where a side is empty), sizes of the
-    top ``n`` levels, and how many levels there are."""
-    d = tape.where("kind = 'depth'")
+    top ``n`` levels, and how many levels there are. Stretches of a symbol are folded apart, so a busy one is spread over tasks."""
+    d = by_stretch(tape.where("kind = 'depth'"), 0, stretch)
     out = "seq bigint, ts_ns bigint, bid_raw bigint, bid_qty_raw bigint, ask_raw bigint, ask_qty_raw bigint, bid_top_raw bigint, ask_top_raw bigint, bid_depth bigint, ask_depth bigint"
-    return fold(d, ["seq"], ["seq", "ts_ns", "is_snapshot", "bids", "asks"], Ladder, _state(n), out)
+    return fold(d, ["seq"], ["seq", "ts_ns", "is_snapshot", "bids", "asks"], Ladder, _state(n), out, by=("symbol", "k"))
 
 
 def with_prices(s: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
-"""Sequential folds per symbol over ordered rows, in bounded memory.
+"""Sequential folds per symbol, or per stretch of a symbol, over ordered rows, in bounded memory.
 
-Rows are partitioned by symbol and sorted inside partitions by the JVM, which spills; Python then sees Arrow batches of a
-symbol one after another and keeps only the fold's state, so a symbol with very many rows is never gathered.
+Rows are partitioned by their key and sorted inside partitions by the JVM, which spills; Python then sees Arrow batches of a
+key one after another and keeps only the fold's state, so a symbol with very many rows is never gathered.
 """
 
 from __future__ import annotations
@@ -34,26 +34,28 @@ def _values(column: pa.Array) -> list:
     return column.to_pylist()
 
 
-def _folding(read: list[str], start: Start, step: Step, schema: T.StructType):
+def _folding(by: tuple[str, ...], read: list[str], start: Start, step: Step, schema: T.StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
-        symbol, state = object(), None
+        last, state = object(), None
         for b in batches:
             out: list[tuple] = []
-            for key, row in zip(b.column("symbol").to_pylist(), zip(*(_values(b.column(c)) for c in read), strict=True), strict=True):
-                if key != symbol:
-                    symbol, state = key, start()
-                out += [(key, *x) for x in step(state, row)]
+            keys = zip(*(b.column(c).to_pylist() for c in by), strict=True)
+            for key, row in zip(keys, zip(*(_values(b.column(c)) for c in read), strict=True), strict=True):
+                if key != last:
+                    last, state = key, start()
+                for x in step(state, row):
+                    out.append((key[0], *x))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
 
     return run
 
 
-def fold(rows: DataFrame, order: list[str], read: list[str], start: Start, step: Step, out: str) -> DataFrame:
-    """``symbol`` and the columns of ``out``, from one pass over each symbol's rows in ``order``."""
+def fold(rows: DataFrame, order: list[str], read: list[str], start: Start, step: Step, out: str, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """``symbol`` and the columns of ``out``, from one pass over each symbol's rows in ``order``; ``by`` may cut symbols further."""
     ship(rows.sparkSession)
     schema = T.StructType([T.StructField("symbol", T.StringType()), *T.StructType.fromDDL(out).fields])
-    columns = list(dict.fromkeys(["symbol", *order, *read]))
-    dealt = rows.select(*columns).repartition("symbol").sortWithinPartitions("symbol", *order)
-    return dealt.mapInArrow(_folding(read, start, step, schema), schema)
+    columns = list(dict.fromkeys([*by, *order, *read]))
+    dealt = rows.select(*columns).repartition(*by).sortWithinPartitions(*by, *order)
+    return dealt.mapInArrow(_folding(by, read, start, step, schema), schema)

@@ -7,6 +7,7 @@ from collections.abc import Callable, Collection, Mapping
 from functools import reduce
 from typing import NamedTuple
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,26 +15,27 @@ from pyspark.sql import functions as F
 from tidewatch.functions.fixedpoint import bps, clamp01, idiv, real, render, round4
 from tidewatch.operators import book
 from tidewatch.operators.fold import fold
-from tidewatch.operators.windows import cooldown, numbered, over_symbol, sliding
-from tidewatch.scratch import written
+from tidewatch.operators.scan import STRETCH, overlapping, recent, running
+from tidewatch.operators.windows import cooldown, numbered, sliding
 from tidewatch.types import BUY, DESCRIPTIONS, EMA_ALPHA, MS, RULES, SCALE, SELL, SEVERITIES, SEVERITY, Config
 
 
+_NUMBERED = 1 << 20  # alerts are numbered in stretches of so many seqs
 WASH_NOTE = "footprint only: ownership is unknown"
 
 
-def trades(tape: DataFrame) -> DataFrame:
-    return tape.where("kind = 'trade'").select("seq", "ts_ns", "symbol", "side", "price_raw", "qty_raw")
+def trades(tape: DataFrame, *keep: str) -> DataFrame:
+    return tape.where("kind = 'trade'").select("seq", "ts_ns", "symbol", "side", "price_raw", "qty_raw", *keep)
 
 
 def side_name(side: Column) -> Column:
     return F.when(side == BUY, "buy").otherwise("sell")
 
 
-def wash_windows(tape: DataFrame, cfg: Config) -> DataFrame:
-    """Every trade with count, band, volume and the smaller side's share of the volume in its window."""
+def wash_windows(tape: DataFrame, cfg: Config, *keep: str) -> DataFrame:
+    """Every trade, with the columns ``keep`` of the tape, with count, band, volume and the smaller side's share of the volume in its window."""
     vol = lambda side, w: F.coalesce(F.sum(F.when(F.col("side") == side, F.col("qty_raw"))).over(w), F.lit(0)).cast("bigint")
-    t = sliding(trades(tape), cfg.wash_window, ["seq"], {
+    t = sliding(trades(tape, *keep), cfg.wash_window, ["seq"], {
         "n": lambda w: F.count(F.lit(1)).over(w), "hi_raw": lambda w: F.max("price_raw").over(w), "lo_raw": lambda w: F.min("price_raw").over(w),
         "buy_raw": lambda w: vol(BUY, w), "sell_raw": lambda w: vol(SELL, w),
     })
@@ -42,13 +44,13 @@ def wash_windows(tape: DataFrame, cfg: Config) -> DataFrame:
     return t.withColumn("balance", F.when(volume > 0, real(F.least("buy_raw", "sell_raw")) / F.when(volume > 0, volume)).otherwise(F.lit(0.0)))
 
 
-def wash_candidates(tape: DataFrame, cfg: Config) -> DataFrame:
-    t = wash_windows(tape, cfg)
+def wash_candidates(tape: DataFrame, cfg: Config, *keep: str) -> DataFrame:
+    t = wash_windows(tape, cfg, *keep)
     return t.where((F.col("n") >= cfg.wash_min_trades) & (F.col("band_bps") <= cfg.wash_band_bps) & (F.col("balance") >= cfg.wash_balance) & (F.col("volume") >= cfg.wash_min_volume))
 
 
-def wash_trades(tape: DataFrame, cfg: Config) -> DataFrame:
-    c = wash_candidates(tape, cfg).select("seq", "ts_ns", "symbol", "n", "band_bps", "volume", "balance")
+def wash_trades(tape: DataFrame, cfg: Config, *keep: str) -> DataFrame:
+    c = wash_candidates(tape, cfg, *keep).select("seq", "ts_ns", "symbol", "n", "band_bps", "volume", "balance", *keep)
     return cooldown(c, cfg.wash_cooldown, ["seq"])
 
 
@@ -61,8 +63,9 @@ def stuffing_windows(tape: DataFrame, cfg: Config) -> DataFrame:
     churn = sliding(d, cfg.stuff_window, ["seq", "pos"], {"churn": lambda w: F.count(F.lit(1)).over(w)})
     churn = churn.groupBy("symbol", "seq").agg(F.max_by("churn", "pos").alias("churn"))
     m = _with_trades(tape, tape.where("kind = 'depth' AND NOT is_snapshot").select("seq", "ts_ns", "symbol"), cfg)
-    m = m.join(churn, ["symbol", "seq"], "left")
-    return m.withColumn("churn", F.coalesce(F.last("churn", True).over(over_symbol(["seq"])), F.lit(0)))
+    m = m.join(churn.withColumnRenamed("churn", "here"), ["symbol", "seq"], "left")
+    m = running(m, ["symbol"], ["seq"], {"churn": ("last", F.col("here"))})
+    return m.drop("here").withColumn("churn", F.coalesce("churn", F.lit(0)))
 
 
 def _with_trades(tape: DataFrame, messages: DataFrame, cfg: Config) -> DataFrame:
@@ -72,16 +75,17 @@ def _with_trades(tape: DataFrame, messages: DataFrame, cfg: Config) -> DataFrame
     return sliding(both, cfg.stuff_window, ["seq"], {"n_trades": lambda w: F.coalesce(F.sum("trade").over(w), F.lit(0))}).where("trade = 0").drop("trade")
 
 
-def quote_stuffing(tape: DataFrame, cfg: Config, busy: DataFrame | None = None) -> DataFrame:
-    """``busy``, from ``quotes``: the messages with enough level changes, so that only these need a window of trades."""
-    m = stuffing_windows(tape, cfg) if busy is None else _with_trades(tape, busy.select("seq", "ts_ns", "symbol", "churn"), cfg)
+def quote_stuffing(tape: DataFrame, cfg: Config, *keep: str, seen: DataFrame | None = None) -> DataFrame:
+    """Only messages with enough level changes need a window of trades: ``seen``, from ``quotes``, tells them."""
+    busy = (quotes(tape, cfg, *keep) if seen is None else seen).where("churn IS NOT NULL")
+    m = _with_trades(tape, busy.select("seq", "ts_ns", "symbol", "churn", *keep), cfg)
     c = m.where((F.col("churn") >= cfg.stuff_churn) & (F.col("n_trades") <= cfg.stuff_max_trades))
-    return cooldown(c.select("seq", "ts_ns", "symbol", "churn", "n_trades"), cfg.stuff_cooldown, ["seq"])
+    return cooldown(c.select("seq", "ts_ns", "symbol", "churn", "n_trades", *keep), cfg.stuff_cooldown, ["seq"])
 
 
-def momentum_windows(tape: DataFrame, cfg: Config) -> DataFrame:
+def momentum_windows(tape: DataFrame, cfg: Config, *keep: str) -> DataFrame:
     """Every trade with the oldest, highest and lowest price and the signed volume of its window."""
-    return sliding(trades(tape), cfg.ignite_window, ["seq"], {
+    return sliding(trades(tape, *keep), cfg.ignite_window, ["seq"], {
         "start_raw": lambda w: F.first("price_raw").over(w), "hi_raw": lambda w: F.max("price_raw").over(w), "lo_raw": lambda w: F.min("price_raw").over(w),
         "net_raw": lambda w: F.sum(F.when(F.col("side") == BUY, F.col("qty_raw")).otherwise(-F.col("qty_raw"))).over(w),
     })
@@ -119,16 +123,21 @@ class Leg:
 
 def _legs(cfg: Config):
     def step(leg: Leg, row: tuple) -> list[tuple]:
-        seq, ts, price, start, hi, lo, net = row
+        seq, ts, price, start, hi, lo, net, *kept = row
         found = leg.trade(cfg, ts, price / SCALE, start / SCALE, hi / SCALE, lo / SCALE, net / SCALE)
-        return [(seq, ts, *found, price / SCALE)] if found else []
+        return [(seq, ts, *found, price / SCALE, *kept)] if found else []
 
     return step
 
 
-def momentum_ignition(tape: DataFrame, cfg: Config) -> DataFrame:
-    t = momentum_windows(tape, cfg)
-    found = fold(t, ["seq"], ["seq", "ts_ns", "price_raw", "start_raw", "hi_raw", "lo_raw", "net_raw"], Leg, _legs(cfg), "seq bigint, ts_ns bigint, side int, leg_start double, leg_peak double, price double")
+def _ddl(tape: DataFrame, keep: Collection[str]) -> str:
+    kinds = dict(tape.dtypes)
+    return "".join(f", {c} {kinds[c]}" for c in keep)
+
+
+def momentum_ignition(tape: DataFrame, cfg: Config, *keep: str) -> DataFrame:
+    t = momentum_windows(tape, cfg, *keep)
+    found = fold(t, ["seq"], ["seq", "ts_ns", "price_raw", "start_raw", "hi_raw", "lo_raw", "net_raw", *keep], Leg, _legs(cfg), "seq bigint, ts_ns bigint, side int, leg_start double, leg_peak double, price double" + _ddl(tape, keep))
     return found.withColumn("leg_bps", bps(F.col("leg_peak"), F.col("leg_start"))).withColumn("retrace_bps", bps(F.col("price"), F.col("leg_peak")))
 
 
@@ -164,7 +173,7 @@ class Quotes:
 
 def _quotes(cfg: Config):
     def step(q: Quotes, row: tuple) -> list[tuple]:
-        seq, ts, snapshot, bids, asks = row
+        seq, ts, snapshot, bids, asks, *kept = row
         changed = q.ladder.apply(snapshot, book._pairs(bids, asks))
         out = []
         if changed:
@@ -172,21 +181,21 @@ def _quotes(cfg: Config):
             q.changed(ts, len(changed), cfg.stuff_window)
             for pos, side, price, old, new in changed:
                 flagged = new > old and q.typical.add(cfg, new / SCALE, price / SCALE, mid)
-                out.append((seq, ts, pos, side, price, new, new > old, flagged, q.typical.mean, q.typical.samples, None))
+                out.append((seq, ts, pos, side, price, new, new > old, flagged, q.typical.mean, q.typical.samples, None, *kept))
         if not snapshot and q.churn >= cfg.stuff_churn:
-            out.append((seq, ts, None, None, None, None, None, None, None, None, q.churn))
+            out.append((seq, ts, None, None, None, None, None, None, None, None, q.churn, *kept))
         return out
 
     return step
 
 
-def quotes(tape: DataFrame, cfg: Config) -> DataFrame:
+def quotes(tape: DataFrame, cfg: Config, *keep: str) -> DataFrame:
     """What the rules on quotes need, from one pass over a symbol's depth messages that keeps its ladder, the average of ordinary
     sizes and the times of changes: the rows of ``size_flags``, and rows without a position, but with churn, for messages at which
     the window of the latest change holds enough changes for quote stuffing."""
     d = tape.where("kind = 'depth'")
-    return fold(d, ["seq"], ["seq", "ts_ns", "is_snapshot", "bids", "asks"], Quotes, _quotes(cfg),
-                "seq bigint, ts_ns bigint, pos int, side int, price_raw bigint, new_raw bigint, added boolean, flagged boolean, typical double, samples bigint, churn bigint")
+    return fold(d, ["seq"], ["seq", "ts_ns", "is_snapshot", "bids", "asks", *keep], Quotes, _quotes(cfg),
+                "seq bigint, ts_ns bigint, pos int, side int, price_raw bigint, new_raw bigint, added boolean, flagged boolean, typical double, samples bigint, churn bigint" + _ddl(tape, keep))
 
 
 def size_flags(tape: DataFrame, cfg: Config, seen: DataFrame | None = None) -> DataFrame:
@@ -194,20 +203,30 @@ def size_flags(tape: DataFrame, cfg: Config, seen: DataFrame | None = None) -> D
     return (quotes(tape, cfg) if seen is None else seen).where("pos IS NOT NULL").drop("churn")
 
 
+def _traded(pulled: DataFrame, tape: DataFrame, within: int) -> DataFrame:
+    """Pulls with what was traded at their price since their flag, which is at most ``within`` ago: the difference of two places of a
+    running volume by symbol, price and stretch, so nothing is joined with all trades of a busy price."""
+    zero = F.lit(0).cast("bigint")
+    ends = F.explode(F.array(F.struct(F.col("flag_seq").alias("at"), F.lit(-1).alias("sign")), F.struct(F.col("seq").alias("at"), F.lit(1).alias("sign"))))
+    points = pulled.select("symbol", "price_raw", F.struct(*pulled.columns).alias("pull"), idiv(F.col("ts_ns"), STRETCH).alias("k"), ends.alias("e")).select("symbol", "price_raw", "pull", "k", "e.at", "e.sign", zero.alias("q"))
+    t = overlapping(trades(tape).select("symbol", "price_raw", "ts_ns", F.col("seq").alias("at"), F.col("qty_raw").alias("q")), within, name="k").drop("ts_ns", "own")
+    upto = F.sum("q").over(W.partitionBy("symbol", "price_raw", "k").orderBy("at").rangeBetween(W.unboundedPreceding, 0))
+    both = points.unionByName(t, allowMissingColumns=True).withColumn("volume", upto).where("pull IS NOT NULL")
+    both = both.groupBy("symbol", "price_raw", "pull.seq", "pull.pos", "pull.side").agg(F.first("pull").alias("pull"), F.sum(F.col("sign") * F.col("volume")).cast("bigint").alias("traded_raw"))
+    return both.select("pull.*", "traded_raw")
+
+
 def pulls(tape: DataFrame, cfg: Config, flags: DataFrame | None = None) -> DataFrame:
     """Flagged adds that were pulled in time and hardly traded, one row for each, at the change that pulls them."""
     flags = size_flags(tape, cfg) if flags is None else flags
-    w = W.partitionBy("symbol", "side", "price_raw").orderBy("seq", "pos").rowsBetween(W.unboundedPreceding, -1)
-    flag = F.struct(F.col("seq").alias("seq"), F.col("pos").alias("pos"), F.col("ts_ns").alias("ts_ns"), F.col("new_raw").alias("qty_raw"))
-    r = flags.withColumn("flag", F.last(F.when(F.col("flagged"), flag), True).over(w)).where("NOT added AND flag IS NOT NULL")
-    r = r.where((F.col("ts_ns") - F.col("flag.ts_ns") <= cfg.spoof_window) & (real(F.col("new_raw")) <= (1 - cfg.spoof_pull) * real(F.col("flag.qty_raw"))))
+    kept = [c for c in flags.columns if c == "ingest_ns"]
+    flag = F.when(F.col("flagged"), F.struct("seq", "pos", "ts_ns", F.col("new_raw").alias("qty_raw")))
+    r = recent(flags, ["symbol", "side", "price_raw"], ["seq", "pos"], flag, cfg.spoof_window, name="flag").where("NOT added AND flag IS NOT NULL")
+    r = r.where(real(F.col("new_raw")) <= (1 - cfg.spoof_pull) * real(F.col("flag.qty_raw")))
     first = F.row_number().over(W.partitionBy("symbol", "side", "price_raw", "flag").orderBy("seq", "pos"))
-    r = r.withColumn("k", first).where("k = 1").select("symbol", "seq", "ts_ns", "pos", "side", "price_raw", "typical", F.col("flag.seq").alias("flag_seq"), F.col("flag.ts_ns").alias("flag_ts"), F.col("flag.qty_raw").alias("flag_raw"))
-    t = trades(tape).select("symbol", "price_raw", F.col("seq").alias("t_seq"), F.col("qty_raw").alias("t_raw"))
-    hit = r.select("symbol", "price_raw", "seq", "pos", "side", "flag_seq").join(t, ["symbol", "price_raw"]).where("t_seq > flag_seq AND t_seq < seq")
-    hit = hit.groupBy("symbol", "price_raw", "seq", "pos", "side").agg(F.sum("t_raw").alias("traded_raw"))
-    r = r.join(hit, ["symbol", "price_raw", "seq", "pos", "side"], "left").withColumn("traded_raw", F.coalesce("traded_raw", F.lit(0).cast("bigint")))
-    return r.where(real(F.col("traded_raw")) <= cfg.spoof_max_traded * real(F.col("flag_raw")))
+    r = r.withColumn("k", first).where("k = 1").select("symbol", "seq", "ts_ns", "pos", "side", "price_raw", "typical", F.col("flag.seq").alias("flag_seq"), F.col("flag.ts_ns").alias("flag_ts"), F.col("flag.qty_raw").alias("flag_raw"), *kept)
+    r = _traded(r, tape, cfg.spoof_window)
+    return r.where(real(F.col("traded_raw")) <= cfg.spoof_max_traded * real(F.col("flag_raw"))).select(*[c for c in r.columns if c not in kept], *kept)
 
 
 def spoofing(tape: DataFrame, cfg: Config, pulled: DataFrame | None = None) -> DataFrame:
@@ -237,7 +256,7 @@ def spoofing_and_layering(tape: DataFrame, cfg: Config, flags: DataFrame | None
     """Both rules' alerts from one pass over the pulls, each with its own cooldown."""
     p = sliding(pulls(tape, cfg, flags), cfg.layering_window, ["seq", "pos"], {"near": lambda w: F.collect_set(F.struct("side", "price_raw")).over(w)})
     p = p.withColumn("n_levels", F.size(F.filter("near", lambda x: x["side"] == F.col("side"))))
-    read = ["seq", "ts_ns", "pos", "side", "price_raw", "typical", "flag_ts", "flag_raw", "traded_raw", "n_levels"]
+    read = ["seq", "ts_ns", "pos", "side", "price_raw", "typical", "flag_ts", "flag_raw", "traded_raw", *[c for c in (flags.columns if flags is not None else ()) if c == "ingest_ns"], "n_levels"]
     kinds = dict(p.dtypes)
     return fold(p, ["seq", "pos"], read, dict, _both(cfg), ", ".join(["detector string", *(f"{c} {kinds[c]}" for c in read)]))
 
@@ -253,33 +272,36 @@ class Rule(NamedTuple):
 def alerts(tape: DataFrame, cfg: Config, latency: bool = True, only: Collection[str] = RULES, extra: Mapping[str, Rule] | None = None) -> DataFrame:
     """Alerts of the rules ``only`` and ``extra`` in the order of events, rules and changes, numbered over all symbols.
 
-    id, n, seq, ts_ns, detector, symbol, severity, severity_label, score, description, detect_latency_us, evidence (JSON). Cooldowns
-    leave few alerts, so one task can number them; a table of any size is numbered by ``windows.numbered`` with stretches.
-    The tape's level changes are made and written once for the rules that read them, and so are the alerts: from the size of what was
-    written Spark tells whether the tape must be shuffled for their latency.
+    id, n, seq, ts_ns, detector, symbol, severity, severity_label, score, description, detect_latency_us, evidence (JSON).
+    Nothing runs until the result is asked for. The pass over depth messages that three rules read, and the alerts without their numbers,
+    are kept on disk from their first use (``spark.catalog.clearCache`` lets them go); what is lost is made again.
     """
     shown = lambda d: _shown(d, cfg)[0]
     told = lambda d: F.to_json(F.struct(*_shown(d, cfg)[1]))
     # A spoof and the layering that it completes belong to one change; other rules follow in their order.
     spoof = F.col("detector") == "spoofing"
     nought = F.lit(0)
+    keep = ("ingest_ns",) if latency else ()
     parts = []
-    seen = written(quotes(tape, cfg), "quotes") if {"spoofing", "layering", "quote_stuffing"} & set(only) else None
+    seen = quotes(tape, cfg, *keep) if {"spoofing", "layering", "quote_stuffing"} & set(only) else None
+    if seen is not None and "quote_stuffing" in only and {"spoofing", "layering"} & set(only):
+        seen = seen.persist(StorageLevel.DISK_ONLY)
     if {"spoofing", "layering"} & set(only):
         parts.append(spoofing_and_layering(tape, cfg, size_flags(tape, cfg, seen)).where(F.col("detector").isin(*only)).select(
             "seq", "ts_ns", "symbol", "detector", nought.alias("rule"), "pos", (~spoof).cast("int").alias("last"),
-            F.when(spoof, shown("spoofing")).otherwise(shown("layering")).alias("score"), F.when(spoof, told("spoofing")).otherwise(told("layering")).alias("evidence"),
+            F.when(spoof, shown("spoofing")).otherwise(shown("layering")).alias("score"), F.when(spoof, told("spoofing")).otherwise(told("layering")).alias("evidence"), *keep,
         ))
-    for detector, find in (("momentum_ignition", momentum_ignition), ("quote_stuffing", lambda t, c: quote_stuffing(t, c, seen.where("churn IS NOT NULL"))), ("wash_trade", wash_trades)):
+    for detector, find in (("momentum_ignition", momentum_ignition), ("quote_stuffing", lambda t, c, *k: quote_stuffing(t, c, *k, seen=seen)), ("wash_trade", wash_trades)):
         if detector in only:
-            parts.append(find(tape, cfg).select("seq", "ts_ns", "symbol", F.lit(detector).alias("detector"), F.lit(RULES.index(detector)).alias("rule"), nought.alias("pos"), nought.alias("last"), shown(detector).alias("score"), told(detector).alias("evidence")))
+            parts.append(find(tape, cfg, *keep).select("seq", "ts_ns", "symbol", F.lit(detector).alias("detector"), F.lit(RULES.index(detector)).alias("rule"), nought.alias("pos"), nought.alias("last"), shown(detector).alias("score"), told(detector).alias("evidence"), *keep))
     extra = dict(extra or {})
     for k, (detector, rule) in enumerate(extra.items()):
-        parts.append(rule.find(tape, cfg).select("seq", "ts_ns", "symbol", F.lit(detector).alias("detector"), F.lit(len(RULES) + k).alias("rule"), nought.alias("pos"), nought.alias("last"), "score", "evidence"))
-    out = reduce(DataFrame.unionByName, parts)
-    out = numbered(out, ["seq", "rule", "pos", "last"])
+        found = rule.find(tape, cfg).select("seq", "ts_ns", "symbol", F.lit(detector).alias("detector"), F.lit(len(RULES) + k).alias("rule"), nought.alias("pos"), nought.alias("last"), "score", "evidence")
+        parts.append(found.join(tape.select("symbol", "seq", *keep), ["symbol", "seq"]).select(*found.columns, *keep) if keep else found)
+    out = reduce(DataFrame.unionByName, parts).persist(StorageLevel.DISK_ONLY)  # counted by stretches, then numbered
+    out = numbered(out, ["seq", "rule", "pos", "last"], idiv(F.col("seq"), _NUMBERED))
     if latency:
-        out = written(out, "alerts").join(tape.select("seq", "symbol", "ingest_ns"), ["symbol", "seq"]).withColumn("detect_latency_us", F.greatest(F.lit(0), idiv(F.col("ts_ns") - F.col("ingest_ns"), 1000)))
+        out = out.withColumn("detect_latency_us", F.greatest(F.lit(0), idiv(F.col("ts_ns") - F.col("ingest_ns"), 1000)))
     severity = F.create_map(*[F.lit(x) for k, v in (SEVERITY | {k: r.severity for k, r in extra.items()}).items() for x in (k, v)])[F.col("detector")]
     label = F.create_map(*[F.lit(x) for k, v in SEVERITIES.items() for x in (k, v)])[severity]
     text = F.create_map(*[F.lit(x) for k, v in (DESCRIPTIONS | {k: r.description for k, r in extra.items()}).items() for x in (k, v)])[F.col("detector")]

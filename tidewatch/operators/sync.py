@@ -6,10 +6,10 @@ from collections.abc import Iterable
 from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.operators.fold import fold
+from tidewatch.operators.scan import running
 from tidewatch.types import BUY
 
 #: Fixed values.
@@ -97,16 +97,16 @@ def released(tape: DataFrame) -> DataFrame:
 
 def gaps(tape: DataFrame) -> DataFrame:
     """Diffs that don't follow the diff before them: symbol, seq, first_id, expected_id. A plain window where the feed is clean."""
-    d = tape.where("kind = 'depth' AND NOT is_snapshot").select("symbol", "seq", "first_id", "final_id")
-    d = d.withColumn("expected_id", F.lag("final_id").over(W.partitionBy("symbol").orderBy("seq")) + 1)
+    d = tape.where("kind = 'depth' AND NOT is_snapshot").select("symbol", "seq", "ts_ns", "first_id", "final_id")
+    d = running(d, ["symbol"], ["seq"], {"expected_id": ("last", F.col("final_id") + 1)}, before=True)
     return d.where("expected_id IS NOT NULL AND first_id <> expected_id").select("symbol", "seq", "first_id", "expected_id")
 
 
 def not_stale(tape: DataFrame) -> DataFrame:
     """Diffs that end after all that came before them."""
-    before = F.max("final_id").over(W.partitionBy("symbol").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
-    d = tape.where("kind = 'depth' AND NOT is_snapshot").select("symbol", "seq", "first_id", "final_id").withColumn("__b", before)
-    return d.where("__b IS NULL OR final_id > __b").drop("__b")
+    d = tape.where("kind = 'depth' AND NOT is_snapshot").select("symbol", "seq", "ts_ns", "first_id", "final_id")
+    d = running(d, ["symbol"], ["seq"], {"before": ("max", F.col("final_id"))}, before=True)
+    return d.where("before IS NULL OR final_id > before").drop("before", "ts_ns")
 
 
 def is_zero(text: Column) -> Column:

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.fixedpoint import idiv
 from tidewatch.operators.fold import fold
-from tidewatch.types import SEC
+from tidewatch.operators.scan import STRETCH
 
-STRETCH = 600 * SEC
 _PEERS = 1 << 22  # rows of a symbol with one time are told apart up to half of this; beyond it, an error
 
 
@@ -30,11 +29,12 @@ def sliding(rows: DataFrame, length: int, order: list[str], aggregates: dict[str
     r = rows.withColumn("__own", own).withColumn("__in", F.explode(F.when(reach > own, F.array(own, reach)).otherwise(F.array(own))))
     place = W.partitionBy("symbol", "__in")
     tie = F.row_number().over(W.partitionBy("symbol", "__in", "ts_ns").orderBy(*order)) - 1
-    tie = F.when(tie < _PEERS // 2, tie).otherwise(F.raise_error(F.lit(f"more than {_PEERS // 2} rows of a symbol have one time")))
-    at = (F.col("ts_ns") - (F.col("__in") - 1) * stretch) * _PEERS + tie
+    at = (F.col("ts_ns") - (F.col("__in") - 1) * stretch) * _PEERS + F.col("__tie")
     frame = place.orderBy("__at").rangeBetween(-(length * _PEERS + _PEERS // 2), 0)
-    r = r.withColumn("__at", at)
-    return r.withColumns({name: f(frame) for name, f in aggregates.items()}).where("__own = __in").drop("__own", "__in", "__at")
+    r = r.withColumn("__tie", tie).withColumn("__at", at).withColumns({name: f(frame) for name, f in aggregates.items()})
+    # Beside the windows, not in their order: there it would be evaluated for each comparison.
+    told = F.raise_error(F.lit(f"more than {_PEERS // 2} rows of a symbol have one time")).cast("boolean")
+    return r.where(F.when(F.col("__tie") < _PEERS // 2, F.col("__own") == F.col("__in")).otherwise(told)).drop("__own", "__in", "__at", "__tie")
 
 
 def span(frame: WindowSpec) -> Column:
@@ -42,10 +42,6 @@ def span(frame: WindowSpec) -> Column:
     return F.max("ts_ns").over(frame) - F.min("ts_ns").over(frame)
 
 
-def over_symbol(order: list[str]) -> WindowSpec:
-    return W.partitionBy("symbol").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-
-
 def _thin(wait: int):
     def start() -> list[int]:
         return [0]
