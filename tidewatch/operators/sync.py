@@ -17,13 +17,38 @@ BUFFER = 4096
 CHECKSUM_LEVELS = 25
 
 
+class Held:
+    """Diffs that wait, oldest first; a value: adding one gives another. They share one list, so adding takes the same time however
+    many wait."""
+
+    __slots__ = ("items", "first", "end")
+
+    def __init__(self, items: list | None = None, first: int = 0, end: int = 0) -> None:
+        self.items, self.first, self.end = [] if items is None else items, first, end
+
+    def add(self, diff: tuple[int, int, Any], limit: int) -> tuple[Held, int]:
+        """With one more, and how many of the oldest were dropped for it."""
+        items, first, end = self.items, self.first, self.end
+        if end != len(items) or first > 2 * max(limit, 16):  # another value has gone on from here, or most of the list is dropped
+            items, first, end = items[first:end], 0, end - first
+        items.append(diff)
+        over = max(0, end + 1 - first - max(1, limit))
+        return Held(items, first + over, end + 1), over
+
+    def __iter__(self):
+        return iter(self.items[self.first : self.end])
+
+    def __len__(self) -> int:
+        return self.end - self.first
+
+
 class Feed(NamedTuple):
     """What is known of one book's sequence. ``at``: id up to which messages were released, none while a snapshot is awaited;
     ``joined``: a diff was released since the snapshot; ``held``: (first id, final id, item) that await it."""
 
     at: int | None = None
     joined: bool = False
-    held: tuple[tuple[int, int, Any], ...] = ()
+    held: Held = Held()
     resyncs: int = 0
     dropped: int = 0
 
@@ -36,15 +61,15 @@ def _release(feed: Feed, diffs: Iterable[tuple[int, int, Any]]) -> tuple[Feed, l
         if final <= feed.at:
             continue
         if first > feed.at + 1 or (feed.joined and first <= feed.at):
-            return feed._replace(at=None, joined=False, held=(), resyncs=feed.resyncs + 1), out, (first, final, item)
-        feed, out = feed._replace(at=final, joined=True), [*out, item]
+            return feed._replace(at=None, joined=False, held=Held(), resyncs=feed.resyncs + 1), out, (first, final, item)
+        feed = feed._replace(at=final, joined=True)
+        out.append(item)
     return feed, out, None
 
 
 def _hold(feed: Feed, diff: tuple[int, int, Any], limit: int) -> Feed:
-    held = (*feed.held, diff)
-    over = max(0, len(held) - max(1, limit))
-    return feed._replace(held=held[over:], dropped=feed.dropped + over)
+    held, over = feed.held.add(diff, limit)
+    return feed._replace(held=held, dropped=feed.dropped + over)
 
 
 def advance(feed: Feed, snapshot: bool, first: int | None, final: int, item: Any = None, limit: int = BUFFER) -> tuple[Feed, str, list]:
@@ -54,7 +79,7 @@ def advance(feed: Feed, snapshot: bool, first: int | None, final: int, item: Any
     is awaited, else applied, stale, or a gap, after which they are the first to be held.
     """
     if snapshot:
-        after, out, hole = _release(feed._replace(at=final, joined=False, held=()), feed.held)
+        after, out, hole = _release(feed._replace(at=final, joined=False, held=Held()), feed.held)
         return after, "again" if hole else "synced", [] if hole else [item, *out]
     if feed.at is None:
         return _hold(feed, (first, final, item), limit), "buffered", []

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tidewatch.operators.sync import BUFFER
 from tidewatch.sources.tape import BASE, SNAPSHOT_EVERY, START_NS, STEP_NS, SYMBOLS, TICK
 from tidewatch.types import DESCRIPTIONS, EMA_ALPHA, LATENCY_BOUNDS, SCALE, SEC, SEVERITIES, SEVERITY, TABLE_CONFIG as C
 
 _S = f"{float(SCALE)}::DOUBLE"
+LOST_EVERY = 211  # of the diffs of a feed, those with such an id are lost on the way
 
 
 def real(x: str) -> str:
@@ -25,6 +27,12 @@ def _thin(name: str, rows: str, wait: int) -> str:
 ), {name} AS MATERIALIZED (SELECT r.* FROM {rows} r JOIN {name}_at USING (symbol, ts_ns))"""
 
 
+_DIFFS = f"""diffs AS (
+  SELECT seq, ts_ns, symbol, CASE WHEN event_type = 'view' OR (event_type = 'signup' AND event_id % 2 = 0) THEN 0 ELSE 1 END AS side, (event_id * 7919) % 3 AS tick,
+    CASE WHEN event_id % 4 = 0 THEN 0 ELSE cents * 1000000 END::BIGINT AS qty_raw
+  FROM ev WHERE event_type NOT IN ('purchase', 'click') AND NOT snap
+)"""
+
 CTES = f"""
 ev AS (
   SELECT event_id AS seq, {START_NS} + event_id * {STEP_NS} AS ts_ns, {START_NS} + event_id * {STEP_NS} - (event_id % 7) * 30000 AS ingest_ns, 'SYM' || (user_id % {SYMBOLS}) AS symbol,
@@ -35,11 +43,7 @@ ev AS (
   FROM ev WHERE event_type IN ('purchase', 'click') AND NOT snap
 ), snaps AS (
   SELECT seq, ts_ns, symbol FROM ev WHERE snap UNION ALL SELECT k - {SYMBOLS}, {START_NS} + (k - {SYMBOLS}) * {STEP_NS}, 'SYM' || k FROM range({SYMBOLS}) r(k)
-), diffs AS (
-  SELECT seq, ts_ns, symbol, CASE WHEN event_type = 'view' OR (event_type = 'signup' AND event_id % 2 = 0) THEN 0 ELSE 1 END AS side, (event_id * 7919) % 3 AS tick,
-    CASE WHEN event_id % 4 = 0 THEN 0 ELSE cents * 1000000 END::BIGINT AS qty_raw
-  FROM ev WHERE event_type NOT IN ('purchase', 'click') AND NOT snap
-), levels AS MATERIALIZED (
+), {_DIFFS}, levels AS MATERIALIZED (
   SELECT seq, ts_ns, symbol, false AS is_snapshot, 0 AS pos, side, CASE WHEN side = 0 THEN {BASE} - tick * {TICK} ELSE {BASE + 2 * TICK} + tick * {TICK} END AS price_raw, qty_raw FROM diffs
   UNION ALL
   SELECT seq, ts_ns, symbol, true, k::INTEGER, CASE WHEN k < 3 THEN 0 ELSE 1 END, CASE WHEN k < 3 THEN {BASE} - k * {TICK} ELSE {BASE + 2 * TICK} + (k - 3) * {TICK} END, {10 * SCALE} FROM snaps, range(6) r(k)
@@ -175,8 +179,29 @@ raised AS MATERIALIZED (
 """
 
 
-def sql(select: str) -> str:
-    return f"WITH RECURSIVE {CTES}\n{select}"
+def sql(select: str, ctes: str = CTES) -> str:
+    return f"WITH RECURSIVE {ctes}\n{select}"
+
+
+#: As a venue sends it: diffs that are lost, and those after one up to the next snapshot of the symbol, don't count.
+FEED = CTES.replace(_DIFFS, f"""sent AS (
+  SELECT *, seq % {LOST_EVERY} = 0 AS lost FROM (SELECT * FROM ({_DIFFS.removeprefix("diffs AS (").removesuffix(")")}))
+), received AS (
+  SELECT *, sum(lost::INTEGER) OVER (PARTITION BY symbol, epoch ORDER BY seq) AS holes FROM (
+    SELECT s.*, (SELECT count(*) FROM snaps p WHERE p.symbol = s.symbol AND p.seq < s.seq) AS epoch FROM sent s)
+), diffs AS (SELECT * EXCLUDE (lost, epoch, holes) FROM received WHERE epoch > 0 AND holes = 0)""")
+
+#: Every depth message of a symbol in turn. Update ids are event ids here, so a snapshot is newer than all that waits for it.
+_SYNC = f"""sync_x AS MATERIALIZED (SELECT symbol, seq, is_snapshot, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS k FROM ep
+), sync_r AS (
+  SELECT symbol, 0::BIGINT AS k, NULL::BIGINT AS seq, ''::VARCHAR AS outcome, NULL::BIGINT AS upto, 0::BIGINT AS held, 0::BIGINT AS resyncs, 0::BIGINT AS dropped FROM (SELECT DISTINCT symbol FROM sync_x)
+  UNION ALL
+  SELECT symbol, k, seq, outcome, CASE outcome WHEN 'gap' THEN NULL WHEN 'buffered' THEN NULL WHEN 'stale' THEN upto ELSE seq END,
+    CASE outcome WHEN 'gap' THEN 1 WHEN 'buffered' THEN least(held + 1, {BUFFER}) ELSE 0 END, resyncs + CASE outcome WHEN 'gap' THEN 1 ELSE 0 END, dropped + CASE WHEN outcome = 'buffered' AND held = {BUFFER} THEN 1 ELSE 0 END
+  FROM (
+    SELECT x.symbol, x.k, x.seq, r.upto, r.held, r.resyncs, r.dropped, CASE WHEN is_snapshot THEN 'synced' WHEN r.upto IS NULL THEN 'buffered' WHEN x.seq <= r.upto THEN 'stale' WHEN x.seq > r.upto + 1 THEN 'gap' ELSE 'apply' END AS outcome
+    FROM sync_r r JOIN sync_x x ON x.symbol = r.symbol AND x.k = r.k + 1)
+)"""
 
 
 _BOUNDS = " UNION ALL ".join(f"SELECT '{b}' AS le, count(*) FILTER (detect_latency_us <= {b}) AS n FROM alerts" for b in LATENCY_BOUNDS)
@@ -255,6 +280,12 @@ MERKLE = f"""SELECT from_seq, to_seq, n, h AS merkle_root FROM (
 SELECTS["merkle_roots"] = MERKLE
 
 ORACLE_SQL = {name: sql(select) for name, select in SELECTS.items()}
+ORACLE_SQL["feed_sync"] = sql("""SELECT seq, symbol, 'trade' AS kind, false AS is_snapshot, ts_ns, 0 AS n_bids, 0 AS n_asks FROM trades
+UNION ALL SELECT seq, symbol, 'depth', false, ts_ns, 1 - side, side FROM diffs UNION ALL SELECT seq, symbol, 'depth', true, ts_ns, 3, 3 FROM snaps""", FEED)
+ORACLE_SQL["feed_alerts"] = sql("SELECT id, n, ts_ns, detector, symbol, severity_label, score FROM alerts", FEED)
+ORACLE_SQL["book_sync"] = sql("SELECT symbol, seq, outcome, CASE WHEN outcome IN ('synced', 'apply') THEN '[' || seq || ']' ELSE '[]' END AS passed, resyncs, dropped FROM sync_r WHERE k > 0", f"{CTES}, {_SYNC}")
+ORACLE_SQL["synchronized_tape"] = sql("""SELECT symbol, seq, 'depth' AS kind, seq AS release_seq, 0 AS release_pos FROM sync_r WHERE outcome IN ('synced', 'apply')
+UNION ALL SELECT symbol, seq, 'trade', seq, 0 FROM trades""", f"{CTES}, {_SYNC}")
 
 #: The alerts of the scripted tape, which needs no table.
 ORACLE_SQL["scripted_alerts"] = """SELECT id, n::BIGINT AS n, seq::BIGINT AS seq, ts_ns::BIGINT AS ts_ns, detector, symbol, severity::INTEGER AS severity, severity_label,

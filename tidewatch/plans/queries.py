@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import fixedpoint as fp
 from tidewatch.functions import subjects
-from tidewatch.operators import anomaly, audit, book, dashboard, features, rules, sync
+from tidewatch.operators import anomaly, audit, book, dashboard, features, rules, scan, sync
 from tidewatch.operators.windows import sliding, span
+from tidewatch.plans.oracle import LOST_EVERY
 from tidewatch.scratch import scratch_path, written
 from tidewatch.sources import sinks, venues
 from tidewatch.sources.tape import read_tape, scripted_tape
@@ -100,6 +101,40 @@ def okx_trades(tape: DataFrame) -> DataFrame:
     return venues.okx(t.select("seq", "ingest_ns", raw.alias("raw"))).where("kind = 'trade'").select("seq", "symbol", "side", "price_raw", "qty_raw", "exchange_ts_ms", "trade_id")
 
 
+def _feed(tape: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tape as a venue sends it: frames, of which some diffs are lost, and answers of the snapshot service. Diffs of a symbol have
+    update ids without holes, and a snapshot holds the id of the last diff before it. Frames come at the tape's time."""
+    pairs = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.concat(F.lit('["'), fp.render(x["p"]), F.lit('","'), fp.render(x["q"]), F.lit('"]'))), ","), F.lit("]"))
+    ms = fp.idiv(F.col("ts_ns"), 1_000_000)
+    d = scan.running(tape.where("kind = 'depth'"), ["symbol"], ["seq"], {"u": ("sum", (~F.col("is_snapshot")).cast("bigint"))}).withColumns({"b": pairs("bids"), "a": pairs("asks")})
+    diff = F.format_string('{"stream":"%s@depth","data":{"e":"depthUpdate","E":%d,"s":"%s","U":%d,"u":%d,"b":%s,"a":%s}}', F.lower("symbol"), ms, "symbol", "u", "u", "b", "a")
+    trade = F.format_string(
+        '{"stream":"%s@trade","data":{"e":"trade","E":%d,"s":"%s","t":%d,"p":"%s","q":"%s","T":%d,"m":%s}}',
+        F.lower("symbol"), ms, "symbol", "seq", fp.render(F.col("price_raw")), fp.render(F.col("qty_raw")), ms, F.when(F.col("side") == 1, "true").otherwise("false"),
+    )
+    at = F.col("ts_ns").alias("ingest_ns")
+    frames = d.where(f"NOT is_snapshot AND seq % {LOST_EVERY} <> 0").select("seq", at, diff.alias("raw")).unionByName(tape.where("kind = 'trade'").select("seq", at, trade.alias("raw")))
+    answer = F.format_string('{"lastUpdateId":%d,"bids":%s,"asks":%s}', F.coalesce("u", F.lit(0)), "b", "a")
+    return frames, d.where("is_snapshot").select("seq", at, "symbol", answer.alias("raw"))
+
+
+def _received(tape: DataFrame) -> DataFrame:
+    """What of the feed passes the sequence check, in the order in which it passes."""
+    frames, answers = _feed(tape)
+    got = venues.union(venues.binance(frames), venues.binance_snapshots(answers)).where("error IS NULL").withColumn("ts_ns", F.col("ingest_ns"))
+    return sync.released(got)
+
+
+def feed_sync(tape: DataFrame) -> DataFrame:
+    return _received(tape).select(F.col("origin_seq").alias("seq"), "symbol", "kind", "is_snapshot", "ts_ns", F.coalesce(F.size("bids"), F.lit(0)).alias("n_bids"), F.coalesce(F.size("asks"), F.lit(0)).alias("n_asks"))
+
+
+def feed_alerts(tape: DataFrame) -> DataFrame:
+    """Frames of a venue, the sequence check and all rules as one path."""
+    got = written(_received(tape), "received")  # all rules read it
+    return rules.alerts(got, CFG, latency=False).select("id", "n", "ts_ns", "detector", "symbol", "severity_label", "score")
+
+
 def _chain(tape: DataFrame) -> DataFrame:
     body = F.format_string('{"id":"%s","detector":"%s","latency":%d}', "id", "detector", "detect_latency_us")
     return audit.chain(_alerts(tape).select("n", "ts_ns", body.alias("payload")))
@@ -185,8 +220,10 @@ QUERIES = {
     "venue_counters": _tape(dashboard.counters),
     "sequence_gaps": _tape(sync.gaps),
     "stale_diff_filter": _tape(stale),
-    "book_sync": _tape(sync.synced),
+    "book_sync": _tape(lambda t: sync.synced(t).withColumn("passed", F.to_json("passed"))),
     "synchronized_tape": _tape(lambda t: sync.applied(t).select("symbol", "seq", "kind", "release_seq", "release_pos")),
+    "feed_sync": _tape(feed_sync),
+    "feed_alerts": _tape(feed_alerts),
     "checksum_payload": _tape(checksum),
     "subject_match": _tape(subject_match),
     "symbol_shard": _tape(lambda t: subjects.only(t, "md.SYM2").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))),
