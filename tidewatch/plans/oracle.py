@@ -287,6 +287,11 @@ ORACLE_SQL["book_sync"] = sql("SELECT symbol, seq, outcome, CASE WHEN outcome IN
 ORACLE_SQL["synchronized_tape"] = sql("""SELECT symbol, seq, 'depth' AS kind, seq AS release_seq, 0 AS release_pos FROM sync_r WHERE outcome IN ('synced', 'apply')
 UNION ALL SELECT symbol, seq, 'trade', seq, 0 FROM trades""", f"{CTES}, {_SYNC}")
 
+ORACLE_SQL["routed_subjects"] = """WITH taken AS (
+  SELECT 'user-' || user_id AS sink, event_id FROM events WHERE user_id % 7 = 0 UNION ALL SELECT 'kind-' || event_type, event_id FROM events UNION ALL SELECT 'all', event_id FROM events
+  UNION ALL SELECT 'late', event_id FROM events UNION ALL SELECT 'first', event_id FROM events WHERE user_id % 4 = 0 UNION ALL SELECT 'exact', event_id FROM events WHERE user_id = 3 AND event_type = 'view'
+) SELECT sink, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM taken GROUP BY sink"""
+
 #: The alerts of the scripted tape, which needs no table.
 ORACLE_SQL["scripted_alerts"] = """SELECT id, n::BIGINT AS n, seq::BIGINT AS seq, ts_ns::BIGINT AS ts_ns, detector, symbol, severity::INTEGER AS severity, severity_label,
   score::DOUBLE AS score, description, detect_latency_us::BIGINT AS detect_latency_us, evidence FROM (VALUES

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import fixedpoint as fp
 from tidewatch.functions import subjects
-from tidewatch.operators import anomaly, audit, book, dashboard, features, rules, scan, sync
+from tidewatch.operators import anomaly, audit, book, dashboard, features, routing, rules, scan, sync
 from tidewatch.operators.windows import sliding, span
 from tidewatch.plans.oracle import LOST_EVERY
 from tidewatch.scratch import scratch_path, written
@@ -48,6 +48,19 @@ def subject_match(tape: DataFrame) -> DataFrame:
     return s.select("subject", *[subjects.matches(F.col("subject"), p).alias(n) for n, p in (("exact", "md.SYM1"), ("any_symbol", "md.*"), ("any_deeper", "md.*.extra"), ("rest", "md.>"))])
 
 
+def routed_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by sink: a pattern for each seventh user, two for each kind of event, and some that take many subjects."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    subject = F.format_string("md.SYM%d.%s.%d", F.col("user_id") % 4, "event_type", "user_id")
+    of = lambda sink, pattern: e.select(sink.alias("sink"), pattern.alias("pattern"))
+    user, kind = F.col("user_id").cast("string"), F.col("event_type")
+    wanted = of(F.concat(F.lit("user-"), user), F.concat(F.lit("md.*.*."), user)).where("user_id % 7 = 0").union(of(F.concat(F.lit("kind-"), kind), F.concat(F.lit("md.*."), kind, F.lit(".*"))))
+    wanted = wanted.union(of(F.concat(F.lit("kind-"), kind), F.concat(F.lit("md.SYM1."), kind, F.lit(".>")))).distinct()
+    wide = [("all", ">"), ("first", "md.SYM0.>"), ("none", "md.*"), ("exact", "md.SYM3.view.3"), ("late", "md.>.view")]
+    out = routing.routed(e, subject, wanted.union(spark.createDataFrame(wide, "sink string, pattern string")))
+    return out.select(F.explode("sinks").alias("sink"), "event_id").groupBy("sink").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
 def stale(tape: DataFrame) -> DataFrame:
     return sync.not_stale(tape.withColumn("final_id", F.col("seq") - F.col("seq") % 5 * 40))
 
@@ -226,6 +239,7 @@ QUERIES = {
     "feed_alerts": _tape(feed_alerts),
     "checksum_payload": _tape(checksum),
     "subject_match": _tape(subject_match),
+    "routed_subjects": routed_subjects,
     "symbol_shard": _tape(lambda t: subjects.only(t, "md.SYM2").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))),
     "binance_trades": _tape(binance_trades),
     "binance_depth": _tape(binance_depth),
