@@ -3,6 +3,7 @@
 import json
 import random
 import sys
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -12,7 +13,8 @@ from test_rules import random_rows
 from tidewatch.operators.book import Ladder
 from tidewatch.streaming.engine import Keeper, StreamRule, SymbolState
 from tidewatch.streaming.ladder import FULL, BucketLadder
-from tidewatch.types import BUY, MS, SCALE, SEC, SELL, Config
+from tidewatch.streaming.metrics import Metrics
+from tidewatch.types import BUY, LATENCY_BOUNDS, MS, SCALE, SEC, SELL, Config
 
 CFG = Config(spoof_multiple=3.0, spoof_min_samples=3, layering_levels=2, stuff_churn=4, stuff_max_trades=2, ignite_bps=5.0, ignite_volume=2.0, wash_min_trades=3, wash_band_bps=30.0, feature_every=5)
 
@@ -157,6 +159,8 @@ def test_own_rules_on_a_stream(spark, tmp_path):
     n = write_in_order(tape_of_rows(spark, rows), str(tmp_path / "in"), 90)
     assert 4 <= n <= 6
     rules = (BigTrades(), Thin())
+    live = Metrics()
+    spark.streams.addListener(live)
     q = engine.start(stream_of(spark, str(tmp_path / "in")), str(tmp_path / "cp"), str(tmp_path / "alerts"), str(tmp_path / "features"), CFG, rules=rules)
     q.awaitTermination()
     assert q.exception() is None and q.recentProgress and len(q.recentProgress) >= n
@@ -168,3 +172,21 @@ def test_own_rules_on_a_stream(spark, tmp_path):
         vectors += sum(y[2] == "features" for y in out)
     assert got == sorted(want) and {"big_trade", "thin", "spoofing"} <= {x[2] for x in got}
     assert spark.read.parquet(str(tmp_path / "features")).count() == vectors > 0
+    for _ in range(100):  # reports come after the batch
+        if live.totals["batches"] >= n:
+            break
+        time.sleep(0.2)
+    spark.streams.removeListener(live)
+    assert live.totals["events"] == len(rows) and live.totals["alerts"] == len(want) and live.totals["features"] == vectors
+    assert all(live.totals[f"alerts_{d}"] == sum(x[2] == d for x in want) for d in ("big_trade", "thin", "spoofing", "wash_trade"))
+    assert live.detection == {str(b): len(want) for b in LATENCY_BOUNDS} | {"+Inf": len(want)}  # the tape's times are those of its events
+    assert live.processing["+Inf"] == len(rows) and list(live.processing.values()) == sorted(live.processing.values())
+
+
+def test_batches_are_counted_once():
+    live = Metrics()
+    for took in (1, 1, 400):
+        live.add("run", took, 100, took, {"alerts": 3, "features": 1, "alerts_spoofing": 2, "detect_le_5": 1, "detect_le_10": 3})
+    assert live.totals == {"events": 200, "batches": 2, "alerts": 6, "features": 2, "alerts_spoofing": 4}
+    assert live.detection == {"5": 2, "10": 6, "+Inf": 6}
+    assert live.processing["5"] == 0 and live.processing["10"] == 100 and live.processing["2500"] == 100 and live.processing["5000"] == 200

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.fixedpoint import real, round2
 from tidewatch.operators.rules import trades
+from tidewatch.operators.sync import synced
 from tidewatch.types import LATENCY_BOUNDS
 
 #: Alerts that are remembered, and shown unless asked otherwise.
@@ -66,3 +67,13 @@ def counters(tape: DataFrame) -> DataFrame:
     """Events taken in, by venue: received, trades, depth, snapshots."""
     count = lambda c: F.sum(F.expr(c).cast("bigint"))
     return tape.groupBy("exchange").agg(F.count(F.lit(1)).alias("received"), count("kind = 'trade'").alias("trades"), count("kind = 'depth' AND NOT is_snapshot").alias("depth"), count("kind = 'depth' AND is_snapshot").alias("snapshots"))
+
+
+def ingest_stats(tape: DataFrame) -> DataFrame:
+    """Counters by venue with what the sequence check made of its depth messages: applied, stale, buffered, gaps (each asks for a new
+    snapshot), snapshots that had to be asked for again, and diffs dropped from full buffers."""
+    s = synced(tape).join(tape.where("kind = 'depth'").select("symbol", "seq", "exchange"), ["symbol", "seq"])
+    count = lambda *w: F.sum(F.col("outcome").isin(*w).cast("bigint"))
+    by_book = s.groupBy("exchange", "symbol").agg(count("apply", "synced").alias("applied"), count("stale").alias("stale"), count("buffered", "gap").alias("buffered"), count("gap").alias("gaps"), count("again").alias("again"), F.max("dropped").alias("dropped"))
+    total = by_book.groupBy("exchange").agg(*[F.sum(c).alias(c) for c in ("applied", "stale", "buffered", "gaps", "again", "dropped")])
+    return counters(tape).join(total, "exchange", "left").na.fill(0)

@@ -287,6 +287,29 @@ ORACLE_SQL["book_sync"] = sql("SELECT symbol, seq, outcome, CASE WHEN outcome IN
 ORACLE_SQL["synchronized_tape"] = sql("""SELECT symbol, seq, 'depth' AS kind, seq AS release_seq, 0 AS release_pos FROM sync_r WHERE outcome IN ('synced', 'apply')
 UNION ALL SELECT symbol, seq, 'trade', seq, 0 FROM trades""", f"{CTES}, {_SYNC}")
 
+ORACLE_SQL["ingest_stats"] = sql("""SELECT 'table' AS exchange, (SELECT count(*) FROM trades) + (SELECT count(*) FROM ep) AS received, (SELECT count(*) FROM trades) AS trades, (SELECT count(*) FROM diffs) AS depth,
+  (SELECT count(*) FROM snaps) AS snapshots, count(*) FILTER (outcome IN ('apply', 'synced')) AS applied, count(*) FILTER (outcome = 'stale') AS stale, count(*) FILTER (outcome IN ('buffered', 'gap')) AS buffered,
+  count(*) FILTER (outcome = 'gap') AS gaps, 0::BIGINT AS again, (SELECT sum(d)::BIGINT FROM (SELECT max(dropped) AS d FROM sync_r GROUP BY symbol)) AS dropped FROM sync_r WHERE k > 0""", f"{CTES}, {_SYNC}")
+
+
+def _round4(x: str) -> str:
+    return f"(sign({x}) * floor(abs({x}) * 1e4::DOUBLE + 0.5::DOUBLE) / 1e4::DOUBLE)"
+
+
+#: What each rule shows, by field, from the rows of its alerts.
+_EVIDENCE = (
+    ("spoof_a", "spoofing", {
+        "typical_qty": _round4("typical"), "size_multiple": _round4(f"({real('flag_raw')} / typical)"), "lifetime_ms": _round4("((ts_ns - flag_ts)::DOUBLE / 1e6::DOUBLE)"),
+        "flagged_qty": real("flag_raw"), "traded_qty": real("traded_raw"), "price": real("price_raw"),
+    }),
+    ("layer_a", "layering", {"levels_pulled": "n_levels::DOUBLE", "window_ms": f"{C.layering_window / 10**6}::DOUBLE"}),
+    ("mom_a", "momentum_ignition", {"leg_bps": _round4("leg_bps"), "retrace_bps": _round4("retrace_bps"), "leg_start": _round4("leg_start"), "leg_peak": _round4("leg_peak"), "reverse_price": _round4("price")}),
+    ("stuff_a", "quote_stuffing", {"updates_in_window": "churn::DOUBLE", "trades_in_window": "n_trades::DOUBLE", "window_ms": f"{C.stuff_window / 10**6}::DOUBLE"}),
+    ("wash_a", "wash_trade", {"trades": "n::DOUBLE", "band_bps": _round4("band_bps"), "volume": _round4("volume"), "side_balance": _round4("balance")}),
+)
+ORACLE_SQL["alert_evidence"] = sql("SELECT n, a.detector, field, value FROM alerts a JOIN (" + " UNION ALL ".join(
+    f"SELECT symbol, seq, '{d}' AS detector, {'pos' if t in ('spoof_a', 'layer_a') else '0'} AS pos, '{f}' AS field, {x} AS value FROM {t}" for t, d, fields in _EVIDENCE for f, x in fields.items()
+) + ") e ON e.symbol = a.symbol AND e.seq = a.seq AND e.detector = a.detector")
 ORACLE_SQL["routed_subjects"] = """WITH taken AS (
   SELECT 'user-' || user_id AS sink, event_id FROM events WHERE user_id % 7 = 0 UNION ALL SELECT 'kind-' || event_type, event_id FROM events UNION ALL SELECT 'all', event_id FROM events
   UNION ALL SELECT 'late', event_id FROM events UNION ALL SELECT 'first', event_id FROM events WHERE user_id % 4 = 0 UNION ALL SELECT 'exact', event_id FROM events WHERE user_id = 3 AND event_type = 'view'

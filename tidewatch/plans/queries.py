@@ -27,6 +27,21 @@ def _alerts(tape: DataFrame) -> DataFrame:
     return rules.alerts(tape, CFG).drop("evidence")
 
 
+#: Numbers in the evidence of each rule.
+EVIDENCE = {
+    "spoofing": ("typical_qty", "size_multiple", "lifetime_ms", "flagged_qty", "traded_qty", "price"), "layering": ("levels_pulled", "window_ms"), "momentum_ignition": ("leg_bps", "retrace_bps", "leg_start", "leg_peak", "reverse_price"),
+    "quote_stuffing": ("updates_in_window", "trades_in_window", "window_ms"), "wash_trade": ("trades", "band_bps", "volume", "side_balance"),
+}
+
+
+def alert_evidence(tape: DataFrame) -> DataFrame:
+    """The numbers that alerts give as evidence, one a row."""
+    a = rules.alerts(tape, CFG)
+    fields = F.create_map(*[x for d, names in EVIDENCE.items() for x in (F.lit(d), F.array(*map(F.lit, names)))])
+    a = a.select("n", "detector", F.from_json("evidence", "map<string,string>").alias("e"), F.explode(fields[F.col("detector")]).alias("field"))
+    return a.select("n", "detector", "field", F.col("e")[F.col("field")].cast("double").alias("value"))
+
+
 def _vectors(tape: DataFrame) -> DataFrame:
     return features.vectors(tape, CFG)
 
@@ -231,6 +246,8 @@ QUERIES = {
     "latest_tile": _tape(lambda t: dashboard.tiles(t, _vectors(t))),
     "latency_histogram": _tape(lambda t: dashboard.latency_histogram(_alerts(t))),
     "venue_counters": _tape(dashboard.counters),
+    "ingest_stats": _tape(dashboard.ingest_stats),
+    "alert_evidence": _tape(alert_evidence),
     "sequence_gaps": _tape(sync.gaps),
     "stale_diff_filter": _tape(stale),
     "book_sync": _tape(lambda t: sync.synced(t).withColumn("passed", F.to_json("passed"))),

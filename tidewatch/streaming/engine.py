@@ -21,6 +21,7 @@ from tidewatch.operators.book import Ladder, _pairs
 from tidewatch.operators.rules import WASH_NOTE, Leg, Typical
 from tidewatch.shipping import by_value, ship
 from tidewatch.streaming.ladder import BucketLadder, Store
+from tidewatch.streaming.metrics import observed
 from tidewatch.types import BUY, MS, SCALE, SEC, SELL, SEVERITIES, SEVERITY, SIDES, Config
 
 OUT = "symbol string, seq bigint, ts_ns bigint, kind string, detector string, severity int, severity_label string, score double, detect_latency_us bigint, body string"
@@ -405,4 +406,5 @@ def sink(append: Callable[[list[str], int], None] | None, alerts_path: str, feat
 
 
 def start(tape: DataFrame, checkpoint: str, alerts_path: str, features_path: str, cfg: Config | None = None, append=None, rules: Sequence[StreamRule] = ()) -> StreamingQuery:
-    return detect(tape, cfg, rules).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink(append, alerts_path, features_path)).trigger(availableNow=True).start()
+    """Run over what there is. Counts of each batch travel with its progress (``metrics.Metrics``)."""
+    return observed(detect(tape, cfg, rules), tuple(r.name for r in rules)).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink(append, alerts_path, features_path)).trigger(availableNow=True).start()
