@@ -22,7 +22,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -464,7 +466,9 @@ def scan(text: str | None, field: Field) -> tuple[list[tuple[int, int, int]], li
     if added:
         at = _leads(raw)
         cuts = [(int(np.searchsorted(at, a)), int(np.searchsorted(at, e))) for a, e in added]
-        added = [(a, 3, e) for a, e in cuts if not any(a < e2 and a2 < e for a2, _, e2 in base)]
+        starts, ends = [a for a, _, _ in base], list(accumulate((e for _, _, e in base), max))  # base spans come by start
+        before = ((a, e, bisect_left(starts, e)) for a, e in cuts)
+        added = [(a, 3, e) for a, e, k in before if not k or ends[k - 1] <= a]
     return base, sorted([*base, *added])
 
 
