@@ -26,6 +26,10 @@ _OFF_WORDS = frozenset(
     "commentlist disqus reply replies respond widget toolbar copyright banner".split()
 )
 _TOP_WORDS = frozenset("header masthead topbar".split())  # of the page, but not of an article
+#: Of these words a name in an article may hold other ones besides: they mean the same wherever they stand.
+_ALWAYS = frozenset("ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo newsletter breadcrumb breadcrumbs pagination disqus commentlist nav navbar sidebar footer cookie cookies consent gdpr".split())
+#: Names of what holds a whole page: its other names tell what stands in it, not what it is.
+_WHOLE = frozenset("layout page site app root".split())
 _BUT = frozenset("has with no without".split())
 _PARTS = frozenset("area articles bar block body box buttons container content form inner items link links list main outer pages posts section stories title top bottom widget wrap wrapper".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -55,23 +59,35 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _off(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    """Whether an element is marked as something other than main text."""
+    """Whether an element is marked as something other than main text.
+
+    In an article, labels and headings are text whatever they are called, and a name such as share-price counts only if all its
+    words are names of parts of pages. Outside, names beside one for the whole page, such as ``layout sidebar-left``, don't count.
+    """
     if tag in ("html", "body", "main", "article"):
         return False
-    if tag in _OFF_TAGS or (tag == "header" and not in_article):
+    if (tag in _OFF_TAGS and not (in_article and tag == "label")) or (tag == "header" and not in_article):
         return True
     if not attrs:
         return False
     role = attrs.get("role", "").lower()
     if role in _OFF_ROLES or (role == "banner" and not in_article) or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
         return True
-    ids = attrs.get("id", "").split()
-    if in_article:  # ids there are also anchors made of headings, such as related-work
-        ids = [] if tag in _HEADINGS else [x for x in ids if all(y.lower() in _OFF_WORDS | _TOP_WORDS | _PARTS for y in _PART.findall(x))]
-    for name in [*attrs.get("class", "").split(), *ids]:
+    names, ids = attrs.get("class", "").split(), attrs.get("id", "").split()
+    if in_article:
+        if tag in _HEADINGS:  # ids there are also anchors made of headings, such as related-work
+            return False
+        known = lambda x: all(y in _OFF_WORDS | _TOP_WORDS | _PARTS or len(y) < 3 for y in x)
+    else:
+        if not _WHOLE.isdisjoint(x.lower() for x in names):
+            return False
+        known = lambda x: True
+    for name, is_id in [*((x, False) for x in names), *((x, True) for x in ids)]:
         parts = [x.lower() for x in _PART.findall(name)]
         for k, x in enumerate(parts):
-            if (x in _OFF_WORDS or (x in _TOP_WORDS and not in_article)) and not (k and parts[k - 1] in _BUT):
+            if x in _BUT:
+                break
+            if (x in _OFF_WORDS or (x in _TOP_WORDS and not in_article)) and (known(parts) or (x in _ALWAYS and not is_id)):
                 return True
     return False
 
