@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 
@@ -186,10 +187,10 @@ def test_trail(spark, tmp_path):
     r = audit.verify(spark, str(tmp_path), t.signer.public.hex())
     assert (r["ok"], r["entries"], r["checkpoints"], r["checkpoints_verified"]) == (True, 23, 5, 5)
     again = audit.Trail(str(tmp_path), t.signer, 5, clock=lambda: 6)
-    assert (again.seq, again.prev, again.leaves) == (t.seq, t.prev, [])
+    assert (again.seq, again.prev, again.peaks.count) == (t.seq, t.prev, 0)
     again.append(bodies(3, 2))
     more = audit.Trail(str(tmp_path), t.signer, 5, clock=lambda: 6)
-    assert (more.seq, more.marked, more.leaves) == (26, 23, again.leaves)
+    assert (more.seq, more.marked, more.peaks.stack) == (26, 23, again.peaks.stack)
     more.close()
     assert audit.verify(spark, str(tmp_path))["entries"] == 26
     assert not audit.verify(spark, str(tmp_path), "00" * 32)["ok"]
@@ -285,6 +286,22 @@ def test_keys_and_roots(spark):
     assert audit.merkle_root(h[:3]) != audit.merkle_root([*h[:2], h[3]]) and audit.merkle_root(h[:1]) != audit.merkle_root([h[0], h[0]]) and audit.merkle_root([]) == audit.EMPTY_ROOT
 
 
+def test_peaks_are_the_root(spark, monkeypatch):
+    """Entries one by one, subtrees of blocks joined, and intervals of any length give the root over all."""
+    h = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(70)]
+    p = audit.Peaks()
+    for n in range(70):
+        assert p.root() == audit.merkle_root(h[:n]) and len(p.stack) == bin(n).count("1")
+        p.add(h[n])
+    with pytest.raises(ValueError, match="complete"):
+        p.join(3, b"")
+    monkeypatch.setattr(audit, "BLOCK", 8)
+    log = spark.createDataFrame([(k + 1, x) for k, x in enumerate(h)], "seq bigint, hash string").repartition(4)
+    for interval in (1, 7, 16, 64, 1000):
+        want = [(at + 1, min(70, at + interval), min(70, at + interval) - at, audit.merkle_root(h[at : at + interval])) for at in range(0, 70, interval)]
+        assert sorted(map(tuple, audit.merkle_roots(log, interval).collect())) == want
+
+
 def test_dashboard(spark):
     a = rules.alerts(scripted_tape(spark), Config()).persist()
     assert {(r.detector, r.severity_label): r.n for r in dashboard.totals(a).collect()}[(None, None)] == 6
@@ -329,14 +346,16 @@ def test_stream_is_the_batch(spark, tmp_path, files):
         import os
 
         os.utime(p, (1_700_000_000 + k, 1_700_000_000 + k))
-    kept, trail_ = [], audit.Trail(str(tmp_path / "trail"), audit.Signer(spark, bytes(32)), 2)
+    signed = []
+    kept, trail_ = [], audit.Trail(str(tmp_path / "trail"), audit.Signer(spark, bytes(32)), 2, on_checkpoint=lambda c: signed.append(c))
 
     def append(payloads, batch):
         kept.append((batch, len(payloads)))
-        for _ in range(2):  # a batch may come again
-            trail_.append_batch(payloads, batch)
+        first, again = (trail_.append_batch(payloads, batch) for _ in range(2))  # a batch may come again
+        assert first == again
+        return again
 
-    q = engine.start(stream_of(spark, str(tmp_path / "in")), str(tmp_path / "cp"), str(tmp_path / "alerts"), str(tmp_path / "features"), append=append)
+    q = engine.start(stream_of(spark, str(tmp_path / "in")), str(tmp_path / "cp"), str(tmp_path / "alerts"), str(tmp_path / "features"), append=append, checkpoints_path=str(tmp_path / "marks"))
     q.awaitTermination()
     got = [(r.seq, r.detector, round(r.score, 9), json.loads(r.body)) for r in spark.read.parquet(str(tmp_path / "alerts")).orderBy("seq", F.desc("detector")).collect()]
     want = [(r.seq, r.detector, round(r.score, 9), json.loads(r.evidence)) for r in rules.alerts(tape_of_rows(spark, rows), Config()).orderBy("seq", F.desc("detector")).collect()]
@@ -344,6 +363,9 @@ def test_stream_is_the_batch(spark, tmp_path, files):
     trail_.close()
     kept_in_trail = audit.verify(spark, str(tmp_path / "trail"))
     assert kept_in_trail["ok"] and kept_in_trail["entries"] == len(want)
+    marks = [json.loads(x) for x in (tmp_path / "trail" / "checkpoints.log").read_text().splitlines()]
+    table = [r.asDict() for r in spark.read.parquet(str(tmp_path / "marks")).drop("batch").orderBy("to_seq").collect()]
+    assert table == marks and [m["to_seq"] for m in marks] == [2, 4, 6] == [m["to_seq"] for m in signed]
     assert spark.read.parquet(str(tmp_path / "features")).count() == 2
 
 

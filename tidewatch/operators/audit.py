@@ -6,7 +6,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import Any
 
@@ -47,6 +47,38 @@ def merkle_root(hashes: list[str]) -> str:
     return level[0].hex() if level else EMPTY_ROOT
 
 
+class Peaks:
+    """The root over entries as they come, from the roots of complete subtrees alone: as many as the count has binary ones.
+
+    ``add`` takes an entry's hash, or the root of a complete subtree of ``2**height`` entries where so many fit.
+    """
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[int, bytes]] = []
+        self.count = 0
+
+    def add(self, entry: str) -> None:
+        self.join(0, hashlib.sha256(b"\x00" + bytes.fromhex(entry)).digest())
+
+    def join(self, height: int, node: bytes) -> None:
+        if self.count & ((1 << height) - 1):
+            raise ValueError("a subtree must follow on complete ones of its size")
+        self.count += 1 << height
+        while self.stack and self.stack[-1][0] == height:
+            node = hashlib.sha256(b"\x01" + self.stack.pop()[1] + node).digest()
+            height += 1
+        self.stack.append((height, node))
+
+    def root(self) -> str:
+        """The same as ``merkle_root`` of all entries."""
+        if not self.stack:
+            return EMPTY_ROOT
+        node = self.stack[-1][1]
+        for _, left in reversed(self.stack[:-1]):
+            node = hashlib.sha256(b"\x01" + left + node).digest()
+        return node.hex()
+
+
 def checkpoint_message(first: int, last: int, root: str) -> bytes:
     return CHECKPOINT_DOMAIN.encode() + first.to_bytes(8, "big") + last.to_bytes(8, "big") + bytes.fromhex(root)
 
@@ -98,15 +130,34 @@ def chain_faults(trail: DataFrame) -> DataFrame:
     return t.select("at", "seq", reason.alias("reason")).where("reason IS NOT NULL")
 
 
+BLOCK = 1 << 12  # entries whose subtrees are made apart
+
+
+def _subtrees(rows: pd.DataFrame) -> pd.DataFrame:
+    r, p = rows.sort_values("seq"), Peaks()
+    for h in r["hash"]:
+        p.add(h)
+    return pd.DataFrame({"k": [r["k"].iloc[0]], "block": [r["block"].iloc[0]], "from_seq": [int(r["seq"].iloc[0])], "to_seq": [int(r["seq"].iloc[-1])], "n": [len(r)], "heights": [[h for h, _ in p.stack]], "nodes": [[x for _, x in p.stack]]})
+
+
 def _roots(rows: pd.DataFrame) -> pd.DataFrame:
-    r = rows.sort_values("seq")
-    return pd.DataFrame({"from_seq": [int(r["seq"].iloc[0])], "to_seq": [int(r["seq"].iloc[-1])], "n": [len(r)], "merkle_root": [merkle_root(list(r["hash"]))]})
+    r, p = rows.sort_values("block"), Peaks()
+    for heights, nodes in zip(r["heights"], r["nodes"], strict=True):
+        for h, node in zip(heights, nodes, strict=True):
+            p.join(int(h), bytes(node))
+    return pd.DataFrame({"from_seq": [int(r["from_seq"].min())], "to_seq": [int(r["to_seq"].max())], "n": [int(r["n"].sum())], "merkle_root": [p.root()]})
 
 
 def merkle_roots(trail: DataFrame, interval: int) -> DataFrame:
-    """Root of each ``interval`` entries and of the rest: from_seq, to_seq, n, merkle_root. A group holds ``interval`` hashes."""
+    """Root of each ``interval`` entries and of the rest: from_seq, to_seq, n, merkle_root.
+
+    Subtrees of ``BLOCK`` entries are made apart, and an interval's root from these, so an interval of any length is spread over tasks.
+    """
     ship(trail.sparkSession)
-    return trail.select("seq", "hash").groupBy(F.floor((F.col("seq") - 1) / interval).alias("k")).applyInPandas(_roots, "from_seq bigint, to_seq bigint, n bigint, merkle_root string")
+    at = F.col("seq") - 1
+    t = trail.select("seq", "hash", F.floor(at / interval).cast("bigint").alias("k"), F.floor((at % interval) / BLOCK).cast("bigint").alias("block"))
+    t = t.groupBy("k", "block").applyInPandas(_subtrees, "k bigint, block bigint, from_seq bigint, to_seq bigint, n bigint, heights array<int>, nodes array<binary>")
+    return t.groupBy("k").applyInPandas(_roots, "from_seq bigint, to_seq bigint, n bigint, merkle_root string")
 
 
 class Signer:
@@ -222,9 +273,10 @@ _PAYLOAD = re.compile(r'^\{"seq":[0-9]+,"ts_ns":[0-9]+,"payload":(.*),"prev_hash
 
 class Trail:
     """An append-only trail in a folder: ``audit.log``, ``checkpoints.log`` and ``batches.log``, one JSON object a line. One writer at
-    a time. To go on with a trail only the entries after the last checkpoint and the last whole batch are read, from the end."""
+    a time. To go on with a trail only the entries after the last checkpoint and the last whole batch are read, from the end. Of entries
+    that await a checkpoint only the roots of complete subtrees are kept. ``on_checkpoint`` is called with each checkpoint once it is on disk."""
 
-    def __init__(self, folder: str, signer: Signer, interval: int = 32, clock=None) -> None:
+    def __init__(self, folder: str, signer: Signer, interval: int = 32, clock=None, on_checkpoint: Callable[[dict], None] | None = None) -> None:
         import time
 
         self.log, self.marks, self.batches = (Path(folder) / f"{x}.log" for x in ("audit", "checkpoints", "batches"))
@@ -232,7 +284,8 @@ class Trail:
         self.signer, self.interval, self.clock = signer, interval, clock or time.time_ns
         last = lambda p: json.loads(next(_backwards(p), "{}")) if p.exists() else {}
         done = last(self.batches)
-        self.seq, self.prev, self.leaves = 0, GENESIS, []
+        self.seq, self.prev, self.peaks, self.on_checkpoint = 0, GENESIS, Peaks(), on_checkpoint
+        pending: list[str] = []
         self.marked, self.batch, through = last(self.marks).get("to_seq", 0), done.get("batch"), done.get("to_seq", 0)
         self.loose: list[str] = []  # entries of a batch that was cut short
         for line in _backwards(self.log) if self.log.exists() else ():
@@ -240,12 +293,13 @@ class Trail:
             if not self.seq:
                 self.seq, self.prev = e["seq"], e["hash"]
             if e["seq"] > self.marked:
-                self.leaves.append(e["hash"])
+                pending.append(e["hash"])
             if done and e["seq"] > through:
                 self.loose.append(_PAYLOAD.match(line)[1])
             if e["seq"] <= self.marked and (not done or e["seq"] <= through):
                 break
-        self.leaves.reverse()
+        for h in reversed(pending):
+            self.peaks.add(h)
         self.loose.reverse()
 
     def append(self, payloads: list[str], ts_ns: int | None = None) -> None:
@@ -258,7 +312,7 @@ class Trail:
                 h = hash_entry(self.seq, ts, body.encode(), self.prev)
                 f.write(f'{{"seq":{self.seq},"ts_ns":{ts},"payload":{body},"prev_hash":"{self.prev}","hash":"{h}"}}\n')
                 self.prev = h
-                self.leaves.append(h)
+                self.peaks.add(h)
                 if self.batch is not None:
                     self.loose.append(body)
                 if self.interval > 0 and self.seq - self.marked >= self.interval:
@@ -268,22 +322,42 @@ class Trail:
             f.flush()
             os.fsync(f.fileno())
 
-    def append_batch(self, payloads: list[str], batch_id: int) -> None:
+    def append_batch(self, payloads: list[str], batch_id: int) -> list[dict]:
         """Add the entries of a micro-batch once, however often it comes: what the streaming engine calls before it publishes alerts.
 
         Batches come in ascending order. Of one that was cut short, only the entries that are missing are added. A trail that is fed
-        by batches takes no others in between.
+        by batches takes no others in between. Returns the checkpoints signed in the batch, the same ones when it comes again.
         """
         if self.batch is None:
             self._whole_batch(-1)
         if batch_id <= self.batch:
-            return
+            return self.marks_of(batch_id)
         new = [compact(p) for p in payloads]
         known = 0
         while known < min(len(new), len(self.loose)) and new[known] == self.loose[known]:
             known += 1
         self.append(new[known:])
         self._whole_batch(batch_id)
+        return self.marks_of(batch_id)
+
+    def marks_of(self, batch_id: int) -> list[dict]:
+        """Checkpoints whose last entry is of a batch."""
+        upto, before = None, 0
+        for line in _backwards(self.batches):
+            b = json.loads(line)
+            if b["batch"] == batch_id:
+                upto = b["to_seq"]
+            elif b["batch"] < batch_id:
+                before = b["to_seq"]
+                break
+        out = []
+        for line in _backwards(self.marks) if upto is not None and self.marks.exists() else ():
+            c = json.loads(line)
+            if c["to_seq"] <= before:
+                break
+            if c["to_seq"] <= upto:
+                out.append(c)
+        return out[::-1]
 
     def _whole_batch(self, batch_id: int) -> None:
         with self.batches.open("a") as f:
@@ -294,15 +368,17 @@ class Trail:
 
     def checkpoint(self) -> dict | None:
         """Sign what is pending; None if nothing is."""
-        if not self.leaves:
+        if not self.peaks.count:
             return None
-        root = merkle_root(self.leaves)
-        c = {"from_seq": self.marked + 1, "to_seq": self.seq, "count": len(self.leaves), "merkle_root": root, "signature": self.signer.sign(checkpoint_message(self.marked + 1, self.seq, root)), "public_key": self.signer.public.hex(), "ts_ns": self.clock()}
+        root = self.peaks.root()
+        c = {"from_seq": self.marked + 1, "to_seq": self.seq, "count": self.peaks.count, "merkle_root": root, "signature": self.signer.sign(checkpoint_message(self.marked + 1, self.seq, root)), "public_key": self.signer.public.hex(), "ts_ns": self.clock()}
         with self.marks.open("a") as f:
             f.write(json.dumps(c, separators=(",", ":")) + "\n")
             f.flush()
             os.fsync(f.fileno())
-        self.marked, self.leaves = self.seq, []
+        self.marked, self.peaks = self.seq, Peaks()
+        if self.on_checkpoint is not None:
+            self.on_checkpoint(c)
         return c
 
     close = checkpoint
