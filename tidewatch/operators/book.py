@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.fixedpoint import idiv, real
 from tidewatch.operators.fold import fold
 from tidewatch.operators.scan import STRETCH, running
-from tidewatch.types import BUY, SELL
+from tidewatch.types import BUY, LEVELS, SELL
 
 
 def _with_epoch(messages: DataFrame) -> DataFrame:
@@ -138,12 +138,13 @@ def _seeds(tape: DataFrame, ahead: int, stretch: int) -> DataFrame:
     side, and so a symbol's fold sees one row a stretch, as wide as what the stretch changed, rather than its messages.
     """
     own, at = idiv(F.col("ts_ns"), stretch), idiv(F.col("ts_ns") + ahead, stretch)
-    d = tape.where("kind = 'depth'").withColumn("k", at).withColumns({c: _last_of_each(c) for c in ("bids", "asks")})
-    columns = ["symbol", "k", "side", "price_raw", "qty_raw", "seq"]
-    levels = exploded(d, "k").where("NOT is_snapshot OR qty_raw > 0").select(*columns)
-    zero = F.lit(0).cast("bigint")
-    marks = tape.withColumn("k", F.explode(_both(own, at)) if ahead else own).select("symbol", "k", F.lit(_MARK).alias("side"), zero.alias("price_raw"), zero.alias("qty_raw"), F.when(F.col("is_snapshot") & (at == F.col("k")), F.col("seq")).alias("seq"))
-    last = levels.unionByName(marks).groupBy("symbol", "k", "side", "price_raw").agg(F.max_by("qty_raw", "seq").alias("qty_raw"), F.max("seq").alias("seq"))
+    zero, snapshot = F.lit(0).cast("bigint"), F.coalesce("is_snapshot", F.lit(False))
+    row = lambda k, side, p, q, seq: F.struct(k.alias("k"), F.lit(side).alias("side"), p.alias("price_raw"), q.alias("qty_raw"), seq.alias("seq"))
+    depth = lambda c: F.coalesce(F.when(F.col("kind") == "depth", _last_of_each(c)), F.expr(f"cast(array() as {LEVELS})"))
+    of = lambda c, side: F.transform(F.filter(depth(c), lambda x: ~snapshot | (x["q"] > 0)), lambda x: row(at, side, x["p"], x["q"], F.col("seq")))
+    marks = [row(at, _MARK, zero, zero, F.when(snapshot, F.col("seq"))), *([row(own, _MARK, zero, zero, F.lit(None).cast("bigint"))] if ahead else [])]
+    each = tape.select("symbol", F.explode(F.concat(of("bids", BUY), of("asks", SELL), F.array(*marks))).alias("x")).select("symbol", "x.*")
+    last = each.groupBy("symbol", "k", "side", "price_raw").agg(F.max_by("qty_raw", "seq").alias("qty_raw"), F.max("seq").alias("seq"))
     last = last.groupBy("symbol", "k").agg(F.collect_list(F.struct("side", "price_raw", "qty_raw", "seq")).alias("levels"))
     found = fold(last, ["k"], ["k", "levels"], Carried, _carry, "k bigint, bp array<bigint>, bq array<bigint>, ap array<bigint>, aq array<bigint>")
     side = lambda p, q: F.transform(F.arrays_zip(F.col(p), F.col(q)), lambda x: F.struct(x[p].alias("p"), x[q].alias("q")))
