@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import scan
+from tidewatch.operators import scan, windows
 
 
 def rows(seed, n=300):
@@ -72,3 +72,38 @@ def test_no_task_has_a_whole_key(spark):
     specs = set(re.findall(r"sum\((\w+)#\w+\) windowspecdefinition\(symbol#\d+, __s#\d+L( ASC)?", plan))
     assert specs == {("__v_total", ""), ("__t_total", " ASC")}  # the first is cut by stretches, the second goes over their totals
     assert got.where("seq = 19999").first().total == sum(k % 7 for k in range(20000))
+
+
+@pytest.mark.parametrize(("seed", "stretch"), [(1, 4), (2, 9), (3, 40), (4, 10**6)])
+def test_cooldown_by_stretches(spark, seed, stretch):
+    """Dense and sparse chains, ties, times below the cooldown, waits longer than a stretch, null keys."""
+    r = random.Random(seed)
+    waits = {"a": 7, "b": 1, None: 25}
+    data, t = [], -20
+    for k in range(600):
+        t += r.choice((0, 0, 1, 1, 3, 5)) if k % 100 else r.choice((0, 200))
+        data.append((r.choice(["a", "a", "b", None]), k, t, f"row {k}"))
+    df = spark.createDataFrame(data, "symbol string, seq long, ts_ns long, note string").repartition(5)
+    wait = F.coalesce(*[F.when(F.col("symbol") == s, w) for s, w in waits.items() if s], F.lit(waits[None]))
+    got = windows.cooldown_by_stretch(df, wait, ["seq"], stretch=stretch)
+    last, want = {}, []
+    for row in data:
+        if row[2] - last.get(row[0], 0) >= waits[row[0]]:
+            last[row[0]] = row[2]
+            want.append(row)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=lambda x: x[1]) == want
+    assert windows.cooldown_by_stretch(df.where("seq < 0"), 5, ["seq"]).count() == 0
+
+
+def test_cooldown_spreads_a_hot_symbol(spark):
+    """One symbol: rows lie in many partitions, and the passes over them read one shuffle."""
+    df = spark.range(0, 4000, 1, 4).select(F.lit("S").alias("symbol"), F.col("id").alias("seq"), (F.col("id") * 10).alias("ts_ns"))
+    out = windows.cooldown_by_stretch(df, 35, ["seq"], stretch=1000)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, False)
+    try:
+        assert out.count() == 999 and out.select(F.spark_partition_id()).distinct().count() == 4
+        out.collect()
+        assert out._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 1
+    finally:
+        spark.conf.unset(key)

@@ -190,3 +190,49 @@ def test_batches_are_counted_once():
     assert live.totals == {"events": 200, "batches": 2, "alerts": 6, "features": 2, "alerts_spoofing": 4}
     assert live.detection == {"5": 2, "10": 6, "+Inf": 6}
     assert live.processing["5"] == 0 and live.processing["10"] == 100 and live.processing["2500"] == 100 and live.processing["5000"] == 200
+
+
+def test_models_on_a_stream_are_those_of_the_batch(spark, tmp_path):
+    """Uneven and empty batches, one of which comes again: decisions, alerts and their numbers are those of one plan over all samples."""
+    from tidewatch.operators import anomaly
+    from tidewatch.streaming.models import Scorer
+    from tidewatch.types import FEATURES
+
+    r = random.Random(5)
+    rows = [(r.choice("AB"), k, k * SEC // 4, *(r.gauss(0, 1) * (12 if k % 23 == 0 else 1) for _ in FEATURES)) for k in range(1, 181)]
+    schema = "symbol string, seq bigint, ts_ns bigint, " + ", ".join(f"{f} double" for f in FEATURES)
+    v = spark.createDataFrame(rows, schema).repartition(3)
+    schedule = {"warmup": 40, "refit": 15, "buffer": 60}
+    scorer = Scorer(str(tmp_path / "ml"), **schedule)
+    cuts = [0, 25, 25, 47, 50, 130, 181]
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        for _ in range(2 if k in (3, 4) else 1):
+            scorer(v.where(f"seq > {a} AND seq <= {b}"), k)
+    seen = lambda d, *c: sorted(tuple(x[y] for y in c) for x in d.collect())
+    got = spark.read.parquet(str(tmp_path / "ml" / "decisions"))
+    assert seen(got, "n", "symbol", "seq", "version", "decision") == seen(anomaly.decisions(v, **schedule), "n", "symbol", "seq", "version", "decision") and got.count() == 140
+    of = ("n", "id", "seq", "symbol", "score", "severity")
+    alerts = seen(spark.read.parquet(str(tmp_path / "ml" / "alerts")), *of)
+    assert alerts == seen(anomaly.alerts(v, **schedule), *of) and len({x[2] > 130 for x in alerts}) == 2
+    assert sorted(p.name for p in (tmp_path / "ml" / "state" / "model").iterdir()) == ["batch=4", "batch=5"]
+
+
+def test_scorer_behind_the_stream(spark, tmp_path):
+    from tidewatch.operators import anomaly
+    from tidewatch.operators.features import vectorized
+    from tidewatch.sources.tape import stream_of, tape_of_rows, write_in_order
+    from tidewatch.streaming import engine
+    from tidewatch.streaming.models import Scorer
+
+    n = write_in_order(tape_of_rows(spark, random_rows(3, 300)), str(tmp_path / "in"), 120)
+    schedule = {"warmup": 12, "refit": 6, "buffer": 20}
+    at = lambda x: str(tmp_path / x)
+    q = engine.start(stream_of(spark, at("in")), at("cp"), at("alerts"), at("features"), CFG, observe=Scorer(at("ml"), **schedule).observe)
+    q.awaitTermination()
+    assert q.exception() is None and n >= 2
+    from pyspark.sql import functions as F
+
+    v = spark.read.parquet(at("features")).select("symbol", "seq", "ts_ns", F.from_json("body", "map<string,double>").alias("features"))
+    want = {(x.symbol, x.seq): (x.n, x.version, x.decision) for x in anomaly.decisions(v, **schedule).collect()}
+    got = {(x.symbol, x.seq): (x.n, x.version, x.decision) for x in spark.read.parquet(at("ml/decisions")).collect()}
+    assert got == want and len(want) == vectorized(v).count() - 12 > 5

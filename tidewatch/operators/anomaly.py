@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.fixedpoint import clamp01, idiv
 from tidewatch.operators.features import vectorized
-from tidewatch.operators.windows import cooldown, numbered
+from tidewatch.operators.windows import cooldown_by_stretch, numbered
 from tidewatch.shipping import ship
 from tidewatch.types import FEATURES, SEC
 
@@ -71,6 +71,14 @@ class Forest:
             first = after
         self.feature, self.cut, self.left, self.right, self.depth = (np.concatenate(p) for p in zip(*parts, strict=True))
 
+    @classmethod
+    def of(cls, size: int, roots: int, offset: float, nodes: dict[str, np.ndarray]) -> Forest:
+        """A forest from what was kept of it."""
+        forest = cls.__new__(cls)
+        forest.size, forest.roots, forest.offset = size, roots, offset
+        vars(forest).update(nodes)
+        return forest
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """Near -1 for anomalies, above -0.5 for what is ordinary."""
         at = np.repeat(np.arange(self.roots)[:, None], len(x), axis=1)
@@ -95,31 +103,45 @@ def _versions(rows: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def schedule(vectors: DataFrame, warmup: int = WARMUP, refit: int = REFIT) -> DataFrame:
-    """Samples with their index over all symbols and the version of the model that scores them, 0 for none."""
-    v = numbered(vectors, ["seq"], idiv(F.col("seq"), 100_000))
+DECISION = "symbol string, seq bigint, ts_ns bigint, n bigint, version bigint, decision double"
+
+
+def schedule(vectors: DataFrame, warmup: int = WARMUP, refit: int = REFIT, before: int = 0) -> DataFrame:
+    """Samples with their index over all symbols, behind ``before`` earlier ones, and the version of the model that scores them, 0 for none."""
+    v = numbered(vectors, ["seq"], idiv(F.col("seq"), 100_000)).withColumn("n", F.col("n") + before)
     return v.withColumn("version", F.when(F.col("n") <= warmup, F.lit(0)).otherwise(F.floor((F.col("n") - warmup - 1) / refit) + 1).cast("bigint"))
 
 
+def learning(samples: DataFrame, above: int, warmup: int, refit: int, buffer: int) -> DataFrame:
+    """Samples once for each version over ``above`` that is fitted on them, as ``version``."""
+    # Version k is fitted on samples up to warmup + (k - 1) * refit, the last ``buffer`` of them.
+    first = F.greatest(F.lit(above + 1), F.ceil((F.col("n") - warmup) / refit).cast("bigint") + 1)
+    last = F.floor((F.col("n") + buffer - 1 - warmup) / refit).cast("bigint") + 1
+    return samples.withColumn("version", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.expr("cast(array() as array<bigint>)"))))
+
+
+def decided(samples: DataFrame, scored: DataFrame, above: int, warmup: int, refit: int, buffer: int) -> DataFrame:
+    """The rows ``scored`` with the decisions of their versions, all over ``above``, each fitted on ``samples``."""
+    # The newest samples also go to versions that score nothing yet, which are not fitted.
+    every = scored.where("version > 0").withColumn("fit", F.lit(False)).unionByName(learning(samples, above, warmup, refit, buffer).withColumn("fit", F.lit(True)))
+    return every.groupBy("version").applyInPandas(_versions, DECISION)
+
+
 def decisions(vectors: DataFrame, warmup: int = WARMUP, refit: int = REFIT, buffer: int = BUFFER) -> DataFrame:
     """Every sample after the warm-up with its decision: symbol, seq, ts_ns, n, version, decision."""
     ship(vectors.sparkSession)
     v = schedule(vectorized(vectors), warmup, refit).select("symbol", "seq", "ts_ns", "n", "version", "vector")
-    # Version k is fitted on samples up to warmup + (k - 1) * refit, the last ``buffer`` of them.
-    first = F.greatest(F.lit(1), F.ceil((F.col("n") - warmup) / refit).cast("bigint") + 1)
-    last = F.floor((F.col("n") + buffer - 1 - warmup) / refit).cast("bigint") + 1
-    # The newest samples also go to versions that score nothing yet, which are not fitted.
-    fit = v.withColumn("version", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.expr("cast(array() as array<bigint>)"))))
-    every = v.where("version > 0").withColumn("fit", F.lit(False)).unionByName(fit.withColumn("fit", F.lit(True)))
-    return every.groupBy("version").applyInPandas(_versions, "symbol string, seq bigint, ts_ns bigint, n bigint, version bigint, decision double")
+    return decided(v, v, 0, warmup, refit, buffer)
 
 
-def alerts(vectors: DataFrame, **schedule_of: int) -> DataFrame:
-    """Advisory alerts; they never enter the audit trail."""
-    d = decisions(vectors, **schedule_of).where("decision < 0")
-    d = d.withColumn("score", F.round(clamp01((0.15 - F.col("decision")) / 0.45), 4)).withColumn("raw", clamp01((0.15 - F.col("decision")) / 0.45))
-    d = cooldown(d.select("symbol", "seq", "ts_ns", "score", "raw"), COOLDOWN, ["seq"])
-    d = numbered(d, ["seq"])
+def told(decisions: DataFrame, fired: DataFrame | None = None, before: int = 0) -> DataFrame:
+    """Alerts of decisions, numbered behind ``before`` earlier ones; ``fired`` has the time of the last one of each symbol, if there was one."""
+    graded = clamp01((0.15 - F.col("decision")) / 0.45)
+    d = decisions.where("decision < 0").select("symbol", "seq", "ts_ns", F.round(graded, 4).alias("score"), graded.alias("raw"))
+    if fired is not None:  # an earlier alert was kept, and is kept again, before all others
+        d = d.unionByName(fired.select("symbol", "ts_ns"), allowMissingColumns=True)
+    d = cooldown_by_stretch(d, COOLDOWN, ["ts_ns", "seq"]).where("seq IS NOT NULL")
+    d = numbered(d, ["seq"], idiv(F.col("seq"), 100_000)).withColumn("n", F.col("n") + before)
     urgent = F.col("raw") > URGENT
     return d.select(
         F.concat_ws("-", "symbol", F.lit("ml_anomaly"), F.col("n").cast("string")).alias("id"), "n", "seq", "ts_ns", F.lit("ml_anomaly").alias("detector"), "symbol", F.when(urgent, 3).otherwise(2).alias("severity"),
@@ -127,4 +149,9 @@ def alerts(vectors: DataFrame, **schedule_of: int) -> DataFrame:
     )
 
 
-__all__ = ["FEATURES", "Forest", "alerts", "decisions", "schedule"]
+def alerts(vectors: DataFrame, **schedule_of: int) -> DataFrame:
+    """Advisory alerts; they never enter the audit trail."""
+    return told(decisions(vectors, **schedule_of))
+
+
+__all__ = ["FEATURES", "Forest", "alerts", "decided", "decisions", "learning", "schedule", "told"]

@@ -16,7 +16,7 @@ from tidewatch.functions.fixedpoint import bps, clamp01, idiv, real, render, rou
 from tidewatch.operators import book
 from tidewatch.operators.fold import fold
 from tidewatch.operators.scan import STRETCH, overlapping, recent, running
-from tidewatch.operators.windows import cooldown, numbered, sliding
+from tidewatch.operators.windows import cooldown, cooldown_by_stretch, numbered, sliding
 from tidewatch.types import BUY, DESCRIPTIONS, EMA_ALPHA, MS, RULES, SCALE, SELL, SEVERITIES, SEVERITY, Config
 
 
@@ -51,7 +51,7 @@ def wash_candidates(tape: DataFrame, cfg: Config, *keep: str) -> DataFrame:
 
 def wash_trades(tape: DataFrame, cfg: Config, *keep: str) -> DataFrame:
     c = wash_candidates(tape, cfg, *keep).select("seq", "ts_ns", "symbol", "n", "band_bps", "volume", "balance", *keep)
-    return cooldown(c, cfg.wash_cooldown, ["seq"])
+    return cooldown_by_stretch(c, cfg.wash_cooldown, ["seq"])
 
 
 def stuffing_windows(tape: DataFrame, cfg: Config) -> DataFrame:

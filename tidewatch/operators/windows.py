@@ -7,6 +7,10 @@ reach it, is sent there too. So a busy symbol is spread over tasks, and no task
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +18,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.fixedpoint import idiv
 from tidewatch.operators.fold import fold
 from tidewatch.operators.scan import STRETCH
+from tidewatch.shipping import ship
 
 _PEERS = 1 << 22  # rows of a symbol with one time are told apart up to half of this; beyond it, an error
 
@@ -56,13 +61,115 @@ def _thin(wait: int):
 
 
 def cooldown(rows: DataFrame, wait: int, order: list[str]) -> DataFrame:
-    """Rows of each symbol at least ``wait`` after the last one kept; the clock starts at 0, so times below ``wait`` are void."""
+    """Rows of each symbol at least ``wait`` after the last one kept; the clock starts at 0, so times below ``wait`` are void.
+
+    A symbol is one task here: for candidates that come from a fold by symbol anyway. Others use ``cooldown_by_stretch``.
+    """
     read = ["ts_ns", *[c for c in rows.columns if c not in ("symbol", "ts_ns")]]
     kinds = dict(rows.dtypes)
     start, step = _thin(wait)
     return fold(rows, order, read, start, step, ", ".join(f"`{c}` {kinds[c]}" for c in read)).select(*rows.columns)
 
 
+def _per_key(b: pa.RecordBatch, keys: list[str]) -> Iterator[tuple]:
+    return zip(*(b.column(c).to_pylist() for c in keys), strict=True)
+
+
+def _exits(keys: list[str], stretch: int):
+    """Of each stretch, whose rows come backwards in time: for each time at which a chain of kept rows may begin in it, the time at which
+    that chain ends. A chain begins within a cooldown of the stretch's start, or else with the first row behind that."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, found, later, behind = None, [], deque(), None
+
+        def flush() -> None:
+            if behind is not None:
+                found.append((*at, *behind))
+
+        for b in batches:
+            for key, ts, wait in zip(_per_key(b, keys), b.column("ts_ns").to_pylist(), b.column("__wait").to_pylist(), strict=True):
+                if key != at:
+                    flush()
+                    at, later, behind = key, deque(), None
+                if later and later[-1][0] == ts:
+                    continue
+                while len(later) > 1 and later[1][0] >= ts + wait:
+                    later.popleft()
+                end = later[0][1] if later and later[0][0] >= ts + wait else ts
+                later.append((ts, end))
+                if ts < key[-1] * stretch + wait:
+                    found.append((*key, ts, end, wait))
+                else:
+                    behind = ts, end, wait
+            yield _batch(found, keys, b, ["ts_ns", "end", "wait"])
+            found = []
+        if at is not None:
+            flush()
+            yield _batch(found, keys, b, ["ts_ns", "end", "wait"])
+
+    return run
+
+
+def _batch(rows: list[tuple], keys: list[str], like: pa.RecordBatch, more: list[str]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * (len(keys) + len(more))
+    types = [like.schema.field(c).type for c in keys] + [pa.int64()] * len(more)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*keys, *more])
+
+
+def _entries(keys: list[str]):
+    """Of each key, from the ends of chains in order: the time of the last kept row before each stretch in which rows are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last, done = None, 0, None
+        for b in batches:
+            found = []
+            for key, ts, end, wait in zip(_per_key(b, keys), *(b.column(c).to_pylist() for c in ("ts_ns", "end", "wait")), strict=True):
+                if key[:-1] != at:
+                    at, last, done = key[:-1], 0, None
+                if key[-1] != done and ts - last >= wait:
+                    found.append((*key, last))
+                    last, done = end, key[-1]
+            yield _batch(found, keys, b, ["last"])
+
+    return run
+
+
+def _kept(keys: list[str], columns: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, 0
+        for b in batches:
+            keep = []
+            for key, ts, wait, before in zip(_per_key(b, keys), *(b.column(c).to_pylist() for c in ("ts_ns", "__wait", "__last")), strict=True):
+                if key != at:
+                    at, last = key, before
+                keep.append(ts - last >= wait)
+                if keep[-1]:
+                    last = ts
+            yield b.select(columns).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def cooldown_by_stretch(rows: DataFrame, wait: int | Column, order: list[str], keys: tuple[str, ...] = ("symbol",), stretch: int = STRETCH) -> DataFrame:
+    """``cooldown`` by any keys, with a hot key spread over tasks.
+
+    Which rows are kept depends on those kept before, yet stretches are thinned apart: of each, one backward pass tells where every
+    chain that can enter it ends; entries are followed from stretch to stretch over these few rows; then each stretch is thinned from
+    its entry. The first and the last pass read one shuffle. ``wait`` may be a column that is the same for all rows of a key.
+    """
+    ship(rows.sparkSession)
+    at = [*keys, "__stretch"]
+    wait = F.lit(wait) if isinstance(wait, int) else wait
+    dealt = rows.withColumns({"__stretch": idiv(F.col("ts_ns"), stretch), "__wait": wait.cast("bigint")}).repartition(*at)
+    kinds = dict(dealt.dtypes)
+    ddl = ", ".join(f"`{c}` {kinds[c]}" for c in at)
+    ends = dealt.sortWithinPartitions(*at, F.col("ts_ns").desc()).mapInArrow(_exits(at, stretch), f"{ddl}, ts_ns bigint, end bigint, wait bigint")
+    entries = ends.repartition(*keys).sortWithinPartitions(*keys, "ts_ns").mapInArrow(_entries(at), f"{ddl}, last bigint")
+    entries = entries.select(*[F.col(c).alias(f"__e{i}") for i, c in enumerate(at)], F.col("last").alias("__last"))
+    both = dealt.join(entries, [F.col(c).eqNullSafe(F.col(f"__e{i}")) for i, c in enumerate(at)])
+    return both.sortWithinPartitions(*at, *order).mapInArrow(_kept(at, rows.columns), rows.schema)
+
+
 def numbered(rows: DataFrame, order: list[str], by: Column | None = None, name: str = "n") -> DataFrame:
     """1-based index of each row in the order of the whole table: ``by`` cuts it into ascending stretches that are numbered apart.
 

@@ -388,11 +388,11 @@ def volume_by_window(tape: DataFrame, delay: str = "10 seconds", width: str = "1
     return t.groupBy("symbol", F.window("event_time", width)).agg(F.sum("qty_raw").alias("qty_raw"), F.count(F.lit(1)).alias("n"))
 
 
-def sink(append: Callable[[list[str], int], list[dict] | None] | None, alerts_path: str, features_path: str, checkpoints_path: str | None = None) -> Callable[[DataFrame, int], None]:
+def sink(append: Callable[[list[str], int], list[dict] | None] | None, alerts_path: str, features_path: str, checkpoints_path: str | None = None, observe: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` writer: alerts first go to the audit trail, then to their table; a batch that comes again replaces itself.
 
     ``append(payloads, batch_id)`` must ignore a batch that it has seen, as ``audit.Trail.append_batch`` does; the checkpoints that it
-    returns go to a table of their own in the same batch.
+    returns go to a table of their own in the same batch. ``observe(features, batch_id)`` comes last, as ``models.Scorer.observe`` does.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -403,12 +403,15 @@ def sink(append: Callable[[list[str], int], list[dict] | None] | None, alerts_pa
             if checkpoints_path is not None and marks:
                 batch.sparkSession.createDataFrame([tuple(m[c.split()[0]] for c in MARK.split(", ")) for m in marks], MARK).coalesce(1).write.mode("overwrite").parquet(f"{checkpoints_path}/batch={batch_id}")
         alerts.write.mode("overwrite").parquet(f"{alerts_path}/batch={batch_id}")
-        batch.where("kind = 'features'").select("symbol", "seq", "ts_ns", "body").write.mode("overwrite").parquet(f"{features_path}/batch={batch_id}")
+        features = batch.where("kind = 'features'").select("symbol", "seq", "ts_ns", "body")
+        features.write.mode("overwrite").parquet(f"{features_path}/batch={batch_id}")
+        if observe is not None:
+            observe(features, batch_id)
         batch.unpersist()
 
     return write
 
 
-def start(tape: DataFrame, checkpoint: str, alerts_path: str, features_path: str, cfg: Config | None = None, append=None, rules: Sequence[StreamRule] = (), checkpoints_path: str | None = None) -> StreamingQuery:
+def start(tape: DataFrame, checkpoint: str, alerts_path: str, features_path: str, cfg: Config | None = None, append=None, rules: Sequence[StreamRule] = (), checkpoints_path: str | None = None, observe=None) -> StreamingQuery:
     """Run over what there is. Counts of each batch travel with its progress (``metrics.Metrics``)."""
-    return observed(detect(tape, cfg, rules), tuple(r.name for r in rules)).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink(append, alerts_path, features_path, checkpoints_path)).trigger(availableNow=True).start()
+    return observed(detect(tape, cfg, rules), tuple(r.name for r in rules)).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink(append, alerts_path, features_path, checkpoints_path, observe)).trigger(availableNow=True).start()
