@@ -54,10 +54,10 @@ def test_filters_keep_columns(docs, labels):
 
 def test_urls_in_disguise(spark):
     """What browsers take for the same host is the same host to the lists."""
-    rows = ["http://casino-win.example.org/", "HTTP://Casino-Win.Example.ORG./x", "//casino-win.example.org/y", "http:\\\\casino-win.example.org\\z", "  http://casino%2Dwin.example.org", "http://u:p@www.casino-win.example.org:80/?q"]
-    df = spark.createDataFrame([(u, dt.date(2024, 6, 1)) for u in [*rows, "http://casino-win.example.org.evil.example/", "/casino-win.example.org", None]], "url string, fetched_on date")
+    rows = ["http://casino-win.example.org/", "HTTP://Casino-Win.Example.ORG./x", "//casino-win.example.org/y", "http:\\\\casino-win.example.org\\z", "  http://casino%2Dwin.example.org", "http://u:p@www.casino-win.example.org:80/?q", "http://a@b@casino-win.example.org/", "ht\ttp://cas\nino-win.exam\tple.org/", "http:/casino-win.example.org/a", "https:casino-win.example.org", "///casino-win.example.org/b"]
+    df = spark.createDataFrame([(u, dt.date(2024, 6, 1)) for u in [*rows, "http://casino-win.example.org.evil.example/", "/casino-win.example.org", None, "http://ok.example/@casino-win.example.org", "mailto:/casino-win.example.org"]], "url string, fetched_on date")
     got = [r.blocked for r in url_filter.evaluate(df.coalesce(1), url_filter.intervals(url_filter.changes(spark))).collect()]
-    assert sorted(got) == [False] * 3 + [True] * 6
+    assert sorted(got) == [False] * 5 + [True] * 11
 
 
 def test_quality_in_stretches(monkeypatch):

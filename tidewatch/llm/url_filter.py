@@ -34,7 +34,8 @@ CHANGES = (
     ("spam", "tiontion.example.com/fr", "add", "2024-04-01"),
 )
 FIRST_DAY = dt.date(2024, 1, 1)
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)"
+WEB = r"^((?i:https?|wss?|ftp)):/*"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^#]*)"
 SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)"
 
@@ -58,9 +59,11 @@ def intervals(changed: DataFrame) -> DataFrame:
 
 
 def _plain(url: Column) -> Column:
-    """A URL as browsers read it: no space around it, back slashes as slashes, and a scheme where only ``//`` stands."""
-    u = F.translate(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), "\\", "/")
-    return F.when(u.startswith("//"), F.concat(F.lit("http:"), u)).otherwise(u)
+    """A URL as browsers read it: no space around it, no tabs or line ends in it, back slashes as slashes, a scheme where only ``//``
+    stands, and two slashes behind the schemes of the web however many there are."""
+    u = F.translate(F.regexp_replace(F.translate(url, "\t\n\r", ""), r"^[\x00-\x20]+|[\x00-\x20]+$", ""), "\\", "/")
+    u = F.when(u.startswith("//"), F.concat(F.lit("http:"), u)).otherwise(u)
+    return F.regexp_replace(u, WEB, "$1://")
 
 
 def host_of(url: Column) -> Column:
