@@ -3,6 +3,7 @@ import itertools
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,13 @@ def test_contamination(spark, block):
         text = dict(docs)[x.doc_id]
         assert (x.n_words, x.n_hit, len(x["items"]), x.items_sha256) == brute_hits(text, real), text
         assert sum(len(decontaminate.words(text[s.start : s.end])) for s in x.spans) == x.n_hit
+    given = [(k, t) for k, t in docs]
+    with duckdb.connect() as c:
+        c.execute("CREATE TABLE given (doc_id BIGINT, text VARCHAR); CREATE TABLE benchmark (item_id VARCHAR, text VARCHAR)")
+        c.executemany("INSERT INTO given VALUES (?, ?)", given)
+        c.executemany("INSERT INTO benchmark VALUES (?, ?)", [(i if i is None else str(i), t) for i, t in items])
+        want = dict(c.execute(f"SELECT doc_id, spans FROM ({decontaminate.sql('given')})").fetchall())
+    assert want == {x.doc_id: ",".join(f"{s.start}:{s.end}" for s in x.spans) for x in got} and any("," in x for x in want.values())
     clean = decontaminate.keep_clean(d, spark.createDataFrame(items, BENCH), block_chars=block)
     assert clean.columns == d.columns and {x.doc_id for x in clean.collect()} == {x.doc_id for x in got if not x.contaminated}
 

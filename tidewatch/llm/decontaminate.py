@@ -167,13 +167,18 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", "contaminated")
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", "contaminated", F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias("spans"))
 
 
-def sql(documents: str = "documents", columns: str = "doc_id, n_words, n_hit, n_items, items_sha256, contaminated", before: str = "", window: int = WINDOW) -> str:
-    words_of = lambda c: rf"regexp_extract_all(translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: A word of a lower-cased text in RE2, as ``words`` finds it.
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def sql(documents: str = "documents", columns: str = "doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans", before: str = "", window: int = WINDOW) -> str:
+    lower = lambda c: f"translate(coalesce({c}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    words_of = lambda c: f"regexp_extract_all({lower(c)}, '{WORD}')"
     return rf"""
-WITH {before} dw AS (SELECT doc_id, {words_of("text")} AS w FROM {documents}),
+WITH {before} dw AS (SELECT doc_id, text, {words_of("text")} AS w FROM {documents}),
 bw AS (SELECT item_id, {words_of("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
 win AS (
   SELECT DISTINCT item_id, least(len(w), {window}) AS k, array_to_string(w[i:i + {window - 1}], ' ') AS g
@@ -182,12 +187,21 @@ win AS (
   SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS g
   FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM dw, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)
 ), hits AS MATERIALIZED (SELECT doc_id, i, dg.k, item_id FROM dg JOIN win USING (k, g)),
-h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
+hw AS MATERIALIZED (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits)),
+h AS (SELECT doc_id, count(*) AS n_hit FROM hw GROUP BY doc_id),
+gaps AS (SELECT doc_id, w, regexp_split_to_array({lower("text")}, '{WORD}') AS g FROM dw WHERE doc_id IN (SELECT doc_id FROM h)),
+lens AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(list_transform(w, lambda x: length(x))) AS n, unnest(list_transform(g[1:len(w)], lambda x: length(x))) AS gap FROM gaps),
+ends AS (SELECT doc_id, p, n, (sum(gap + n) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING))::BIGINT AS stop FROM lens),
+runs AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hw),
+sp AS (
+  SELECT doc_id, string_agg(a || ':' || e, ',' ORDER BY a) AS spans
+  FROM (SELECT doc_id, min(stop - n) AS a, max(stop) AS e FROM runs JOIN ends USING (doc_id, p) GROUP BY doc_id, run) GROUP BY doc_id
+),
 it AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hits) GROUP BY doc_id),
 found AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-  FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans
+  FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN sp USING (doc_id) LEFT JOIN it USING (doc_id)
 )
 SELECT {columns} FROM found
 """
