@@ -384,3 +384,15 @@ def test_forest_by_walking_its_trees():
         assert abs(f.score(row[None, :])[0] + 2.0 ** (-mean / float(anomaly._depth(64)))) < 1e-12
     same = np.ones((50, 2))
     assert np.allclose(anomaly.Forest(same, trees=3).score(same), -0.5, atol=0.2)
+
+
+def test_roots_of_many_small_intervals_take_one_pass(spark):
+    """20,000 entries in intervals of 2: a call for each interval would take about a hundred seconds here."""
+    import time
+
+    h = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(20_000)]
+    log = spark.createDataFrame([(k + 1, x) for k, x in enumerate(h)], "seq long, hash string").coalesce(1)
+    began = time.monotonic()
+    got = sorted(map(tuple, audit.merkle_roots(log, 2).collect()))
+    assert time.monotonic() - began < 30
+    assert got == [(k + 1, k + 2, 2, audit.merkle_root(h[k : k + 2])) for k in range(0, 20_000, 2)]

@@ -7,13 +7,17 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from itertools import groupby
 from pathlib import Path
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewatch.operators.windows import numbered
 from tidewatch.shipping import ship
@@ -133,19 +137,49 @@ def chain_faults(trail: DataFrame) -> DataFrame:
 BLOCK = 1 << 12  # entries whose subtrees are made apart
 
 
-def _subtrees(rows: pd.DataFrame) -> pd.DataFrame:
-    r, p = rows.sort_values("seq"), Peaks()
-    for h in r["hash"]:
+def _by_group(keys: list[str], read: list[str], end: Callable[[Iterator[tuple]], tuple], ddl: str):
+    """Rows that come sorted by ``keys`` -> one row a group, its key and what ``end`` makes of its rows as they stream by: a call for each
+    group costs far more than a small group itself, and gathering one would cost its size."""
+    schema = T.StructType.fromDDL(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow, out = to_arrow_schema(schema), []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow.types, strict=True)], schema=arrow)
+        rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in (*keys, *read)), strict=True))
+        for key, group in groupby(rows, lambda row: row[: len(keys)]):
+            out.append((*key, *end(row[len(keys) :] for row in group)))
+            if len(out) == 1000:
+                yield made()
+                out = []
+        if out:
+            yield made()
+
+    return run
+
+
+def _grouped(rows: DataFrame, keys: list[str], read: list[str], end: Callable[[Iterator[tuple]], tuple], ddl: str) -> DataFrame:
+    """One row for each of ``keys``, from its rows in the order of the first column of ``read``."""
+    ship(rows.sparkSession)
+    dealt = rows.select(*keys, *read).repartition(*keys).sortWithinPartitions(*keys, read[0])
+    ddl = ", ".join([*(f"{c} bigint" for c in keys), ddl])
+    return dealt.mapInArrow(_by_group(keys, read, end, ddl), ddl)
+
+
+def _subtrees(rows: Iterator[tuple]) -> tuple:
+    p, first, last = Peaks(), None, None
+    for last, h in rows:
+        first = last if first is None else first
         p.add(h)
-    return pd.DataFrame({"k": [r["k"].iloc[0]], "block": [r["block"].iloc[0]], "from_seq": [int(r["seq"].iloc[0])], "to_seq": [int(r["seq"].iloc[-1])], "n": [len(r)], "heights": [[h for h, _ in p.stack]], "nodes": [[x for _, x in p.stack]]})
+    return first, last, p.count, [h for h, _ in p.stack], [x for _, x in p.stack]
 
 
-def _roots(rows: pd.DataFrame) -> pd.DataFrame:
-    r, p = rows.sort_values("block"), Peaks()
-    for heights, nodes in zip(r["heights"], r["nodes"], strict=True):
+def _roots(rows: Iterator[tuple]) -> tuple:
+    p, first, last = Peaks(), None, None
+    for _, start, last, heights, nodes in rows:
+        first = start if first is None else first
         for h, node in zip(heights, nodes, strict=True):
-            p.join(int(h), bytes(node))
-    return pd.DataFrame({"from_seq": [int(r["from_seq"].min())], "to_seq": [int(r["to_seq"].max())], "n": [int(r["n"].sum())], "merkle_root": [p.root()]})
+            p.join(h, node)
+    return first, last, p.count, p.root()
 
 
 def merkle_roots(trail: DataFrame, interval: int) -> DataFrame:
@@ -153,11 +187,11 @@ def merkle_roots(trail: DataFrame, interval: int) -> DataFrame:
 
     Subtrees of ``BLOCK`` entries are made apart, and an interval's root from these, so an interval of any length is spread over tasks.
     """
-    ship(trail.sparkSession)
     at = F.col("seq") - 1
     t = trail.select("seq", "hash", F.floor(at / interval).cast("bigint").alias("k"), F.floor((at % interval) / BLOCK).cast("bigint").alias("block"))
-    t = t.groupBy("k", "block").applyInPandas(_subtrees, "k bigint, block bigint, from_seq bigint, to_seq bigint, n bigint, heights array<int>, nodes array<binary>")
-    return t.groupBy("k").applyInPandas(_roots, "from_seq bigint, to_seq bigint, n bigint, merkle_root string")
+    t = _grouped(t, ["k", "block"], ["seq", "hash"], _subtrees, "from_seq bigint, to_seq bigint, n bigint, heights array<int>, nodes array<binary>")
+    t = _grouped(t, ["k"], ["block", "from_seq", "to_seq", "heights", "nodes"], _roots, "from_seq bigint, to_seq bigint, n bigint, merkle_root string")
+    return t.drop("k")
 
 
 class Signer:
@@ -419,9 +453,7 @@ def verify(spark: SparkSession, folder: str, pinned: str | None = None) -> dict:
     m = spark.read.schema(MARK).json(marks) if os.path.exists(marks) else spark.createDataFrame([], MARK)
     found = m.select("from_seq", "to_seq", "merkle_root", "signature", "public_key")
     if trail is not None:
-        ship(spark)
-        inside = covered(trail, found, out["entries"])
-        roots = inside.groupBy("from_seq", "to_seq").applyInPandas(_range_root, "from_seq bigint, to_seq bigint, n bigint, root string")
+        roots = _grouped(covered(trail, found, out["entries"]), ["from_seq", "to_seq"], ["seq", "hash"], _range_root, "n bigint, root string")
         found = found.join(roots, ["from_seq", "to_seq"], "left")
     else:
         found = found.withColumns({"n": F.lit(0), "root": F.lit(None).cast("string")})
@@ -455,9 +487,11 @@ def covered(trail: DataFrame, marks: DataFrame, entries: int, stretch: int = 1 <
     return t.join(m, "part").where((F.col("seq") >= F.col("from_seq")) & (F.col("seq") <= F.col("to_seq"))).drop("part")
 
 
-def _range_root(rows: pd.DataFrame) -> pd.DataFrame:
-    r = rows.sort_values("seq")
-    return pd.DataFrame({"from_seq": [int(r["from_seq"].iloc[0])], "to_seq": [int(r["to_seq"].iloc[0])], "n": [len(r)], "root": [merkle_root(list(r["hash"]))]})
+def _range_root(rows: Iterator[tuple]) -> tuple:
+    p = Peaks()
+    for _, h in rows:
+        p.add(h)
+    return p.count, p.root()
 
 
 def main(argv: list[str] | None = None) -> int:
