@@ -194,3 +194,29 @@ def test_url_entries_with_paths(spark):
 
 def test_shared_folder_is_the_sessions(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_stragglers_that_buckets_tell_apart_are_not_paired(spark, monkeypatch):
+    """Members of a large group and stragglers beside it, with edits at other places, so that overlaps with the leader alone can't tell
+    them apart: no row a pair, and components as by brute force."""
+    import random
+
+    r = random.Random(5)
+    text = lambda at: " ".join(f"alt{k}" if k in at else f"word{k}" for k in range(200))
+    main, far = range(10, 90, 5), range(100, 190, 5)
+    edits = [set(), *({k} for k in main), *(set(r.sample(far, 5)) for _ in range(30))]
+    paired, count = [], near_join._count
+
+    def counted(pairs, segments):
+        paired.append(pairs.count())
+        return count(pairs, segments)
+
+    monkeypatch.setattr(near_join, "_count", counted)
+    df = spark.createDataFrame([(k, text(e)) for k, e in enumerate(edits)], "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in near_join.near_duplicates(df).collect()}
+    sets = [set(zip(*(text(e).split()[k:] for k in range(5)))) for e in edits]
+    want = list(range(len(edits)))
+    for _ in edits:
+        want = [min(want[j] for j in range(len(sets)) if 100 * len(sets[k] & sets[j]) >= 80 * len(sets[k] | sets[j])) for k in range(len(sets))]
+    assert got == dict(enumerate(want)) and len(set(want)) > 3
+    assert paired[1] < 100

@@ -36,6 +36,7 @@ FRAGMENTS = 2  # of the sets whose pairs are counted: a pair costs a row in each
 FRAGMENT_TOKENS = 1 << 21  # about as many n-grams meet in a task of the first step
 FILE_TOKENS = 1 << 21  # of the sets that may have partners, behind each file that is written for them
 FLUSH_TOKENS = 1 << 20
+BITS = 1 << 12  # of the bitmap that tells two members of a leader apart
 SALTS = 16  # parts of the members of a leader that stragglers are paired with
 
 
@@ -188,6 +189,17 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(part, pa.int32()), pa.array(seg, pa.binary())], ["doc_id", "fragment", "segment"])
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which of ``BITS`` buckets the n-grams of a set fall into, as longs."""
+    for b in batches:
+        bits = []
+        for tokens in b.column("tokens"):
+            held = np.zeros(BITS, bool)
+            held[tokens.values.to_numpy() & (BITS - 1)] = True
+            bits.append(np.packbits(held).view(np.int64))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "bits"])
+
+
 def _count(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """(a, b) -> (a, b, overlap): overlaps of each fragment, summed per pair; pairs without any are absent."""
     x = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("segment").alias("x"))
@@ -248,17 +260,19 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     led = led.join(labels.withColumnRenamed("doc_id", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
     mixed = led.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("a")
     led = led.join(mixed, "a", "left_semi")
-    rest = _stragglers(led, percent)
+    rest = _stragglers(led, sets, percent)
     more = written(linked(rest).where("link").select("a", "b"), "more-links", few)
     return labels if more.isEmpty() else components(links.unionByName(more), few)
 
 
-def _stragglers(led: DataFrame, percent: int) -> DataFrame:
+def _stragglers(led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs under one leader in different components that may be linked, from (a, b, overlap, n, m, component).
 
     At most one side of a pair may be of the component that most of the leader's members belong to, so a large component is never
     paired with itself. Members of one size, overlap with the leader and number of shared n-grams have the same bound: pairs of such
-    classes are tested first, and only members of classes that pass are paired, in ``SALTS`` parts of the larger side.
+    classes are tested first, and only members of classes that pass are paired, in ``SALTS`` parts of the larger side. A bucket of n-grams
+    that one set of a pair has and the other has not holds at least one that they don't share: only pairs that could be linked even so
+    become rows.
     """
     kind = ["overlap", "n", "m"]
     led = written(led, "led")
@@ -269,10 +283,16 @@ def _stragglers(led: DataFrame, percent: int) -> DataFrame:
     bound = F.least("overlap_u", "overlap_v") + F.least(F.col("m_u") - F.col("overlap_u"), F.col("m_v") - F.col("overlap_v"))
     apart = ~((F.col("lo_u") == F.col("hi_u")) & (F.col("lo_v") == F.col("hi_v")) & (F.col("lo_u") == F.col("lo_v")))
     could = of(led.where("away"), "u").join(of(led, "v"), "a").where((bound * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent) & apart)
-    u = led.where("away").select("a", *[F.col(x).alias(f"{x}_u") for x in kind], F.col("b").alias("b_u"), F.col("component").alias("component_u"))
-    u = u.join(could.select("a", *[f"{x}_{c}" for x in kind for c in "uv"]), ["a", *[f"{x}_u" for x in kind]]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    v = led.select("a", *[F.col(x).alias(f"{x}_v") for x in kind], F.col("b").alias("b_v"), F.col("component").alias("component_v"), F.col("away").alias("away_v"), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
-    pairs = u.join(v, ["a", *[f"{x}_v" for x in kind], "salt"]).where("component_u <> component_v AND (NOT away_v OR b_u < b_v)")
+    passed = could.select("a", *[f"{x}_{c}" for x in kind for c in "uv"])
+    told = sets.join(led.join(mixed := passed.select("a").distinct(), "a", "left_semi").select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    told = written(told.select("doc_id", "tokens").mapInArrow(_bitmaps, "doc_id long, bits array<long>").withColumnRenamed("doc_id", "b"), "bitmaps")
+    led = led.join(mixed, "a", "left_semi").join(told, "b")
+    u = led.where("away").select("a", *[F.col(x).alias(f"{x}_u") for x in kind], F.col("b").alias("b_u"), F.col("component").alias("component_u"), F.col("bits").alias("bits_u"))
+    u = u.join(passed, ["a", *[f"{x}_u" for x in kind]]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    v = led.select("a", *[F.col(x).alias(f"{x}_v") for x in kind], F.col("b").alias("b_v"), F.col("component").alias("component_v"), F.col("away").alias("away_v"), F.col("bits").alias("bits_v"), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
+    only = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, k: s + k)
+    most = F.least(F.col("n_u") - only("bits_u", "bits_v"), F.col("n_v") - only("bits_v", "bits_u"))
+    pairs = u.join(v, ["a", *[f"{x}_v" for x in kind], "salt"]).where("component_u <> component_v AND (NOT away_v OR b_u < b_v)").where(most * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent)
     return pairs.select(F.col("b_u").alias("a"), F.col("b_v").alias("b")).distinct()
 
 
