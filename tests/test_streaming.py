@@ -11,6 +11,7 @@ from pyspark import cloudpickle
 from test_rules import random_rows
 
 from tidewatch.operators.book import Ladder
+from tidewatch.sources.tape import scripted_tape
 from tidewatch.streaming.engine import Keeper, StreamRule, SymbolState
 from tidewatch.streaming.ladder import FULL, BucketLadder
 from tidewatch.streaming.metrics import Metrics
@@ -236,3 +237,17 @@ def test_scorer_behind_the_stream(spark, tmp_path):
     want = {(x.symbol, x.seq): (x.n, x.version, x.decision) for x in anomaly.decisions(v, **schedule).collect()}
     got = {(x.symbol, x.seq): (x.n, x.version, x.decision) for x in spark.read.parquet(at("ml/decisions")).collect()}
     assert got == want and len(want) == vectorized(v).count() - 12 > 5
+
+
+def test_levels_reach_the_workers_as_text(spark):
+    """Packed and read back, a tape gives the rows that its structs give."""
+    from tidewatch.streaming import engine
+
+    tape = scripted_tape(spark)
+    given = [r.asDict() for r in tape.orderBy("seq").collect()]
+    packed = tape.orderBy("seq").select(engine._packed("bids").alias("bids"), engine._packed("asks").alias("asks")).collect()
+    one, two = engine.SymbolState(Config()), engine.SymbolState(Config())
+    for r, p in zip(given, packed, strict=True):
+        assert isinstance(p.bids, str)
+        assert one.event(SimpleNamespace(**r)) == two.event(SimpleNamespace(**r | p.asDict()))
+    assert engine._unpacked("") == [] and engine._unpacked(None) == [] and engine._unpacked("-5,7;8,0") == [(-5, 7), (8, 0)]
