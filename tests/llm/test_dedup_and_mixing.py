@@ -220,3 +220,23 @@ def test_stragglers_that_buckets_tell_apart_are_not_paired(spark, monkeypatch):
         want = [min(want[j] for j in range(len(sets)) if 100 * len(sets[k] & sets[j]) >= 80 * len(sets[k] | sets[j])) for k in range(len(sets))]
     assert got == dict(enumerate(want)) and len(set(want)) > 3
     assert paired[1] < 100
+
+
+def test_stragglers_meet_by_what_they_differ_by(spark):
+    """Members that replace n-grams of their leader by others of the same buckets: only those that replace the same ones alike are paired,
+    stragglers with members of the large component and with one another."""
+    away, main, n = 20, 30, 100
+
+    def member(b, k):
+        new = {x: x + 4096 * b for x in range(b % 80, b % 80 + k)}
+        return [new.get(x, x) for x in range(n)]
+
+    tokens = {1: list(range(n))} | {b: member(b, 8) for b in range(2, main)} | {b: member(b, 15) for b in range(main, main + away)}
+    tokens[70] = member(5, 15)  # with 5 it shares all that 5 replaces
+    tokens[71] = member(40, 16)
+    sets = spark.createDataFrame([(b, n, x) for b, x in tokens.items()], "doc_id long, n long, tokens array<long>")
+    led = [(1, b, len(set(x) & set(tokens[1])), n, n, 1 if b < main else b) for b, x in tokens.items()]
+    got = near_join._stragglers(spark.createDataFrame(led, "a long, b long, overlap long, n long, m long, component long"), sets, 80).collect()
+    link = lambda x, y: 100 * len({*x} & {*y}) >= 80 * len({*x} | {*y})
+    want = [(x, y) for x in tokens for y in tokens if 1 < x < y and y >= main and link(tokens[x], tokens[y])]
+    assert sorted((min(r), max(r)) for r in got) == want == [(5, 70), (40, 71)]

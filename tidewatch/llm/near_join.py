@@ -9,10 +9,10 @@ counted in each fragment on its own and summed per pair or document. Documents w
 2. What stays is ranked anew, rare n-grams first; sets whose n-grams with any other owner cannot make up the threshold go. Two
    linked sets share one of the first few n-grams. The class with the commonest n-grams among those that share one leads them.
 3. Overlaps of leaders with those they lead are counted by fragment and summed per pair; links make components.
-4. Pairs under one leader in different components remain. The overlaps with the leader bound theirs; those that could reach the
-   threshold are counted like the others. With that, every link between two components has been looked at, and pairs inside
-   a component need not be. A group of copies costs a row per member rather than per pair; each straggler near the threshold
-   costs a pair with each member of other components under its leader that the bounds leave.
+4. Pairs under one leader in different components remain. If linked, they share a good part of what they differ from the leader
+   by: those that share a rare n-gram of it are looked at. With that, every link between two components has been
+   looked at, and pairs inside a component need not be. A group of copies costs a row per member, and one per n-gram of its
+   difference from the leader, rather than per pair; a pair costs a row where two differences share what few others have.
 
 No cap or sample is used anywhere. Two n-grams of one pair share a hash with odds of about 2**-64 a pair of n-grams.
 """
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.llm._ngrams import shingles
@@ -36,8 +37,6 @@ FRAGMENTS = 2  # of the sets whose pairs are counted: a pair costs a row in each
 FRAGMENT_TOKENS = 1 << 21  # about as many n-grams meet in a task of the first step
 FILE_TOKENS = 1 << 21  # of the sets that may have partners, behind each file that is written for them
 FLUSH_TOKENS = 1 << 20
-BITS = 1 << 12  # of the bitmap that tells two members of a leader apart
-SALTS = 16  # parts of the members of a leader that stragglers are paired with
 
 
 def _spare(n: int, percent: int) -> int:
@@ -189,17 +188,6 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(part, pa.int32()), pa.array(seg, pa.binary())], ["doc_id", "fragment", "segment"])
 
 
-def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Which of ``BITS`` buckets the n-grams of a set fall into, as longs."""
-    for b in batches:
-        bits = []
-        for tokens in b.column("tokens"):
-            held = np.zeros(BITS, bool)
-            held[tokens.values.to_numpy() & (BITS - 1)] = True
-            bits.append(np.packbits(held).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "bits"])
-
-
 def _count(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """(a, b) -> (a, b, overlap): overlaps of each fragment, summed per pair; pairs without any are absent."""
     x = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("segment").alias("x"))
@@ -268,31 +256,38 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
 def _stragglers(led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs under one leader in different components that may be linked, from (a, b, overlap, n, m, component).
 
-    At most one side of a pair may be of the component that most of the leader's members belong to, so a large component is never
-    paired with itself. Members of one size, overlap with the leader and number of shared n-grams have the same bound: pairs of such
-    classes are tested first, and only members of classes that pass are paired, in ``SALTS`` parts of the larger side. A bucket of n-grams
-    that one set of a pair has and the other has not holds at least one that they don't share: only pairs that could be linked even so
-    become rows.
+    A member differs from its leader by few n-grams, those that only one of the two has, and two members differ by the n-grams in which
+    these differences do. So linked members share a good part of their differences. As linked partners of the leader are of its
+    component, one of a pair is not linked with it (``far``), and that alone makes the part more than nothing: the pair meets at an
+    n-gram that stands early in both differences, rare ones first, and then all of both are compared. Members are never paired by
+    their leader alone, and one that differs from its leader where no other component does meets nobody.
     """
-    kind = ["overlap", "n", "m"]
     led = written(led, "led")
     most = led.groupBy("a", "component").count().groupBy("a").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    led = led.join(most, "a").where("a <> b").withColumn("away", F.col("component") != F.col("main")).drop("main")
-    span = [F.min("component").alias("lo"), F.max("component").alias("hi")]
-    of = lambda d, c: d.groupBy("a", *kind).agg(*span).select("a", *[F.col(x).alias(f"{x}_{c}") for x in (*kind, "lo", "hi")])
-    bound = F.least("overlap_u", "overlap_v") + F.least(F.col("m_u") - F.col("overlap_u"), F.col("m_v") - F.col("overlap_v"))
-    apart = ~((F.col("lo_u") == F.col("hi_u")) & (F.col("lo_v") == F.col("hi_v")) & (F.col("lo_u") == F.col("lo_v")))
-    could = of(led.where("away"), "u").join(of(led, "v"), "a").where((bound * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent) & apart)
-    passed = could.select("a", *[f"{x}_{c}" for x in kind for c in "uv"])
-    told = sets.join(led.join(mixed := passed.select("a").distinct(), "a", "left_semi").select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    told = written(told.select("doc_id", "tokens").mapInArrow(_bitmaps, "doc_id long, bits array<long>").withColumnRenamed("doc_id", "b"), "bitmaps")
-    led = led.join(mixed, "a", "left_semi").join(told, "b")
-    u = led.where("away").select("a", *[F.col(x).alias(f"{x}_u") for x in kind], F.col("b").alias("b_u"), F.col("component").alias("component_u"), F.col("bits").alias("bits_u"))
-    u = u.join(passed, ["a", *[f"{x}_u" for x in kind]]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    v = led.select("a", *[F.col(x).alias(f"{x}_v") for x in kind], F.col("b").alias("b_v"), F.col("component").alias("component_v"), F.col("away").alias("away_v"), F.col("bits").alias("bits_v"), F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt"))
-    only = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, k: s + k)
-    most = F.least(F.col("n_u") - only("bits_u", "bits_v"), F.col("n_v") - only("bits_v", "bits_u"))
-    pairs = u.join(v, ["a", *[f"{x}_v" for x in kind], "salt"]).where("component_u <> component_v AND (NOT away_v OR b_u < b_v)").where(most * (100 + percent) >= (F.col("n_u") + F.col("n_v")) * percent)
+    led = led.join(most, "a").where("a <> b").withColumn("away", F.col("component") != F.col("main"))
+    ids = led.select(F.col("a").alias("doc_id")).unionByName(led.select(F.col("b").alias("doc_id"))).distinct()
+    told = written(sets.join(ids, "doc_id", "left_semi").select("doc_id", "n", "tokens"), "told")
+    leader = told.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("x"))
+    diff = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    both = led.join(told.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b").join(leader, "a")
+    # Twice the n-grams that the differences of linked members share, times 100 + percent, is at least the sum of both sides' ``weigh``.
+    weigh, gap = lambda d, n: d * (100 + percent) - n * (100 - percent), F.col("n_a") * (100 - percent)
+    both = both.select("a", "b", "n_a", "n", "component", "away", diff.alias("diff")).withColumn("weight", weigh(F.size("diff").cast("long"), F.col("n")))
+    both = written(both.withColumn("far", F.col("weight") > gap).withColumn("least", F.col("weight") + gap).drop("n", "n_a"), "differences")
+    each = both.select(*[c for c in both.columns if c != "diff"], F.explode("diff").alias("token"))
+    shared = each.groupBy("a", "token").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("a", "token", "df")
+    each = each.join(shared, ["a", "token"])
+    # ``left``: n-grams of the difference from this one on, of those that another component has in its differences too.
+    left = F.row_number().over(W.partitionBy("a", "b").orderBy(F.desc("df"), F.desc("token"))).cast("long")
+    each = each.withColumn("left", left * (2 * (100 + percent))).withColumn("early", F.col("left") >= F.col("least")).where("far OR early")
+    each = written(each.select("a", "b", "token", "component", "away", "weight", "far", "early", "left"), "early")
+    of = lambda d, c: d.select("a", "token", *[F.col(x).alias(f"{x}_{c}") for x in ("b", "component", "away", "weight", "left")])
+    far, enough = each.where("far"), F.expr("component_u <> component_v AND least(left_u, left_v) >= weight_u + weight_v")
+    pairs = of(far.where("early AND away"), "u").join(of(far.where("early"), "v"), ["a", "token"]).where(enough).where("NOT away_v OR b_u < b_v")
+    pairs = pairs.unionByName(of(far, "u").join(of(each.where("NOT far"), "v"), ["a", "token"]).where(enough))
+    side = lambda c: both.select("a", F.col("b").alias(f"b_{c}"), F.col("diff").alias(f"diff_{c}"), F.col("weight").alias(f"weight_{c}"))
+    pairs = pairs.select("a", "b_u", "b_v").distinct().join(side("u"), ["a", "b_u"]).join(side("v"), ["a", "b_v"])
+    pairs = pairs.where(F.size(F.array_intersect("diff_u", "diff_v")) * (2 * (100 + percent)) >= F.col("weight_u") + F.col("weight_v"))
     return pairs.select(F.col("b_u").alias("a"), F.col("b_v").alias("b")).distinct()
 
 
