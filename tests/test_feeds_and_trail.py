@@ -396,3 +396,12 @@ def test_roots_of_many_small_intervals_take_one_pass(spark):
     got = sorted(map(tuple, audit.merkle_roots(log, 2).collect()))
     assert time.monotonic() - began < 30
     assert got == [(k + 1, k + 2, 2, audit.merkle_root(h[k : k + 2])) for k in range(0, 20_000, 2)]
+
+
+def test_frames_of_a_feed_are_read_once(spark, data):
+    """Depth messages, trades, the sequence check and release times all come from frames; none of them reads the JSON again."""
+    from tidewatch.plans import queries
+    from tidewatch.sources.tape import read_tape
+
+    plan = queries.feed_sync(read_tape(spark, f"{data}/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "json" not in plan.lower()

@@ -149,8 +149,9 @@ def _feed(tape: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _received(tape: DataFrame) -> DataFrame:
     """What of the feed passes the sequence check, in the order in which it passes."""
     frames, answers = _feed(tape)
-    got = venues.union(venues.binance(frames), venues.binance_snapshots(answers)).where("error IS NULL").withColumn("ts_ns", F.col("ingest_ns"))
-    return sync.released(got)
+    # Written, so that frames are read once and not for each of the branches, and the filter does not read them again.
+    got = written(venues.union(venues.binance(frames), venues.binance_snapshots(answers)), "frames")
+    return sync.released(got.where("error IS NULL").withColumn("ts_ns", F.col("ingest_ns")))
 
 
 def feed_sync(tape: DataFrame) -> DataFrame:

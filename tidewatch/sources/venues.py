@@ -15,8 +15,8 @@ _NONE = "cast(null as array<struct<p:bigint,q:bigint>>)"
 def _levels(rows: Column) -> Column:
     """Levels of [price, size, ...] rows; null if one is short or not a number."""
     each = F.transform(F.coalesce(rows, F.expr(f"cast(array() as {_ROWS})")), lambda r: F.when(F.size(r) >= 2, F.struct(parse(F.get(r, F.lit(0))).alias("p"), parse(F.get(r, F.lit(1))).alias("q"))))
-    bad = F.exists(each, lambda x: x.isNull() | x["p"].isNull() | x["q"].isNull())
-    return F.when(~bad, each)
+    bad = lambda x: x.isNull() | x["p"].isNull() | x["q"].isNull()
+    return F.get(F.filter(F.array(each), lambda rows: ~F.exists(rows, bad)), F.lit(0))  # names ``each``, so that it is worked out once
 
 
 def _out(df: DataFrame, venue: str, *, kind: Column, symbol: Column, snapshot: Column, side: Column, price: Column, qty: Column, trade_id: Column, first: Column, final: Column, bids: Column, asks: Column, ts: Column, error: Column) -> DataFrame:
