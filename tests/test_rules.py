@@ -135,6 +135,50 @@ def test_stretches_know_nothing_of_one_another(spark, seed, stretch):
     tape.unpersist()
 
 
+def quotes_in_one_pass(rows, cfg):
+    """As in memory: each symbol's book, average and changes, message by message."""
+    out, states = [], {}
+    for x in rows:
+        if x["kind"] != "depth":
+            continue
+        ladder, typical, times, last = states.setdefault(x["symbol"], (book.Ladder(), rules.Typical(), [], [0]))
+        changed = ladder.apply(x["is_snapshot"], [(s, y["p"], y["q"]) for s, c in ((BUY, "bids"), (SELL, "asks")) for y in x[c]])
+        times += [x["ts_ns"]] * len(changed)
+        if changed:
+            last[0] = sum(t >= x["ts_ns"] - cfg.stuff_window for t in times)
+        for pos, side, price, old, new in changed:
+            flagged = new > old and typical.add(cfg, new / SCALE, price / SCALE, ladder.mid())
+            out.append((x["symbol"], x["seq"], x["ts_ns"], pos, side, price, new, new > old, flagged, typical.mean, typical.samples, None, x["ingest_ns"]))
+        if not x["is_snapshot"] and last[0] >= cfg.stuff_churn:
+            out.append((x["symbol"], x["seq"], x["ts_ns"], *[None] * 8, last[0], x["ingest_ns"]))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "stretch", "piece"), [(6, 2, 1), (7, 5, 3), (8, 600, 4)])
+def test_quotes_by_stretch(spark, seed, stretch, piece):
+    """Short stretches in small pieces, stretches that begin without changes, and a symbol that is quiet for some: as in one pass, to the bit."""
+    cfg = Config(spoof_multiple=2.0, spoof_min_samples=3, stuff_churn=3)
+    rows = random_rows(seed, 300)
+    late = rows[-1]["ts_ns"] - T0 + 20 * SEC
+    rows = done(rows + [depth(late + k * SEC, [(99, 1)] if k % 4 else [(99, 1), (98, k), (97, k), (96, k)], symbol="A") for k in range(13)] + [depth(late + 14 * SEC, symbol="B")])
+    tape = tape_of_rows(spark, rows).repartition(3)
+    got = rules.quotes(tape, cfg, "ingest_ns", stretch=stretch * SEC, piece=piece)
+    order = lambda x: (x[1], x[3] is None, x[3] or 0)
+    want = quotes_in_one_pass(rows, cfg)
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(want, key=order) and any(x[8] for x in want) and any(x[11] for x in want)
+
+
+def test_counts_make_no_evidence(spark):
+    tape = scripted_tape(spark)
+    plain = rules.alerts(tape, Config(), ordered=False)
+    counted = plain.groupBy("detector", "severity_label").agg(F.count(F.lit(1)).alias("n"))
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "StructsToJson" not in plan and "to_json" not in plan
+    assert sorted(map(tuple, counted.collect())) == [("layering", "critical", 1), ("momentum_ignition", "high", 1), ("quote_stuffing", "medium", 1), ("spoofing", "high", 2), ("wash_trade", "low", 1)]
+    numbered = rules.alerts(tape, Config())
+    assert sorted(map(tuple, plain.select("seq", "detector", "score", "evidence").collect())) == sorted(map(tuple, numbered.select("seq", "detector", "score", "evidence").collect()))
+
+
 def test_alerts_wait_until_they_are_asked_for(spark, tmp_path):
     """Building the plan runs no job."""
     tape = tape_of_rows(spark, CASES["spoof"][0] and done(CASES["spoof"][0]))

@@ -91,8 +91,8 @@ class Ladder:
         return len(self.prices[side])
 
     def mid(self) -> float | None:
-        bid, ask = self.top(BUY), self.top(SELL)
-        return (bid[0][0] / 1e8 + ask[0][0] / 1e8) / 2 if bid and ask else None
+        bids, asks = self.prices
+        return (bids[-1] / 1e8 + asks[0] / 1e8) / 2 if bids and asks else None
 
 
 def _pairs(bids: list, asks: list) -> list[tuple[int, int, int]]:
@@ -138,12 +138,20 @@ def _seeds(tape: DataFrame, ahead: int, stretch: int) -> DataFrame:
     side, and so a symbol's fold sees one row a stretch, as wide as what the stretch changed, rather than its messages.
     """
     own, at = idiv(F.col("ts_ns"), stretch), idiv(F.col("ts_ns") + ahead, stretch)
-    zero, snapshot = F.lit(0).cast("bigint"), F.coalesce("is_snapshot", F.lit(False))
-    row = lambda k, side, p, q, seq: F.struct(k.alias("k"), F.lit(side).alias("side"), p.alias("price_raw"), q.alias("qty_raw"), seq.alias("seq"))
-    depth = lambda c: F.coalesce(F.when(F.col("kind") == "depth", _last_of_each(c)), F.expr(f"cast(array() as {LEVELS})"))
-    of = lambda c, side: F.transform(F.filter(depth(c), lambda x: ~snapshot | (x["q"] > 0)), lambda x: row(at, side, x["p"], x["q"], F.col("seq")))
-    marks = [row(at, _MARK, zero, zero, F.when(snapshot, F.col("seq"))), *([row(own, _MARK, zero, zero, F.lit(None).cast("bigint"))] if ahead else [])]
-    each = tape.select("symbol", F.explode(F.concat(of("bids", BUY), of("asks", SELL), F.array(*marks))).alias("x")).select("symbol", "x.*")
+    nought, snapshot = F.lit(0).cast("bigint"), F.coalesce("is_snapshot", F.lit(False))
+    empty = F.expr(f"cast(array() as {LEVELS})")
+    depth = lambda c: F.coalesce(F.when(F.col("kind") == "depth", _last_of_each(c)), empty)
+    # Marks (stretch, whether it is a snapshot's) tell of a stretch and of its snapshots; a diff with levels tells of its stretch by these.
+    mark = lambda k, one: F.struct(k.alias("p"), one.cast("bigint").alias("q"))
+    wanted, ahead_of = snapshot | (F.size("b") + F.size("a") == 0), own != at
+    of_at, of_own = mark(at, snapshot), mark(own, F.lit(0))
+    marks = F.when(wanted & ahead_of, F.array(of_at, of_own)).when(wanted, F.array(of_at)).when(ahead_of, F.array(of_own)).otherwise(empty)
+    each = tape.withColumns({"b": depth("bids"), "a": depth("asks")})
+    each = each.select("symbol", "seq", snapshot.alias("is_snapshot"), at.alias("k"), F.size("b").alias("n_bids"), F.size("a").alias("n_asks"), F.posexplode(F.concat("b", "a", marks)).alias("i", "l"))
+    side = F.when(F.col("i") < F.col("n_bids"), BUY).when(F.col("i") < F.col("n_bids") + F.col("n_asks"), SELL).otherwise(_MARK)
+    each = each.select("symbol", "seq", "is_snapshot", "k", side.alias("side"), "l.p", "l.q").where(f"side = {_MARK} OR NOT is_snapshot OR q > 0")
+    of = lambda level, m: F.when(F.col("side") == _MARK, m).otherwise(level)
+    each = each.select("symbol", of(F.col("k"), F.col("p")).alias("k"), "side", of(F.col("p"), nought).alias("price_raw"), of(F.col("q"), nought).alias("qty_raw"), of(F.col("seq"), F.when(F.col("q") == 1, F.col("seq"))).alias("seq"))
     last = each.groupBy("symbol", "k", "side", "price_raw").agg(F.max_by("qty_raw", "seq").alias("qty_raw"), F.max("seq").alias("seq"))
     last = last.groupBy("symbol", "k").agg(F.collect_list(F.struct("side", "price_raw", "qty_raw", "seq")).alias("levels"))
     found = fold(last, ["k"], ["k", "levels"], Carried, _carry, "k bigint, bp array<bigint>, bq array<bigint>, ap array<bigint>, aq array<bigint>")
@@ -155,7 +163,7 @@ def _last_of_each(levels: str) -> Column:
     """Levels of a message without those whose price comes again."""
     c = F.col(levels)
     again = lambda x, i: F.exists(F.slice(c, i + 2, F.size(c)), lambda y: y["p"] == x["p"])
-    return F.when(F.size(F.array_distinct(F.transform(c, lambda x: x["p"]))) < F.size(c), F.filter(c, lambda x, i: ~again(x, i))).otherwise(c)
+    return F.when(F.size(c) < 2, c).when(F.size(F.array_distinct(F.transform(c, lambda x: x["p"]))) < F.size(c), F.filter(c, lambda x, i: ~again(x, i))).otherwise(c)
 
 
 def _both(own: Column, reach: Column) -> Column:

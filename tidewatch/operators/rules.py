@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
-from collections.abc import Callable, Collection, Mapping
+from collections.abc import Callable, Collection, Iterator, Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewatch.functions.fixedpoint import bps, clamp01, idiv, real, render, round4
 from tidewatch.operators import book
-from tidewatch.operators.fold import fold
+from tidewatch.operators.fold import batch_of, fold, keys_of, values
 from tidewatch.operators.scan import STRETCH, overlapping, recent, running
 from tidewatch.operators.windows import cooldown, cooldown_by_stretch, numbered, sliding
+from tidewatch.shipping import ship
 from tidewatch.types import BUY, DESCRIPTIONS, EMA_ALPHA, MS, RULES, SCALE, SELL, SEVERITIES, SEVERITY, Config
 
 
@@ -121,13 +128,42 @@ class Leg:
         return None
 
 
-def _legs(cfg: Config):
-    def step(leg: Leg, row: tuple) -> list[tuple]:
-        seq, ts, price, start, hi, lo, net, *kept = row
-        found = leg.trade(cfg, ts, price / SCALE, start / SCALE, hi / SCALE, lo / SCALE, net / SCALE)
-        return [(seq, ts, *found, price / SCALE, *kept)] if found else []
-
-    return step
+def _legs(cfg: Config, keep: Sequence[str], schema: T.StructType):
+    """Reversed legs of each symbol, whose trades come in order. Without a leg only trades that may begin one are looked at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        symbol, leg = object(), Leg()
+        for b in batches:
+            names = [name for name, in keys_of(b, ["symbol"])]
+            times = values(b.column("ts_ns"))
+            price, start, hi, lo, net = (b.column(c).to_numpy() / SCALE for c in ("price_raw", "start_raw", "hi_raw", "lo_raw", "net_raw"))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                may = (start != 0) & (((hi - start) / start * 1e4 >= cfg.ignite_bps) & (net >= cfg.ignite_volume) | (-((lo - start) / start * 1e4) >= cfg.ignite_bps) & (-net >= cfg.ignite_volume))
+            begins = np.flatnonzero(may).tolist()
+            rows = list(zip(*(x.tolist() for x in (price, start, hi, lo, net)), strict=True))
+            edges = [k for k in range(1, len(names)) if names[k] != names[k - 1]] if names and names[0] != names[-1] else []
+            out = []
+            for at, to in zip([0, *edges], [*edges, len(names)], strict=True):
+                if at == to:
+                    continue
+                if names[at] != symbol:
+                    symbol, leg = names[at], Leg()
+                k = at
+                while k < to:
+                    if leg.side is None:
+                        nearest = bisect_left(begins, k)
+                        if nearest == len(begins) or begins[nearest] >= to:
+                            break
+                        k = begins[nearest]
+                    found = leg.trade(cfg, times[k], *rows[k])
+                    if found:
+                        out.append((symbol, b.column("seq")[k].as_py(), times[k], *found, rows[k][0], *(b.column(c)[k].as_py() for c in keep)))
+                    k += 1
+            if out:
+                yield batch_of(out, arrow)
+
+    return run
 
 
 def _ddl(tape: DataFrame, keep: Collection[str]) -> str:
@@ -136,11 +172,17 @@ def _ddl(tape: DataFrame, keep: Collection[str]) -> str:
 
 
 def momentum_ignition(tape: DataFrame, cfg: Config, *keep: str) -> DataFrame:
-    t = momentum_windows(tape, cfg, *keep)
-    found = fold(t, ["seq"], ["seq", "ts_ns", "price_raw", "start_raw", "hi_raw", "lo_raw", "net_raw", *keep], Leg, _legs(cfg), "seq bigint, ts_ns bigint, side int, leg_start double, leg_peak double, price double" + _ddl(tape, keep))
+    ship(tape.sparkSession)
+    t = momentum_windows(tape, cfg, *keep).select("symbol", "seq", "ts_ns", "price_raw", "start_raw", "hi_raw", "lo_raw", "net_raw", *keep)
+    schema = T.StructType.fromDDL("symbol string, seq bigint, ts_ns bigint, side int, leg_start double, leg_peak double, price double" + _ddl(tape, keep))
+    found = t.repartition("symbol").sortWithinPartitions("symbol", "seq").mapInArrow(_legs(cfg, keep, schema), schema)
     return found.withColumn("leg_bps", bps(F.col("leg_peak"), F.col("leg_start"))).withColumn("retrace_bps", bps(F.col("price"), F.col("leg_peak")))
 
 
+def near_mid(cfg: Config, price: float, mid: float | None) -> bool:
+    return mid is not None and abs((price - mid) / mid * 1e4) <= cfg.spoof_max_bps
+
+
 class Typical:
     """Moving average of ordinary sizes."""
 
@@ -150,7 +192,9 @@ class Typical:
 
     def add(self, cfg: Config, size: float, price: float, mid: float | None) -> bool:
         """Take in an added size; whether it is suspiciously large, in which case the average ignores it."""
-        near = mid is not None and abs((price - mid) / mid * 1e4) <= cfg.spoof_max_bps
+        return self.take(cfg, size, near_mid(cfg, price, mid))
+
+    def take(self, cfg: Config, size: float, near: bool) -> bool:
         if near and self.samples >= cfg.spoof_min_samples and size >= cfg.spoof_multiple * self.mean:
             return True
         self.mean = self.mean + EMA_ALPHA * (size - self.mean) if self.samples else size
@@ -158,44 +202,130 @@ class Typical:
         return False
 
 
+_PIECE = 2000  # rows of a stretch that travel as one
+
+_SEEN = ("seq bigint", "ts_ns bigint", "pos int", "side int", "price_raw bigint", "new_raw bigint", "added boolean")
+
+
 class Quotes:
-    """A book, the average of what is added to it, and the times of its latest changes."""
+    """A stretch's book, the times of its latest changes, and the rows that are not given away yet, with sizes and nearness of the adds."""
 
     def __init__(self) -> None:
-        self.ladder, self.typical, self.times, self.churn = book.Ladder(), Typical(), deque(), 0
+        self.ladder, self.times, self.churn = book.Ladder(), deque(), None
+        self.k, self.piece, self.rows, self.sizes, self.near = None, 0, [], [], []
 
-    def changed(self, now: int, n: int, length: int) -> None:
+    def changed(self, now: int, n: int, length: int) -> int:
         self.times.extend([now] * n)
         while self.times[0] < now - length:
             self.times.popleft()
-        self.churn = len(self.times)
+        return len(self.times)
+
+    def give(self) -> list[tuple]:
+        if not self.rows:
+            return []
+        out = (self.k, self.piece, *map(list, zip(*self.rows, strict=True)), self.sizes, self.near, self.churn)
+        self.piece, self.rows, self.sizes, self.near = self.piece + 1, [], [], []
+        return [out]
 
 
-def _quotes(cfg: Config):
+def _pieces(cfg: Config, piece: int):
     def step(q: Quotes, row: tuple) -> list[tuple]:
-        seq, ts, snapshot, bids, asks, *kept = row
+        q.k, own, seq, ts, snapshot, bids, asks, *kept = row
         changed = q.ladder.apply(snapshot, book._pairs(bids, asks))
-        out = []
         if changed:
-            mid = q.ladder.mid()
-            q.changed(ts, len(changed), cfg.stuff_window)
+            churn = q.changed(ts, len(changed), cfg.stuff_window)
+        if not own:
+            return []
+        if changed:
+            q.churn, mid = churn, q.ladder.mid()
             for pos, side, price, old, new in changed:
-                flagged = new > old and q.typical.add(cfg, new / SCALE, price / SCALE, mid)
-                out.append((seq, ts, pos, side, price, new, new > old, flagged, q.typical.mean, q.typical.samples, None, *kept))
-        if not snapshot and q.churn >= cfg.stuff_churn:
-            out.append((seq, ts, None, None, None, None, None, None, None, None, q.churn, *kept))
-        return out
+                q.rows.append((seq, ts, pos, side, price, new, new > old, None, *kept))
+                if new > old:
+                    q.sizes.append(new / SCALE)
+                    q.near.append(near_mid(cfg, price / SCALE, mid))
+        # Before the first change of a stretch, only the stretches before it tell.
+        if not snapshot and (q.churn is None or q.churn >= cfg.stuff_churn):
+            q.rows.append((seq, ts, None, None, None, None, None, q.churn, *kept))
+        return q.give() if len(q.rows) >= piece else []
+
+    return step
+
+
+class Entry:
+    """What a symbol's rows so far leave for the next: the average of ordinary sizes, and the churn at the last change."""
+
+    def __init__(self) -> None:
+        self.typical, self.churn = Typical(), 0
+
+
+def _entry(cfg: Config):
+    def step(e: Entry, row: tuple) -> list[tuple]:
+        k, piece, sizes, near, churn = row
+        out = (k, piece, e.typical.mean, e.typical.samples, e.churn)
+        take = e.typical.take
+        for x in zip(sizes, near, strict=True):
+            take(cfg, *x)
+        e.churn = e.churn if churn is None else churn
+        return [out]
 
     return step
 
 
-def quotes(tape: DataFrame, cfg: Config, *keep: str) -> DataFrame:
-    """What the rules on quotes need, from one pass over a symbol's depth messages that keeps its ladder, the average of ordinary
-    sizes and the times of changes: the rows of ``size_flags``, and rows without a position, but with churn, for messages at which
-    the window of the latest change holds enough changes for quote stuffing."""
-    d = tape.where("kind = 'depth'")
-    return fold(d, ["seq"], ["seq", "ts_ns", "is_snapshot", "bids", "asks", *keep], Quotes, _quotes(cfg),
-                "seq bigint, ts_ns bigint, pos int, side int, price_raw bigint, new_raw bigint, added boolean, flagged boolean, typical double, samples bigint, churn bigint" + _ddl(tape, keep))
+def _seen(cfg: Config, schema: T.StructType):
+    """Rows of pieces, each with the average after it, from what the rows before the piece leave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = to_arrow_schema(schema)
+        flat = [f.name for f in schema if f.name not in ("symbol", "flagged", "typical", "samples", "churn")]
+        for b in batches:
+            lengths = b.column("seq").value_lengths().to_numpy()
+            piece = np.repeat(np.arange(b.num_rows), lengths)
+            columns = {c: b.column(c).flatten() for c in flat} | {"symbol": b.column("symbol").take(pa.array(piece))}
+            message = columns["added"].is_null().to_numpy(zero_copy_only=False)
+            adds = columns["added"].fill_null(False).to_numpy(zero_copy_only=False)
+            flagged, typical, samples = [], [], []  # as each piece begins, and after each of its adds
+            for mean, count, sizes, near in zip(*(values(b.column(c)) for c in ("__mean", "__samples", "sizes", "near")), strict=True):
+                t = Typical()
+                t.mean, t.samples = mean, count
+                flagged.append(False), typical.append(mean), samples.append(count)
+                for x in zip(sizes, near, strict=True):
+                    flagged.append(t.take(cfg, *x)), typical.append(t.mean), samples.append(t.samples)
+            at = np.cumsum(adds) + piece
+            churn = pc.coalesce(b.column("churn").flatten(), b.column("__churn").take(pa.array(piece))).to_numpy()
+            columns |= {"flagged": pa.array(np.array(flagged, bool)[at] & adds, mask=message), "typical": pa.array(np.array(typical, float)[at], mask=message)}
+            columns |= {"samples": pa.array(np.array(samples, np.int64)[at], mask=message), "churn": pa.array(churn, mask=~message)}
+            out = pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in arrow], schema=arrow)
+            yield out.filter(pa.array(~message | (churn >= cfg.stuff_churn)))
+
+    return run
+
+
+def quotes(tape: DataFrame, cfg: Config, *keep: str, stretch: int = STRETCH, piece: int = _PIECE) -> DataFrame:
+    """What the rules on quotes need of a symbol's depth messages: the rows of ``size_flags``, and rows without a position, but with
+    churn, for messages at which the window of the latest change holds enough changes for quote stuffing.
+
+    Stretches are folded apart, each from its carried book, and give their rows in pieces. Only the average of ordinary sizes goes through
+    a symbol's rows one after another: over the sizes that pieces hold, to what each piece begins with. Then pieces are settled apart.
+    """
+    ship(tape.sparkSession)
+    d = book.by_stretch(tape.where("kind = 'depth'").select("seq", "ts_ns", "symbol", "kind", "is_snapshot", "bids", "asks", *keep), cfg.stuff_window, stretch)
+    kinds = dict(tape.dtypes)
+    lists = ", ".join(f"{c} array<{kind}>" for c, kind in [*(x.split() for x in _SEEN), ("churn", "bigint"), *((c, kinds[c]) for c in keep), ("sizes", "double"), ("near", "boolean")])
+    pieces = fold(d, ["seq"], ["k", "own", "seq", "ts_ns", "is_snapshot", "bids", "asks", *keep], Quotes, _pieces(cfg, piece), f"k bigint, piece bigint, {lists}, last_churn bigint", by=("symbol", "k"), end=Quotes.give)
+    at = ["symbol", "k", "piece"]
+    dealt = pieces.repartition(*at)
+    # Both read one shuffle: Arrow takes all columns of it.
+    held = dealt.mapInArrow(_held, "symbol string, k bigint, piece bigint, sizes array<double>, near array<boolean>, last_churn bigint")
+    entries = fold(held, ["k", "piece"], ["k", "piece", "sizes", "near", "last_churn"], Entry, _entry(cfg), "k bigint, piece bigint, __mean double, __samples bigint, __churn bigint")
+    entries = entries.select(*[F.col(c).alias(f"__e{i}") for i, c in enumerate(at)], "__mean", "__samples", "__churn")
+    both = dealt.join(entries, [F.col(c).eqNullSafe(F.col(f"__e{i}")) for i, c in enumerate(at)])
+    schema = T.StructType.fromDDL(", ".join(["symbol string", *_SEEN, "flagged boolean, typical double, samples bigint, churn bigint"]) + _ddl(tape, keep))
+    return both.mapInArrow(_seen(cfg, schema), schema)
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield b.select(["symbol", "k", "piece", "sizes", "near", "last_churn"])
 
 
 def size_flags(tape: DataFrame, cfg: Config, seen: DataFrame | None = None) -> DataFrame:
@@ -240,25 +370,15 @@ def layering(tape: DataFrame, cfg: Config, pulled: DataFrame | None = None) -> D
     return cooldown(p.where(F.col("n_levels") >= cfg.layering_levels).drop("near"), cfg.layering_cooldown, ["seq", "pos"])
 
 
-def _both(cfg: Config):
-    def step(last: dict[str, int], row: tuple) -> list[tuple]:
-        out = []
-        for detector, ready, wait in (("spoofing", True, cfg.spoof_cooldown), ("layering", row[-1] >= cfg.layering_levels, cfg.layering_cooldown)):
-            if ready and row[1] - last.get(detector, 0) >= wait:
-                last[detector] = row[1]
-                out.append((detector, *row))
-        return out
-
-    return step
-
-
 def spoofing_and_layering(tape: DataFrame, cfg: Config, flags: DataFrame | None = None) -> DataFrame:
     """Both rules' alerts from one pass over the pulls, each with its own cooldown."""
     p = sliding(pulls(tape, cfg, flags), cfg.layering_window, ["seq", "pos"], {"near": lambda w: F.collect_set(F.struct("side", "price_raw")).over(w)})
     p = p.withColumn("n_levels", F.size(F.filter("near", lambda x: x["side"] == F.col("side"))))
     read = ["seq", "ts_ns", "pos", "side", "price_raw", "typical", "flag_ts", "flag_raw", "traded_raw", *[c for c in (flags.columns if flags is not None else ()) if c == "ingest_ns"], "n_levels"]
-    kinds = dict(p.dtypes)
-    return fold(p, ["seq", "pos"], read, dict, _both(cfg), ", ".join(["detector string", *(f"{c} {kinds[c]}" for c in read)]))
+    ready = F.when(F.col("n_levels") >= cfg.layering_levels, F.array(F.lit("spoofing"), F.lit("layering"))).otherwise(F.array(F.lit("spoofing")))
+    p = p.select("symbol", F.explode(ready).alias("detector"), *read)
+    wait = F.when(F.col("detector") == "spoofing", cfg.spoof_cooldown).otherwise(cfg.layering_cooldown)
+    return cooldown(p, wait, ["seq", "pos"], keys=("symbol", "detector"))
 
 
 class Rule(NamedTuple):
@@ -269,13 +389,16 @@ class Rule(NamedTuple):
     description: str
 
 
-def alerts(tape: DataFrame, cfg: Config, latency: bool = True, only: Collection[str] = RULES, extra: Mapping[str, Rule] | None = None) -> DataFrame:
+def alerts(tape: DataFrame, cfg: Config, latency: bool = True, only: Collection[str] = RULES, extra: Mapping[str, Rule] | None = None, ordered: bool = True) -> DataFrame:
     """Alerts of the rules ``only`` and ``extra`` in the order of events, rules and changes, numbered over all symbols.
 
     id, n, seq, ts_ns, detector, symbol, severity, severity_label, score, description, detect_latency_us, evidence (JSON).
     Nothing runs until the result is asked for. The pass over depth messages that three rules read, and the alerts without their numbers,
-    are kept on disk from their first use (``spark.catalog.clearCache`` lets them go); what is lost is made again.
+    are kept on disk from their first use (``spark.catalog.clearCache`` lets them go); what is lost is made again. Without ``ordered``
+    there is no id and no n, and only columns that are asked for are made: for counts.
     """
+    # Scores and evidence of what a pass by symbol finds are made elsewhere, not in the few tasks of that pass.
+    spread = lambda d: d.repartition("symbol", "seq") if ordered else d
     shown = lambda d: _shown(d, cfg)[0]
     told = lambda d: F.to_json(F.struct(*_shown(d, cfg)[1]))
     # A spoof and the layering that it completes belong to one change; other rules follow in their order.
@@ -287,26 +410,28 @@ def alerts(tape: DataFrame, cfg: Config, latency: bool = True, only: Collection[
     if seen is not None and "quote_stuffing" in only and {"spoofing", "layering"} & set(only):
         seen = seen.persist(StorageLevel.DISK_ONLY)
     if {"spoofing", "layering"} & set(only):
-        parts.append(spoofing_and_layering(tape, cfg, size_flags(tape, cfg, seen)).where(F.col("detector").isin(*only)).select(
+        parts.append(spread(spoofing_and_layering(tape, cfg, size_flags(tape, cfg, seen)).where(F.col("detector").isin(*only))).select(
             "seq", "ts_ns", "symbol", "detector", nought.alias("rule"), "pos", (~spoof).cast("int").alias("last"),
             F.when(spoof, shown("spoofing")).otherwise(shown("layering")).alias("score"), F.when(spoof, told("spoofing")).otherwise(told("layering")).alias("evidence"), *keep,
         ))
     for detector, find in (("momentum_ignition", momentum_ignition), ("quote_stuffing", lambda t, c, *k: quote_stuffing(t, c, *k, seen=seen)), ("wash_trade", wash_trades)):
         if detector in only:
-            parts.append(find(tape, cfg, *keep).select("seq", "ts_ns", "symbol", F.lit(detector).alias("detector"), F.lit(RULES.index(detector)).alias("rule"), nought.alias("pos"), nought.alias("last"), shown(detector).alias("score"), told(detector).alias("evidence"), *keep))
+            parts.append((find(tape, cfg, *keep) if detector == "wash_trade" else spread(find(tape, cfg, *keep))).select("seq", "ts_ns", "symbol", F.lit(detector).alias("detector"), F.lit(RULES.index(detector)).alias("rule"), nought.alias("pos"), nought.alias("last"), shown(detector).alias("score"), told(detector).alias("evidence"), *keep))
     extra = dict(extra or {})
     for k, (detector, rule) in enumerate(extra.items()):
         found = rule.find(tape, cfg).select("seq", "ts_ns", "symbol", F.lit(detector).alias("detector"), F.lit(len(RULES) + k).alias("rule"), nought.alias("pos"), nought.alias("last"), "score", "evidence")
         parts.append(found.join(tape.select("symbol", "seq", *keep), ["symbol", "seq"]).select(*found.columns, *keep) if keep else found)
-    out = reduce(DataFrame.unionByName, parts).persist(StorageLevel.DISK_ONLY)  # counted by stretches, then numbered
-    out = numbered(out, ["seq", "rule", "pos", "last"], idiv(F.col("seq"), _NUMBERED))
+    out = reduce(DataFrame.unionByName, parts)
+    if ordered:  # counted by stretches, then numbered
+        out = numbered(out.persist(StorageLevel.DISK_ONLY), ["seq", "rule", "pos", "last"], idiv(F.col("seq"), _NUMBERED))
     if latency:
         out = out.withColumn("detect_latency_us", F.greatest(F.lit(0), idiv(F.col("ts_ns") - F.col("ingest_ns"), 1000)))
     severity = F.create_map(*[F.lit(x) for k, v in (SEVERITY | {k: r.severity for k, r in extra.items()}).items() for x in (k, v)])[F.col("detector")]
     label = F.create_map(*[F.lit(x) for k, v in SEVERITIES.items() for x in (k, v)])[severity]
     text = F.create_map(*[F.lit(x) for k, v in (DESCRIPTIONS | {k: r.description for k, r in extra.items()}).items() for x in (k, v)])[F.col("detector")]
     wanted = ["detect_latency_us"] if latency else []
-    return out.select(F.concat_ws("-", "symbol", "detector", F.col("n").cast("string")).alias("id"), "n", "seq", "ts_ns", "detector", "symbol", severity.alias("severity"), label.alias("severity_label"), "score", text.alias("description"), *wanted, "evidence")
+    told_by = [F.concat_ws("-", "symbol", "detector", F.col("n").cast("string")).alias("id"), "n"] if ordered else []
+    return out.select(*told_by, "seq", "ts_ns", "detector", "symbol", severity.alias("severity"), label.alias("severity_label"), "score", text.alias("description"), *wanted, "evidence")
 
 
 def _shown(detector: str, cfg: Config) -> tuple[Column, list[Column]]:

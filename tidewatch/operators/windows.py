@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewatch.functions.fixedpoint import idiv
-from tidewatch.operators.fold import fold
+from tidewatch.operators.fold import keys_of, values
 from tidewatch.operators.scan import STRETCH
 from tidewatch.shipping import ship
 
@@ -32,6 +32,7 @@ def sliding(rows: DataFrame, length: int, order: list[str], aggregates: dict[str
     own = idiv(F.col("ts_ns"), stretch)
     reach = idiv(F.col("ts_ns") + length, stretch)
     r = rows.withColumn("__own", own).withColumn("__in", F.explode(F.when(reach > own, F.array(own, reach)).otherwise(F.array(own))))
+    r = r.repartition("symbol", "__in")  # serves both windows; by themselves each has its own shuffle
     place = W.partitionBy("symbol", "__in")
     tie = F.row_number().over(W.partitionBy("symbol", "__in", "ts_ns").orderBy(*order)) - 1
     at = (F.col("ts_ns") - (F.col("__in") - 1) * stretch) * _PEERS + F.col("__tie")
@@ -47,32 +48,16 @@ def span(frame: WindowSpec) -> Column:
     return F.max("ts_ns").over(frame) - F.min("ts_ns").over(frame)
 
 
-def _thin(wait: int):
-    def start() -> list[int]:
-        return [0]
+def cooldown(rows: DataFrame, wait: int | Column, order: list[str], keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Rows of each key at least ``wait`` after the last one kept; the clock starts at 0, so times below ``wait`` are void.
 
-    def step(last: list[int], row: tuple) -> list[tuple]:
-        if row[0] - last[0] < wait:
-            return []
-        last[0] = row[0]
-        return [row]
-
-    return start, step
-
-
-def cooldown(rows: DataFrame, wait: int, order: list[str]) -> DataFrame:
-    """Rows of each symbol at least ``wait`` after the last one kept; the clock starts at 0, so times below ``wait`` are void.
-
-    A symbol is one task here: for candidates that come from a fold by symbol anyway. Others use ``cooldown_by_stretch``.
+    A key is one task here, which reads times only and filters whole batches: for candidates that are few beside the rows they come
+    from. Others use ``cooldown_by_stretch``. ``wait`` may be a column that is the same for all rows of a key.
     """
-    read = ["ts_ns", *[c for c in rows.columns if c not in ("symbol", "ts_ns")]]
-    kinds = dict(rows.dtypes)
-    start, step = _thin(wait)
-    return fold(rows, order, read, start, step, ", ".join(f"`{c}` {kinds[c]}" for c in read)).select(*rows.columns)
-
-
-def _per_key(b: pa.RecordBatch, keys: list[str]) -> Iterator[tuple]:
-    return zip(*(b.column(c).to_pylist() for c in keys), strict=True)
+    ship(rows.sparkSession)
+    wait = F.lit(wait) if isinstance(wait, int) else wait
+    dealt = rows.withColumns({"__wait": wait.cast("bigint"), "__last": F.lit(0).cast("bigint")}).repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(_kept(list(keys), rows.columns), rows.schema)
 
 
 def _exits(keys: list[str], stretch: int):
@@ -87,7 +72,7 @@ def _exits(keys: list[str], stretch: int):
                 found.append((*at, *behind))
 
         for b in batches:
-            for key, ts, wait in zip(_per_key(b, keys), b.column("ts_ns").to_pylist(), b.column("__wait").to_pylist(), strict=True):
+            for key, ts, wait in zip(keys_of(b, keys), values(b.column("ts_ns")), values(b.column("__wait")), strict=True):
                 if key != at:
                     flush()
                     at, later, behind = key, deque(), None
@@ -123,7 +108,7 @@ def _entries(keys: list[str]):
         at, last, done = None, 0, None
         for b in batches:
             found = []
-            for key, ts, end, wait in zip(_per_key(b, keys), *(b.column(c).to_pylist() for c in ("ts_ns", "end", "wait")), strict=True):
+            for key, ts, end, wait in zip(keys_of(b, keys), *(values(b.column(c)) for c in ("ts_ns", "end", "wait")), strict=True):
                 if key[:-1] != at:
                     at, last, done = key[:-1], 0, None
                 if key[-1] != done and ts - last >= wait:
@@ -139,7 +124,7 @@ def _kept(keys: list[str], columns: list[str]):
         at, last = None, 0
         for b in batches:
             keep = []
-            for key, ts, wait, before in zip(_per_key(b, keys), *(b.column(c).to_pylist() for c in ("ts_ns", "__wait", "__last")), strict=True):
+            for key, ts, wait, before in zip(keys_of(b, keys), *(values(b.column(c)) for c in ("ts_ns", "__wait", "__last")), strict=True):
                 if key != at:
                     at, last = key, before
                 keep.append(ts - last >= wait)

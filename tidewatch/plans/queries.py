@@ -27,6 +27,11 @@ def _alerts(tape: DataFrame) -> DataFrame:
     return rules.alerts(tape, CFG).drop("evidence")
 
 
+def _unordered(tape: DataFrame) -> DataFrame:
+    """Alerts for counts, which need no numbers."""
+    return rules.alerts(tape, CFG, ordered=False)
+
+
 #: Numbers in the evidence of each rule.
 EVIDENCE = {
     "spoofing": ("typical_qty", "size_multiple", "lifetime_ms", "flagged_qty", "traded_qty", "price"), "layering": ("levels_pulled", "window_ms"), "momentum_ignition": ("leg_bps", "retrace_bps", "leg_start", "leg_peak", "reverse_price"),
@@ -238,14 +243,14 @@ QUERIES = {
     "wash_alerts": _tape(lambda t: rules.wash_trades(t, CFG)),
     "all_alerts": _tape(_alerts),
     "feature_vectors": _tape(_vectors),
-    "alerts_by_detector": _tape(lambda t: dashboard.by_detector(_alerts(t))),
-    "alerts_by_severity": _tape(lambda t: dashboard.by_severity(_alerts(t))),
-    "alerts_grouping_sets": _tape(lambda t: dashboard.totals(_alerts(t))),
-    "alert_stats": _tape(lambda t: dashboard.stats(_alerts(t), 600.0)),
+    "alerts_by_detector": _tape(lambda t: dashboard.by_detector(_unordered(t))),
+    "alerts_by_severity": _tape(lambda t: dashboard.by_severity(_unordered(t))),
+    "alerts_grouping_sets": _tape(lambda t: dashboard.totals(_unordered(t))),
+    "alert_stats": _tape(lambda t: dashboard.stats(_unordered(t), 600.0)),
     "alert_feed": _tape(lambda t: dashboard.feed(_alerts(t)).select("n", "id")),
     "recent_alerts": _tape(lambda t: dashboard.recent(_alerts(t))),
     "latest_tile": _tape(lambda t: dashboard.tiles(t, _vectors(t))),
-    "latency_histogram": _tape(lambda t: dashboard.latency_histogram(_alerts(t))),
+    "latency_histogram": _tape(lambda t: dashboard.latency_histogram(_unordered(t))),
     "venue_counters": _tape(dashboard.counters),
     "ingest_stats": _tape(dashboard.ingest_stats),
     "alert_evidence": _tape(alert_evidence),
