@@ -251,3 +251,74 @@ def test_levels_reach_the_workers_as_text(spark):
         assert isinstance(p.bids, str)
         assert one.event(SimpleNamespace(**r)) == two.event(SimpleNamespace(**r | p.asDict()))
     assert engine._unpacked("") == [] and engine._unpacked(None) == [] and engine._unpacked("-5,7;8,0") == [(-5, 7), (8, 0)]
+
+
+def test_large_prices_are_exact_beside_nulls(spark, tmp_path):
+    """Trades at a flagged price above 2^53 count as traded there, though depth messages have no price."""
+    from tidewatch.sources.tape import stream_of, tape_of_rows, write_in_order
+    from tidewatch.streaming import engine
+
+    top, now, rows = 2**53 + 1, 10**12, []
+
+    def put(**x):
+        rows.append({"seq": len(rows), "ts_ns": now + len(rows) * 10 * MS, "ingest_ns": now, "symbol": "A", "exchange": "x", "kind": "depth", "is_snapshot": False, "side": None, "price_raw": None, "qty_raw": None, "first_id": None, "final_id": None, "bids": [], "asks": []} | x)
+
+    put(is_snapshot=True, bids=[{"p": top - k, "q": SCALE} for k in (1, 2, 3)], asks=[{"p": top + 10, "q": SCALE}])
+    for k in range(20):
+        put(bids=[{"p": top - 9 - k, "q": SCALE}])
+    put(bids=[{"p": top, "q": 40 * SCALE}])
+    put(kind="trade", side=SELL, price_raw=top, qty_raw=20 * SCALE)
+    put(bids=[{"p": top, "q": 0}])
+    put(bids=[{"p": top - 100, "q": 40 * SCALE}])
+    put(bids=[{"p": top - 100, "q": 0}])
+    write_in_order(tape_of_rows(spark, rows), str(tmp_path / "in"), 100)
+    q = engine.start(stream_of(spark, str(tmp_path / "in")), str(tmp_path / "cp"), str(tmp_path / "alerts"), str(tmp_path / "features"), Config())
+    q.awaitTermination()
+    assert q.exception() is None
+    assert [(r.seq, r.detector) for r in spark.read.parquet(str(tmp_path / "alerts")).collect()] == [(25, "spoofing")]
+
+
+def test_stores_follow_cores_and_lines_are_read_once(spark, tmp_path, capsys):
+    """Many shuffle partitions make no store each, which every batch would open and write, and a line is parsed once."""
+    from tidewatch.sources.tape import stream_of, tape_of_rows, write_in_order
+    from tidewatch.streaming import engine
+
+    write_in_order(tape_of_rows(spark, random_rows(4, 200)), str(tmp_path / "in"), 100)
+    tape = stream_of(spark, str(tmp_path / "in"), 2)
+    key, given = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(key, "60")
+    try:
+        q = engine.start(tape, str(tmp_path / "cp"), str(tmp_path / "alerts"), str(tmp_path / "features"), CFG)
+        assert spark.conf.get(key) == "60"
+        q.awaitTermination()
+    finally:
+        spark.conf.set(key, given)
+    assert q.exception() is None and q.lastProgress["stateOperators"][0]["numShufflePartitions"] == 4 * spark.sparkContext.defaultParallelism < 60
+    capsys.readouterr()
+    tape.explain()
+    assert capsys.readouterr().out.count("from_json(") == 1
+
+
+def test_blocks_hold_rows_in_order():
+    """Blocks of tasks whose ranges overlap: a symbol's rows come by seq, some at a time, whatever the order of blocks; nulls stay nulls."""
+    import pyarrow as pa
+
+    from tidewatch.streaming import engine
+
+    r = random.Random(2)
+    rows = [{"symbol": r.choice(("A", "B", None)), "seq": k, "ts_ns": 2**60 + k, "ingest_ns": None if k == 7 else 2**60 + k, "kind": r.choice(("trade", "depth")), "is_snapshot": None, "side": 1, "price_raw": 2**53 + k, "qty_raw": k, "bids": "", "asks": None} for k in range(25_000)]
+    r.shuffle(rows)
+    rows += [{"symbol": "B", "seq": 25_000, "ts_ns": 1, "ingest_ns": 1, "kind": "depth", "is_snapshot": True, "side": None, "price_raw": None, "qty_raw": None, "bids": "1,2", "asks": ""}]
+    schema = pa.schema([(c, pa.bool_() if c == "is_snapshot" else pa.string() if c in ("symbol", "kind", "bids", "asks") else pa.int64()) for c in rows[0]])
+    tasks = [pa.Table.from_pylist(rows[at::3], schema).to_batches(700) for at in range(3)]
+    blocks = [x for t in tasks for out in engine._blocks(iter(t)) for x in out.to_pylist()]
+    assert len(blocks) == 9
+    for symbol in ("A", "B", None):
+        own = [x["rows"] for x in blocks if x["symbol"] == symbol]
+        parts = list(engine._in_order(own[::-1]))
+        assert max(b.num_rows for b in parts) <= engine._SLICE
+        got = [(seq, ts, int(at) if at == at else None, trade, snapshot, side, price, qty, bids, asks) for b in parts for seq, ts, at, trade, snapshot, side, price, qty, bids, asks in engine._objects(b)]
+        want = sorted((x for x in rows if x["symbol"] == symbol), key=lambda x: x["seq"])
+        assert got == [(x["seq"], x["ts_ns"], x["ingest_ns"], x["kind"] == "trade", bool(x["is_snapshot"]), x["side"] or 0, x["price_raw"] or 0, x["qty_raw"] or 0, x["bids"], x["asks"]) for x in want]
+    with pytest.raises(ValueError, match="price_raw"):
+        engine._objects(pa.RecordBatch.from_pylist([{"kind": "trade", "side": 0, "price_raw": None, "qty_raw": 1}, {"kind": "trade", "side": 0, "price_raw": 2, "qty_raw": 1}]))

@@ -186,8 +186,9 @@ def streamed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = scratch_path(spark, "stream")
     tape = read_tape(spark, sf_dir)
-    write_in_order(tape, f"{base}/tape", min(500_000, max(1, tape.count() // 4)))
-    run = engine.start(stream_of(spark, f"{base}/tape", files_per_batch=1), f"{base}/checkpoint", f"{base}/alerts", f"{base}/features", CFG)
+    # Four files a batch: each batch costs some seconds besides its rows, of which a symbol's must fit in memory.
+    write_in_order(tape, f"{base}/tape", min(500_000, -(-tape.count() // 16)))
+    run = engine.start(stream_of(spark, f"{base}/tape", files_per_batch=4), f"{base}/checkpoint", f"{base}/alerts", f"{base}/features", CFG)
     run.awaitTermination()
     return spark.read.parquet(f"{base}/alerts").select("symbol", "seq", "ts_ns", "detector", "severity", "severity_label", "score", "detect_latency_us")
 

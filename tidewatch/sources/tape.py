@@ -174,4 +174,6 @@ def write_in_order(tape: DataFrame, path: str, rows_per_file: int = 500_000) ->
 def stream_of(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """JSON lines of a tape as a stream; malformed lines are dropped."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
-    return lines.select(F.from_json("value", TAPE, {"mode": "PERMISSIVE"}).alias("t")).where("t.symbol IS NOT NULL AND t.seq IS NOT NULL").select("t.*")
+    # A generator is read once; a plain column would be read again for each condition.
+    rows = lines.select(F.inline(F.array(F.from_json("value", TAPE, {"mode": "PERMISSIVE"}))))
+    return rows.where("symbol IS NOT NULL AND seq IS NOT NULL")

@@ -37,7 +37,7 @@ class BucketLadder:
         self._dirty: set[tuple[int, int]] = set()
         self._stored: set[tuple[int, int]] = set()  # of those that are open
         self._moved = {BUY: False, 1 - BUY: False}
-        self._wiped = False
+        self._wiped = self._full = False
 
     def head(self) -> list:
         return [self.synced, self.width, self.buckets, *self.count]
@@ -63,7 +63,7 @@ class BucketLadder:
     def _set(self, side: int, price: int, qty: int) -> int:
         """Size before."""
         k = price // self.width
-        prices, sizes = self._bucket(side, k)
+        prices, sizes = self._open.get((side, k)) or self._bucket(side, k)
         old = sizes.get(price, 0)
         if old == qty:
             return old
@@ -75,6 +75,7 @@ class BucketLadder:
                 self._moved[side] = True
             insort(prices, price)
             self.count[side] += 1
+            self._full = self._full or len(prices) > 4 * FULL
         if qty:
             sizes[price] = qty
         else:
@@ -88,12 +89,15 @@ class BucketLadder:
 
     def _wipe(self, width: int) -> None:
         self._open, self._dirty, self._stored, self._ids, self.count, self.width, self._wiped = {}, set(), set(), [[], []], [0, 0], max(1, width), True
-        self._moved = dict.fromkeys(self._moved, True)
+        self._moved, self._full = dict.fromkeys(self._moved, True), False
 
     def _fit(self) -> None:
         """Halve the width while a bucket that was touched is too full; double it when buckets have doubled and are nearly empty."""
-        n = sum(map(len, self._ids)) if None not in self._ids else 0
-        crowded = self.width > 1 and any(len(self._open[k][0]) > 4 * FULL for k in self._dirty)
+        bids, asks = self._ids
+        n = len(bids) + len(asks) if bids is not None and asks is not None else 0
+        if not self._full and n <= 2 * self.buckets:
+            return
+        crowded, self._full = self._full and self.width > 1 and any(len(self._open[k][0]) > 4 * FULL for k in self._dirty), False
         if crowded or (n > 2 * self.buckets and 8 * sum(self.count) < FULL * n):
             every = [(side, p, q) for side in (0, 1) for k in list(self.ids(side)) for p, q in self._bucket(side, k)[1].items()]
             self._wipe(self.width // 2 if crowded else self.width * 2)
@@ -131,9 +135,15 @@ class BucketLadder:
                 break
         return out
 
+    def best(self, side: int) -> int | None:
+        if not (ids := self.ids(side)):
+            return None
+        k, at = (ids[-1], -1) if side == BUY else (ids[0], 0)
+        return (self._open.get((side, k)) or self._bucket(side, k))[0][at]
+
     def mid(self) -> float | None:
-        bid, ask = self.top(BUY), self.top(1 - BUY)
-        return (bid[0][0] / 1e8 + ask[0][0] / 1e8) / 2 if bid and ask else None
+        bid, ask = self.best(BUY), self.best(1 - BUY)
+        return None if bid is None or ask is None else (bid / 1e8 + ask / 1e8) / 2
 
     def depth(self, side: int) -> int:
         return self.count[side]
