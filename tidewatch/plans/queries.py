@@ -186,9 +186,11 @@ def streamed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     base = scratch_path(spark, "stream")
     tape = read_tape(spark, sf_dir)
-    # Four files a batch: each batch costs some seconds besides its rows, of which a symbol's must fit in memory.
-    write_in_order(tape, f"{base}/tape", min(500_000, -(-tape.count() // 16)))
-    run = engine.start(stream_of(spark, f"{base}/tape", files_per_batch=4), f"{base}/checkpoint", f"{base}/alerts", f"{base}/features", CFG)
+    n = tape.count()
+    files = write_in_order(tape, f"{base}/tape", min(500_000, -(-n // 16)))
+    # Four batches at least, of about two million rows at most: each costs some seconds besides its rows, and a symbol's must fit in memory.
+    batches = max(4, -(-n // 2_000_000))
+    run = engine.start(stream_of(spark, f"{base}/tape", -(-files // batches)), f"{base}/checkpoint", f"{base}/alerts", f"{base}/features", CFG)
     run.awaitTermination()
     return spark.read.parquet(f"{base}/alerts").select("symbol", "seq", "ts_ns", "detector", "severity", "severity_label", "score", "detect_latency_us")
 
